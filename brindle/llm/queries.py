@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from brindle.llm import quality
+from brindle.llm import ann, chat, langid, mixing, quality, sentencepieces, simhash, substring, tokencounts, toxicity
 
-QUERIES = {"op9_quality_rules": quality.op9_quality_rules}
-ORACLES = {"op9_quality_rules": quality.ORACLE_SQL}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": langid.op3_language_id,
+    "op4_chat": chat.op4_chat,
+    "op5_sentencepiece": sentencepieces.op5_sentencepiece,
+    "op6_substring_dedup": substring.op6_substring_dedup,
+    "op7_ann": ann.op7_ann,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_quality_rules": quality.op9_quality_rules,
+    "op10_token_counts": tokencounts.op10_token_counts,
+}
+ORACLES = {"op4_chat": chat.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
