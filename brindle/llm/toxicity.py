@@ -34,7 +34,7 @@ SAMPLE_ROWS = 12_000
 #: The lexicon's bound.
 MAX_INSULTS = 4_000
 #: A learned insult is in this many toxic documents at least, and this many times more frequent in them.
-MIN_DOCS = 4
+MIN_DOCS = 5
 MIN_LIFT = 12.0
 PREFIXES = range(4, 9)
 #: Words after a negation that it reaches.
@@ -166,6 +166,7 @@ def learn_insults(sample: DataFrame, max_insults: int = MAX_INSULTS) -> list[tup
 
     Document frequencies are aggregated by Spark over the sample; only the lexicon, bounded, comes to the driver.
     """
+    sample = sample.groupBy(F.xxhash64("text").alias("id")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))  # copies count once
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+(?:'[\p{L}]+)?)"), 1)))
     seen = sample.select("id", "toxic", word.alias("w"))
     forms = F.array(F.col("w"), *[F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in PREFIXES])
@@ -174,10 +175,10 @@ def learn_insults(sample: DataFrame, max_insults: int = MAX_INSULTS) -> list[tup
     if not total or not total[0] or not total[1]:
         return []
     counts = seen.groupBy("w").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    lift = ((F.col("pos") + 0.1) / float(total[0])) / ((F.col("neg") + 0.1) / float(total[1]))
+    lift = ((F.col("pos") + 0.5) / float(total[0])) / ((F.col("neg") + 0.5) / float(total[1]))
     rows = counts.withColumn("lift", lift).where((F.col("pos") >= MIN_DOCS) & (F.col("lift") >= MIN_LIFT))
     found = rows.orderBy(F.desc("pos"), F.desc("lift"), "w").limit(max_insults).collect()
-    return [(r["w"], min(6.0, math.log(r["lift"]))) for r in found]
+    return [(r["w"], min(8.0, math.log(r["lift"]))) for r in found]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
