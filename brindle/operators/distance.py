@@ -82,13 +82,14 @@ def _meet(df: DataFrame, ref: DataFrame | None, id_col: str, vector: str, ref_id
         require_vector(ref, vector)
         right, m = _blocks(ref.select(F.col(ref_id).alias("id"), F.col(vector).cast("array<double>").alias("v")), "id", block_rows)
         every_b, every_a = F.explode(F.sequence(F.lit(0), F.lit(m - 1))), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # the sides' columns need names of their own: the optimiser drops an alias that keeps its name, and then mixes the sides up
     a = left.select("id", "v", F.col("_block").alias("a"), every_b.alias("b"))
-    b = right.select("id", "v", every_a.alias("a"), F.col("_block").alias("b"))
+    b = right.select(F.col("id").alias("id2"), F.col("v").alias("v2"), every_a.alias("a"), F.col("_block").alias("b"))
     return a.groupBy("a", "b").cogroup(b.groupBy("a", "b"))
 
 
 def _vectors(t: pa.Table) -> np.ndarray:
-    return np.array(t.column("v").to_pylist(), dtype=np.float64)
+    return np.array(t.column(1).to_pylist(), dtype=np.float64)
 
 
 def pairwise(df: DataFrame, id_col: str, vector: str, metric: str = "euclidean", threshold: float | None = None, ref: DataFrame | None = None, ref_id: str | None = None, mirror: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -100,17 +101,17 @@ def pairwise(df: DataFrame, id_col: str, vector: str, metric: str = "euclidean",
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"src": left.column("id")[:0], "dst": left.column("id")[:0], "distance": pa.array([], pa.float64())})
+            return pa.table({"src": left.column(0)[:0], "dst": left.column(0)[:0], "distance": pa.array([], pa.float64())})
         d = block_distances(_vectors(left), _vectors(right), metric)
-        x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
+        x, y = left.column(0).to_numpy(), right.column(0).to_numpy()
         ok = np.ones_like(d, dtype=bool) if threshold is None else d <= threshold
         if same:
-            ok &= (x[:, None] < y[None, :]) if left.column("a")[0] == left.column("b")[0] else x[:, None] != y[None, :]
+            ok &= (x[:, None] < y[None, :]) if left.column(2)[0] == left.column(3)[0] else x[:, None] != y[None, :]
         i, j = np.nonzero(ok)
         src, dst = x[i], y[j]
         if same:
             src, dst = np.minimum(src, dst), np.maximum(src, dst)
-        kind = left.column("id").type
+        kind = left.column(0).type
         return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind), "distance": d[i, j]})
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -142,9 +143,9 @@ def k_neighbors(df: DataFrame, id_col: str, vector: str, metric: str = "euclidea
         names, rows = ["id", "total", "n", "least", "most"], []
         if left.num_rows and right.num_rows:
             d = block_distances(_vectors(left), _vectors(right), metric)
-            x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
+            x, y = left.column(0).to_numpy(), right.column(0).to_numpy()
             sides = [(x, y, d)]
-            if same and left.column("a")[0] != left.column("b")[0]:
+            if same and left.column(2)[0] != left.column(3)[0]:
                 sides.append((y, x, d.T))
             for own, other, m in sides:
                 for i, r in zip(own, m, strict=True):

@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFra
     Edges stay distributed; each round shuffles them, and settle() writes its result to a table, so that lineage stays short.
     Rounds grow with the logarithm of the longest path. Self loops count as nodes, nulls are dropped.
     """
-    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    edges = settle(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"))
     alone = edges.where("a = b").select("a").distinct()
     now = settle(edges.where("a <> b").distinct())
     state = None
