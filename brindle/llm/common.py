@@ -42,20 +42,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of results that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage ends here and a lost executor loses nothing.
 
-    The shuffle files behind df are no longer needed then; the collections let Spark's cleaner drop them.
+    Shuffle files of earlier steps are released first, so they do not add up over an operator's steps.
     """
     spark = df.sparkSession
+    release(spark)
     path = f"{shared_folder(spark).rstrip('/')}/brindle-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out.settled_path = path
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a settled table that no later step reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fresh, read, settle, words
+from brindle.llm.common import discard, fresh, read, release, settle, words
 
 WINDOW = 20
 PHRASE = 5
@@ -236,6 +236,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     phrases = settle(texts.mapInArrow(_named_phrases(window, phrase), "h long, shard int, n int"))
     recurring = phrases.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     confirmed = settle(phrases.join(recurring, "h").select("shard", "h").distinct())
+    discard(phrases)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     found = dealt.groupBy(shard).cogroup(confirmed.groupBy("shard")).applyInArrow(_candidates(window, phrase, names.index(text_col), spans), f"{kinds}, `{spans}` array<int>")
@@ -246,6 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = hashes.repartition("a").groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("f"))
     firsts = firsts.select("f.key", "f.start", F.pmod(F.xxhash64("f.key"), F.lit(shards)).cast("int").alias("shard"))
     firsts = settle(firsts)
+    release(docs.sparkSession)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     cutter = _cut_repeats(window, names.index(text_col), len(names), len(names) + 2, names)
