@@ -12,6 +12,7 @@ every text unchanged.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ from brindle.llm.pieces import DEFAULT_MODEL, Pieces, load, pieces, pre_tokens
 DROPOUT = 0.1
 VARIANTS = 4
 SEED = 29
-#: (pre-token, variant) pairs a worker remembers; it starts anew when full.
-CACHE = 400_000
+#: (pre-token, variant) pairs in each of the two generations that a worker remembers.
+CACHE = 600_000
 
 _M64 = (1 << 64) - 1
 # Multipliers of the keyed hash.
@@ -76,12 +77,30 @@ def segment(token: str, vocab: Pieces, dropout: float = 0.0, key: int = 0) -> li
     return out
 
 
+class Memory:
+    """Ids, as bytes, by variant and pre-token. A full young generation becomes the old one; what is asked for again comes back
+    from there, so frequent pre-tokens stay and memory is bounded by two generations."""
+
+    def __init__(self, variants: int = VARIANTS, limit: int = CACHE) -> None:
+        self.variants, self.limit, self.size = variants, limit, 0
+        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
+
+    def put(self, token: str, turn: int, ids: bytes) -> None:
+        if self.size >= self.limit:
+            self.old, self.size = [dict(d) for d in self.young], 0
+            for d in self.young:  # the dictionaries stay the same objects: a caller may hold them
+                d.clear()
+        self.young[turn][token] = ids
+        self.size += 1
+
+
 @lru_cache(maxsize=2)
-def _remembered(model: bytes, dropout: float, seed: int) -> dict:
-    return {}
+def _remembered(model: bytes, dropout: float, variants: int, seed: int) -> Memory:
+    return Memory(variants)
 
 
-def encode_text(text: str, vocab: Pieces, known: dict, doc: int, dropout: float, variants: int, seed: int) -> np.ndarray:
+def encode_text(text: str, vocab: Pieces, known: Memory, doc: int, dropout: float, variants: int, seed: int) -> np.ndarray:
     """The ids of a whole text."""
     tokens = pre_tokens(text)
     n = len(tokens)
@@ -92,17 +111,18 @@ def encode_text(text: str, vocab: Pieces, known: dict, doc: int, dropout: float,
         turns = ((x >> np.uint64(40)) % np.uint64(variants)).tolist()
     else:
         turns = [0] * n
-    out: list[int] = []
-    for pair in zip(tokens, turns, strict=True):
-        got = known.get(pair)
+    out: list[bytes] = []
+    young = known.young
+    for token, turn in zip(tokens, turns, strict=True):
+        got = young[turn].get(token)
         if got is None:
-            if len(known) >= CACHE:
-                known.clear()
-            token, turn = pair
-            key = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), (seed * variants + turn) & _M64) if dropout else 0
-            got = known[pair] = segment(token, vocab, dropout, key)
-        out += got
-    return np.array(out, dtype=np.int32)
+            got = known.old[turn].get(token)
+            if got is None:
+                key = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), (seed * variants + turn) & _M64) if dropout else 0
+                got = array("i", segment(token, vocab, dropout, key)).tobytes()
+            known.put(token, turn, got)
+        out.append(got)
+    return np.frombuffer(b"".join(out), dtype="<i4")
 
 
 def decode_ids(ids: list[int], vocab: Pieces) -> str:
@@ -122,7 +142,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     model = load(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known = pieces(model), _remembered(model, dropout, seed * 64 + variants)
+        vocab, known = pieces(model), _remembered(model, dropout, variants, seed)
         for b in batches:
             # a few texts at a time: ids of many long ones would not fit beside the batch
             for at in range(0, b.num_rows, 256):
