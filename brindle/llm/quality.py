@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade (native: DataFrame expressions only).
 
-Every rule is a column that is true where it rejects. The cascade measures each rule's cost and its share of rejections
-on a small sample, puts the rules in the order of rejections per second, and evaluates them as one OR, which stops at the
-first rule that rejects. The order changes the time, never the verdict.
+Every rule is a column that is true where it rejects, over counts that it names. The cascade measures each rule's cost,
+its counts included, and its share of rejections on a small sample, and puts the rules in the order of rejections per
+second. quality_filter() then computes a rule's counts only for the rows that the rules before it have passed. The order
+changes the time, never the verdict.
 """
 
 from __future__ import annotations
@@ -38,19 +39,19 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def with_text_stats(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep and the struct of counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, as columns.
+    """keep, the text as a column of its own, and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines that keep lacks.
 
     n_repeat_words marks every word in a 3-word window found at least twice in its text. The 64-bit hashes of the windows
     are sorted with their positions in one array of longs, so equal windows become neighbours: n log n for any text, no
     shuffle. Null texts count as empty.
     """
-    c, w, t, s = (fresh(keep, x) for x in ("_text", "_words", "_windows", "_sorted"))
+    c, w, t, s, m = (fresh(keep, x) for x in ("_text", "_words", "_windows", "_sorted", "_size"))
     low = (1 << POSITION_BITS) - 1
     out = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(c))
     out = out.select(*keep, c, words(F.col(c)).alias(w))
     n = F.size(w)
     out = out.select(
-        *keep, c, n.cast("long").alias("n_words"),
+        *keep, c, n.cast("long").alias(m),
         F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>")).alias(t),
     )
     packed = F.sort_array(F.transform(F.col(t), lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
@@ -59,58 +60,73 @@ def with_text_stats(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     again = F.filter(F.col(s), lambda x, k: (at(x) == at(F.get(F.col(s), k - 1))) | (at(x) == at(F.get(F.col(s), k + 1))))
     first = F.transform(again, lambda x: x.bitwiseAND(F.lit(low)))
     lines = F.filter(F.split(F.col(c), "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    out = out.select(*keep, c, "n_words", first.alias(s), lines.alias(t))
-    return out.select(
-        *keep,
-        F.col(c).alias(c),
-        "n_words",
-        _without(F.col(c), SPACE_CHARS).cast("long").alias("word_chars"),
-        (F.length(c) - _without(F.col(c), SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size(t) - F.size(F.array_distinct(t))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct(F.flatten(F.transform(F.col(s), lambda p: F.array(p, p + 1, p + 2))))).cast("long").alias("n_repeat_words"),
-        F.size(t).cast("long").alias("n_lines"),
-    )
+    out = out.select(*keep, c, m, first.alias(s), lines.alias(t))
+    counts = {
+        "n_words": F.col(m),
+        "word_chars": _without(F.col(c), SPACE_CHARS),
+        "n_symbols": F.length(c) - _without(F.col(c), SYMBOLS),
+        "n_dup_lines": F.size(t) - F.size(F.array_distinct(t)),
+        "n_repeat_words": F.size(F.array_distinct(F.flatten(F.transform(F.col(s), lambda p: F.array(p, p + 1, p + 2))))),
+        "n_lines": F.size(t),
+    }
+    return out.select(*keep, c, *[v.cast("long").alias(k) for k, v in counts.items() if k not in keep])
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: true where the rule rejects a row (never null)."""
+    """rejects: true where the rule rejects a row (never null); needs: the counts of with_text_stats() that it reads."""
 
     name: str
     rejects: Column
+    needs: tuple[str, ...] = ()
 
 
 def rules(text: str) -> list[Rule]:
     """The verdict's rules over the counts of with_text_stats() and the text column."""
-    body = F.col(text)
-    upper = F.regexp_count(body, F.lit(r"\p{Lu}"))
-    letters = F.regexp_count(body, F.lit(r"\p{L}"))
+    body, n_words = F.col(text), F.col("n_words")
+    upper, letters = F.regexp_count(body, F.lit(r"\p{Lu}")), F.regexp_count(body, F.lit(r"\p{L}"))
     marks = F.length(body) - _without(body, "!")
     return [
-        Rule("few_words", F.col("n_words") < MIN_WORDS),
-        Rule("repeats", 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
-        Rule("symbols", 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("n_words")),
-        Rule("dup_lines", 100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines")),
-        Rule("word_length", (F.col("word_chars") < WORD_LENGTH[0] * F.col("n_words")) | (F.col("word_chars") > WORD_LENGTH[1] * F.col("n_words"))),
-        Rule("exclaims", 100 * marks > EXCLAIM_PERCENT * F.col("n_words")),
+        Rule("few_words", n_words < MIN_WORDS, ("n_words",)),
+        Rule("repeats", 100 * F.col("n_repeat_words") > REPEAT_PERCENT * n_words, ("n_words", "n_repeat_words")),
+        Rule("symbols", 100 * F.col("n_symbols") > SYMBOL_PERCENT * n_words, ("n_words", "n_symbols")),
+        Rule("dup_lines", 100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines"), ("n_dup_lines", "n_lines")),
+        Rule("word_length", (F.col("word_chars") < WORD_LENGTH[0] * n_words) | (F.col("word_chars") > WORD_LENGTH[1] * n_words), ("n_words", "word_chars")),
+        Rule("exclaims", 100 * marks > EXCLAIM_PERCENT * n_words, ("n_words",)),
         Rule("shouts", 100 * upper > SHOUT_PERCENT * letters),
-        Rule("few_letters", 100 * letters < LETTER_PERCENT * F.col("word_chars")),
+        Rule("few_letters", 100 * letters < LETTER_PERCENT * F.col("word_chars"), ("word_chars",)),
     ]
 
 
-def order_rules(sample: DataFrame, found: list[Rule]) -> list[Rule]:
+def order_rules(sample: DataFrame, found: list[Rule], prepare=lambda df, rule: df) -> list[Rule]:
     """The rules by rejections per second on the sample, best first; a rule that rejects nothing comes last, cheapest first."""
     spent, share = {}, {}
     sample.count()
     for rule in found:
         began = time.perf_counter()
-        row = sample.agg(F.avg(rule.rejects.cast("double"))).first()
+        row = prepare(sample, rule).agg(F.avg(rule.rejects.cast("double"))).first()
         spent[rule.name], share[rule.name] = max(1e-4, time.perf_counter() - began), row[0] or 0.0
     return sorted(found, key=lambda r: (-share[r.name] / spent[r.name], spent[r.name], r.name))
 
 
+def _with_counts(df: DataFrame, text: str, counts: list[str]) -> DataFrame:
+    """df with these counts of its text column; the others are pruned and cost nothing."""
+    return with_text_stats(df, text, df.columns).select(*df.columns, *counts) if counts else df
+
+
+def ordered_rules(docs: DataFrame, text: str, body: str, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules over the text column body, in the order that pays on the first rows of docs."""
+    found, rows = rules(body), docs.select(F.col(text).alias(body)).na.fill("").take(sample_rows)
+    if not rows:
+        return found
+    sample = docs.sparkSession.createDataFrame(rows, f"`{body}` string").repartition(2).cache()
+    out = order_rules(sample, found, lambda df, rule: _with_counts(df, body, list(rule.needs)))
+    sample.unpersist()
+    return out
+
+
 def cascade(found: list[Rule]) -> Column:
-    """True where any rule rejects. OR stops at the first true operand, so later rules cost nothing on rejected rows."""
+    """True where any rule rejects; OR stops at the first true operand."""
     out = found[0].rejects
     for rule in found[1:]:
         out = out | rule.rejects
@@ -123,23 +139,26 @@ def assess(docs: DataFrame, keep: list[str], text: str = "text", sample_rows: in
     Empty and null texts have no words and fail. Repeated rows are judged one by one. An empty table gives an empty table.
     Columns of keep must not have the names of the counts.
     """
-    spark = docs.sparkSession
     stats = with_text_stats(docs, text, keep)
     body = stats.columns[len(keep)]
-    found = rules(body)
-    rows = docs.select(F.col(text).alias("text")).take(sample_rows)
-    if rows:
-        sample = with_text_stats(spark.createDataFrame(rows, "text string").repartition(2), "text", []).cache()
-        found = order_rules(sample.withColumnRenamed(sample.columns[0], body), found)
-        sample.unpersist()
+    found = ordered_rules(docs, text, body, sample_rows)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return stats.withColumn("base_failed", base).withColumn("kept", ~cascade(found)).drop(body, "n_lines")
 
 
-def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that every rule passes, with docs' columns as they are."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    return assess(packed, ["row"], "text").where("kept").select("row.*")
+def quality_filter(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that every rule passes, with docs' columns as they are.
+
+    Rule by rule, counts first: rows that a rule rejects reach no later one. The gate, a random column that is always true
+    as a condition, keeps the optimiser from moving a rule below the projections that compute its counts, where it would
+    compute them again for every element of an array.
+    """
+    now, have = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body")), []
+    for rule in ordered_rules(docs, text, "body", sample_rows):
+        more = [c for c in rule.needs if c not in have]
+        now, have = _with_counts(now, "body", more), have + more
+        now = now.withColumn("gate", F.rand(0)).where(~rule.rejects & (F.col("gate") >= 0)).drop("gate")
+    return now.select("row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

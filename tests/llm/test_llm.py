@@ -351,12 +351,13 @@ def test_ann_copies_and_bad_vectors(spark):
 def test_forest_descends_to_longest_prefixes():
     x = np.random.default_rng(2).normal(size=(500, 8))
     forest = ann.Forest(x, trees=4, bits=16)
-    lo, hi = forest.ranges(x[:5], 1)
-    for t, (h, order) in enumerate(forest.trees):
-        assert all(h[i] <= h[i + 1] for i in range(len(h) - 1))
-        assert all(q in order[lo[t, q] : hi[t, q]] for q in range(5))
-    wide = forest.ranges(x[:5], 2000)
-    assert ((wide[1] - wide[0]) >= (hi - lo)).all()
+    own = [forest.strings(np.c_[x[:5], np.zeros(5)], p) for p in forest.planes]
+    for enough in (1, 60, 2000):
+        lo, hi = forest.ranges(x[:5], enough)
+        for q in range(5):
+            under = lambda n: [int(((h >> np.uint64(16 - n)) == (own[t][q] >> np.uint64(16 - n))).sum()) for t, (h, _) in enumerate(forest.trees)]  # noqa: E731, B023
+            length = max(n for n in range(17) if sum(under(n)) >= enough or n == 0)
+            assert (hi[:, q] - lo[:, q]).tolist() == under(length)
 
 
 # op8
