@@ -22,7 +22,8 @@ def load(path: str) -> bytes:
 
 
 class Pieces:
-    """ids: piece -> id of the ordinary pieces; scores by id; raw: the bytes each id stands for; byte_ids: the id of each byte."""
+    """ids: piece -> id of the ordinary pieces; ranks: piece -> place by score, best first; scores by id; raw: the bytes each
+    id stands for; byte_ids: the id of each byte."""
 
     def __init__(self, model: bytes) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -39,6 +40,7 @@ class Pieces:
                 self.ids[piece] = i
                 self.raw.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.ids))
+        self.ranks = {p: k for k, p in enumerate(sorted(self.ids, key=lambda p: -self.scores[self.ids[p]]))}
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in (MARK if char == LITERAL else char).encode()]

@@ -31,49 +31,64 @@ SEED = 29
 #: (pre-token, variant) pairs in each of the two generations that a worker remembers.
 CACHE = 600_000
 
-_M64 = (1 << 64) - 1
-# Multipliers of the keyed hash.
-_A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
+_M32, _M64 = (1 << 32) - 1, (1 << 64) - 1
+# Multipliers of the keyed hashes.
+_A, _B = 0x9E3779B1, 0x85EBCA6B
+_PLACE, _DOC, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 
 
 def segment(token: str, vocab: Pieces, dropout: float = 0.0, key: int = 0) -> list[int]:
-    """The ids of one pre-token; key is the keyed hash of seed, pre-token and variant."""
-    ids, scores, n = vocab.ids, vocab.scores, len(token)
-    whole = ids.get(token)
-    if n == 1 or (whole is not None and not dropout and n == 2):
+    """The ids of one pre-token; key is the keyed hash of seed, pre-token and variant.
+
+    An agenda entry is one integer: the merged piece's rank, the start and the end of its span, from high bits to low.
+    """
+    ids, ranks, n = vocab.ids, vocab.ranks, len(token)
+    if n == 1:
+        whole = ids.get(token)
         return [whole] if whole is not None else vocab.fallback(token)
-    limit = int(dropout * (1 << 64))
+    limit, key = int(dropout * (1 << 32)), key & _M32
+    shift = max(16, n.bit_length())
+    low = (1 << shift) - 1
     ends = list(range(1, n + 1))  # of the symbol that starts here; 0: it was merged into one to the left
     before = list(range(-1, n - 1))  # start of the symbol to the left
     agenda = []
     for i in range(n - 1):
-        got = ids.get(token[i : i + 2])
-        if got is not None:
-            agenda.append((-scores[got], i, i + 1, i + 2))
+        rank = ranks.get(token[i : i + 2])
+        if rank is not None:
+            agenda.append((rank << shift | i) << shift | i + 2)
     heapq.heapify(agenda)
+    pop, push = heapq.heappop, heapq.heappush
     while agenda:
-        _, a, m, e = heapq.heappop(agenda)
-        if ends[a] != m or m >= n or ends[m] != e:
+        code = pop(agenda)
+        e, a = code & low, code >> shift & low
+        m = ends[a]
+        if not m or m >= e or ends[m] != e:
             continue
         if limit:
-            if ((key ^ (a << 42 | m << 21 | e) * _A) * _B & _M64) < limit:
+            x = (key ^ (a << 20 | m << 10 | e)) * _A & _M32
+            if ((x ^ x >> 15) * _B & _M32) < limit:
                 continue
         ends[a], ends[m] = e, 0
         if e < n:
             before[e] = a
-            got = ids.get(token[a : ends[e]])
-            if got is not None:
-                heapq.heappush(agenda, (-scores[got], a, e, ends[e]))
+            end = ends[e]
+            rank = ranks.get(token[a:end])
+            if rank is not None:
+                push(agenda, (rank << shift | a) << shift | end)
         left = before[a]
         if left >= 0:
-            got = ids.get(token[left:e])
-            if got is not None:
-                heapq.heappush(agenda, (-scores[got], left, a, e))
+            rank = ranks.get(token[left:e])
+            if rank is not None:
+                push(agenda, (rank << shift | left) << shift | e)
     out, at = [], 0
     while at < n:
-        got = ids.get(token[at : ends[at]])
-        out += vocab.fallback(token[at]) if got is None else [got]
-        at = ends[at]
+        end = ends[at]
+        got = ids.get(token[at:end])
+        if got is None:
+            out += vocab.fallback(token[at])
+        else:
+            out.append(got)
+        at = end
     return out
 
 
@@ -105,9 +120,9 @@ def encode_text(text: str, vocab: Pieces, known: Memory, doc: int, dropout: floa
     tokens = pre_tokens(text)
     n = len(tokens)
     if dropout and variants > 1:
-        x = np.arange(n, dtype=np.uint64) * np.uint64(_A) + np.uint64((doc * _B + seed * _C) & _M64)
+        x = np.arange(n, dtype=np.uint64) * np.uint64(_PLACE) + np.uint64((doc * _DOC + seed * _MIX) & _M64)
         x ^= x >> np.uint64(31)
-        x *= np.uint64(_C)
+        x *= np.uint64(_MIX)
         turns = ((x >> np.uint64(40)) % np.uint64(variants)).tolist()
     else:
         turns = [0] * n

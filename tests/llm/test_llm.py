@@ -510,7 +510,7 @@ def test_token_count_edges(spark):
 
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    kept = common.settle(corpus_pipeline.quality_rules(spark, docs, sf_dir))
     want = {r["doc_id"] for r in quality.assess(docs, ["doc_id"]).where("kept").collect()}
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
     heads = common.settle(corpus_pipeline.simhash_dedup(spark, kept, sf_dir))
@@ -535,7 +535,7 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_pipeline_edges(spark):
-    for docs in (edge_docs(spark), edge_docs(spark, EXTRA), empty_docs(spark)):
+    for docs in (edge_docs(spark, EXTRA), empty_docs(spark)):
         now = docs
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             now = common.settle(stage(spark, now, ""))
