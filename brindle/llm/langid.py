@@ -138,11 +138,13 @@ def held_out(id_col: Column, folds: int = FOLDS, held: int = HELD) -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     """A model from at most `rows` texts of each language, none of them held out; None without a labelled text."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    slim = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h"))
-    # row_number() <= rows is also taken within each task, so a language with most rows ships few
-    picked = slim.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= rows).select("id", "lang")
-    picked = picked.limit(rows * MAX_LANGUAGES)
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = labelled.where(F.col(text_col).isNotNull())
+    # the most frequent languages, one row each; a range of the hash that holds about four times the rows wanted of each
+    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
+    slim = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 40)).alias("h"))
+    near = slim.join(F.broadcast(sizes), "lang").where(F.col("h") <= F.lit(4.0 * rows * (1 << 40)) / F.col("size"))
+    picked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= rows).select("id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
