@@ -13,7 +13,7 @@ from brindle.sources.tables import settle
 
 def microstates(df: DataFrame, key: str, listed: str) -> DataFrame:
     """(key, state_id, state): the comma-separated states of each row, trimmed, first of equal ones kept, numbered from 0."""
-    states = F.array_distinct(F.filter(F.transform(F.split(listed, ","), F.trim), lambda s: s != ""))
+    states = F.array_distinct(F.filter(F.transform(F.split(listed, ","), lambda s: F.trim(s)), lambda s: s != ""))
     return df.select(key, F.posexplode(states).alias("state_id", "state"))
 
 

@@ -135,7 +135,7 @@ def write_store(df: DataFrame, path: str, record_id: str, target: str, rules: Ma
     width = df.where(F.col(target).isNotNull()).agg(F.mode(F.size(target), deterministic=True).alias("w")).first()["w"]
     repeats = df.groupBy(record_id).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(record_id).alias("_r"), F.lit(True).alias("_again"))
     rows = df.join(repeats, F.col(record_id) == F.col("_r"), "left")
-    reason = F.when(F.col(record_id).isNull(), "record id is null").when("_again", "record id is repeated").when(F.col(target).isNull(), "target is null")
+    reason = F.when(F.col(record_id).isNull(), "record id is null").when(F.col("_again"), "record id is repeated").when(F.col(target).isNull(), "target is null")
     reason = reason.when(F.size(target) != F.lit(width), "target length differs")
     for said, good in (rules or {}).items():
         reason = reason.when(~F.coalesce(good, F.lit(False)), said)
@@ -164,4 +164,4 @@ def padded_batches(df: DataFrame, tokens: str, width: int, weight: str | None =
     n = F.size(tokens)
     fits = F.when(n <= width, F.concat(F.col(tokens), F.array_repeat(F.lit(0), F.greatest(F.lit(0), width - n)))).otherwise(F.raise_error(F.lit("a sequence is longer than the batch")))
     mask = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: i <= n)
-    return df.withColumn(tokens, fits).withColumn("mask", mask).withColumn("y_wgts", F.col(weight) if weight else F.lit(1.0))
+    return df.withColumns({tokens: fits, "mask": mask, "y_wgts": F.col(weight) if weight else F.lit(1.0)})

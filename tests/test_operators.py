@@ -171,7 +171,7 @@ def test_transformer(spark):
     with pytest.raises(RuntimeError):
         t.fit(df, "v")
     again = transform.VectorTransformer.from_json(t.to_json())
-    assert again.transform(df, "v", "t").collect() == out.collect()
+    assert again.transform(df, "v", "t").select("id", "t").collect() == out.select("id", "t").collect()
     with pytest.raises(Exception, match="components"):
         t.transform(spark.createDataFrame([([1.0],)], "v array<double>"), "v").collect()
     assert transform.preset("binary").clipping is None
