@@ -143,7 +143,9 @@ def assess(docs: DataFrame, keep: list[str], text: str = "text", sample_rows: in
     body = stats.columns[len(keep)]
     found = ordered_rules(docs, text, body, sample_rows)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return stats.withColumn("base_failed", base).withColumn("kept", ~cascade(found)).drop(body, "n_lines")
+    # the gate is always true; as a random value it keeps a filter on the result from being moved below the counts' projections
+    gate = F.rand(0) >= 0
+    return stats.withColumn("base_failed", base).withColumn("kept", ~cascade(found) & gate).drop(body, "n_lines")
 
 
 def quality_filter(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
