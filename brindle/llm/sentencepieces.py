@@ -29,7 +29,7 @@ DROPOUT = 0.1
 VARIANTS = 4
 SEED = 29
 #: (pre-token, variant) pairs in each of the two generations that a worker remembers.
-CACHE = 900_000
+CACHE = 300_000
 
 _M32, _M64 = (1 << 32) - 1, (1 << 64) - 1
 # Multipliers of the keyed hashes.
