@@ -137,15 +137,14 @@ def assess(docs: DataFrame, keep: list[str], text: str = "text", sample_rows: in
     """keep, the counts, base_failed and kept for every row of docs.
 
     Empty and null texts have no words and fail. Repeated rows are judged one by one. An empty table gives an empty table.
-    Columns of keep must not have the names of the counts.
+    Columns of keep must not have the names of the counts. To filter by the verdict use quality_filter(), or settle this
+    table first: a filter right above it is moved below the projections that compute the counts.
     """
     stats = with_text_stats(docs, text, keep)
     body = stats.columns[len(keep)]
     found = ordered_rules(docs, text, body, sample_rows)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    # the gate is always true; as a random value it keeps a filter on the result from being moved below the counts' projections
-    gate = F.rand(0) >= 0
-    return stats.withColumn("base_failed", base).withColumn("kept", ~cascade(found) & gate).drop(body, "n_lines")
+    return stats.withColumn("base_failed", base).withColumn("kept", ~cascade(found)).drop(body, "n_lines")
 
 
 def quality_filter(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
