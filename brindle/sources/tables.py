@@ -161,7 +161,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def padded_batches(df: DataFrame, tokens: str, width: int, weight: str | None = None) -> DataFrame:
     """tokens padded with 0 to width, mask (true where a token is) and weights (1 where none are given)."""
-    n = F.size(tokens)
+    # the length is a column of its own, so that the mask cannot see the padded tokens
+    df = df.withColumn("_n", F.size(tokens))
+    n = F.col("_n")
     fits = F.when(n <= width, F.concat(F.col(tokens), F.array_repeat(F.lit(0), F.greatest(F.lit(0), width - n)))).otherwise(F.raise_error(F.lit("a sequence is longer than the batch")))
     mask = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: i <= n)
-    return df.withColumns({tokens: fits, "mask": mask, "y_wgts": F.col(weight) if weight else F.lit(1.0)})
+    return df.withColumn("mask", mask).withColumn("y_wgts", F.col(weight) if weight else F.lit(1.0)).withColumn(tokens, fits).drop("_n")
