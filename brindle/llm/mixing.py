@@ -109,6 +109,15 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return once.repartitionByRange(position, id_col).sortWithinPartitions(position, id_col).select(*docs.columns)
 
 
+def numbered(docs: DataFrame, pass_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with pass_col: 0, 1, ... over the rows of an equal id and text, which are the passes of one document. The order stays."""
+    at = fresh([*docs.columns, pass_col], "_at")
+    rows = docs.withColumn(at, F.monotonically_increasing_id())
+    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(at)
+    rows = rows.withColumn(pass_col, F.row_number().over(same) - 1)
+    return rows.repartitionByRange(at).sortWithinPartitions(at).drop(at)
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     found = mix(read(spark, sf_dir, "documents"))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["taken"])

@@ -1,10 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A pre-token starts as its characters. Candidate merges of neighbours wait in an agenda, best score first, then leftmost.
-A candidate that is taken from the agenda is skipped if its keyed hash, of the seed, the pre-token's variant and the two
-spans, falls below the dropout; else it merges and its new neighbours join the agenda. The variant of an occurrence is a
-keyed hash of the document's id and the occurrence's place, modulo VARIANTS: the same word is cut in up to VARIANTS ways
-across the corpus, any rerun repeats them, and a worker computes each (pre-token, variant) once. With dropout 0 the ids are
+A candidate that is taken from the agenda is skipped with the probability of the dropout; else it merges and its new
+neighbours join the agenda. Every occurrence draws its own skips, from a keyed hash of the seed, the document, the pass and
+the occurrence's place; any rerun repeats them. What is drawn are the numbers of candidates from one skip to the next. The
+agenda is the same up to the first skip, so a worker remembers a short pre-token's ids by the places of its skips: most
+occurrences have none or one within the few candidates of a word. With dropout 0 the ids are
 the library's own. Characters without a piece, and those of the mark itself, are written as bytes, so decoding returns
 every text unchanged.
 """
@@ -12,9 +13,11 @@ every text unchanged.
 from __future__ import annotations
 
 import heapq
+import math
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +29,63 @@ from brindle.llm.common import fresh, read
 from brindle.llm.pieces import DEFAULT_MODEL, Pieces, load, pieces, pre_tokens
 
 DROPOUT = 0.1
-VARIANTS = 4
 SEED = 29
-#: (pre-token, variant) pairs in each of the two generations that a worker remembers.
+#: Segmentations in each of the two generations that a worker remembers.
 CACHE = 300_000
+#: Pre-tokens of more characters seldom repeat their skips; they are cut anew at each occurrence.
+LONGEST = 16
 
-_M32, _M64 = (1 << 32) - 1, (1 << 64) - 1
-# Multipliers of the keyed hashes.
-_A, _B = 0x9E3779B1, 0x85EBCA6B
-_PLACE, _DOC, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
+_M64 = (1 << 64) - 1
+_NEVER = 1 << 62
+# The constants of splitmix64.
+_STEP, _X, _Y = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def _mixed(x: int) -> int:
+    x = (x ^ x >> 30) * _X & _M64
+    x = (x ^ x >> 27) * _Y & _M64
+    return x ^ x >> 31
+
+
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_X)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(_Y)
+    return x ^ x >> np.uint64(31)
+
+
+def _scale(dropout: float) -> float:
+    """1 / log(1 - dropout): log(u) times this, rounded down, is a geometric draw; 0 if all are skipped."""
+    return 1 / math.log1p(-dropout) if dropout < 1 else 0.0
+
+
+def _gaps(x: np.ndarray, scale: float) -> np.ndarray:
+    """Candidates kept before a skip, one draw for each hash."""
+    return np.minimum(np.log(((x >> np.uint64(11)) + 1.0) * 2.0**-53) * scale, 2.0**40).astype(np.int64)
+
+
+def _skips(x: int, at: int, scale: float) -> Iterator[int]:
+    """Places of skips after the place at, from the hash x on."""
+    while True:
+        x = _mixed((x + _STEP) & _M64)
+        at += 1 + min(int(math.log(((x >> 11) + 1.0) * 2.0**-53) * scale), 1 << 40)
+        yield at
 
 
 def segment(token: str, vocab: Pieces, dropout: float = 0.0, key: int = 0) -> list[int]:
-    """The ids of one pre-token; key is the keyed hash of seed, pre-token and variant.
+    """The ids of one pre-token; key is the hash that its skips are drawn from."""
+    return cut(token, vocab, _skips(_mixed(key & _M64), -1, _scale(dropout)) if dropout else iter((_NEVER,)))[0]
+
+
+def cut(token: str, vocab: Pieces, skips: Iterator[int]) -> tuple[list[int], int]:
+    """The ids of one pre-token, and how many candidates were taken from its agenda; skips are the places of those skipped.
 
     An agenda entry is one integer: the merged piece's rank, the start and the end of its span, from high bits to low.
     """
     ids, ranks, n = vocab.ids, vocab.ranks, len(token)
     if n == 1:
         whole = ids.get(token)
-        return [whole] if whole is not None else vocab.fallback(token)
-    limit, key = int(dropout * (1 << 32)), key & _M32
+        return ([whole] if whole is not None else vocab.fallback(token)), 0
+    skip, place = next(skips), -1
     shift = max(16, n.bit_length())
     low = (1 << shift) - 1
     ends = list(range(1, n + 1))  # of the symbol that starts here; 0: it was merged into one to the left
@@ -64,10 +103,10 @@ def segment(token: str, vocab: Pieces, dropout: float = 0.0, key: int = 0) -> li
         m = ends[a]
         if not m or m >= e or ends[m] != e:
             continue
-        if limit:
-            x = (key ^ (a << 20 | m << 10 | e)) * _A & _M32
-            if ((x ^ x >> 15) * _B & _M32) < limit:
-                continue
+        place += 1
+        if place == skip:
+            skip = next(skips)
+            continue
         ends[a], ends[m] = e, 0
         if e < n:
             before[e] = a
@@ -89,55 +128,100 @@ def segment(token: str, vocab: Pieces, dropout: float = 0.0, key: int = 0) -> li
         else:
             out.append(got)
         at = end
-    return out
+    return out, place + 1
+
+
+def _packed(found: tuple[list[int], int]) -> tuple[bytes, int]:
+    return array("i", found[0]).tobytes(), found[1]
 
 
 class Memory:
-    """Ids, as bytes, by variant and pre-token. A full young generation becomes the old one; what is asked for again comes back
-    from there, so frequent pre-tokens stay and memory is bounded by two generations."""
+    """Segmentations by pre-token: [ids as bytes, candidates taken, those with one skip more by its place, how many in all].
+
+    A full young generation becomes the old one; what is asked for again comes back from there, so frequent pre-tokens stay
+    and memory is bounded by two generations."""
 
-    def __init__(self, variants: int = VARIANTS, limit: int = CACHE) -> None:
-        self.variants, self.limit, self.size = variants, limit, 0
-        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
+    def __init__(self, limit: int = CACHE) -> None:
+        self.limit, self.size = limit, 0
+        self.young: dict[str, list] = {}
+        self.old: dict[str, list] = {}
 
-    def put(self, token: str, turn: int, ids: bytes) -> None:
+    def grow(self, by: int) -> None:
         if self.size >= self.limit:
-            self.old, self.size = [dict(d) for d in self.young], 0
-            for d in self.young:  # the dictionaries stay the same objects: a caller may hold them
-                d.clear()
-        self.young[turn][token] = ids
-        self.size += 1
+            self.old, self.size = dict(self.young), 0
+            self.young.clear()  # the dictionary stays the same object: a caller may hold it
+        self.size += by
+
+    def seen(self, token: str) -> list | None:
+        """The segmentation without skips, if it is remembered."""
+        got = self.young.get(token)
+        if got is None:
+            got = self.old.get(token)
+            if got is not None:
+                self.grow(got[3])
+                self.young[token] = got
+        return got
+
+    def put(self, token: str, ids: bytes, taken: int) -> list:
+        self.grow(1)
+        got = self.young[token] = [ids, taken, None, 1]
+        return got
+
+    def skipping(self, token: str, vocab: Pieces, root: list, first: int, second: int, x: int, scale: float) -> list:
+        """The segmentation with the skips first, second and on; those that x draws follow the second."""
+        here, path, skip, more = root, (), first, None
+        while skip < here[1]:
+            path += (skip,)
+            if here[2] is None:
+                here[2] = {}
+            got = here[2].get(skip)
+            if got is None:
+                got = here[2][skip] = [*_packed(cut(token, vocab, iter((*path, _NEVER)))), None]
+                root[3] += 1
+                self.grow(1)
+            here = got
+            if len(path) == 1:
+                skip = second
+            else:
+                more = more or _skips(x, second, scale)
+                skip = next(more)
+        return here
 
 
 @lru_cache(maxsize=2)
-def _remembered(model: bytes, dropout: float, variants: int, seed: int) -> Memory:
-    return Memory(variants)
+def _remembered(model: bytes) -> Memory:
+    return Memory()
 
 
-def encode_text(text: str, vocab: Pieces, known: Memory, doc: int, dropout: float, variants: int, seed: int) -> np.ndarray:
-    """The ids of a whole text."""
+def encode_text(text: str, vocab: Pieces, known: Memory, doc: int, dropout: float, turn: int, seed: int) -> np.ndarray:
+    """The ids of a whole text; turn is the pass that reads it."""
     tokens = pre_tokens(text)
-    n = len(tokens)
-    if dropout and variants > 1:
-        x = np.arange(n, dtype=np.uint64) * np.uint64(_PLACE) + np.uint64((doc * _DOC + seed * _MIX) & _M64)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(_MIX)
-        turns = ((x >> np.uint64(40)) % np.uint64(variants)).tolist()
-    else:
-        turns = [0] * n
-    out: list[bytes] = []
-    young = known.young
-    for token, turn in zip(tokens, turns, strict=True):
-        got = young[turn].get(token)
-        if got is None:
-            got = known.old[turn].get(token)
-            if got is None:
-                key = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), (seed * variants + turn) & _M64) if dropout else 0
-                got = array("i", segment(token, vocab, dropout, key)).tobytes()
-            known.put(token, turn, got)
-        out.append(got)
-    return np.frombuffer(b"".join(out), dtype="<i4")
+    found = list(map(known.young.get, tokens))
+    if not dropout:
+        for i, token in enumerate(tokens):
+            if found[i] is None:
+                found[i] = known.seen(token) or known.put(token, *_packed(cut(token, vocab, iter((_NEVER,)))))
+    elif tokens:
+        base, scale = xxhash.xxh64_intdigest(f"{seed} {doc} {turn}"), _scale(dropout)
+        x = _mixed_all(np.arange(len(tokens), dtype=np.uint64) * np.uint64(_STEP) + np.uint64(base))
+        first = _gaps(x, scale)
+        hit = np.flatnonzero(first < np.fromiter([_NEVER if f is None else f[1] for f in found], dtype=np.int64, count=len(found)))
+        x, first = _mixed_all(x[hit] + np.uint64(_STEP)), first[hit]
+        second = first + 1 + _gaps(x, scale)
+        for i, a, b, k in zip(hit.tolist(), first.tolist(), second.tolist(), x.tolist(), strict=True):
+            token, root = tokens[i], found[i]
+            if root is None:
+                root = found[i] = known.seen(token)
+                if root is not None and a >= root[1]:
+                    continue
+            if root is None or len(token) > LONGEST:
+                # the first of its kind is cut once, with its own skips, and remembered if it met none
+                ids, taken = _packed(cut(token, vocab, chain((a, b), _skips(k, b, scale))))
+                found[i] = known.put(token, ids, taken) if root is None and a >= taken else (ids,)
+                continue
+            got = root[2].get(a) if root[2] else None
+            found[i] = got if got is not None and b >= got[1] else known.skipping(token, vocab, root, a, b, k, scale)
+    return np.frombuffer(b"".join([f[0] for f in found]), dtype="<i4")
 
 
 def decode_ids(ids: list[int], vocab: Pieces) -> str:
@@ -148,23 +232,23 @@ def decode_ids(ids: list[int], vocab: Pieces) -> str:
     return b"".join([raw[i] for i in ids])[1:].decode()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL, dropout: float = DROPOUT, pass_col: str | None = None, seed: int = SEED) -> DataFrame:
     """(id_col, ids, n_tokens, lossless) for every row: ids of the whole text, and whether decoding them returned it.
 
-    Null texts have null ids, empty texts empty ones; both are lossless. Rows with equal ids and texts get equal ids; a null id
-    counts as -1 in the keyed hash.
+    Null texts have null ids, empty texts empty ones; both are lossless. Rows with equal ids, texts and values of pass_col get
+    equal ids; a text without an id draws by its own hash.
     """
     model = load(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known = pieces(model), _remembered(model, dropout, variants, seed)
+        vocab, known = pieces(model), _remembered(model)
         for b in batches:
             # a few texts at a time: ids of many long ones would not fit beside the batch
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids, same, offsets = [], [], [0]
-                for doc, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    got = encode_text(text, vocab, known, doc, dropout, variants, seed) if text is not None else np.array([], dtype=np.int32)
+                for doc, text, turn in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    got = encode_text(text, vocab, known, doc, dropout, turn, seed) if text is not None else np.array([], dtype=np.int32)
                     ids.append(got)
                     same.append(text is None or decode_ids(got.tolist(), vocab) == text)
                     offsets.append(offsets[-1] + len(got))
@@ -174,8 +258,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, count, pa.array(same)], names=[id_col, "ids", "n_tokens", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
-    return docs.select(id_col, number.alias(fresh([id_col], "_doc")), F.col(text_col).alias(fresh([id_col], "_text"))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, lossless boolean")
+    number = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
+    turn = F.coalesce(F.col(pass_col).cast("long"), F.lit(0).cast("long")) if pass_col else F.lit(0).cast("long")
+    rows = docs.select(id_col, *[c.alias(fresh([id_col], name)) for c, name in ((number, "_doc"), (F.col(text_col), "_text"), (turn, "_turn"))])
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, lossless boolean")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
