@@ -23,8 +23,10 @@ from brindle.llm.common import fresh, read
 DIM = 1 << 13
 #: Rows of each language, at most, that the machines are fitted on; a hash of the id picks them.
 ROWS_PER_LANGUAGE = 300
-#: Languages that can be learned.
-MAX_LANGUAGES = 64
+#: Rows of all languages together, which the driver holds; beyond 64 languages each has fewer rows.
+MAX_ROWS = 64 * ROWS_PER_LANGUAGE
+#: More languages than this are refused, not dropped: machines of families and their rows would outgrow the driver.
+MAX_LANGUAGES = 256
 FOLDS = 3
 HELD = 1
 EPOCHS = 12
@@ -137,11 +139,18 @@ def held_out(id_col: Column, folds: int = FOLDS, held: int = HELD) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """A model from at most `rows` texts of each language, none of them held out; None without a labelled text."""
+    """A model of every language that has a readable text that is not held out, from at most `rows` texts of each (MAX_ROWS
+    in all); None without one. More than MAX_LANGUAGES languages raise a ValueError."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = labelled.where(F.col(text_col).isNotNull())
-    # the most frequent languages, one row each; a range of the hash that holds about four times the rows wanted of each
-    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
+    known = labelled.where(F.col(text_col).rlike(r"\p{L}"))
+    # one row a language; a range of the hash that holds about four times the rows wanted of each
+    found = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).collect()
+    if not found:
+        return None
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}: none is left out, so none is learned")
+    rows = max(1, min(rows, MAX_ROWS // len(found)))
+    sizes = docs.sparkSession.createDataFrame([tuple(r) for r in found], "lang string, size long")
     slim = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 40)).alias("h"))
     near = slim.join(F.broadcast(sizes), "lang").where(F.col("h") <= F.lit(4.0 * rows * (1 << 40)) / F.col("size"))
     picked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= rows).select("id", "lang")
@@ -153,9 +162,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vector(t).tobytes() for t in part.column(1).to_pylist()])], names=["lang", "v"])
 
     chosen = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    got = chosen.select("lang", "text").where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, "lang string, v binary").toPandas()
-    if not len(got):
-        return None
+    got = chosen.select("lang", "text").mapInArrow(run, "lang string, v binary").toPandas()
     got = got.sort_values(["lang", "v"])
     x = np.array([np.frombuffer(v, dtype=np.float32) for v in got["v"]])
     return fit(x, got["lang"].tolist())
