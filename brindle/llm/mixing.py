@@ -97,12 +97,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs as the run reads them: one for each pass, range-sorted by position, with docs' columns.
 
-    A pass that takes less than half of a document's words (at most one a source) is left out, any other reads the whole
-    text. Rows with null ids join by id null-safely; of rows that repeat an id within a source, each gets all of its passes' number.
+    A pass that takes less than half of a document's words (at most one a source) is left out unless it is the source's only
+    one, any other reads the whole text. Rows with null ids join by id null-safely; of rows that repeat an id within a source, each gets all of its passes' number.
     """
     found = mix(docs, id_col, text_col, source_col, **options)
     position, a, b = (fresh(docs.columns, x) for x in ("_position", "_id", "_source"))
-    whole = F.filter("passes", lambda p: 2 * p["taken"] >= F.col("size"))
+    whole = F.filter("passes", lambda p: (2 * p["taken"] >= F.col("size")) | (p["taken"] == F.round("target").cast("long")))
     reads = found.select(F.col("id").alias(a), F.col("source").alias(b), F.explode(whole).alias("p")).select(a, b, F.col("p.position").alias(position))
     reads = reads.distinct()
     once = docs.join(reads, docs[id_col].eqNullSafe(F.col(a)) & docs[source_col].eqNullSafe(F.col(b)))
