@@ -4,17 +4,16 @@ A pre-token starts as its characters. Candidate merges of neighbours wait in an
 A candidate that is taken from the agenda is skipped with the probability of the dropout; else it merges and its new
 neighbours join the agenda. Every occurrence draws its own skips, from a keyed hash of the seed, the document, the pass and
 the occurrence's place; any rerun repeats them. What is drawn are the numbers of candidates from one skip to the next. The
-agenda is the same up to the first skip, so a worker remembers a short pre-token's ids by the places of its skips: most
-occurrences have none or one within the few candidates of a word. With dropout 0 the ids are
-the library's own. Characters without a piece, and those of the mark itself, are written as bytes, so decoding returns
-every text unchanged.
+agenda is the same up to the first skip, so the cuts of a pre-token form a tree: a child has one more skip, by its place.
+A worker walks the trees of all occurrences of a block together and processes the agendas of cuts that it has not met in
+lockstep. With dropout 0 the ids are the library's own. Characters without a piece, and those of the mark itself, are
+written as bytes, so decoding returns every text unchanged.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,18 +24,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import fresh, read
+from brindle.llm.common import blocks, fresh, read
 from brindle.llm.pieces import DEFAULT_MODEL, Pieces, load, pieces, pre_tokens
 
 DROPOUT = 0.1
 SEED = 29
-#: Segmentations in each of the two generations that a worker remembers.
-CACHE = 300_000
-#: Pre-tokens of more characters seldom repeat their skips; they are cut anew at each occurrence.
-LONGEST = 16
+#: Bytes of segmentations that a worker remembers; a block's own come on top until the next one begins.
+CACHE_BYTES = 96 << 20
+#: Bytes of text that are cut together.
+BLOCK_BYTES = 4 << 20
+#: Pre-tokens of more characters are cut by themselves and not remembered.
+LONGEST = 48
+#: Pre-tokens whose agendas run in one lockstep.
+LOCKSTEP = 8_192
 
 _M64 = (1 << 64) - 1
 _NEVER = 1 << 62
+_NONE = 1 << 30
 # The constants of splitmix64.
 _STEP, _X, _Y = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -54,8 +58,8 @@ def _mixed_all(x: np.ndarray) -> np.ndarray:
 
 
 def _scale(dropout: float) -> float:
-    """1 / log(1 - dropout): log(u) times this, rounded down, is a geometric draw; 0 if all are skipped."""
-    return 1 / math.log1p(-dropout) if dropout < 1 else 0.0
+    """1 / log(1 - dropout): log(u) times this, rounded down, is a geometric draw; next to 0 if all are skipped."""
+    return 1 / math.log1p(-dropout) if dropout < 1 else -1e-300
 
 
 def _gaps(x: np.ndarray, scale: float) -> np.ndarray:
@@ -131,61 +135,220 @@ def cut(token: str, vocab: Pieces, skips: Iterator[int]) -> tuple[list[int], int
     return out, place + 1
 
 
-def _packed(found: tuple[list[int], int]) -> tuple[bytes, int]:
-    return array("i", found[0]).tobytes(), found[1]
+class Merges:
+    """The vocabulary as arrays: symbol ids (a piece's rank; UNKNOWN for a character without a piece) and a hash table from two neighbouring symbols to the piece they merge to."""
+
+    def __init__(self, vocab: Pieces) -> None:
+        ranks = vocab.ranks
+        self.unknown = len(ranks)
+        self.piece_ids = np.array([vocab.ids[p] for p in ranks], dtype=np.int32)
+        chars = sorted((ord(p), r) for p, r in ranks.items() if len(p) == 1)
+        self.chars = np.array([c for c, _ in chars], dtype=np.uint32)
+        self.char_ranks = np.array([r for _, r in chars], dtype=np.int32)
+        found = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        left, right, self_rank = (np.array(c, dtype=np.int64) for c in (zip(*found, strict=True) if found else ((), (), ())))
+        keys, self.bits = left * (self.unknown + 1) + right, max(4, (4 * len(found)).bit_length())
+        self.keys, self.merged = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, _NONE, dtype=np.int32)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):  # linear probing, all keys at once: the last to write a slot keeps it
+            free = self.keys[at[todo]] < 0
+            self.keys[at[todo[free]]] = keys[todo[free]]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = at[todo] + 1 & (1 << self.bits) - 1
+        self.merged[at] = self_rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(_STEP) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the piece that each left and right merge to, _NONE if there is none."""
+        keys = left.astype(np.int64) * (self.unknown + 1) + right
+        at = self._slot(keys)
+        seen = self.keys[at]
+        lost = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(lost):
+            at[lost] = at[lost] + 1 & (1 << self.bits) - 1
+            seen = self.keys[at[lost]]
+            lost = lost[(seen != keys[lost]) & (seen >= 0)]
+        return np.where(self.keys[at] == keys, self.merged[at], _NONE)
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.chars, codes), max(0, len(self.chars) - 1))
+        return np.where(self.chars[at] == codes, self.char_ranks[at], self.unknown) if len(self.chars) else np.full(codes.shape, self.unknown)
+
+
+def cut_all(tokens: list[str], paths: np.ndarray, vocab: Pieces, merges: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids one behind the other, how many each token has, candidates taken): cut() of many tokens of at most LONGEST characters in lockstep.
+
+    A row of paths holds the places of a token's skips. In each step every token takes the best candidate of its agenda,
+    which is an array: a candidate's rank and place by the place where it starts.
+    """
+    n, size = len(tokens), np.fromiter(map(len, tokens), dtype=np.int32, count=len(tokens))
+    width = int(size.max())
+    codes = np.array(tokens, dtype=f"<U{width}").view(np.uint32).reshape(n, width).T
+    sym = merges.symbols(codes).astype(np.int32)
+    inside = np.arange(width)[:, None] < size
+    place_bits = np.int64(width.bit_length())
+    nxt = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32)[:, None], (width, n)).copy()
+    prv = nxt - 2
+    none = _NONE << int(place_bits)
+    agenda = np.full((width, n), none, dtype=np.int64)
+    if width > 1:
+        first = merges.ranks(sym[:-1].ravel(), sym[1:].ravel()).reshape(width - 1, n)
+        at = np.broadcast_to(np.arange(width - 1)[:, None], first.shape)
+        agenda[:-1] = np.where((first < _NONE) & inside[1:], first.astype(np.int64) << place_bits | at, none)
+    flat_sym, flat_nxt, flat_prv, starts = sym.ravel(), nxt.ravel(), prv.ravel(), inside.copy().ravel()
+    taken, flat, step = np.zeros(n, dtype=np.int32), agenda.ravel(), 0
+    while True:
+        best = agenda.min(axis=0)
+        live = np.flatnonzero(best < none)
+        if not len(live):
+            break
+        best = best[live]
+        taken[live] += 1
+        a = best & (1 << int(place_bits)) - 1
+        cell = a * n + live
+        flat[cell] = none
+        skipped = (paths[live] == step).any(axis=1)
+        step += 1
+        kept = ~skipped
+        live, a, cell, rank = live[kept], a[kept], cell[kept], (best[kept] >> place_bits).astype(np.int32)
+        if not len(live):
+            continue
+        middle = flat_nxt[cell].astype(np.int64) * n + live
+        end = flat_nxt[middle]
+        flat_sym[cell], flat_nxt[cell] = rank, end
+        flat[middle], starts[middle] = none, False
+        more = np.flatnonzero(end < size[live])
+        if len(more):
+            after = end[more].astype(np.int64) * n + live[more]
+            flat_prv[after] = a[more]
+            found = merges.ranks(rank[more], flat_sym[after]).astype(np.int64)
+            flat[cell[more]] = np.where(found < _NONE, found << place_bits | a[more], none)
+        before = flat_prv[cell]
+        more = np.flatnonzero(before >= 0)
+        if len(more):
+            left = before[more].astype(np.int64)
+            there = left * n + live[more]
+            found = merges.ranks(flat_sym[there], rank[more]).astype(np.int64)
+            flat[there] = np.where(found < _NONE, found << place_bits | left, none)
+    who, where = np.nonzero(starts.reshape(width, n).T)
+    final = sym.T[who, where]
+    lost = np.flatnonzero(final == merges.unknown)
+    if len(lost):
+        spare = [vocab.fallback(tokens[i][j]) for i, j in zip(who[lost].tolist(), where[lost].tolist(), strict=True)]
+        many = np.ones(len(final), dtype=np.int64)
+        many[lost] = list(map(len, spare))
+        ids = np.repeat(merges.piece_ids[np.minimum(final, merges.unknown - 1)], many)
+        begin = np.cumsum(many) - many
+        ids[np.concatenate([np.arange(b, b + len(x)) for b, x in zip(begin[lost].tolist(), spare, strict=True)])] = np.concatenate(spare)
+        return ids.astype(np.int32), np.bincount(who, weights=many, minlength=n).astype(np.int64), taken
+    return merges.piece_ids[final], np.bincount(who, minlength=n).astype(np.int64), taken
 
 
 class Memory:
-    """Segmentations by pre-token: [ids as bytes, candidates taken, those with one skip more by its place, how many in all].
+    """Segmentations that a worker has met: a tree for each pre-token. Its root is the cut without skips; a child is the cut with one more skip, by its place.
 
-    A full young generation becomes the old one; what is asked for again comes back from there, so frequent pre-tokens stay
-    and memory is bounded by two generations."""
+    Nodes are entries of arrays, so that all occurrences of a block walk their trees together. Memory is bounded in bytes:
+    a memory beyond `limit` starts anew before the next block. What is remembered never changes a result.
+    """
 
-    def __init__(self, limit: int = CACHE) -> None:
-        self.limit, self.size = limit, 0
-        self.young: dict[str, list] = {}
-        self.old: dict[str, list] = {}
+    def __init__(self, limit: int = CACHE_BYTES) -> None:
+        self.limit, self.vocab = limit, None
+        self.forget()
+
+    def block(self, vocab: Pieces) -> None:
+        """Makes ready for a block of texts."""
+        if vocab is not self.vocab or self.size() > self.limit:
+            self.vocab, self.merges = vocab, _merges(vocab)
+            self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.n_ids = np.zeros(1 << 12, dtype=np.int32), 0
+        self.children, self.n_children = np.zeros(1 << 12, dtype=np.int32), 0
+        self.begin, self.count, self.taken, self.base = (np.zeros(1 << 10, dtype=np.int64) for _ in range(4))
+        self.nodes = 0
+
+    def size(self) -> int:
+        """Bytes held, about: a pre-token's text and dictionary entry take some 150 more than its characters."""
+        return 4 * self.n_ids + 4 * self.n_children + 32 * self.nodes + 150 * len(self.roots) + 4 * self.chars
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(a):
+            return a
+        out = np.zeros(max(n, 3 * len(a) // 2), dtype=a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def add(self, tokens: list[str], paths: np.ndarray) -> np.ndarray:
+        """New nodes for the cuts of tokens with the skips of paths."""
+        out = np.arange(self.nodes, self.nodes + len(tokens))
+        sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        order = np.argsort(sizes, kind="stable")
+        top = self.nodes + len(tokens)
+        self.begin, self.count, self.taken, self.base = (self._room(a, top) for a in (self.begin, self.count, self.taken, self.base))
+        for at in range(0, len(order), LOCKSTEP):
+            rows = order[at : at + LOCKSTEP]
+            ids, count, taken = cut_all([tokens[i] for i in rows.tolist()], paths[rows], self.vocab, self.merges)
+            nodes = out[rows]
+            self.ids = self._room(self.ids, self.n_ids + len(ids))
+            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+            self.begin[nodes], self.count[nodes] = self.n_ids + np.cumsum(count) - count, count
+            self.n_ids += len(ids)
+            self.taken[nodes], self.base[nodes] = taken, self.n_children + np.cumsum(taken) - taken
+            grown = self.n_children + int(taken.sum())
+            self.children = self._room(self.children, grown)
+            self.children[self.n_children : grown] = -1
+            self.n_children = grown
+        self.nodes = top
+        return out
+
+    def rooted(self, tokens: list[str]) -> np.ndarray:
+        """The root of each token; new ones are cut together."""
+        get = self.roots.get
+        out = np.fromiter([get(t, -1) for t in tokens], dtype=np.int64, count=len(tokens))
+        lost = np.flatnonzero(out < 0)
+        if len(lost):
+            missing = [tokens[i] for i in lost.tolist()]
+            fresh_ones = list(dict.fromkeys(missing))
+            nodes = self.add(fresh_ones, np.full((len(fresh_ones), 1), -1, dtype=np.int64))
+            self.roots.update(zip(fresh_ones, nodes.tolist(), strict=True))
+            self.chars += sum(map(len, fresh_ones))
+            out[lost] = [self.roots[t] for t in missing]
+        return out
+
+    def cut(self, tokens: list[str], x: np.ndarray, scale: float) -> np.ndarray:
+        """The node of each occurrence; x holds the hash that its skips are drawn from."""
+        node = self.rooted(tokens)
+        if not scale:
+            return node
+        open_ = np.arange(len(tokens))
+        path = _gaps(x, scale)[:, None]
+        while True:
+            going = np.flatnonzero(path[:, -1] < self.taken[node[open_]])
+            if not len(going):
+                return node
+            open_, path, x = open_[going], path[going], x[going]
+            slot = self.base[node[open_]] + path[:, -1]
+            child = self.children[slot].astype(np.int64)
+            lost = np.flatnonzero(child < 0)
+            if len(lost):
+                slots, one, which = np.unique(slot[lost], return_index=True, return_inverse=True)
+                one = lost[one]
+                nodes = self.add([tokens[i] for i in open_[one].tolist()], path[one])
+                self.children[slots] = nodes
+                child[lost] = nodes[which]
+            node[open_] = child
+            x = _mixed_all(x + np.uint64(_STEP))
+            path = np.c_[path, path[:, -1] + 1 + _gaps(x, scale)]
 
-    def grow(self, by: int) -> None:
-        if self.size >= self.limit:
-            self.old, self.size = dict(self.young), 0
-            self.young.clear()  # the dictionary stays the same object: a caller may hold it
-        self.size += by
 
-    def seen(self, token: str) -> list | None:
-        """The segmentation without skips, if it is remembered."""
-        got = self.young.get(token)
-        if got is None:
-            got = self.old.get(token)
-            if got is not None:
-                self.grow(got[3])
-                self.young[token] = got
-        return got
-
-    def put(self, token: str, ids: bytes, taken: int) -> list:
-        self.grow(1)
-        got = self.young[token] = [ids, taken, None, 1]
-        return got
-
-    def skipping(self, token: str, vocab: Pieces, root: list, first: int, second: int, x: int, scale: float) -> list:
-        """The segmentation with the skips first, second and on; those that x draws follow the second."""
-        here, path, skip, more = root, (), first, None
-        while skip < here[1]:
-            path += (skip,)
-            if here[2] is None:
-                here[2] = {}
-            got = here[2].get(skip)
-            if got is None:
-                got = here[2][skip] = [*_packed(cut(token, vocab, iter((*path, _NEVER)))), None]
-                root[3] += 1
-                self.grow(1)
-            here = got
-            if len(path) == 1:
-                skip = second
-            else:
-                more = more or _skips(x, second, scale)
-                skip = next(more)
-        return here
+@lru_cache(maxsize=2)
+def _merges(vocab: Pieces) -> Merges:
+    return Merges(vocab)
 
 
 @lru_cache(maxsize=2)
@@ -193,35 +356,53 @@ def _remembered(model: bytes) -> Memory:
     return Memory()
 
 
+def encode_texts(texts: list[str], vocab: Pieces, known: Memory, docs: list[int], dropout: float, turns: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one behind the other, how many each text has) of whole texts; a turn is the pass that reads a text."""
+    known.block(vocab)
+    split = list(map(pre_tokens, texts))
+    tokens = list(chain.from_iterable(split))
+    sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+    if not tokens:
+        return np.zeros(0, dtype=np.int32), sizes
+    x, scale = np.zeros(0, dtype=np.uint64), 0.0
+    if dropout:
+        scale = _scale(dropout)
+        base = np.array([xxhash.xxh64_intdigest(f"{seed} {d} {t}") for d, t in zip(docs, turns, strict=True)], dtype=np.uint64)
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        x = _mixed_all(place.astype(np.uint64) * np.uint64(_STEP) + np.repeat(base, sizes))
+    lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    long = np.flatnonzero(lengths > LONGEST)
+    apart: dict[int, np.ndarray] = {}
+    for i in long.tolist():
+        # a long pre-token seldom comes again with the same skips: it is cut by itself, its characters stay out of the arrays
+        skips = iter((_NEVER,))
+        if dropout:
+            first = int(_gaps(x[i : i + 1], scale)[0])
+            skips = chain((first,), _skips(int(x[i]), first, scale))
+        apart[i] = np.array(cut(tokens[i], vocab, skips)[0], dtype=np.int32)
+    short = np.flatnonzero(lengths <= LONGEST)
+    at = np.zeros(len(tokens), dtype=np.int64)
+    if len(short):
+        at[short] = known.cut([tokens[i] for i in short.tolist()] if len(long) else tokens, x[short] if dropout else x, scale)
+    count = known.count[at] if known.nodes else np.zeros(len(tokens), dtype=np.int64)
+    if len(long):
+        count[long] = [len(apart[i]) for i in long.tolist()]
+    ends = np.cumsum(count)
+    source = np.repeat((known.begin[at] if known.nodes else 0) - (ends - count), count) + np.arange(ends[-1])
+    if len(long):
+        held = np.repeat(lengths > LONGEST, count)
+        out = np.empty(int(ends[-1]), dtype=np.int32)
+        out[~held] = known.ids[source[~held]]
+        out[held] = np.concatenate([apart[i] for i in long.tolist()])
+    else:
+        out = known.ids[source]
+    edges = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+    return out, np.diff(edges)
+
+
 def encode_text(text: str, vocab: Pieces, known: Memory, doc: int, dropout: float, turn: int, seed: int) -> np.ndarray:
-    """The ids of a whole text; turn is the pass that reads it."""
-    tokens = pre_tokens(text)
-    found = list(map(known.young.get, tokens))
-    if not dropout:
-        for i, token in enumerate(tokens):
-            if found[i] is None:
-                found[i] = known.seen(token) or known.put(token, *_packed(cut(token, vocab, iter((_NEVER,)))))
-    elif tokens:
-        base, scale = xxhash.xxh64_intdigest(f"{seed} {doc} {turn}"), _scale(dropout)
-        x = _mixed_all(np.arange(len(tokens), dtype=np.uint64) * np.uint64(_STEP) + np.uint64(base))
-        first = _gaps(x, scale)
-        hit = np.flatnonzero(first < np.fromiter([_NEVER if f is None else f[1] for f in found], dtype=np.int64, count=len(found)))
-        x, first = _mixed_all(x[hit] + np.uint64(_STEP)), first[hit]
-        second = first + 1 + _gaps(x, scale)
-        for i, a, b, k in zip(hit.tolist(), first.tolist(), second.tolist(), x.tolist(), strict=True):
-            token, root = tokens[i], found[i]
-            if root is None:
-                root = found[i] = known.seen(token)
-                if root is not None and a >= root[1]:
-                    continue
-            if root is None or len(token) > LONGEST:
-                # the first of its kind is cut once, with its own skips, and remembered if it met none
-                ids, taken = _packed(cut(token, vocab, chain((a, b), _skips(k, b, scale))))
-                found[i] = known.put(token, ids, taken) if root is None and a >= taken else (ids,)
-                continue
-            got = root[2].get(a) if root[2] else None
-            found[i] = got if got is not None and b >= got[1] else known.skipping(token, vocab, root, a, b, k, scale)
-    return np.frombuffer(b"".join([f[0] for f in found]), dtype="<i4")
+    """The ids of one whole text."""
+    return encode_texts([text], vocab, known, [doc], dropout, [turn], seed)[0]
 
 
 def decode_ids(ids: list[int], vocab: Pieces) -> str:
@@ -243,19 +424,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, known = pieces(model), _remembered(model)
         for b in batches:
-            # a few texts at a time: ids of many long ones would not fit beside the batch
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids, same, offsets = [], [], [0]
-                for doc, text, turn in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    got = encode_text(text, vocab, known, doc, dropout, turn, seed) if text is not None else np.array([], dtype=np.int32)
-                    ids.append(got)
-                    same.append(text is None or decode_ids(got.tolist(), vocab) == text)
-                    offsets.append(offsets[-1] + len(got))
+            for part in blocks(b, 2, BLOCK_BYTES):
+                names, texts, turns = (part.column(k).to_pylist() for k in (1, 2, 3))
+                ids, sizes = encode_texts([t or "" for t in texts], vocab, known, names, dropout, turns, seed)
+                offsets = np.r_[0, np.cumsum(sizes)]
+                same = [t is None or decode_ids(ids[a:b].tolist(), vocab) == t for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 mask = part.column(2).is_null().to_numpy(zero_copy_only=False)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate(ids)), mask=pa.array(mask))
-                count = pa.array(np.diff(offsets).astype(np.int64), mask=mask)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, count, pa.array(same)], names=[id_col, "ids", "n_tokens", "lossless"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids), mask=pa.array(mask))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes, mask=mask), pa.array(same)], names=[id_col, "ids", "n_tokens", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     number = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
