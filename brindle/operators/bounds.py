@@ -11,6 +11,23 @@ from brindle.functions.checks import require_numeric
 
 Bounds = Mapping[str, tuple[float, float]]
 
+# Closed intervals that a plausible molecule's properties are in.
+VALID_BOUNDS = {
+    "MolWt": (32, 2048), "LogP": (-10, 12), "MolMR": (0, 512), "HeavyAtoms": (2, 128), "Heteroatoms": (0, 48),
+    "TPSA": (0, 512), "HBA": (0, 24), "HBD": (0, 16), "RotatableBonds": (0, 32), "Rings": (0, 12),
+}
+# Closed intervals of common molecules.
+COMMON_BOUNDS = {
+    "MolWt": (32, 1024), "LogP": (-7, 11), "MolMR": (16, 288), "HeavyAtoms": (2, 80), "Heteroatoms": (0, 24),
+    "TPSA": (0, 288), "HBA": (0, 16), "HBD": (0, 8), "RotatableBonds": (0, 20), "Rings": (0, 8),
+}
+# The eleven ranges of the outlier filter.
+OUTLIER_BOUNDS = {
+    "MolWt": (30, 1200), "MolLogP": (-7, 9), "MolMR": (0, 400), "TPSA": (0, 200), "NumHeavyAtom": (1, 100),
+    "NumHAcceptors": (0, 24), "NumHDonors": (0, 12), "NumHeteroatoms": (0, 24), "NumRotatableBonds": (0, 32),
+    "NumAliphaticRings": (0, 10), "NumAromaticRings": (0, 10),
+}
+
 
 def violations(bounds: Bounds) -> Column:
     """Texts 'name: value < lo' or 'name: value > hi', two decimals, joined by ' | '; empty if all bounds hold."""
@@ -30,6 +47,11 @@ def bounds_filter(df: DataFrame, bounds: Bounds) -> DataFrame:
     return df
 
 
+def outlier_filter(df: DataFrame, **changes: tuple[float, float]) -> DataFrame:
+    """bounds_filter() by OUTLIER_BOUNDS, with changed or further ranges by column name."""
+    return bounds_filter(df, OUTLIER_BOUNDS | changes)
+
+
 def bounds_flag(df: DataFrame, bounds: Bounds, name: str = "_property_violation") -> DataFrame:
     require_numeric(df, *bounds)
     return df.withColumn(name, violations(bounds))

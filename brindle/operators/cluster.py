@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.distance import pairwise
 from brindle.operators.graph import connected_components
+from brindle.operators.relational import row_index
 from brindle.sources.tables import settle
 
 #: Greedy and agglomerative clustering hold the graph on the driver; beyond this many edges they refuse.
@@ -19,8 +20,8 @@ MAX_DENSE_ROWS = 4_000
 
 
 def label_values(df: DataFrame, column: str, name: str = "Cluster") -> DataFrame:
-    """Dense 0-based labels of the sorted distinct values; null is -1. The window runs over distinct values only."""
-    names = df.select(F.col(column).alias("_named")).where("_named IS NOT NULL").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_named")) - 1)
+    """Dense 0-based labels of the sorted distinct values; null is -1. Distinct values are numbered by range partition."""
+    names = row_index(df.select(F.col(column).alias("_named")).where("_named IS NOT NULL").distinct(), "_named", name="_number")
     out = df.join(names, F.col(column) == F.col("_named"), "left").withColumn("_number", F.coalesce("_number", F.lit(-1)).cast("int"))
     return out.drop("_named", name).withColumnRenamed("_number", name)
 

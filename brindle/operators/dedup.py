@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.checks import require_columns
-from brindle.operators.relational import keep_first
+from brindle.operators.relational import exact_quantiles, keep_first
+from brindle.sources.tables import settle
 
 #: A modified z-score is this times the distance from the median over the median absolute deviation.
 Z_FACTOR = 0.6745
@@ -41,7 +46,7 @@ def mad_values(df: DataFrame, key: str, value: str, value_range: float = 1.0, z:
     """(key, value): one agreed value for each non-null key; a key with a single value keeps it.
 
     Keys whose values agree at once, which are most, are settled by one aggregate in the JVM; only the others go
-    through the rounds, a key at a time.
+    through the rounds, a key at a time, in sorted partitions. mad_rounds() is for keys whose values exceed a task's memory.
     """
     require_columns(df, key, value)
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
@@ -49,14 +54,32 @@ def mad_values(df: DataFrame, key: str, value: str, value_range: float = 1.0, z:
     easy = whole.where("agree").select("k", F.col("mean").alias("v"))
     hard = rows.join(whole.where(~F.col("agree")).select("k"), "k", "left_semi")
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "v": [consensus(np.sort(pdf["v"].to_numpy()), value_range, z)]})
-
     kind = df.schema[key].dataType.simpleString()
-    done = hard.groupBy("k").applyInPandas(settle, f"k {kind}, v double")
+    done = hard.repartition("k").sortWithinPartitions("k", "v").mapInArrow(_keyed(lambda v: consensus(v, value_range, z)), f"k {kind}, v double")
     return easy.unionByName(done).select(F.col("k").alias(key), F.col("v").alias(value))
 
 
+def _keyed(fn):
+    """fn over the values of each key of a sorted partition. A key that a batch ends in waits for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in chain(batches, (None,)):
+            table = pa.Table.from_batches([x for x in (rest, b) if x is not None]).combine_chunks() if rest is not None or b is not None else None
+            if table is None or not table.num_rows:
+                continue
+            keys, values = table.column(0), table.column(1).to_numpy()
+            coded = keys.combine_chunks().dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, coded[1:] != coded[:-1]])
+            last = len(starts) if b is None else len(starts) - 1
+            ends = np.r_[starts[1:], len(values)]
+            got = [fn(values[i:j]) for i, j in zip(starts[:last].tolist(), ends[:last].tolist(), strict=True)]
+            rest = None if b is None else table.slice(int(starts[-1])).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([keys.combine_chunks().take(pa.array(starts[:last])), pa.array(got, pa.float64())], names=["k", "v"])
+
+    return run
+
+
 def mad_duplicates(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5) -> DataFrame:
     """All rows of df, the value replaced by its key's agreed one; keys that never agree, and null keys, get null."""
     found = mad_values(df, key, value, value_range, z).select(F.col(key).alias("_k"), F.col(value).alias("_v"))
@@ -65,30 +88,44 @@ def mad_duplicates(df: DataFrame, key: str, value: str, value_range: float = 1.0
 
 
 def mad_rounds(df: DataFrame, key: str, value: str, rounds: int, value_range: float = 1.0, z: float = 3.5) -> DataFrame:
-    """mad_values() as a fixed number of relational rounds: nothing but aggregates and joins, for keys with very many values."""
-    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
-    for _ in range(rounds):
-        stats = rows.groupBy("k").agg(F.median("v").alias("med"), (F.max("v") - F.min("v") > value_range).alias("wide"))
-        near = rows.join(stats, "k")
-        mads = near.groupBy("k").agg(F.median(F.abs(F.col("v") - F.col("med"))).alias("mad"))
-        far = F.coalesce(Z_FACTOR * F.try_divide(F.abs(F.col("v") - F.col("med")), F.col("mad")) > z, F.lit(False))
-        rows = near.join(mads, "k").where(~(F.col("wide") & far)).select("k", "v")
-    out = rows.groupBy("k").agg(F.when(F.max("v") - F.min("v") <= value_range, F.avg("v")).alias("v"))
-    return out.select(F.col("k").alias(key), F.col("v").alias(value))
+    """mad_values() as at most `rounds` relational rounds: nothing but aggregates and joins, for keys with very many values.
+
+    Each round's rows are settled, so that a round reads a table and not all rounds before it. Keys that agree, and keys that
+    lost no value, leave; the rounds end when no key is left.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows = settle(df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)"))
+    done = df.sparkSession.createDataFrame([], f"k {kind}, v double")
+    for left in range(rounds, -1, -1):
+        whole = rows.groupBy("k").agg(F.avg("v").alias("m"), (F.max("v") - F.min("v") > value_range).alias("wide"))
+        done = done.unionByName(whole.where("NOT wide").select("k", F.col("m").alias("v")))
+        wide = settle(rows.join(whole.where("wide").select("k"), "k", "left_semi"))
+        if not left or wide.isEmpty():
+            done = done.unionByName(wide.select("k", F.lit(None).cast("double").alias("v")).distinct())
+            break
+        off = F.abs(F.col("v") - F.get("q", F.lit(0)))
+        near = settle(wide.join(exact_quantiles(wide, ["k"], "v", [0.5]), "k").select("k", "v", off.alias("off")))
+        mads = exact_quantiles(near, ["k"], "off", [0.5], "mad")
+        far = F.coalesce(Z_FACTOR * F.try_divide(F.col("off"), F.get("mad", F.lit(0))) > z, F.lit(False))
+        judged = settle(near.join(mads, "k").select("k", "v", far.alias("far")))
+        moved = judged.where("far").select("k").distinct()
+        done = done.unionByName(judged.join(moved, "k", "left_anti").select("k", F.lit(None).cast("double").alias("v")).distinct())
+        rows = judged.join(moved, "k", "left_semi").where("NOT far").select("k", "v")
+    return done.select(F.col("k").alias(key), F.col("v").alias(value))
 
 
 def reconcile(exact: float | None, above: float | None, below: float | None, r: float) -> tuple[float | None, str | None]:
     """One value and relation from an agreed exact value, the highest lower bound and the lowest upper bound.
 
     A bound that contradicts the exact value by more than r voids both; one that contradicts it by less, or not at all,
-    yields to it. Two bounds that leave an interval under r, or cross by under r / 2, give their midpoint.
+    yields to it. Two bounds that leave an interval of r or less, or cross by under r / 2, give their midpoint.
     """
     if exact is not None:
         clash = (above is not None and above - exact > r) or (below is not None and exact - below > r)
         return (None, None) if clash else (exact, "=")
     if above is not None and below is not None:
         gap = below - above
-        if 0 <= gap < r or 0 < -gap < 0.5 * r:
+        if 0 <= gap <= r or 0 < -gap < 0.5 * r:
             return (above + below) / 2, "="
         return None, None
     if above is not None:
@@ -146,3 +183,22 @@ def mean_within_std(df: DataFrame, key: str, value: str, order: str, std_factor:
     return first.join(means, key).select(*[F.col("_mean").alias(c) if c == value else F.col(c) for c in df.columns])
 
 
+
+
+def outcome_tables(df: DataFrame, status: str, good: str, ids: Sequence[str], reason: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose status is good, without the status; the ids and reason of all others): a cleaning step's result and its side table."""
+    require_columns(df, status, reason, *ids)
+    kept = F.coalesce(F.col(status) == good, F.lit(False))
+    return df.where(kept).drop(status), df.where(~kept).select(*ids, F.coalesce(F.col(status), F.lit("missing")).alias(status), reason)
+
+
+def duplicate_tables(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5) -> dict[str, DataFrame]:
+    """The side tables of a deduplication by key: unique (keys with one row, as they are), agreed (one row a repeated key
+    whose values agree, with n_values) and failed (all rows of repeated keys that never agree). Null keys are in none."""
+    rows = df.where(F.col(key).isNotNull())
+    counts = rows.groupBy(key).agg(F.count(value).alias("n_values"), F.count("*").alias("_n"))
+    unique = rows.join(counts.where("_n = 1").select(key), key, "left_semi")
+    found = mad_values(rows, key, value, value_range, z).join(counts.where("_n > 1").select(key, "n_values"), key)
+    agreed = found.where(F.col(value).isNotNull())
+    failed = rows.join(counts.where("_n > 1").select(key), key, "left_semi").join(agreed.select(key), key, "left_anti")
+    return {"unique": unique, "agreed": agreed, "failed": failed}

@@ -6,6 +6,7 @@ the distances inside a task are one matrix product. No table is broadcast whole
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,9 +14,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.functions.checks import require_vector
 from brindle.functions.expr import vector_distance
+from brindle.operators.relational import row_index
+from brindle.sources.tables import settle
 
 BLOCK_ROWS = 1024
 METRICS = ("euclidean", "sqeuclidean", "cityblock", "manhattan", "chebyshev", "cosine", "canberra", "braycurtis", "hamming")
@@ -70,21 +74,62 @@ def _blocks(df: DataFrame, id_col: str, block_rows: int) -> tuple[DataFrame, int
     return df.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
 
 
-def _meet(df: DataFrame, ref: DataFrame | None, id_col: str, vector: str, ref_id: str, block_rows: int):
-    """Both sides of every pair of blocks; for a self pairing, pairs of blocks a <= b."""
+def _reach(norms: DataFrame, metric: str, threshold: float) -> dict[int, int] | None:
+    """For each block, the last block whose norms still allow the threshold. norms: (block, lo, hi), a row a block, in order of the norm."""
+    rows = sorted(tuple(r) for r in norms.collect())
+    lows = np.array([r[1] for r in rows])
+    if metric == "euclidean":
+        far = [hi + threshold for _, _, hi in rows]
+    elif metric == "sqeuclidean":
+        far = [hi + math.sqrt(max(threshold, 0.0)) for _, _, hi in rows]
+    else:  # 0/1 vectors: the similarity is at most the smaller count over the larger
+        far = [math.sqrt(hi * hi / (1 - threshold)) if threshold < 1 else math.inf for _, _, hi in rows]
+    return {r[0]: rows[max(i, int(np.searchsorted(lows, f * (1 + 1e-9) + 1e-12, "right")) - 1)][0] for i, (r, f) in enumerate(zip(rows, far, strict=True))}
+
+
+#: Metrics that two vectors' norms (for 0/1 vectors, their counts) bound from below.
+BANDED = ("euclidean", "sqeuclidean", "jaccard", "tanimoto")
+
+
+def _meet(df: DataFrame, ref: DataFrame | None, id_col: str, vector: str, ref_id: str, block_rows: int, group: str | None = None, metric: str | None = None, threshold: float | None = None):
+    """Both sides of every pair of blocks; for a self pairing, pairs of blocks a <= b.
+
+    With a threshold on a metric of BANDED, blocks are ranges of the norm, and only blocks whose norms allow the threshold meet.
+    """
     require_vector(df, vector)
-    left, n = _blocks(df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")), "id", block_rows)
+    more = [F.col(group).alias("g")] if group else []
+    names = ["g"] if group else []
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), *more)
     if ref is None:
-        right, m = left, n
+        if threshold is not None and metric in BANDED:
+            norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+            placed = row_index(rows.withColumn("_norm", norm), "_norm", "id", name="_place")
+            placed = settle(placed.withColumn("_block", F.floor(F.col("_place") / block_rows).cast("int")).drop("_place"))
+            last = _reach(placed.groupBy("_block").agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi")), metric, threshold)
+            left = placed.drop("_norm")
+            reach = df.sparkSession.createDataFrame([(int(k), int(v)) for k, v in last.items()], "_k int, _last int")  # one row a block
+            # a block is reached by a range of blocks before it, as the reach grows with the block
+            order, first, at = sorted(last), {}, 0
+            for k in order:
+                while last[order[at]] < k:
+                    at += 1
+                first[k] = order[at]
+            span = df.sparkSession.createDataFrame([(int(k), int(v)) for k, v in first.items()], "_k2 int, _first int")
+            a = left.join(F.broadcast(reach), F.col("_block") == F.col("_k")).select("id", "v", F.col("_block").alias("a"), F.explode(F.sequence("_block", "_last")).alias("b"), *names)
+            b = left.join(F.broadcast(span), F.col("_block") == F.col("_k2")).select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.explode(F.sequence("_first", "_block")).alias("a"), F.col("_block").alias("b"), *[F.col(c).alias(c + "2") for c in names])
+            return a.groupBy("a", "b").cogroup(b.groupBy("a", "b"))
+        left, n = _blocks(rows, "id", block_rows)
+        right = left
         every_b = F.explode(F.sequence("_block", F.lit(n - 1)))
         every_a = F.explode(F.sequence(F.lit(0), "_block"))
     else:
         require_vector(ref, vector)
-        right, m = _blocks(ref.select(F.col(ref_id).alias("id"), F.col(vector).cast("array<double>").alias("v")), "id", block_rows)
+        left, n = _blocks(rows, "id", block_rows)
+        right, m = _blocks(ref.select(F.col(ref_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), *more), "id", block_rows)
         every_b, every_a = F.explode(F.sequence(F.lit(0), F.lit(m - 1))), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # the sides' columns need names of their own: the optimiser drops an alias that keeps its name, and then mixes the sides up
-    a = left.select("id", "v", F.col("_block").alias("a"), every_b.alias("b"))
-    b = right.select(F.col("id").alias("id2"), F.col("v").alias("v2"), every_a.alias("a"), F.col("_block").alias("b"))
+    a = left.select("id", "v", F.col("_block").alias("a"), every_b.alias("b"), *names)
+    b = right.select(F.col("id").alias("id2"), F.col("v").alias("v2"), every_a.alias("a"), F.col("_block").alias("b"), *[F.col(c).alias(c + "2") for c in names])
     return a.groupBy("a", "b").cogroup(b.groupBy("a", "b"))
 
 
@@ -115,7 +160,7 @@ def pairwise(df: DataFrame, id_col: str, vector: str, metric: str = "euclidean",
         return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind), "distance": d[i, j]})
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = _meet(df, ref, id_col, vector, ref_id or id_col, block_rows).applyInArrow(run, f"src {kind}, dst {kind}, distance double")
+    out = _meet(df, ref, id_col, vector, ref_id or id_col, block_rows, metric=metric, threshold=threshold).applyInArrow(run, f"src {kind}, dst {kind}, distance double")
     if same and mirror:
         out = out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance"))
     return out
@@ -168,43 +213,102 @@ def k_neighbors(df: DataFrame, id_col: str, vector: str, metric: str = "euclidea
     return whole.select(F.col("id").alias(id_col), *cols)
 
 
+def _pair_hash(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """A keyed hash of each unordered pair of an id of a and one of b."""
+    one = lambda x: pd.util.hash_array(np.asarray(x), categorize=False)
+    x, y = one(a)[:, None], one(b)[None, :]
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    h = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high + np.uint64(seed))
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(27)) >> np.uint64(1)
+
+
 def group_distances(df: DataFrame, id_col: str, vector: str, group: str, metric: str = "euclidean", subsample: int | None = None, seed: int = 42) -> DataFrame:
     """(group, kind, distance), kind intra or inter: distances within each group, and from its members to all others.
 
     The group column may be an array; a row then belongs to each of its distinct groups. subsample keeps, of each
-    group and kind, that many distances by keyed hash. Groups without two members or without outsiders give no rows of that kind.
+    group and kind, that many distances by keyed hash: a block's task keeps so many of its own, and only these are shuffled.
+    Groups without two members or without outsiders give no rows of that kind.
     """
-    member = df.select(F.col(id_col).alias("_id"), F.array_distinct(group).alias("_g") if dict(df.dtypes)[group].startswith("array") else F.array(group).alias("_g"))
-    pairs = pairwise(df, id_col, vector, metric)
-    both = pairs.join(member.select(F.col("_id").alias("src"), F.col("_g").alias("ga")), "src").join(member.select(F.col("_id").alias("dst"), F.col("_g").alias("gb")), "dst")
-    intra = both.select("src", "dst", F.explode(F.array_intersect("ga", "gb")).alias("group"), F.lit("intra").alias("kind"), "distance")
-    only = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
-    inter = both.select("src", "dst", F.explode(only).alias("group"), F.lit("inter").alias("kind"), "distance")
-    out = intra.unionByName(inter)
+    many = dict(df.dtypes)[group].startswith("array")
+    kind_of = df.schema[group].dataType.elementType if many else df.schema[group].dataType
+    rows = df.select(id_col, vector, (F.array_distinct(group) if many else F.array(group)).alias("_g"))
+    out_schema = pa.schema([("group", to_arrow_type(kind_of)), ("kind", pa.string()), ("distance", pa.float64()), ("h", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            d = block_distances(_vectors(left), _vectors(right), metric)
+            x, y = left.column(0).to_numpy(), right.column(0).to_numpy()
+            ok = x[:, None] < y[None, :] if left.column(2)[0] == left.column(3)[0] else np.ones_like(d, dtype=bool)
+            h = _pair_hash(x, y, seed).astype(np.int64)
+            ga, gb = (t.column(t.num_columns - 1).to_pylist() for t in (left, right))
+            for g in sorted({e for r in (*ga, *gb) for e in r or () if e is not None}):
+                one, two = (np.array([g in (r or ()) for r in side]) for side in (ga, gb))
+                for kind, met in (("intra", one[:, None] & two[None, :]), ("inter", one[:, None] ^ two[None, :])):
+                    i, j = np.nonzero(met & ok)
+                    if subsample is not None and len(i) > subsample:
+                        keep = np.argpartition(h[i, j], subsample)[:subsample]
+                        i, j = i[keep], j[keep]
+                    if len(i):
+                        parts.append(pa.table([pa.array([g], out_schema[0].type).take(pa.array(np.zeros(len(i), dtype=np.int64))), pa.array([kind] * len(i)), pa.array(d[i, j]), pa.array(h[i, j])], schema=out_schema))
+        return pa.concat_tables(parts) if parts else out_schema.empty_table()
+
+    out = _meet(rows, None, id_col, vector, id_col, BLOCK_ROWS, "_g").applyInArrow(run, f"group {kind_of.simpleString()}, kind string, distance double, h long")
     if subsample is not None:
-        w = Window.partitionBy("group", "kind").orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "src", "dst")
+        w = Window.partitionBy("group", "kind").orderBy("h", "distance")
         out = out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= subsample)
     return out.select("group", "kind", "distance")
 
 
+def _nearest(df: DataFrame, id_col: str, vector: str, group: str, metric: str, k: int) -> DataFrame:
+    """(src, ga, kind, distance, dst, gb): for each row and kind (intra: same group, inter: another), its k nearest rows, smallest id on ties.
+
+    A block's task keeps k a row and kind; only these are shuffled.
+    """
+    id_type, g_type = df.schema[id_col].dataType, df.schema[group].dataType
+    schema = pa.schema([("src", to_arrow_type(id_type)), ("ga", to_arrow_type(g_type)), ("kind", pa.string()), ("distance", pa.float64()), ("dst", to_arrow_type(id_type))])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            d = block_distances(_vectors(left), _vectors(right), metric)
+            codes = pa.concat_arrays([t.column(t.num_columns - 1).combine_chunks() for t in (left, right)]).dictionary_encode("encode").indices.to_numpy()
+            ca, cb = codes[: left.num_rows], codes[left.num_rows :]
+            own = left.column(2)[0] == left.column(3)[0]
+            sides = [(left, right, d, ca, cb)] + ([] if own else [(right, left, d.T, cb, ca)])
+            for a, b, m, x, y in sides:
+                ids = b.column(0).to_numpy()
+                order = np.argsort(ids, kind="stable")
+                m, y, ids = m[:, order], y[order], ids[order]
+                same = x[:, None] == y[None, :]
+                itself = a.column(0).to_numpy()[:, None] == ids[None, :] if own else np.zeros_like(same)
+                for kind, there in (("intra", same & ~itself), ("inter", ~same)):
+                    far = np.where(there, m, np.inf)
+                    best = np.argsort(far, axis=1, kind="stable")[:, :k]
+                    i = np.repeat(np.arange(len(far)), best.shape[1])
+                    j = best.ravel()
+                    good = there[i, j]
+                    i, j = i[good], j[good]
+                    parts.append(pa.table([a.column(0).take(pa.array(i)), a.column(a.num_columns - 1).take(pa.array(i)), pa.array([kind] * len(i), pa.string()), pa.array(m[i, j]), pa.array(ids[j], schema[4].type)], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    met = _meet(df, None, id_col, vector, id_col, BLOCK_ROWS, group)
+    found = met.applyInArrow(run, f"src {id_type.simpleString()}, ga {g_type.simpleString()}, kind string, distance double, dst {id_type.simpleString()}")
+    near = F.row_number().over(Window.partitionBy("src", "kind").orderBy("distance", "dst"))
+    return found.withColumn("_rn", near).where(F.col("_rn") <= k).drop("_rn")
+
+
 def group_k_neighbors(df: DataFrame, id_col: str, vector: str, group: str, metric: str = "euclidean", k: int = 1) -> DataFrame:
     """(group, kind, values): for each group, the mean distance of each member to its k nearest members (intra) or outsiders (inter), by id."""
-    member = df.select(F.col(id_col).alias("_id"), F.col(group).alias("_g"))
-    pairs = pairwise(df, id_col, vector, metric, mirror=True)
-    both = pairs.join(member.select(F.col("_id").alias("src"), F.col("_g").alias("ga")), "src").join(member.select(F.col("_id").alias("dst"), F.col("_g").alias("gb")), "dst")
-    kinds = both.withColumn("kind", F.when(F.col("ga") == F.col("gb"), "intra").otherwise("inter"))
-    near = kinds.withColumn("_rn", F.row_number().over(Window.partitionBy("src", "kind").orderBy("distance", "dst"))).where(F.col("_rn") <= k)
-    rows = near.groupBy("ga", "kind", "src").agg(F.avg("distance").alias("d"))
+    rows = _nearest(df, id_col, vector, group, metric, k).groupBy("ga", "kind", "src").agg(F.avg("distance").alias("d"))
     return rows.groupBy(F.col("ga").alias("group"), "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("src", "d"))), lambda x: x["d"]).alias("values"))
 
 
 def modi_index(df: DataFrame, id_col: str, vector: str, label: str, metric: str = "euclidean") -> DataFrame:
     """modi: the mean over classes of the share of rows whose nearest neighbour (smallest id on ties) has their class."""
-    pairs = pairwise(df, id_col, vector, metric, mirror=True)
-    first = pairs.groupBy("src").agg(F.min(F.struct("distance", "dst")).alias("m")).select("src", F.col("m.dst").alias("dst"))
-    kinds = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_l"))
-    both = first.join(kinds.select(F.col("_id").alias("src"), F.col("_l").alias("a")), "src").join(kinds.select(F.col("_id").alias("dst"), F.col("_l").alias("b")), "dst")
-    share = both.groupBy("a").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("share"))
+    near = _nearest(df, id_col, vector, label, metric, 1).groupBy("src", "ga").agg(F.min(F.struct("distance", "dst", "kind")).alias("m"))
+    share = near.groupBy("ga").agg(F.avg((F.col("m.kind") == "intra").cast("double")).alias("share"))
     return share.agg(F.avg("share").alias("modi"))
 
 

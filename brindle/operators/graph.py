@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.tables import discard
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u points to the least of u and its neighbours."""
@@ -34,8 +36,11 @@ def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFra
     now = settle(edges.where("a <> b").distinct())
     state = None
     for _ in range(max_rounds):
-        now = settle(_small_star(_large_star(now)))
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        before, now = now, settle(_small_star(_large_star(now)))
+        discard(before)
+        # sums of two whole 64-bit hashes tell the edges apart, whatever their order
+        hashes = [F.sum(F.xxhash64(F.lit(k), "a", "b").cast("decimal(20,0)")) for k in (1, 2)]
+        seen = tuple(now.agg(F.count("*"), *hashes).first())
         if seen == state:
             break
         state = seen

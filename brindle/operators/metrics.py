@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.expr import round_significant, safe_div
+from brindle.operators.relational import running_total
 
 DIGITS = 5
 OVERALL = "Overall"
@@ -31,8 +32,9 @@ def _long(wide: DataFrame, names: Sequence[str]) -> DataFrame:
 def curves(df: DataFrame, y: str, score: str, weight: Column) -> DataFrame:
     """(Group, roc, prc): areas under the ROC curve (ties count half) and under the precision steps."""
     points = df.groupBy("Group", F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, weight).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(y) == 0, weight).otherwise(0.0)).alias("n"))
-    down = Window.partitionBy("Group").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = points.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down))
+    both = running_total(points, ["Group"], [F.desc("s")], F.col("p"), "tp")
+    both = running_total(both, ["Group"], [F.desc("s")], F.col("n"), "fp")
+    cum = both.withColumn("tp", F.col("tp") + F.col("p")).withColumn("fp", F.col("fp") + F.col("n"))
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
     steps = F.sum(F.col("p") * safe_div(F.col("tp"), F.col("tp") + F.col("fp")))
     return cum.groupBy("Group").agg(safe_div(area, F.sum("p") * F.sum("n")).alias("roc"), safe_div(steps, F.sum("p")).alias("prc"))
@@ -159,7 +161,6 @@ def aggregate_metrics(metrics: DataFrame, keys: Sequence[str] = ("Set", "Metric"
 def ecdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, value, share): the share of rows not above each distinct value, by keys."""
     points = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     total = points.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    cum = points.withColumn("_c", F.sum("_n").over(up))
+    cum = running_total(points, keys, [value], "_n", "_c").withColumn("_c", F.col("_c") + F.col("_n"))
     return cum.join(total, list(keys)).select(*keys, value, (F.col("_c") / F.col("_total")).alias("share"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from brindle.functions.checks import require_columns
 from brindle.functions.expr import bin_of
-from brindle.operators.relational import row_index
+from brindle.operators.relational import exact_quantiles, hash_cut, row_index, running_total
 
 TRAIN, TEST = "Train", "Test"
 
@@ -22,8 +23,7 @@ def _key(id_col: str, seed: int) -> Column:
 
 def bin_data(df: DataFrame, value: str, n_bins: int = 5, name: str = "Bin") -> DataFrame:
     """Bins 1..n_bins by exact inner quantiles; a value on an edge goes up."""
-    probs = [i / n_bins for i in range(1, n_bins)]
-    edges = df.agg(F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, probs))).alias("_q"))
+    edges = exact_quantiles(df, [], value, [i / n_bins for i in range(1, n_bins)], "_q")
     return df.crossJoin(F.broadcast(edges)).withColumn(name, bin_of(value, F.col("_q"))).drop("_q")
 
 
@@ -48,12 +48,8 @@ def random_split(df: DataFrame, fraction: float, id_col: str, seed: int = 42) ->
 
     The hash of the last test id is the cut, so assignment is a comparison, not a join.
     """
-    n = int(df.count() * fraction)
-    cut = df.select(F.struct(_key(id_col, seed), F.col(id_col)).alias("k")).orderBy("k").offset(n).limit(1).select(F.col("k").alias("_cut"))
-    if n >= df.count():
-        return df.withColumn("Set", F.lit(TEST))
-    k = F.struct(_key(id_col, seed), F.col(id_col))
-    return df.crossJoin(F.broadcast(cut)).withColumn("Set", F.when(k < F.col("_cut"), TEST).otherwise(TRAIN)).drop("_cut")
+    cut = hash_cut(df, id_col, int(df.count() * fraction), seed)
+    return df.withColumn("Set", F.lit(TEST) if cut is None else F.when(cut, TEST).otherwise(TRAIN))
 
 
 def stratified_split(df: DataFrame, fraction: float, strat_col: str, id_col: str, seed: int = 42) -> DataFrame:
@@ -144,20 +140,25 @@ def minimal_split(df: DataFrame, fraction: float, cluster_col: str, tolerance: f
     Ties in size go to the smaller key. None if the test set then exceeds ceil(rows * (fraction + tolerance)).
     """
     sizes = df.groupBy(cluster_col).agg(F.count("*").alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_n", cluster_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = sizes.withColumn("_total", total).withColumn("_before", before).where(F.col("_before") < F.ceil(F.col("_total") * F.lit(fraction)))
-    got = chosen.agg(F.sum("_n"), F.max(F.ceil(F.col("_total") * F.lit(fraction + tolerance)))).first()
-    if got[0] is None or got[0] > got[1]:
+    total = df.count()
+    placed = running_total(sizes, [], ["_n", cluster_col], "_n", "_before")
+    chosen = placed.where(F.col("_before") < math.ceil(total * fraction))
+    got = chosen.agg(F.sum("_n")).first()[0]
+    if got is None or got > math.ceil(total * (fraction + tolerance)):
         return None
     test = chosen.select(F.col(cluster_col).alias("_c"), F.lit(TEST).alias("_s"))
     return df.join(test, F.col(cluster_col) == F.col("_c"), "left").withColumn("Set", F.coalesce("_s", F.lit(TRAIN))).drop("_c", "_s")
 
 
 def temporal_split(df: DataFrame, time_col: str, fraction: float = 0.2) -> DataFrame:
-    """Set is Test from the time at place round(rows * fraction), latest first, on; ties go to Test."""
+    """Set is Test from the time at place round(rows * fraction), latest first, on; ties go to Test. Null times are Train.
+
+    At a fraction whose place is past the last row, every row with a time is Test. Only distinct times are ordered.
+    """
     n = round(df.count() * fraction)
-    cut = df.select(F.col(time_col).alias("_cut")).orderBy(F.desc("_cut")).offset(n).limit(1)
+    times = df.groupBy(F.col(time_col).alias("_t")).agg(F.count("*").alias("_c")).where("_t IS NOT NULL")
+    late = running_total(times, [], [F.desc("_t")], "_c", "_later").where(F.col("_later") <= n)
+    cut = late.agg(F.min("_t").alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).withColumn("Set", F.when(F.col(time_col) >= F.col("_cut"), TEST).otherwise(TRAIN)).drop("_cut")
 
 
@@ -219,3 +220,44 @@ class TrainTest:
 
     def test(self) -> DataFrame:
         return self.df.where(F.col(self.set_col) == TEST)
+
+
+def cluster_folds(df: DataFrame, k: int, cluster_col: str, strat_col: str | None = None, tolerance: float = 0.3) -> DataFrame:
+    """Folds that split no cluster, even in size (and in each stratum); a RuntimeError if their sizes' relative deviation is over tolerance.
+
+    cluster_col holds any clustering: scaffolds, greedy neighbourhoods, components (operators.cluster).
+    """
+    out = balanced_group_folds(df, k, cluster_col, strat_col)
+    got = fold_balance(out, tolerance=tolerance).first()
+    if not got["balanced"]:
+        raise RuntimeError(f"folds are not balanced: a deviation of {got['deviation']:.3f}, with {tolerance} allowed")
+    return out
+
+
+def _clustered_folds(df: DataFrame, k: int, structure: str, labels: DataFrame, strat_col: str | None, tolerance: float) -> DataFrame:
+    found = labels.select(F.col(structure).alias("_s"), "Cluster")
+    return cluster_folds(df.join(found, F.col(structure) == F.col("_s")).drop("_s"), k, "Cluster", strat_col, tolerance)
+
+
+def butina_folds(df: DataFrame, k: int, structure: str, vector: str, threshold: float = 0.4, metric: str = "jaccard", strat_col: str | None = None, tolerance: float = 0.3) -> DataFrame:
+    """cluster_folds() by greedy neighbourhoods of the distinct structures."""
+    from brindle.operators.cluster import butina_cluster
+
+    once = df.groupBy(structure).agg(F.first(vector).alias(vector))
+    return _clustered_folds(df, k, structure, butina_cluster(once, structure, vector, threshold, metric), strat_col, tolerance)
+
+
+def component_folds(df: DataFrame, k: int, structure: str, vector: str, threshold: float = 0.3, metric: str = "jaccard", strat_col: str | None = None, tolerance: float = 0.3) -> DataFrame:
+    """cluster_folds() by connected components of the distinct structures."""
+    from brindle.operators.cluster import component_cluster
+
+    once = df.groupBy(structure).agg(F.first(vector).alias(vector))
+    return _clustered_folds(df, k, structure, component_cluster(once, structure, vector, threshold, metric), strat_col, tolerance)
+
+
+def scaffold_folds(df: DataFrame, k: int, structure: str, scaffold: Column, strat_col: str | None = None, tolerance: float = 0.3) -> DataFrame:
+    """cluster_folds() by the value of scaffold, an expression of the structure (a provider's kernel), computed once a structure."""
+    from brindle.operators.cluster import label_values
+
+    once = df.select(structure).distinct().withColumn("_scaffold", scaffold)
+    return _clustered_folds(df, k, structure, label_values(once, "_scaffold"), strat_col, tolerance)

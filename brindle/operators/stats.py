@@ -7,27 +7,31 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.expr import round_significant, safe_div
+from brindle.operators.relational import exact_quantiles, running_total
 
-OUTCOMES = ("Invalid", "Weak", "Fair", "Good")
+# Outcomes, worst first.
+OUTCOMES = ("Insufficient", "Minimal", "Sufficient", "Adequate")
 
 
 @dataclass(frozen=True)
 class Coverage:
-    """Least values, for Weak, Fair and Good, of a level's rows, its share of all rows and its distinct random levels."""
+    """Least values, for all outcomes but the worst, of a level's rows, its share of all rows and its distinct random levels."""
 
-    count: tuple[float, float, float] = (5, 10, 20)
-    fraction: tuple[float, float, float] = (0.01, 0.05, 0.1)
-    random: tuple[float, float, float] = (2, 3, 5)
+    # Fixed values.
+    count: tuple[float, float, float] = (10, 30, 100)
+    fraction: tuple[float, float, float] = (0.02, 0.05, 0.1)
+    random: tuple[float, float, float] = (5, 10, 20)
 
 
 def effect_levels(df: DataFrame, fixed: Sequence[str], random: str, limits: Coverage = Coverage()) -> DataFrame:
-    """(effect, level, n, fraction, n_random, outcome, reasons) for each level of each fixed effect.
+    """(effect, level, n, fraction, n_random, outcome, reason) for each level of each fixed effect.
 
-    fraction is of all rows, three significant digits. The worst of the three checks decides; reasons names those at that step.
+    fraction is of all rows, three significant digits. The worst of the three checks (n_obs, frac and the random effect's
+    name) decides; reason names those that limit a level that is Insufficient or Minimal.
     """
     total = df.agg(F.count("*").alias("_total"))
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("effect"), F.col(c).cast("string").alias("level")) for c in fixed]))
@@ -35,16 +39,17 @@ def effect_levels(df: DataFrame, fixed: Sequence[str], random: str, limits: Cove
     per = rows.where("level IS NOT NULL").groupBy("effect", "level").agg(F.count("*").alias("n"), F.count_distinct("_r").alias("n_random"))
     per = per.crossJoin(F.broadcast(total)).withColumn("fraction", round_significant(F.col("n") / F.col("_total"), 3)).drop("_total")
     step = lambda c, least: sum(((F.col(c) >= x).cast("int") for x in least), F.lit(0))
-    steps = {"count": step("n", limits.count), "fraction": step("fraction", limits.fraction), "random": step("n_random", limits.random)}
+    steps = {"n_obs": step("n", limits.count), "frac": step("fraction", limits.fraction), random: step("n_random", limits.random)}
     worst = F.least(*steps.values())
     names = F.array(*map(F.lit, OUTCOMES))
-    reasons = F.array_join(F.array_compact(F.array(*[F.when((s == worst) & (worst < 3), F.lit(k)) for k, s in steps.items()])), ", ")
-    return per.select("effect", "level", "n", "fraction", "n_random", F.get(names, worst).alias("outcome"), reasons.alias("reasons"))
+    limiting = F.array_join(F.array_compact(F.array(*[F.when(s == worst, F.lit(k)) for k, s in steps.items()])), "|")
+    reason = F.when(worst == 0, F.concat(F.lit("Failed: "), limiting)).when(worst == 1, F.concat(F.lit("Minimal: "), limiting)).otherwise("")
+    return per.select("effect", "level", "n", "fraction", "n_random", F.get(names, worst).alias("outcome"), reason.alias("reason"))
 
 
 def effect_summary(levels: DataFrame) -> DataFrame:
-    """(effect, n_levels, n_valid, usable): an effect needs two levels that are not Invalid."""
-    valid = F.count(F.when(F.col("outcome") != "Invalid", 1))
+    """(effect, n_levels, n_valid, usable): an effect needs two levels that are not Insufficient."""
+    valid = F.count(F.when(F.col("outcome") != OUTCOMES[0], 1))
     return levels.groupBy("effect").agg(F.count("*").alias("n_levels"), valid.alias("n_valid"), (valid >= 2).alias("usable"))
 
 
@@ -65,11 +70,13 @@ def mann_whitney(df: DataFrame, sample: str, value: str, a: str, b: str, min_n:
     min_n values on a side, everything but the counts is null. Ranks come from counts of distinct values in prefix sums.
     """
     rows = df.where(F.col(sample).isin(a, b)).select((F.col(sample) == a).alias("a"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    med = rows.agg(F.median(F.when(F.col("a"), F.col("v"))).alias("median_a"), F.median(F.when(~F.col("a"), F.col("v"))).alias("median_b"))
+    halves = exact_quantiles(rows, ["a"], "v", [0.5])
+    side = lambda c: F.max(F.when(c, F.get("q", F.lit(0))))
+    med = halves.agg(side(F.col("a")).alias("median_a"), side(~F.col("a")).alias("median_b"))
     points = rows.groupBy("v").agg(F.count(F.when(F.col("a"), 1)).alias("na"), F.count(F.when(~F.col("a"), 1)).alias("nb"))
-    before = F.coalesce(F.sum("nb").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    points = running_total(points, [], ["v"], "nb", "below")
     t = F.col("na") + F.col("nb")
-    sums = points.withColumn("below", before).agg(
+    sums = points.agg(
         F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.col("na") * (F.col("below") + F.col("nb") / 2)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("ties"),
     )
     n = F.col("n_a") + F.col("n_b")

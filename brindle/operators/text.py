@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Line-notation tokens (bracket atoms, two-letter elements, ring bonds, stereo marks, single characters) and special tokens.
-SMILES_TOKEN = r"(\[[^\]]+\]|Br|Cl|Si|Se|@@|%\d{2}|[A-Za-z]|\d|[-=#$:/\\.()+@*~>])"
+from brindle.operators.relational import row_index
+
+# Line-notation tokens (brackets, two-letter elements, letters, bonds, digits) and special tokens.
+TWO_LETTERS = "Cl|Br|Si|Se|Na|Ca|Li|Mg|Zn|Fe|Cu|Mn|Hg|Sn|As|Bi|Cd|se|Cr|Sb"
+SMILES_TOKEN = rf"(\[|\]|{TWO_LETTERS}|[A-Z]|[a-z]|[=#/\\().+\-:]|\d)"
+DEEPSMILES_TOKEN = rf"(\[|\]|{TWO_LETTERS}|[A-Z]|[a-z]|[=#/\\.+\-:]|\)+|\(+|\d)"
+SELFIES_TOKEN = r"(\[.*?\])"
+TOKENS = {"smiles": SMILES_TOKEN, "deepsmiles": DEEPSMILES_TOKEN, "selfies": SELFIES_TOKEN}
 PAD, UNK = "<pad>", "<unk>"
 # English stop words.
 STOP_WORDS = (
@@ -29,7 +35,7 @@ def alphabet(df: DataFrame, text: str, pattern: str = SMILES_TOKEN, size: int |
     counts = df.select(F.explode(tokens(text, pattern)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     if size is not None:
         counts = counts.orderBy(F.desc("n"), "token").limit(size)
-    ranked = counts.withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), "token"))).select("token", "code")
+    ranked = row_index(counts, F.desc("n"), "token", name="code").select("token", (F.col("code") + 1).cast("int").alias("code"))
     ends = counts.agg(F.count("*").alias("n")).select(F.explode(F.array(F.struct(F.lit(PAD).alias("token"), F.lit(0).alias("code")), F.struct(F.lit(UNK).alias("token"), (F.col("n") + 1).cast("int").alias("code")))).alias("e")).select("e.*")
     return ends.unionByName(ranked)
 
@@ -57,8 +63,8 @@ def document_tokens(text: Column | str, chars: str = "alpha", keep: str | None =
     c = F.col(text) if isinstance(text, str) else text
     shape = {"alpha": r"^\p{L}+$", "alnum": r"^[\p{L}\p{N}]+$", "ascii": r"^[\x21-\x7e]+$"}[chars]
     words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*)"), F.lit(1))
-    stop = F.array(*map(F.lit, stop_words))
-    out = F.filter(words, lambda w: w.rlike(shape) & ~F.array_contains(stop, w))
+    # a constant list of many words is one hash lookup
+    out = F.filter(words, lambda w: ~w.isin(*stop_words) & w.rlike(shape))
     if keep is not None:
         out = F.filter(out, lambda w: w.rlike(keep))
     if stem:

@@ -7,6 +7,7 @@ grow with the vector's width, not with the data, and are applied inside expressi
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.checks import require_vector
 from brindle.functions.expr import clip, nan_to_null
-from brindle.operators.relational import correlations
+from brindle.operators.relational import correlations, exact_quantiles, position_products
 
 # The standard normal quantiles of 5 % and 95 % are this far apart.
 NORMAL_RANGE_5_95 = 3.289707253902945
@@ -36,42 +37,43 @@ def clip_limits(df: DataFrame, vector: str, method: str, low: float = 0.005, hig
     if method == "std":
         return rows.groupBy("pos").agg((F.avg("x") - k * F.stddev_pop("x")).alias("lo"), (F.avg("x") + k * F.stddev_pop("x")).alias("hi"))
     if method == "quantile":
-        return rows.groupBy("pos").agg(F.percentile("x", F.lit(low)).alias("lo"), F.percentile("x", F.lit(high)).alias("hi"))
+        return exact_quantiles(rows, ["pos"], "x", [low, high]).select("pos", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
     if method == "mad":
-        med = rows.groupBy("pos").agg(F.median("x").alias("m"))
-        mad = rows.join(F.broadcast(med), "pos").groupBy("pos", "m").agg(F.median(F.abs(F.col("x") - F.col("m"))).alias("d"))
-        return mad.select("pos", (F.col("m") - k * F.col("d")).alias("lo"), (F.col("m") + k * F.col("d")).alias("hi"))
+        # one row a position, which grows with the width, not with the data
+        med = exact_quantiles(rows, ["pos"], "x", [0.5]).select("pos", F.get("q", F.lit(0)).alias("m"))
+        off = rows.join(F.broadcast(med), "pos").select("pos", F.abs(F.col("x") - F.col("m")).alias("d"))
+        mad = exact_quantiles(off, ["pos"], "d", [0.5]).select("pos", F.get("q", F.lit(0)).alias("d"))
+        return med.join(mad, "pos").select("pos", (F.col("m") - k * F.col("d")).alias("lo"), (F.col("m") + k * F.col("d")).alias("hi"))
     raise ValueError(f"no clipping method {method!r}")
 
 
 def position_stats(df: DataFrame, vector: str) -> DataFrame:
     """One row a position: missing share, largest magnitude, population variance, median, 5 % and 95 % quantile."""
     rows = positions(df, vector)
-    return rows.groupBy("pos").agg(
-        F.avg(F.col("x").isNull().cast("double")).alias("missing"), F.max(F.abs("x")).alias("top"), F.var_pop("x").alias("variance"),
-        F.median("x").alias("median"), F.percentile("x", F.lit(0.05)).alias("q05"), F.percentile("x", F.lit(0.95)).alias("q95"),
-    )
+    plain = rows.groupBy("pos").agg(F.avg(F.col("x").isNull().cast("double")).alias("missing"), F.max(F.abs("x")).alias("top"), F.var_pop("x").alias("variance"))
+    q = exact_quantiles(rows, ["pos"], "x", [0.5, 0.05, 0.95])
+    return plain.join(q, "pos", "left").select("pos", "missing", "top", "variance", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("median", "q05", "q95"))])
 
 
 def prune_correlated(pairs: Sequence[tuple[int, int, float]], kept: Sequence[int], limit: float = MAX_CORRELATION) -> list[int]:
-    """Positions left after dropping, again and again, the one with most correlations >= limit (then the highest mean, rounded 5).
+    """Positions left after dropping, again and again, the one with most correlations >= limit (then the highest mean of these, rounded 5).
 
     Works on positions, not rows, so it runs on the driver.
     """
     alive = set(kept)
-    while True:
-        edges: dict[int, int] = {}
-        total: dict[int, list[float]] = {p: [] for p in alive}
-        for a, b, r in pairs:
-            if a in alive and b in alive:
-                total[a].append(r)
-                total[b].append(r)
-                if r >= limit:
-                    edges[a] = edges.get(a, 0) + 1
-                    edges[b] = edges.get(b, 0) + 1
-        if not edges:
-            return sorted(alive)
-        alive.discard(max(edges, key=lambda p: (edges[p], round(sum(total[p]) / len(total[p]), 5), -p)))
+    near: dict[int, dict[int, float]] = {}
+    for a, b, r in pairs:
+        if r >= limit and a in alive and b in alive:
+            near.setdefault(a, {})[b] = r
+            near.setdefault(b, {})[a] = r
+    while near:
+        worst = max(near, key=lambda p: (len(near[p]), round(math.fsum(near[p].values()) / len(near[p]), 5), -p))
+        alive.discard(worst)
+        for p in near.pop(worst):
+            del near[p][worst]
+            if not near[p]:
+                del near[p]
+    return sorted(alive)
 
 
 @dataclass
@@ -130,16 +132,17 @@ class VectorTransformer:
         return r["missing"] <= MAX_MISSING and r["top"] is not None and r["top"] <= MAX_ABS and (r["variance"] or 0.0) > 0
 
     def _shaped(self, df: DataFrame, vector: str, out: str, kept: Sequence[int]) -> DataFrame:
-        p = self.params
-        cells: list[Column] = []
-        for i in kept:
-            x = nan_to_null(F.get(F.col(vector), F.lit(i)).cast("double"))
-            if p["lo"][i] is not None:
-                x = clip(x, F.lit(p["lo"][i]), F.lit(p["hi"][i]))
-            if p["fill"][i] is not None:
-                x = F.coalesce(x, F.lit(p["fill"][i]))
-            cells.append((x - p["center"][i]) / p["scale"][i])
-        return df.withColumn(out, F.array(*cells))
+        """The kept positions' values, clipped, filled and scaled. The parameters are one constant array that a single
+        expression walks, so the generated code does not grow with the width."""
+        p, number = self.params, lambda x: F.lit(x).cast("double")
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), *[number(p[k][i]).alias(k) for k in ("lo", "hi", "fill", "center", "scale")]) for i in kept])
+
+        def cell(s: Column) -> Column:
+            x = nan_to_null(F.get(F.col(vector), s["i"]).cast("double"))
+            x = F.when(s["lo"].isNull(), x).otherwise(clip(x, s["lo"], s["hi"]))
+            return (F.coalesce(x, s["fill"]) - s["center"]) / s["scale"]
+
+        return df.withColumn(out, F.transform(steps, cell))
 
     def transform(self, df: DataFrame, vector: str, out: str | None = None) -> DataFrame:
         if not self.params:
@@ -163,16 +166,20 @@ class VectorTransformer:
 
 
 #: Steps by kind of feature: binary and count vectors are neither clipped nor scaled.
-PRESETS = {
-    "continuous": {},
-    "binary": {"clipping": None, "scale": False, "min_variance": MIN_VARIANCE},
-    "integer": {"clipping": None, "scale": False, "min_variance": MIN_VARIANCE},
+KINDS = {"continuous": {}, "binary": {"clipping": None, "scale": False}, "integer": {"clipping": None, "scale": False}}
+# The kind of each named feature.
+NAMED = {
+    "binary": "AtomPair Daylight ECFP MACCS Klek",
+    "continuous": "Mordred CDDD ChemBERTa RDKit CDDD_internal MiniMol MiniLM Qwen3 MolEncoder",
+    "integer": "MAP MAPC AtomPairCount DaylightCount ECFPCount",
 }
+PRESETS = KINDS | {name: KINDS[kind] for kind, names in NAMED.items() for name in names.split()}
 
 
 def preset(kind: str) -> VectorTransformer:
+    """A transformer for a kind of feature, or for one of the named features."""
     if kind not in PRESETS:
-        raise ValueError(f"no preset {kind!r}; there are {sorted(PRESETS)}")
+        raise KeyError(f"no preset {kind!r}; there are {sorted(PRESETS)}")
     return VectorTransformer(**PRESETS[kind])
 
 
@@ -190,7 +197,7 @@ def merge_vectors(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
 def pca(df: DataFrame, vector: str, k: int, out: str, other: DataFrame | None = None) -> DataFrame:
     """other (or df) with the k principal components of df's vectors as out.
 
-    The covariance is one distributed aggregation of width x width sums; the driver decomposes that small matrix. Vectors
+    The covariance comes from one Gram matrix a partition; the driver decomposes the sum, width x width. Vectors
     are centred on df's means. k is cut to the width. A component's sign makes its largest loading positive.
     """
     import numpy as np
@@ -199,10 +206,9 @@ def pca(df: DataFrame, vector: str, k: int, out: str, other: DataFrame | None =
     v = F.col(vector).cast("array<double>")
     means = [r["m"] for r in df.select(F.posexplode(v).alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m")).orderBy("p").collect()]
     d = len(means)
-    pair = df.select(F.posexplode(v).alias("a", "x"), v.alias("v")).select("a", "x", F.posexplode("v").alias("b", "y")).where("a <= b")
     cov = np.zeros((d, d))
-    for r in pair.groupBy("a", "b").agg(F.covar_pop("x", "y").alias("c")).collect():
-        cov[r["a"], r["b"]] = cov[r["b"], r["a"]] = r["c"]
+    for r in position_products(df, vector).collect():
+        cov[r["a"], r["b"]] = cov[r["b"], r["a"]] = (r["sab"] - r["sa"] * r["sb"] / r["n"]) / r["n"] if r["n"] else 0.0
     values, axes = np.linalg.eigh(cov)
     axes = axes[:, np.argsort(-values)][:, : min(k, d)]
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])

@@ -275,6 +275,22 @@ def mad_sql(rounds: int) -> str:
     return f"WITH {', '.join(out)} SELECT k AS l_partkey, {value} AS price FROM r{rounds} GROUP BY k"
 
 
+def _censored_sql(rounds: int) -> str:
+    """Each relation's outlier rounds, unrolled, then the reconciliation."""
+    out = ["r0 AS (SELECT l_partkey AS k, CASE l_returnflag WHEN 'A' THEN '<' WHEN 'R' THEN '>' ELSE '=' END AS r, log10(l_extendedprice) AS v FROM lineitem)"]
+    for i in range(rounds):
+        out.append(f"s{i} AS (SELECT k, r, median(v) AS med, max(v) - min(v) > 1.0 AS wide FROM r{i} GROUP BY k, r)")
+        out.append(f"d{i} AS (SELECT r{i}.k, r{i}.r, v, med, wide, median(abs(v - med)) OVER (PARTITION BY r{i}.k, r{i}.r) AS mad FROM r{i} JOIN s{i} ON r{i}.k = s{i}.k AND r{i}.r = s{i}.r)")
+        out.append(f"r{i + 1} AS (SELECT k, r, v FROM d{i} WHERE NOT (wide AND mad > 0 AND 0.6745 * abs(v - med) / mad > 3.5))")
+    side = lambda r, f: f"max(CASE WHEN r = '{r}' AND ok THEN {f} END)"
+    out.append(f"g AS (SELECT k, r, max(v) - min(v) <= 1.0 AS ok, median(v) AS med, max(v) AS hi, min(v) AS lo FROM r{rounds} GROUP BY k, r)")
+    out.append(f"w AS (SELECT k, {side('=', 'med')} AS e, {side('>', 'hi')} AS a, {side('<', 'lo')} AS b, bool_or(r = '=' AND NOT ok) AS failed FROM g GROUP BY k)")
+    out.append("""f AS (SELECT k, CASE WHEN failed THEN NULL WHEN e IS NOT NULL THEN CASE WHEN coalesce(a - e > 1.0, false) OR coalesce(e - b > 1.0, false) THEN NULL ELSE e END
+  WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN b - a BETWEEN 0 AND 1.0 OR (a > b AND a - b < 0.5) THEN (a + b) / 2 END ELSE coalesce(a, b) END AS v,
+  CASE WHEN e IS NULL AND b IS NULL THEN '>' WHEN e IS NULL AND a IS NULL THEN '<' ELSE '=' END AS r FROM w)""")
+    return f"WITH {', '.join(out)} SELECT k AS l_partkey, {_r('v')} AS price, CASE WHEN v IS NOT NULL THEN r END AS relation FROM f"
+
+
 def _prices(s, d):
     return _t(s, d, "lineitem").select("l_partkey", F.log10("l_extendedprice").alias("price"))
 
@@ -294,7 +310,7 @@ def _(s, d):
     return dedup.mad_duplicates(_prices(s, d), "l_partkey", "price").groupBy("l_partkey").agg(F.count("*").alias("n"), F.count("price").alias("kept"))
 
 
-@query("ded_03_censored")
+@query("ded_03_censored", _censored_sql(6))
 def _(s, d):
     rows = _t(s, d, "lineitem").select("l_partkey", F.log10("l_extendedprice").alias("price"), F.when(F.col("l_returnflag") == "A", "<").when(F.col("l_returnflag") == "R", ">").otherwise("=").alias("relation"))
     return _fixed(dedup.censored_values(rows, "l_partkey", "price", "relation"), "price")
@@ -356,7 +372,7 @@ def _(s, d):
     return e.select("vec_id", F.size("m").cast("long").alias("n"), X.fixed(F.get("m", F.lit(0)).cast("double") + F.get("m", F.size("m") - 1)).alias("ends"))
 
 
-_TOKEN_SQL = r"(\[[^\]]+\]|Br|Cl|Si|Se|@@|%\d{2}|[A-Za-z]|\d|[-=#$:/\\.()+@*~>])"
+_TOKEN_SQL = r"(\[|\]|Cl|Br|Si|Se|Na|Ca|Li|Mg|Zn|Fe|Cu|Mn|Hg|Sn|As|Bi|Cd|se|Cr|Sb|[A-Z]|[a-z]|[=#/\\().+\-:]|\d)"
 
 
 @query("fea_19_alphabet", f"WITH c AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(p_type, '{_TOKEN_SQL}', 1)) AS t FROM part) GROUP BY t) SELECT '<pad>' AS token, 0 AS code UNION ALL SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) AS INT) FROM c UNION ALL SELECT '<unk>', CAST((SELECT count(*) FROM c) + 1 AS INT)")
@@ -507,10 +523,26 @@ def _(s, d):
     return cluster.kmeans_cluster(_t(s, d, "embeddings"), "embedding", 5).groupBy("Cluster").agg(F.count("*").alias("n"))
 
 
-@query("emb_01_02_pca", f"WITH {_CELLS}, m AS (SELECT pos, avg(x) AS mean FROM cells GROUP BY pos) SELECT count(*) AS n, 3 AS k, 0.0::DOUBLE AS mean FROM embeddings")
+_THREE = "z AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) * 2 AS y FROM embeddings), m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM z), l AS (SELECT *, (a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c) AS l1, (a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c) AS l2 FROM m)"
+
+
+@query("emb_01_02_pca", f"WITH {_THREE}, u AS (SELECT *, c / sqrt(c * c + (l1 - a) * (l1 - a)) AS ux, (l1 - a) / sqrt(c * c + (l1 - a) * (l1 - a)) AS uy FROM l), g AS (SELECT *, CASE WHEN abs(ux) > abs(uy) THEN sign(ux) ELSE sign(uy) END AS s FROM u) SELECT vec_id, {_r('s * (ux * (x - mx) + uy * (y - my))')} AS first FROM z, g")
 def _(s, d):
-    e = transform.pca(_t(s, d, "embeddings"), "embedding", 3, "p")
-    return e.agg(F.count("*").alias("n"), F.max(F.size("p")).alias("k"), X.fixed(F.avg(F.get("p", F.lit(0))), 6).alias("mean"))
+    e = _t(s, d, "embeddings").select("vec_id", F.array(F.get("embedding", F.lit(0)).cast("double"), 2 * F.get("embedding", F.lit(1)).cast("double")).alias("v"))
+    return transform.pca(e, "v", 2, "p").select("vec_id", X.fixed(F.get("p", F.lit(0))).alias("first"))
+
+
+@query("emb_01_02_pca_spectrum", f"WITH {_CELLS}, v AS (SELECT pos, var_pop(x) AS v FROM cells GROUP BY pos) SELECT count(*) AS width, {_r('sum(v)')} AS total, 0.0::DOUBLE AS mixed, true AS falling FROM v")
+def _(s, d):
+    # all components: their variances add up to the data's, fall, and are uncorrelated
+    e = _t(s, d, "embeddings")
+    p = transform.pca(e, "embedding", 10_000, "p").select("p")
+    found = relational.position_products(p, "p").withColumn("c", (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.col("n"))
+    own = found.where("a = b").select("a", "c")
+    pairs = own.join(own.select((F.col("a") - 1).alias("a"), F.col("c").alias("after")), "a").agg((F.max(F.col("after") - F.col("c")) < 1e-9).alias("falling"))
+    sums = own.agg(F.count("*").alias("width"), X.fixed(F.sum("c")).alias("total"))
+    off = found.where("a < b").agg(X.fixed(F.max(F.abs("c"))).alias("mixed"))
+    return sums.crossJoin(off).crossJoin(pairs)
 
 
 @query("par_01_bins", "WITH q AS (SELECT quantile_cont(c_acctbal, [0.2, 0.4, 0.6, 0.8]) AS q FROM customer) SELECT c_custkey, CAST(1 + len(list_filter(q, lambda x: c_acctbal >= x)) AS INT) AS \"Bin\" FROM customer, q")
@@ -699,17 +731,18 @@ def _(s, d):
 
 def _effects_sql() -> str:
     step = lambda c, ls: " + ".join(f"CASE WHEN {c} >= {x} THEN 1 ELSE 0 END" for x in ls)
-    return f"""WITH e AS (SELECT 'o_orderpriority' AS effect, o_orderpriority AS level, o_custkey AS r FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, o_custkey FROM orders),
+    return f"""WITH e AS (SELECT 'o_orderpriority' AS effect, o_orderpriority AS level, o_custkey AS r FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, o_custkey FROM orders UNION ALL SELECT 'place', CAST(o_orderkey % 97 // 3 * 5 % 31 AS VARCHAR), o_custkey FROM orders),
 p AS (SELECT effect, level, count(*) AS n, count(DISTINCT r) AS n_random, count(*) * 1.0::DOUBLE / (SELECT count(*) FROM orders) AS f FROM e GROUP BY ALL),
 q AS (SELECT effect, level, n, n_random, {_sig('f', 3)} AS fraction FROM p),
-k AS (SELECT *, {step('n', (5, 10, 20))} AS a, {step('fraction', (0.01, 0.05, 0.1))} AS b, {step('n_random', (2, 3, 5))} AS c FROM q)
-SELECT effect, level, n, fraction, n_random, ['Invalid', 'Weak', 'Fair', 'Good'][least(a, b, c) + 1] AS outcome,
-  concat_ws(', ', CASE WHEN a = least(a, b, c) AND a < 3 THEN 'count' END, CASE WHEN b = least(a, b, c) AND b < 3 THEN 'fraction' END, CASE WHEN c = least(a, b, c) AND c < 3 THEN 'random' END) AS reasons FROM k"""
+k AS (SELECT *, {step('n', (10, 30, 100))} AS a, {step('fraction', (0.02, 0.05, 0.1))} AS b, {step('n_random', (5, 10, 20))} AS c, least(a, b, c) AS w FROM q)
+SELECT effect, level, n, fraction, n_random, ['Insufficient', 'Minimal', 'Sufficient', 'Adequate'][w + 1] AS outcome,
+  CASE w WHEN 0 THEN 'Failed: ' WHEN 1 THEN 'Minimal: ' ELSE '' END || CASE WHEN w > 1 THEN '' ELSE concat_ws('|', CASE WHEN a = w THEN 'n_obs' END, CASE WHEN b = w THEN 'frac' END, CASE WHEN c = w THEN 'o_custkey' END) END AS reason FROM k"""
 
 
 @query("sta_01_effects", _effects_sql())
 def _(s, d):
-    return stats.effect_levels(_t(s, d, "orders"), ["o_orderpriority", "o_orderstatus"], "o_custkey")
+    o = _t(s, d, "orders").withColumn("place", F.floor(F.col("o_orderkey") % 97 / 3) * 5 % 31)
+    return stats.effect_levels(o, ["o_orderpriority", "o_orderstatus", "place"], "o_custkey")
 
 
 @query("sta_02_mann_whitney", f"""WITH t AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events), v AS (SELECT event_type = a AS first, value FROM events, t WHERE event_type IN (a, b)),

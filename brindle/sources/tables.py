@@ -27,16 +27,29 @@ COMPRESSIBLE = ("csv", "tsv")
 def settle(df: DataFrame) -> DataFrame:
     """df written to the shared folder that spark.checkpoint.dir names and read back, which ends its lineage.
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own; a cluster without it is an error, as
+    its executors share no other folder.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.brindle.settled.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.brindle.settled.dir", folder)
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a settled table that no later step reads; any other DataFrame is left alone."""
+    if hasattr(df, "settled_path"):
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def extensions(path: str) -> tuple[str, str | None]:
@@ -100,7 +113,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     raise ValueError(f"no reader for .{kind}")
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists", **options) -> None:
     """csv, tsv (gz or bz2), parquet (zstd), orc and json by extension."""
     kind, packed = extensions(path)
     if kind in ("csv", "tsv"):

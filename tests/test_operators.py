@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,90 @@ def test_minimal_split(spark):
 def test_temporal_split(spark):
     df = spark.createDataFrame([(t,) for t in range(1, 7)], "t int")
     assert sorted(r["t"] for r in split.temporal_split(df, "t", 0.33).where("Set = 'Test'").collect()) == [4, 5, 6]
+    assert split.temporal_split(df, "t", 1.0).where("Set = 'Test'").count() == 6
+    assert [r["t"] for r in split.temporal_split(df, "t", 0.0).where("Set = 'Test'").collect()] == [6]
+    assert split.temporal_split(df.where("false"), "t", 0.2).count() == 0
+    ties = df.unionByName(spark.createDataFrame([(None,), (6,), (6,)], "t int"))
+    assert sorted(r["t"] for r in split.temporal_split(ties, "t", 0.2).where("Set = 'Test'").collect()) == [6, 6, 6]
+
+
+def test_cluster_folds(spark):
+    df = spark.range(60).select("id", (F.col("id") % 12).alias("c"), (F.col("id") % 2).alias("s"))
+    got = split.cluster_folds(df, 3, "c", "s")
+    assert got.groupBy("c").agg(F.count_distinct("Fold").alias("n")).where("n > 1").count() == 0 and got.count() == 60
+    with pytest.raises(RuntimeError, match="not balanced"):
+        split.cluster_folds(df.withColumn("c", F.when(F.col("id") < 50, 0).otherwise(F.col("id"))), 3, "c")
+    rows = [(f"m{i}", [1, 0, 0, 0] if i % 4 == 0 else [0, 1, 0, 0] if i % 4 == 1 else [0, 0, 1, 0] if i % 4 == 2 else [0, 0, 0, 1]) for i in range(40)]
+    mols = spark.createDataFrame(rows + rows[:4], "s string, v array<int>")
+    for fn in (split.butina_folds, split.component_folds):
+        got = fn(mols, 2, "s", "v")
+        assert got.count() == 44 and got.groupBy("v").agg(F.count_distinct("Fold").alias("n")).where("n > 1").count() == 0
+    got = split.scaffold_folds(mols, 2, "s", F.substring("s", -1, 1), tolerance=0.5)
+    assert got.groupBy(F.substring("s", -1, 1)).agg(F.count_distinct("Fold").alias("n")).where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("probs", [[0.0, 0.5, 1.0], [0.013, 0.2, 0.99]])
+def test_exact_quantiles(spark, probs):
+    rng = np.random.default_rng(3)
+    data = {"few": rng.normal(size=7), "many": rng.normal(size=30_000), "ties": rng.integers(0, 5, size=25_000).astype(float), "one": np.array([2.5])}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in data.items()] + [pd.DataFrame({"k": ["few", "none"], "v": [float("nan")] * 2})]))
+    got = {r["k"]: r["q"] for r in relational.exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == set(data)
+    for k, v in data.items():
+        assert got[k] == pytest.approx(np.quantile(v, probs).tolist())
+    whole = relational.quantiles(df, "v", probs).orderBy("prob").collect()
+    assert [r["quantile"] for r in whole] == pytest.approx(np.quantile(np.concatenate(list(data.values())), probs).tolist())
+
+
+def test_places_by_range(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("g"), (F.col("id") * 37 % 1009).alias("o"), F.lit(2).alias("w")).repartition(5)
+    got = relational.running_total(df, ["g"], ["o"], "w", "t").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["o"]):
+        assert r["t"] == by.get(r["g"], 0)
+        by[r["g"]] = by.get(r["g"], 0) + 2
+    for n in (0, 1, 499, 1000):
+        assert relational.sample_exact(df, "id", n=n).count() == n
+    assert split.random_split(df, 0.25, "id").where("Set = 'Test'").count() == 250
+
+
+def test_mad_rounds_are_those_of_the_values(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(x)) for k in range(40) for x in np.r_[rng.normal(5, 0.2, size=rng.integers(1, 30)), rng.normal(5, 4, size=rng.integers(0, 4))]] + [(None, 1.0), (1, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(7)
+    want = {r["k"]: r["v"] for r in dedup.mad_values(df, "k", "v").collect()}
+    got = {r["k"]: r["v"] for r in dedup.mad_rounds(df, "k", "v", 30).collect()}
+    assert set(got) == set(want) == set(range(40))
+    for k in want:
+        values = np.sort([v for q, v in rows if q == k and v is not None])
+        assert got[k] == pytest.approx(want[k]) == pytest.approx(dedup.consensus(values, 1.0, 3.5))
+
+
+def test_pruning_by_the_high_correlations_alone():
+    # 1 has two high ones; of 3 and 4, 4's only high one is the same, so the smaller goes
+    pairs = [(0, 1, 0.95), (1, 2, 0.92), (0, 2, 0.1), (3, 4, 0.99), (0, 3, 0.89), (0, 4, 0.0)]
+    assert transform.prune_correlated(pairs, [0, 1, 2, 3, 4]) == [0, 2, 4]
+    assert len(transform.PRESETS) == 3 + 19 and transform.preset("ECFP").clipping is None
+
+
+def test_side_tables(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 1.2), ("c", 1.0), ("c", 5.0), (None, 1.0)], "k string, v double")
+    got = dedup.duplicate_tables(df, "k", "v")
+    assert {n: sorted(tuple(r) for r in t.collect()) for n, t in got.items()} == {"unique": [("a", 1.0)], "agreed": [("b", 1.1, 2)], "failed": [("c", 1.0), ("c", 5.0)]}
+    done = spark.createDataFrame([(1, "ok", None), (2, "bad", "x"), (3, None, "y")], "i int, s string, r string")
+    kept, others = dedup.outcome_tables(done, "s", "ok", ["i"], "r")
+    assert [r["i"] for r in kept.collect()] == [1] and sorted(tuple(r) for r in others.collect()) == [(2, "bad", "x"), (3, "missing", "y")]
+
+
+def test_norm_bands_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=3) * rng.exponential()).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, v array<double>")
+    whole = {(r["src"], r["dst"]) for r in distance.pairwise(df, "i", "v").where("distance <= 0.2").collect()}
+    assert whole == {(r["src"], r["dst"]) for r in distance.pairwise(df, "i", "v", threshold=0.2, block_rows=16).collect()}
+    bits = spark.createDataFrame([(i, (rng.random(12) < rng.random()).astype(int).tolist()) for i in range(200)], "i int, v array<int>")
+    whole = {(r["src"], r["dst"]) for r in distance.pairwise(bits, "i", "v", "tanimoto").where("distance <= 0.4").collect()}
+    assert whole == {(r["src"], r["dst"]) for r in distance.pairwise(bits, "i", "v", "tanimoto", 0.4, block_rows=16).collect()}
 
 
 def test_splits_conserve_rows(spark):
@@ -228,9 +313,12 @@ def test_mann_whitney(spark):
 
 
 def test_effects(spark):
-    df = spark.range(200).select(F.when(F.col("id") < 4, "rare").otherwise("common").alias("f"), (F.col("id") % 30).alias("r"))
+    df = spark.range(1000).select(F.when(F.col("id") < 9, "rare").when(F.col("id") < 40, "few").otherwise("common").alias("f"), (F.col("id") % 30).alias("r"))
     got = {r["level"]: r for r in stats.effect_levels(df, ["f"], "r").collect()}
-    assert got["common"]["outcome"] == "Good" and got["common"]["reasons"] == "" and got["rare"]["outcome"] == "Invalid" and got["rare"]["reasons"] == "count"
+    assert got["common"]["outcome"] == "Adequate" and got["common"]["reason"] == ""
+    assert got["rare"]["outcome"] == "Insufficient" and got["rare"]["reason"] == "Failed: n_obs|frac"
+    assert got["few"]["outcome"] == "Minimal" and got["few"]["reason"] == "Minimal: frac"
+    df = df.where("f <> 'few'")
     assert not stats.effect_summary(stats.effect_levels(df, ["f"], "r")).first()["usable"]
 
 
@@ -239,7 +327,7 @@ def test_text(spark):
     assert df.select(text.tokens("s")).first()[0] == ["C", "C", "Br"]
     codes = [r["token"] for r in text.alphabet(df, "s").orderBy("code").collect()]
     assert codes[0] == text.PAD and codes[-1] == text.UNK
-    coded = text.encode_tokens(df, "s", codes, 8)
+    coded = text.encode_tokens(df, "s", codes, 10)
     assert [r[0] for r in coded.select(text.decode_tokens("tokens", codes)).collect()] == ["CCBr", "c1cc[nH]c1"]
     with pytest.raises(Exception, match="more tokens"):
         text.encode_tokens(df, "s", codes, 2).collect()
@@ -352,10 +440,17 @@ def test_activity(spark):
     rows = [("C", "100"), ("C", "100"), ("C", "120"), ("N", ">50"), ("O", "1"), ("O", "1000"), ("", "5"), ("S", "bad")]
     got = {r["SMILES"]: round(r["pIC50"], 3) for r in activity.clean_binding(spark.createDataFrame(rows, "SMILES string, `IC50 (nM)` string")).collect()}
     assert got == {"C": round((7 + -math.log10(1.2e-7)) / 2, 3)}
-    cols = "SMILES string, Type string, Relation string, Units string, Value double, Validity string, Assay_Desc string"
-    rows = [("C", "Ki", "'='", "nM", 5.0, "", "wild"), ("C", "Ki", "=", "nM", 5.4, None, "wild"), ("N", "Ki", "=", "nM", 5.0, None, "Mutant x"), ("O", "Ki", ">", "nM", 5.0, None, "wild")]
+    cols = "Smiles string, `Standard Type` string, Relation string, Units string, `pChEMBL Value` double, Validity string, Assay_Desc string, Type_Target string, Assay_Organism string, Value double"
+    human = ("SINGLE PROTEIN", "Homo sapiens", 1e4)
+    rows = [
+        ("C", "Ki", "'='", "nM", 5.0, "", "wild", *human), ("C", "Ki", "=", "nM", 5.4, None, None, *human), ("N", "Ki", "=", "nM", 5.0, None, "Mutant x", *human),
+        ("O", "Ki", ">", "nM", 5.0, None, "wild", *human), ("P", "Ki", "=", "uM", 5.0, None, "wild", *human), ("S", "Ki", "=", "nM", 5.0, None, "wild", "CELL-LINE", "Homo sapiens", 1.0),
+        ("F", "Ki", "=", "nM", 5.0, None, "wild", "SINGLE PROTEIN", "Mus musculus", 1.0), ("I", "Ki", "=", "nM", None, None, "wild", *human), ("B", "IC50", "=", "nM", 5.0, None, "wild", *human),
+    ]
     got = activity.clean_chembl(spark.createDataFrame(rows, cols), "Ki").collect()
-    assert [(r["SMILES"], round(r["Value"], 6)) for r in got] == [("C", 5.2)]
+    assert [(r["SMILES"], round(r["pChEMBL_Value"], 6)) for r in got] == [("C", 5.2)]
+    with pytest.raises(ValueError):
+        activity.clean_chembl(spark.createDataFrame(rows, cols), "EC50")
 
 
 def test_populations(spark):
