@@ -36,11 +36,13 @@ def fresh(taken: list[str], name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. It is the cluster's spark.checkpoint.dir; only a session without one (tests) gets its own."""
+    """The folder all executors share. It is the cluster's spark.checkpoint.dir; only a local session without one (tests) gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.brindle.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.brindle.checkpoint.dir", folder)
     return folder
