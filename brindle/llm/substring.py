@@ -3,17 +3,18 @@
 A window is `window` consecutive words. A window is removed if the same words also start earlier: in a document with a
 smaller id, or earlier in the same document. Every word that a removed window covers goes.
 
-1. Confirm. Each window names one of its five-word phrases, the one with the least hash. Equal windows name equal phrases,
+1. Confirm. Each window names one of its five-word phrases, the first with the least hash. Equal windows name equal phrases,
    so a phrase that is named once in the whole corpus belongs to no recurring window. Counting named phrases (one for
-   about eight words) confirms the recurring ones.
-2. Compile and stream. Documents are dealt into shards by id, and each shard gets the confirmed phrases that its documents
-   name. It compiles them into an Aho-Corasick automaton and streams every one of its documents through it, which locates
-   every occurrence; windows whose named phrase is located are candidates.
-3. Settle. The candidate windows of all documents meet by their 128-bit hash (96 bits are kept), which gives each one's
-   first place. A candidate elsewhere than at its first place is removed.
-
-No stage gathers the places of a phrase: counts and first places are aggregates, and what a shard holds grows with its own
-documents only.
+   about eight words) confirms the recurring ones; one occurrence, wherever in the corpus, gives a phrase's bytes.
+2. Compile and stream. Documents are dealt into shards by how they open, so that copies meet in a shard. A shard is sent the bytes of the confirmed phrases that are
+   named in it, compiles them into an Aho-Corasick automaton and streams every one of its documents through it. What the
+   automaton locates, byte for byte, are the occurrences; a window is a candidate if the phrase it names is located. Where a
+   hash was shared by unlike phrases, nothing is located and nothing is removed.
+3. Settle. The distinct candidate windows of all shards meet by two independent 64-bit hashes of all of their words, which
+   gives each one's first place. A candidate elsewhere than at its first place is removed.
+
+No stage gathers the places of a phrase or a window: a shard counts its own first, counts and first places are aggregates,
+and what a shard holds grows with its own documents only. A passage in every document is one row a shard.
 """
 
 from __future__ import annotations
@@ -23,19 +24,29 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.llm.common import discard, fresh, read, release, settle, words
+from brindle.llm.common import blocks, discard, fresh, read, release, settle, words
 
 WINDOW = 20
 PHRASE = 5
+#: Bytes of text whose phrases are counted together before they are sent on.
+BLOCK_BYTES = 4 << 20
+#: Low bits of a phrase's hash that give way to its place; longer texts are searched in overlapping parts.
+PLACE_BITS = 24
+#: Candidate windows that a shard's task holds before it reduces them to first places.
+HELD_WINDOWS = 400_000
 #: Bytes of text that one shard holds, about; a shard's automaton is compiled from these documents' phrases alone.
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 4_000_000
 #: At least so many shards, so that a small table still spreads.
 MIN_SHARDS = 48
-#: Ids are below this; rows without an id come after all others, by the hash of their text.
+#: Documents are dealt by a hash of so many first characters: copies mostly open alike. It decides where work is done, not what is found.
+ROUTE_CHARS = 64
+#: Ids are below this; rows without a number come after all others, by a hash.
 NO_ID = 1 << 62
 
 # Odd multipliers of the rolling hashes.
@@ -70,8 +81,15 @@ def _phrase_hashes(h: np.ndarray, phrase: int) -> np.ndarray:
 
 
 def named(g: np.ndarray, span: int) -> np.ndarray:
-    """For each window, where the phrase it names starts: the first least of its span phrase hashes."""
-    return np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
+    """For each window, where the phrase it names starts: the first of its span phrases whose hash is least in its upper bits."""
+    n = len(g) - span + 1
+    if len(g) > 1 << PLACE_BITS:
+        return np.concatenate([named(g[i : i + (1 << PLACE_BITS)], span) + i for i in range(0, n, (1 << PLACE_BITS) - span + 1)])
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least, width = g & ~low | np.arange(len(g), dtype=np.uint64), 1
+    while 2 * width <= span:  # the least of runs of 2, 4, 8, ... places
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    return (np.minimum(least[:n], least[span - width : span - width + n]) & low).astype(np.int64)
 
 
 def _steps(a: np.ndarray) -> np.ndarray:
@@ -80,89 +98,116 @@ def _steps(a: np.ndarray) -> np.ndarray:
 
 
 def _named_phrases(window: int, phrase: int):
+    """(h, shard, n, t): the phrases that a shard's texts name, how often, and their bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hs, ps = [], []
-            for shard, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = t.split()
-                if len(w) < window:
+        for batch in batches:
+            for b in blocks(batch, 1, BLOCK_BYTES):
+                found, texts = [], []
+                for shard, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    w = t.split()
+                    if len(w) < window:
+                        continue
+                    g = _phrase_hashes(word_hashes(w), phrase)
+                    at = _steps(named(g, window - phrase + 1))
+                    rows = np.zeros(len(at), dtype=[("h", "<u8"), ("p", "<i4"), ("text", "<i4"), ("at", "<i4")])
+                    rows["h"], rows["p"], rows["text"], rows["at"] = g[at], shard, len(texts), at
+                    found.append(rows)
+                    texts.append(w)
+                if not found:
                     continue
-                g = _phrase_hashes(word_hashes(w), phrase)
-                hs.append(g[_steps(named(g, window - phrase + 1))])
-                ps.append(np.full(len(hs[-1]), shard, dtype=np.int32))
-            if not hs:
-                continue
-            rows = np.zeros(sum(map(len, hs)), dtype=[("h", "<u8"), ("p", "<i4")])
-            rows["h"], rows["p"] = np.concatenate(hs), np.concatenate(ps)
-            rows, n = np.unique(rows, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["h"].view(np.int64) if rows["h"].flags.c_contiguous else rows["h"].copy().view(np.int64)), pa.array(rows["p"].copy()), pa.array(n.astype(np.int32))], names=["h", "shard", "n"])
+                rows = np.concatenate(found)
+                rows = rows[np.lexsort((rows["p"], rows["h"]))]
+                first = np.flatnonzero(np.r_[True, (rows["h"][1:] != rows["h"][:-1]) | (rows["p"][1:] != rows["p"][:-1])])
+                n = np.diff(np.r_[first, len(rows)])
+                rows = rows[first]
+                said = [b" ".join(texts[i][j : j + phrase]) for i, j in zip(rows["text"].tolist(), rows["at"].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows["h"].copy().view(np.int64)), pa.array(rows["p"].copy()), pa.array(n.astype(np.int32)), pa.array(said, pa.binary())], names=["h", "shard", "n", "t"])
 
     return run
 
 
-def _candidates(window: int, phrase: int, text_at: int, name: str):
-    """Adds to a shard's documents the ranges of window starts that are candidates, as start, end, start, end, ..."""
+_FOUND = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32())])
+
+
+def _located(line: bytes, w: list[bytes], automaton: ahocorasick.Automaton, phrase: int) -> np.ndarray:
+    """Whether one of the automaton's phrases starts at each word; line is the words between single spaces."""
+    ends = np.fromiter((e for e, _ in automaton.iter(line.decode("latin-1"))), dtype=np.int64)
+    blanks = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1)
+    out = np.zeros(len(w) + 1, dtype=bool)
+    out[np.searchsorted(blanks, ends) + 1 - phrase] = True
+    return out
+
+
+def _candidates(window: int, phrase: int):
+    """Compiles the phrases that a shard was sent and streams its documents through the automaton.
+
+    Ranges travel as bytes: Spark's Arrow writer measures a list column anew for every row.
+
+    Gives, for each text with a candidate, the ranges of its candidate window starts (start, end, start, end, ...), and
+    for each distinct candidate window of the shard its hashes and first place there.
+    """
     span = window - phrase + 1
 
     def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
-        keys = np.sort(confirmed.column("h").to_numpy().view(np.uint64)) if confirmed.num_rows else np.array([], dtype=np.uint64)
-        texts = docs.column(text_at).cast(pa.binary()).to_pylist()
-        automaton, seen = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), []
-        for t in texts:
-            w = (t or b"").split()
-            if len(w) < window or not len(keys):
-                seen.append(None)
+        if not docs.num_rows or not confirmed.num_rows:
+            return _FOUND.empty_table()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for t in confirmed.column("t"):
+            automaton.add_word((b" " + t.as_py() + b" ").decode("latin-1"))
+        automaton.make_automaton()
+        parts, firsts, held = [], None, 0
+        seen: set[tuple[int, int]] = set()
+        whole = []
+        for key, h, t in zip(docs.column("key").to_pylist(), docs.column("text_hash").to_pylist(), docs.column("t"), strict=True):
+            if (key, h) in seen:
+                continue  # the same row again: nothing new
+            seen.add((key, h))
+            w = t.as_py().split()
+            if len(w) < window:
+                continue
+            there = _located(b" " + b" ".join(w) + b" ", w, automaton, phrase)
+            if not there.any():
                 continue
-            g = _phrase_hashes(word_hashes(w), phrase)
-            starts = named(g, span)
-            at = _steps(starts)
-            found = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
-            for i in at[keys[found] == g[at]].tolist():
-                automaton.add_word((b" " + b" ".join(w[i : i + phrase]) + b" ").decode("latin-1"))
-            seen.append(starts)
-        if len(automaton):
-            automaton.make_automaton()
-        spans: list[list[int]] = []
-        for t, starts in zip(texts, seen, strict=True):
-            if starts is None or not len(automaton):
-                spans.append([])
+            words_ = word_hashes(w)
+            mark = there[named(_phrase_hashes(words_, phrase), span)]
+            at = np.flatnonzero(mark).astype(np.int32)
+            if not len(at):
                 continue
-            w = t.split()
-            line = (b" " + b" ".join(w) + b" ").decode("latin-1")
-            ends = np.fromiter((e for e, _ in automaton.iter(line)), dtype=np.int64)
-            blanks = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1)
-            located = np.zeros(len(w) + 1, dtype=bool)
-            located[np.searchsorted(blanks, ends) + 1 - phrase] = True
-            edge = np.flatnonzero(np.diff(np.r_[0, located[starts].astype(np.int8), 0]))
-            spans.append(edge.tolist())
-        return docs.append_column(name, pa.array(spans, type=pa.list_(pa.int32())))
+            edge = np.flatnonzero(np.diff(np.r_[0, mark.astype(np.int8), 0]))
+            whole.append((key, h, edge.astype("<i4").tobytes()))
+            parts.append(_windows(words_, at, window, key))
+            held += len(at)
+            if held > HELD_WINDOWS:
+                firsts, parts, held = _first_places([*([] if firsts is None else [firsts]), *parts]), [], 0
+        if not whole:
+            return _FOUND.empty_table()
+        rows = _first_places([*([] if firsts is None else [firsts]), *parts])
+        none, blank, here = len(whole), len(rows), docs.column("shard")[0].as_py()
+        spans = pa.table([pa.array(np.full(none, here, dtype=np.int32)), pa.array([x[0] for x in whole], pa.int64()), pa.array([x[1] for x in whole], pa.int64()), pa.array([x[2] for x in whole], pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32())], schema=_FOUND)
+        windows = pa.table([pa.array(np.full(blank, here, dtype=np.int32)), pa.array(rows["key"].copy()), pa.nulls(blank, pa.int64()), pa.nulls(blank, pa.binary()), pa.array(rows["a"].copy()), pa.array(rows["b"].copy()), pa.array(rows["start"].copy())], schema=_FOUND)
+        return pa.concat_tables([spans, windows])
 
     return run
 
 
-def _starts(spans: list[int]) -> np.ndarray:
-    return np.concatenate([np.arange(a, b, dtype=np.int32) for a, b in zip(spans[::2], spans[1::2], strict=True)])
+def _windows(h: np.ndarray, at: np.ndarray, window: int, key: int) -> np.ndarray:
+    """A row for each window that starts at one of at: two independent 64-bit hashes and the place."""
+    rows = np.zeros(len(at), dtype=[("a", "<i8"), ("b", "<i8"), ("key", "<i8"), ("start", "<i4")])
+    rows["a"], rows["b"] = _rolled(h, window, _P1)[at].view(np.int64), _rolled(h, window, _P2)[at].view(np.int64)
+    rows["key"], rows["start"] = key, at
+    return rows
 
 
-def _window_hashes(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, t, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, at = word_hashes(t.split()), _starts(spans)
-                rows = np.zeros(len(at), dtype=[("a", "<i8"), ("b", "<i4"), ("key", "<i8"), ("start", "<i4")])
-                rows["a"] = _rolled(h, window, _P1)[at].view(np.int64)
-                rows["b"] = (_rolled(h, window, _P2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows["key"], rows["start"] = key, at
-                out.append(rows)
-            rows = np.concatenate(out)
-            rows = rows[np.lexsort((rows["start"], rows["key"], rows["b"], rows["a"]))]
-            rows = rows[np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])]]
-            for at in range(0, len(rows), 100_000):
-                part = rows[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[c].copy()) for c in ("a", "b", "key", "start")], names=["a", "b", "key", "start"])
+def _first_places(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows["start"], rows["key"], rows["b"], rows["a"]))]
+    return rows[np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])]]
 
-    return run
+
+def _starts(spans: bytes) -> np.ndarray:
+    edges = np.frombuffer(spans, dtype="<i4").tolist()
+    return np.concatenate([np.arange(a, b, dtype=np.int32) for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
 def cut(t: bytes, gone: np.ndarray) -> bytes:
@@ -186,25 +231,46 @@ def _word_starts(t: bytes, n: int) -> np.ndarray:
     return starts
 
 
-def _cut_repeats(window: int, text_at: int, key_at: int, spans_at: int, names: list[str]):
-    """From a shard's candidate documents and its first places, the documents with n_words, n_removed and the text left."""
-
-    def run(docs: pa.Table, firsts: pa.Table) -> pa.Table:
-        keys, starts = firsts.column("key").to_numpy(), firsts.column("start").to_numpy()
-        order = np.lexsort((starts, keys))
-        keys, starts = keys[order], starts[order]
-        texts, n_words, n_removed = [], [], []
-        for t, key, spans in zip(docs.column(text_at).cast(pa.binary()).to_pylist(), docs.column(key_at).to_pylist(), docs.column(spans_at).to_pylist(), strict=True):
-            n = len(t.split())
-            lo, hi = np.searchsorted(keys, [key, key + 1])
-            again = np.setdiff1d(_starts(spans), starts[lo:hi], assume_unique=True)
-            edge = np.zeros(n + 1, dtype=np.int32)
-            np.add.at(edge, again, 1)
-            np.add.at(edge, again + window, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            texts.append(cut(t, gone) if len(again) else t)
+def _cut_repeats(window: int, text_at: int, names: list[str]):
+    """From a shard's documents and what is known of it (spans of candidates, first places), the documents with n_words, n_removed and the text left."""
+
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        spans, firsts = {}, {}
+        if known.num_rows:
+            is_span = known.column("spans").is_valid()
+            of = known.filter(is_span)
+            spans = {(k, h): s for k, h, s in zip(of.column("key").to_pylist(), of.column("text_hash").to_pylist(), of.column("spans").to_pylist(), strict=True)}
+            of = known.filter(pc.invert(is_span))
+            keys, starts, hashes = (of.column(c).to_numpy() for c in ("key", "start", "a"))
+            order = np.argsort(keys, kind="stable")
+            keys, starts, hashes = keys[order], starts[order], hashes[order]
+            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, dtype=np.int64)
+            firsts = {int(keys[i]): (starts[i:j], hashes[i:j]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
+        one = {}  # texts of each key
+        for k, _ in spans:
+            one[k] = one.get(k, 0) + 1
+        texts, n_words, n_removed, n_cols = [], [], [], docs.num_columns
+        rows = zip((t.as_py() for t in docs.column(text_at).cast(pa.binary())), docs.column(n_cols - 3).to_pylist(), docs.column(n_cols - 1).to_pylist(), strict=True)
+        for t, key, h in rows:
+            w = (t or b"").split()
+            n, gone, mine = len(w), None, spans.get((key, h))
+            if mine is not None:
+                at = _starts(mine)
+                first, hashed = firsts.get(key, (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)))
+                if one[key] > 1:  # texts that share an id: a place is this text's only if the window there is
+                    own = _windows(word_hashes(w), at, window, key)["a"]
+                    pairs = set(zip(first.tolist(), hashed.tolist(), strict=True))
+                    again = at[[p not in pairs for p in zip(at.tolist(), own.tolist(), strict=True)]]
+                else:
+                    again = np.setdiff1d(at, first, assume_unique=True)
+                edge = np.zeros(n + 1, dtype=np.int32)
+                np.add.at(edge, again, 1)
+                np.add.at(edge, again + window, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+            cuts = gone is not None and bool(gone.any())
+            texts.append(cut(t, gone) if cuts else t)
             n_words.append(n)
-            n_removed.append(int(gone.sum()))
+            n_removed.append(int(gone.sum()) if cuts else 0)
         out = docs.set_column(text_at, names[text_at], pa.array(texts, type=pa.binary()).cast(pa.string()))
         out = out.select(range(len(names)))
         return out.append_column("n_words", pa.array(n_words, type=pa.int64())).append_column("n_removed", pa.array(n_removed, type=pa.int64()))
@@ -212,48 +278,68 @@ def _cut_repeats(window: int, text_at: int, key_at: int, spans_at: int, names: l
     return run
 
 
-def doc_key(id_col: str, text_col: str) -> Column:
-    """The long by which documents are earlier or later."""
-    unnamed = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
-    return F.coalesce(F.col(id_col).cast("long"), unnamed)
+def doc_key(id_col: str, text_col: str, kind: T.DataType) -> Column:
+    """The long by which documents are earlier or later: a whole number's value; of any other id, and of rows without one, a hash behind all numbers."""
+    hashed = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    return F.coalesce(F.col(id_col).cast("long"), hashed) if isinstance(kind, T.IntegralType) else hashed
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs with the repeated passages cut from text, and n_words (before) and n_removed as last columns.
 
-    Columns of docs with these two names are replaced; all others are kept. Null texts have no words and stay null. Rows
-    that share an id count as one document: at equal starts neither is earlier. Rows with a null id come after all others, by the hash of
-    their text; among equal texts of that kind nothing is removed. An empty table gives an empty table.
+    Columns of docs with these two names are replaced; all others are kept. Null texts have no words and stay null; empty
+    and short texts lose nothing. Rows that share an id count as one document: at equal starts neither is earlier. Ids are
+    whole numbers below 2^62; ids of other types, and rows with a null id, come in the order of a hash (of the id, or of the
+    text), after all numbers; among equal texts without an id nothing is removed. An empty table gives an empty table. Texts
+    may be of any length: a task holds a shard's texts and phrases, and a longer text is a shard's only one.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed")])
     names = docs.columns
-    key, shard, spans = (fresh(names, x) for x in ("_key", "_shard", "_spans"))
+    key, shard, text_hash, hr, hr2, n_parts, hk, n_salts = (fresh(names, x) for x in ("_key", "_shard", "_text_hash", "_route", "_own_route", "_parts", "_id", "_salts"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = max(MIN_SHARDS, -(-total // SHARD_BYTES))
-    dealt = docs.withColumn(key, doc_key(id_col, text_col)).withColumn(shard, F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).cast("int"))
-
-    texts = dealt.where(F.col(text_col).isNotNull()).select(shard, F.col(text_col).cast("binary").alias("t"))
-    phrases = settle(texts.mapInArrow(_named_phrases(window, phrase), "h long, shard int, n int"))
-    recurring = phrases.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    confirmed = settle(phrases.join(recurring, "h").select("shard", "h").distinct())
+    shards = max(MIN_SHARDS, -(-total // shard_bytes))
+    keyed = docs.withColumn(key, doc_key(id_col, text_col, docs.schema[id_col].dataType))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    route, number = F.xxhash64(F.substring(body, 1, ROUTE_CHARS)), F.xxhash64(body)
+    slim = settle(keyed.select(F.col(key).alias("key"), route.alias("route"), F.octet_length(body).cast("long").alias("size")))
+    parts = F.ceil(F.sum("size") / shard_bytes)
+    # openings of more than a shard of text are dealt by id; ids whose texts open differently are dealt by id, and if they fill more than a shard, by text
+    heavy = settle(slim.groupBy(F.col("route").alias(hr)).agg(F.sum("size").alias("size"), parts.alias(n_parts)).where(F.col("size") > shard_bytes).select(hr, n_parts))
+    split = settle(slim.groupBy(F.col("key").alias(hk)).agg(F.min("route").alias("lo"), F.max("route").alias("hi"), F.greatest(F.lit(1), parts).alias(n_salts)).where("lo <> hi").select(hk, n_salts))
+    any_heavy, any_split = not heavy.isEmpty(), not split.isEmpty()
+    discard(slim)
+    place = lambda k, s: F.pmod(F.xxhash64(k, s.cast("long")), F.lit(shards)).cast("int")
+    dealt, here = keyed, place(route, F.lit(0))
+    if any_heavy:
+        dealt = dealt.withColumn(hr2, route).join(heavy, F.col(hr2) == F.col(hr), "left")
+        here = place(route, F.coalesce(F.pmod(F.xxhash64(key), F.col(n_parts)), F.lit(0)))
+    if any_split:
+        dealt = dealt.join(split, F.col(key) == F.col(hk), "left")
+        here = F.when(F.col(hk).isNull(), here).otherwise(place(F.col(key), F.pmod(number, F.col(n_salts))))
+    dealt = dealt.select(*names, key, here.alias(shard), number.alias(text_hash))
+
+    texts = dealt.where(F.col(text_col).isNotNull()).select(F.col(shard).alias("shard"), F.col(text_col).cast("binary").alias("t"), F.col(key).alias("key"), F.col(text_hash).alias("text_hash"))
+    phrases = settle(texts.select("shard", "t").mapInArrow(_named_phrases(window, phrase), "h long, shard int, n int, t binary"))
+    recurring = phrases.groupBy("h").agg(F.sum("n").alias("n"), F.min("t").alias("t")).where("n > 1").select("h", "t")
+    confirmed = settle(phrases.select("h", "shard").join(recurring, "h").select("shard", "t").distinct())
     discard(phrases)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-    found = dealt.groupBy(shard).cogroup(confirmed.groupBy("shard")).applyInArrow(_candidates(window, phrase, names.index(text_col), spans), f"{kinds}, `{spans}` array<int>")
-    found = settle(found)
-
-    candidates = found.where(F.size(spans) > 0)
-    hashes = candidates.select(key, F.col(text_col).cast("binary").alias("t"), spans).mapInArrow(_window_hashes(window), "a long, b int, key long, start int")
-    firsts = hashes.repartition("a").groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("f"))
-    firsts = firsts.select("f.key", "f.start", F.pmod(F.xxhash64("f.key"), F.lit(shards)).cast("int").alias("shard"))
-    firsts = settle(firsts)
+    located = texts.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_candidates(window, phrase), "shard int, key long, text_hash long, spans binary, a long, b long, start int")
+    found = settle(located)
+    discard(confirmed)
+    firsts = found.where("spans IS NULL").groupBy("a", "b").agg(F.min(F.struct("key", "start", "shard")).alias("f")).select("f.shard", "f.key", "f.start", "a")
+    if any_split:  # a first place in an id of several shards goes to all of them
+        firsts = firsts.join(split, F.col("key") == F.col(hk), "left")
+        every = F.transform(F.sequence(F.lit(0).cast("long"), F.col(n_salts) - 1), lambda i: place(F.col("key"), i))
+        firsts = firsts.withColumn("shard", F.explode(F.when(F.col(hk).isNull(), F.array("shard")).otherwise(F.array_distinct(every)))).drop(hk, n_salts)
+    spans = found.where("spans IS NOT NULL").select("shard", "key", "text_hash", "spans")
+    known = settle(firsts.unionByName(spans, allowMissingColumns=True))
+    discard(found)
     release(docs.sparkSession)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    cutter = _cut_repeats(window, names.index(text_col), len(names), len(names) + 2, names)
-    done = candidates.groupBy(shard).cogroup(firsts.groupBy("shard")).applyInArrow(cutter, f"{kinds}, n_words long, n_removed long")
-    rest = found.where(F.size(spans) == 0).select(*names, F.size(words(F.col(text_col))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"))
-    return done.unionByName(rest)
+    cutter = _cut_repeats(window, names.index(text_col), names)
+    return dealt.groupBy(shard).cogroup(known.groupBy("shard")).applyInArrow(cutter, f"{kinds}, n_words long, n_removed long")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
