@@ -8,7 +8,6 @@ and short texts compare. Whole texts are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -23,10 +22,12 @@ from brindle.llm.common import fresh, read
 DIM = 1 << 13
 #: Rows of each language, at most, that the machines are fitted on; a hash of the id picks them.
 ROWS_PER_LANGUAGE = 300
-#: Rows of all languages together, which the driver holds; beyond 64 languages each has fewer rows.
-MAX_ROWS = 64 * ROWS_PER_LANGUAGE
-#: More languages than this are refused, not dropped: machines of families and their rows would outgrow the driver.
-MAX_LANGUAGES = 256
+#: Rows of all languages together, of 32 kB each, which the driver holds; beyond 26 languages each has fewer rows.
+MAX_ROWS = 26 * ROWS_PER_LANGUAGE
+#: More languages than this are refused, not dropped: they would have fewer than eight rows each.
+MAX_LANGUAGES = 975
+#: A text with a match has a letter; the same expression serves learning and predicting.
+LETTER = r"\p{L}"
 FOLDS = 3
 HELD = 1
 EPOCHS = 12
@@ -43,7 +44,6 @@ FAMILIES = {
     "semitic": "ar he am",
 }
 
-_LETTER = re.compile(r"[^\W\d_]")
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -140,9 +140,10 @@ def held_out(id_col: Column, folds: int = FOLDS, held: int = HELD) -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     """A model of every language that has a readable text that is not held out, from at most `rows` texts of each (MAX_ROWS
-    in all); None without one. More than MAX_LANGUAGES languages raise a ValueError."""
+    in all); None without one, as of an empty table. More than MAX_LANGUAGES languages raise a ValueError. Repeated rows, also
+    of one id, are separate rows; ties of the hash that picks go to the smaller id. Whole texts are read, however long."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = labelled.where(F.col(text_col).rlike(r"\p{L}"))
+    known = labelled.where(F.col(text_col).rlike(LETTER))
     # one row a language; a range of the hash that holds about four times the rows wanted of each
     found = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).collect()
     if not found:
@@ -151,9 +152,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}: none is left out, so none is learned")
     rows = max(1, min(rows, MAX_ROWS // len(found)))
     sizes = docs.sparkSession.createDataFrame([tuple(r) for r in found], "lang string, size long")
-    slim = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 40)).alias("h"))
+    hashed = F.pmod(F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)), F.lit(1 << 40))
+    slim = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hashed.alias("h"))
     near = slim.join(F.broadcast(sizes), "lang").where(F.col("h") <= F.lit(4.0 * rows * (1 << 40)) / F.col("size"))
-    picked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= rows).select("id", "lang")
+    chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,7 +163,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 part = b.slice(at, 64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vector(t).tobytes() for t in part.column(1).to_pylist()])], names=["lang", "v"])
 
-    chosen = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     got = chosen.select("lang", "text").mapInArrow(run, "lang string, v binary").toPandas()
     got = got.sort_values(["lang", "v"])
     x = np.array([np.frombuffer(v, dtype=np.float32) for v in got["v"]])
@@ -169,24 +170,31 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) for every row; und with score 0 if the text is null or has no letter, or nothing was learned."""
+    """(id_col, lang_pred, score) for every row; und with score 0 if the text is null or has no letter, or nothing was learned.
+
+    Repeated rows get equal results. Equal votes go to the larger summed margin, then to the language that sorts first. An
+    empty table gives an empty table. Whole texts are read, however long. A column id_col of another result's name is kept as it
+    is, and that result gets underscores added to its name.
+    """
+    pred, score = (fresh([id_col], c) for c in ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = [], []
             for at in range(0, b.num_rows, 256):
                 texts = b.column(1).slice(at, 256).to_pylist()
-                readable = [model is not None and t is not None and _LETTER.search(t) is not None for t in texts]
+                readable = [model is not None and bool(ok) for ok in b.column(2).slice(at, 256).to_pylist()]
                 x = np.array([vector(t) for t, ok in zip(texts, readable, strict=True) if ok], dtype=np.float32).reshape(-1, DIM)
                 margins = iter(x @ model.weights[:-1] + model.weights[-1]) if model is not None else iter(())
                 for ok in readable:
-                    lang, score = decide(model, next(margins)) if ok else ("und", 0.0)
+                    lang, sure = decide(model, next(margins)) if ok else ("und", 0.0)
                     langs.append(lang)
-                    scores.append(score)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=[id_col, "lang_pred", "score"])
+                    scores.append(sure)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=[id_col, pred, score])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias(fresh([id_col], "_text"))).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    rows = docs.select(id_col, F.col(text_col).alias(fresh([id_col], "_text")), F.col(text_col).rlike(LETTER).alias(fresh([id_col], "_readable")))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, `{pred}` string, `{score}` double")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
