@@ -13,6 +13,7 @@ and position = t * (words of the whole run). Ranges of position are the training
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,15 +61,17 @@ def when_asked(words: Column, target: Column, tilt: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_passes: int = MAX_PASSES, tilt: float = TILT, seed: int = SEED) -> DataFrame:
-    """(row, id, source, size, source_size, target, passes) for every row of docs: what the mix takes of it, and where.
+    """(id, source, text_hash, size, source_size, target, passes) for every row of docs: what the mix takes of it, and where.
 
     passes is an array of (pass, taken, position), one for each time the run reads the document; only the document at which a
     source's target is reached is taken in part. taken over a source add up to its target, rounded. Null and empty texts
-    have size 0 and are never taken. Rows with the same id are separate documents. Sources are compared as they are, null
-    being one of them. An empty table gives an empty table.
+    have size 0 and are never taken. Rows with the same id, or without one, are separate documents: their order within the
+    source is by a hash of id, source and text. Sources are compared as they are, null being one of them. An empty table gives
+    an empty table. Texts may be of any length: only their sizes and hashes are shuffled.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col))
-    slim = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("h")))
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), text_hash)
+    slim = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_hash.alias("text_hash"), word_count(F.col(text_col)).alias("size"), key.alias("h")))
     # one row a bucket of a source: a source's order is cut into ranges of the hash
     buckets = max(MIN_BUCKETS, slim.count() // BUCKET_ROWS)
     slim = slim.withColumn("bucket", F.floor(F.shiftrightunsigned("h", 1) / F.lit(2.0**63 / buckets)).cast("int"))
@@ -81,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     here = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = slim.withColumn("inside", F.coalesce(F.sum("size").over(here), F.lit(0)))
     rows = rows.alias("r").join(heads.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket")))
-    rows = rows.select("id", "r.source", "size", "source_size", "target", "tilt", "total", (F.col("before") + F.col("inside")).alias("start"))
+    rows = rows.select("id", "r.source", "text_hash", "size", "source_size", "target", "tilt", "total", (F.col("before") + F.col("inside")).alias("start"))
     asked = F.round("target").cast("long")
 
     def one(k: Column) -> Column:
@@ -91,36 +94,50 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.struct(k.cast("int").alias("pass"), taken.alias("taken"), (at * F.col("total")).alias("position"))
 
     passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_passes - 1)), one), lambda p: p["taken"] > 0)
-    return rows.select("id", "source", "size", "source_size", "target", passes.alias("passes"))
+    return rows.select("id", "source", "text_hash", "size", "source_size", "target", passes.alias("passes"))
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs as the run reads them: one for each pass, range-sorted by position, with docs' columns.
 
     A pass that takes less than half of a document's words (at most one a source) is left out unless it is the source's only
-    one, any other reads the whole text. Rows with null ids join by id null-safely; of rows that repeat an id within a source, each gets all of its passes' number.
+    one; any other reads the whole text. Rows are told apart by id, source and text, nulls being equal: rows that agree in all
+    three are one document, read as often as all of them are, with the other columns of the one that sorts first. What is
+    written keeps the order in its files' numbers and rows: placed() reads it.
     """
     found = mix(docs, id_col, text_col, source_col, **options)
-    position, a, b = (fresh(docs.columns, x) for x in ("_position", "_id", "_source"))
+    position, hashed, a, b, c = (fresh(docs.columns, x) for x in ("_position", "_hash", "_id", "_source", "_text_hash"))
     whole = F.filter("passes", lambda p: (2 * p["taken"] >= F.col("size")) | (p["taken"] == F.round("target").cast("long")))
-    reads = found.select(F.col("id").alias(a), F.col("source").alias(b), F.explode(whole).alias("p")).select(a, b, F.col("p.position").alias(position))
-    reads = reads.distinct()
-    once = docs.join(reads, docs[id_col].eqNullSafe(F.col(a)) & docs[source_col].eqNullSafe(F.col(b)))
+    reads = found.select(F.col("id").alias(a), F.col("source").alias(b), F.col("text_hash").alias(c), F.explode(whole).alias("p")).select(a, b, c, F.col("p.position").alias(position))
+    rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = found.groupBy("id", "source", "text_hash").count().where("count > 1").select(F.col("id").alias(a), F.col("source").alias(b), F.col("text_hash").alias(c))
+    on = lambda side: rows[id_col].eqNullSafe(side[a]) & rows[source_col].eqNullSafe(side[b]) & (rows[hashed] == side[c])
+    same = settle(same)
+    if not same.isEmpty():  # copies in all three: one row stands for them
+        one = rows.join(same, on(same), "left_semi").groupBy(id_col, source_col, hashed).agg(F.min(F.struct(*docs.columns)).alias("r"))
+        one = one.select(*[F.col(f"r.`{x}`").alias(x) for x in docs.columns], hashed)
+        rows = rows.join(same, on(same), "left_anti").unionByName(one)
+    once = rows.join(reads, on(reads))
     return once.repartitionByRange(position, id_col).sortWithinPartitions(position, id_col).select(*docs.columns)
 
 
-def numbered(docs: DataFrame, pass_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with pass_col: 0, 1, ... over the rows of an equal id and text, which are the passes of one document. The order stays."""
-    at = fresh([*docs.columns, pass_col], "_at")
-    rows = docs.withColumn(at, F.monotonically_increasing_id())
-    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(at)
-    rows = rows.withColumn(pass_col, F.row_number().over(same) - 1)
-    return rows.repartitionByRange(at).sortWithinPartitions(at).drop(at)
+def placed(docs: DataFrame, place_col: str) -> DataFrame:
+    """docs, read from Parquet files that were written in order, with a long that tells each row's place in that order.
+
+    It is the file's number and the row's number in it; rows need not be moved. Other tables are numbered as they come.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return docs.withColumn(place_col, F.monotonically_increasing_id())
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+    return docs.withColumn(place_col, F.shiftleft(F.coalesce(F.try_to_number(F.nullif(number, F.lit("")), F.lit("99999999")), F.lit(0)).cast("long"), 40) + F.col("_metadata.row_index"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     found = mix(read(spark, sf_dir, "documents"))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["taken"])
     first = F.array_min(F.transform("passes", lambda p: p["position"])).alias("position")
-    out = found.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", taken.alias("taken"), first)
+    each = F.transform("passes", lambda p: p["position"]).alias("positions")
+    out = found.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", taken.alias("taken"), first, each)
     return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")

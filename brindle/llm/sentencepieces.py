@@ -413,11 +413,13 @@ def decode_ids(ids: list[int], vocab: Pieces) -> str:
     return b"".join([raw[i] for i in ids])[1:].decode()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL, dropout: float = DROPOUT, pass_col: str | None = None, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL, dropout: float = DROPOUT, pass_col: str | None = None, seed: int = SEED, keep_pass: bool = False) -> DataFrame:
     """(id_col, ids, n_tokens, lossless) for every row: ids of the whole text, and whether decoding them returned it.
 
-    Null texts have null ids, empty texts empty ones; both are lossless. Rows with equal ids, texts and values of pass_col get
-    equal ids; a text without an id draws by its own hash.
+    Null texts have null ids, empty texts empty ones; both are lossless. Rows with equal ids, texts and values of pass_col, a
+    whole number, get equal ids; a text without an id draws by its own hash. keep_pass adds pass_col. An empty table gives an empty
+    table. Texts may be of any length: a longer one than BLOCK_BYTES is cut by itself. A result's name that id_col has gets
+    underscores added.
     """
     model = load(model_path)
 
@@ -425,19 +427,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         vocab, known = pieces(model), _remembered(model)
         for b in batches:
             for part in blocks(b, 2, BLOCK_BYTES):
-                names, texts, turns = (part.column(k).to_pylist() for k in (1, 2, 3))
-                ids, sizes = encode_texts([t or "" for t in texts], vocab, known, names, dropout, turns, seed)
+                docs_, texts, turns = (part.column(k).to_pylist() for k in (1, 2, 3))
+                ids, sizes = encode_texts([t or "" for t in texts], vocab, known, docs_, dropout, turns, seed)
                 offsets = np.r_[0, np.cumsum(sizes)]
                 same = [t is None or decode_ids(ids[a:b].tolist(), vocab) == t for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 mask = part.column(2).is_null().to_numpy(zero_copy_only=False)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(ids), mask=pa.array(mask))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes, mask=mask), pa.array(same)], names=[id_col, "ids", "n_tokens", "lossless"])
+                out = [part.column(0), lists, pa.array(sizes, mask=mask), pa.array(same), *([part.column(3)] if keep_pass else [])]
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, *(fresh([id_col], c) for c in ("ids", "n_tokens", "lossless")), *([fresh([id_col], pass_col)] if keep_pass else [])]
     number = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
     turn = F.coalesce(F.col(pass_col).cast("long"), F.lit(0).cast("long")) if pass_col else F.lit(0).cast("long")
     rows = docs.select(id_col, *[c.alias(fresh([id_col], name)) for c, name in ((number, "_doc"), (F.col(text_col), "_text"), (turn, "_turn"))])
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, lossless boolean")
+    kinds = [kind, "array<int>", "long", "boolean", "long"]
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=False)))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
