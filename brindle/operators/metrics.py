@@ -164,3 +164,31 @@ def ecdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     total = points.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     cum = running_total(points, keys, [value], "_n", "_c").withColumn("_c", F.col("_c") + F.col("_n"))
     return cum.join(total, list(keys)).select(*keys, value, (F.col("_c") / F.col("_total")).alias("share"))
+
+
+def histogram(df: DataFrame, value: str, n_bins: int = 20) -> DataFrame:
+    """(bin, lo, hi, n): counts in n_bins equal intervals from the least to the greatest value, which is in the last; empty bins are there."""
+    v = F.col(value).cast("double")
+    ends = df.agg(F.min(v).alias("_a"), F.max(v).alias("_z"))
+    place = F.when(F.col("_z") > F.col("_a"), F.least(F.floor((v - F.col("_a")) / (F.col("_z") - F.col("_a")) * n_bins), F.lit(n_bins - 1))).otherwise(0)
+    counts = df.where(v.isNotNull()).crossJoin(F.broadcast(ends)).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    edge = lambda i: F.col("_a") + (F.col("_z") - F.col("_a")) * i / n_bins
+    bins = ends.select("_a", "_z", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    return bins.join(F.broadcast(counts), "bin", "left").select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def quantile_pairs(df: DataFrame, a: str, b: str, points: int = 100) -> DataFrame:
+    """(prob, a, b): the same quantiles of two columns side by side, points + 1 of them."""
+    from brindle.operators.relational import quantiles
+
+    probs = [i / points for i in range(points + 1)]
+    one, two = (quantiles(df, c, probs).withColumnRenamed("quantile", n) for c, n in ((a, "a"), (b, "b")))
+    return one.join(two, "prob")
+
+
+def residuals(df: DataFrame, y: str, prediction: str, *keep: str) -> DataFrame:
+    """keep, and residual (prediction less observation), its absolute value, and the residual over the sample deviation of all (0 where they do not vary)."""
+    rows = df.select(*keep, (F.col(prediction) - F.col(y)).cast("double").alias("residual"))
+    spread = rows.agg(F.stddev_samp("residual").alias("_s"))
+    out = rows.crossJoin(F.broadcast(spread))
+    return out.select(*keep, "residual", F.abs("residual").alias("absolute"), F.coalesce(safe_div(F.col("residual"), F.col("_s")), F.lit(0.0)).alias("standardized"))

@@ -90,3 +90,20 @@ def good_curve(df: DataFrame, id_col: str, vector: str, thresholds: Sequence[flo
     if out is None:
         raise ValueError("no threshold leaves enough clusters")
     return out
+
+
+def greedy_features(score: Callable[[list[str]], float], candidates: Sequence[str], most: int | None = None, least_gain: float = 0.0) -> tuple[list[str], list[float]]:
+    """(features, scores): again and again the candidate whose addition scores best (the first on ties), while it gains more than least_gain.
+
+    score() evaluates a list of features, for instance by evaluate_folds() over merge_vectors(); higher is better.
+    """
+    chosen: list[str] = []
+    scores: list[float] = []
+    while len(chosen) < min(len(candidates), most or len(candidates)):
+        tried = [(score([*chosen, c]), -i, c) for i, c in enumerate(candidates) if c not in chosen]
+        value, _, name = max(tried)
+        if scores and value - scores[-1] <= least_gain:
+            break
+        chosen.append(name)
+        scores.append(value)
+    return chosen, scores

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from brindle.functions import expr as X
 from brindle.operators import bounds, cluster, dedup, distance, features, metrics, relational, split, stats, text, transform
-from brindle.plans import populations
+from brindle.functions.checks import columns_in_common
+from brindle.plans import activity, populations
+from brindle.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -784,3 +786,168 @@ def _(s, d):
 def _(s, d):
     o = _t(s, d, "orders").withColumn("n", F.length("o_orderpriority")).withColumn("one", F.lit(0))
     return populations.preferred_states(o, "o_custkey", "o_orderdate", "n", "o_orderstatus", "o_totalprice", "one", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+# operators over the star schema that stand for the reference's chemical tables
+
+
+_ACTIVITY = """z AS (SELECT 'm' || (l_partkey % 150) AS k, log10(l_extendedprice) AS v, CASE WHEN l_returnflag = 'A' THEN 'Ki' ELSE 'IC50' END AS t,
+  CASE WHEN l_linestatus = 'O' THEN '=' ELSE '>' END AS rel, CASE WHEN l_linenumber < 6 THEN 'nM' ELSE 'uM' END AS u, CASE WHEN l_suppkey % 7 = 0 THEN 'CELL-LINE' ELSE 'SINGLE PROTEIN' END AS tt,
+  CASE WHEN l_suppkey % 5 = 0 THEN 'Mus musculus' ELSE 'Homo sapiens' END AS o, CASE WHEN l_orderkey % 11 = 0 THEN 'A MUTANT of x' ELSE 'wild type' END AS d FROM lineitem)"""
+
+
+def _agreed_sql(rows: str, rounds: int) -> str:
+    """One agreed value a key of rows (k, v): distinct values, no key with values 3, 6 or 9 apart, then the outlier rounds."""
+    out = [f"y AS (SELECT DISTINCT k, v FROM ({rows}))", "bad AS (SELECT DISTINCT a.k FROM y a JOIN y b ON a.k = b.k WHERE b.v IN (a.v + 3, a.v + 6, a.v + 9))", "r0 AS (SELECT * FROM y WHERE k NOT IN (SELECT k FROM bad))"]
+    for i in range(rounds):
+        out.append(f"s{i} AS (SELECT k, median(v) AS med, max(v) - min(v) > 1.0 AS wide FROM r{i} GROUP BY k)")
+        out.append(f"d{i} AS (SELECT r{i}.k, v, med, wide, median(abs(v - med)) OVER (PARTITION BY r{i}.k) AS mad FROM r{i} JOIN s{i} ON r{i}.k = s{i}.k)")
+        out.append(f"r{i + 1} AS (SELECT k, v FROM d{i} WHERE NOT (wide AND mad > 0 AND 0.6745 * abs(v - med) / mad > 3.5))")
+    return ", ".join(out) + f", agreed AS (SELECT k, avg(v) AS v FROM r{rounds} GROUP BY k HAVING max(v) - min(v) <= 1.0)"
+
+
+_WANTED = "SELECT k, v FROM z WHERE t = 'IC50' AND rel = '=' AND u = 'nM' AND tt = 'SINGLE PROTEIN' AND o = 'Homo sapiens' AND lower(d) NOT LIKE '%mutant%'"
+
+
+@query("db_02_chembl", f"WITH {_ACTIVITY}, {_agreed_sql(_WANTED, 5)} SELECT k AS \"SMILES\", {_r('v')} AS \"pChEMBL_Value\" FROM agreed")
+def _(s, d):
+    c = F.col
+    rows = _t(s, d, "lineitem").select(
+        F.concat(F.lit("m"), (c("l_partkey") % 150).cast("string")).alias("Smiles"), F.log10("l_extendedprice").alias("pChEMBL Value"), F.when(c("l_returnflag") == "A", "Ki").otherwise("IC50").alias("Standard Type"),
+        F.when(c("l_linestatus") == "O", "'='").otherwise("'>'").alias("Standard Relation"), F.when(c("l_linenumber") < 6, "nM").otherwise("uM").alias("Standard Units"), F.lit("").alias("Data Validity Comment"),
+        F.when(c("l_suppkey") % 7 == 0, "CELL-LINE").otherwise("SINGLE PROTEIN").alias("Target Type"), F.when(c("l_suppkey") % 5 == 0, "Mus musculus").otherwise("Homo sapiens").alias("Assay Organism"),
+        F.when(c("l_orderkey") % 11 == 0, "A MUTANT of x").otherwise("wild type").alias("Assay Description"))
+    return _fixed(activity.clean_chembl(rows, "IC50"), "pChEMBL_Value")
+
+
+@query("db_01_bindingdb", f"WITH z AS (SELECT 'm' || (o_custkey % 200) AS k, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE -log10(o_totalprice / 1e9) END AS v FROM orders), {_agreed_sql('SELECT k, v FROM z WHERE v IS NOT NULL', 5)} SELECT k AS \"SMILES\", {_r('v')} AS \"pIC50\" FROM agreed")
+def _(s, d):
+    o = _t(s, d, "orders")
+    rows = o.select(F.concat(F.lit("m"), (F.col("o_custkey") % 200).cast("string")).alias("SMILES"), F.concat(F.when(F.col("o_orderstatus") == "P", ">").otherwise(" "), F.col("o_totalprice").cast("string")).alias("IC50 (nM)"))
+    return _fixed(activity.clean_binding(rows), "pIC50")
+
+
+@query("ded_06_07_side_tables", f"WITH n AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY l_partkey), m AS ({mad_sql(6)}) SELECT CASE WHEN n = 1 THEN 'unique' WHEN price IS NOT NULL THEN 'agreed' ELSE 'failed' END AS part, CAST(sum(CASE WHEN n > 1 AND price IS NOT NULL THEN 1 ELSE n END) AS BIGINT) AS n FROM n JOIN m ON n.k = m.l_partkey GROUP BY ALL")
+def _(s, d):
+    got = dedup.duplicate_tables(_prices(s, d), "l_partkey", "price")
+    return relational.union_all([t.groupBy(F.lit(k).alias("part")).agg(F.count("*").alias("n")) for k, t in got.items()])
+
+
+@query("flt_07_outlier_ranges", "SELECT p_brand, count(*) AS n FROM (SELECT p_brand, p_retailprice AS w, p_size / 5.0 - 2 AS p FROM part) WHERE w BETWEEN 30 AND 1200 AND p BETWEEN -7 AND 6 GROUP BY p_brand")
+def _(s, d):
+    p = _t(s, d, "part").select("p_brand", F.col("p_retailprice").alias("MolWt"), (F.col("p_size") / 5.0 - 2).alias("MolLogP"))
+    p = p.withColumns({c: F.lit(0 if lo <= 0 else lo) for c, (lo, _) in bounds.OUTLIER_BOUNDS.items() if c not in p.columns})
+    return bounds.outlier_filter(p, MolLogP=(-7, 6)).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query("smp_02_group_subsample", f"WITH {_PAIRS}, g AS (SELECT x.label AS a, y.label AS b FROM pairs JOIN embeddings x ON src = x.vec_id JOIN embeddings y ON dst = y.vec_id), w AS (SELECT a AS \"group\", 'intra' AS kind FROM g WHERE a = b UNION ALL SELECT a, 'inter' FROM g WHERE a <> b UNION ALL SELECT b, 'inter' FROM g WHERE a <> b) SELECT \"group\", kind, least(count(*), 300) AS n, true AS within FROM w GROUP BY ALL")
+def _(s, d):
+    e = _t(s, d, "embeddings")
+    g = distance.group_distances(e, "vec_id", "embedding", "label", subsample=300)
+    every = distance.group_distances(e, "vec_id", "embedding", "label").groupBy("group", "kind").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"))
+    return g.join(every, ["group", "kind"]).groupBy("group", "kind").agg(F.count("*").alias("n"), F.bool_and((F.col("distance") >= F.col("lo") - 1e-9) & (F.col("distance") <= F.col("hi") + 1e-9)).alias("within"))
+
+
+@query("par_12_cluster_folds", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS clusters, 1 AS folds_of_a_cluster, 5 AS folds, true AS balanced FROM orders")
+def _(s, d):
+    o = split.cluster_folds(_t(s, d, "orders"), 5, "o_custkey", "o_orderstatus", tolerance=0.1)
+    per = o.groupBy("o_custkey").agg(F.count_distinct("Fold").alias("f"), F.count("*").alias("c"))
+    sizes = split.fold_balance(o, tolerance=0.1).select("balanced")
+    folds = o.agg(F.count_distinct("Fold").cast("int").alias("folds"))
+    return per.agg(F.sum("c").alias("n"), F.count("*").alias("clusters"), F.max("f").cast("int").alias("folds_of_a_cluster")).crossJoin(folds).crossJoin(sizes)
+
+
+@query("trf_05_prunes", "WITH z AS (SELECT CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, 2 * CAST(embedding[1] AS DOUBLE) + 0.1 * CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) - 0.05 * CAST(embedding[2] AS DOUBLE) AS d FROM embeddings) SELECT CAST(p AS INT) AS pos FROM (SELECT unnest([1, 2, 3]) AS p) UNION ALL SELECT 0 FROM z HAVING abs(corr(a, c)) < 0.9")
+def _(s, d):
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    e = _t(s, d, "embeddings").select(F.array(at(0), at(1), 2 * at(0) + 0.1 * at(2), at(3) - 0.05 * at(1)).alias("v"))
+    fitted = transform.VectorTransformer(clipping=None, min_variance=None, scale=False).fit(e, "v")
+    return s.createDataFrame([(int(i),) for i in fitted.params["kept"]], "pos int")
+
+
+@query("trf_11_presets", "SELECT name, kind <> 'c' AS plain FROM (SELECT unnest(string_split('AtomPair Daylight ECFP MACCS Klek', ' ')) AS name, 'b' AS kind UNION ALL SELECT unnest(string_split('Mordred CDDD ChemBERTa RDKit CDDD_internal MiniMol MiniLM Qwen3 MolEncoder', ' ')), 'c' UNION ALL SELECT unnest(string_split('MAP MAPC AtomPairCount DaylightCount ECFPCount', ' ')), 'i')")
+def _(s, d):
+    names = sorted(set(transform.PRESETS) - set(transform.KINDS))
+    return s.createDataFrame([(n, transform.preset(n).clipping is None and not transform.preset(n).scale) for n in names], "name string, plain boolean")
+
+
+@query("ens_03_mode", "SELECT l_suppkey, v AS l_quantity FROM (SELECT l_suppkey, l_quantity AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_quantity) AS k FROM lineitem GROUP BY l_suppkey, l_quantity) WHERE k = 1")
+def _(s, d):
+    return metrics.vote(_t(s, d, "lineitem"), "l_suppkey", "l_quantity", "mode")
+
+
+@query("met_05_task_metrics", f"WITH t AS (SELECT '0' AS \"Group\", l_quantity AS y, l_quantity + l_discount * 10 AS p FROM lineitem UNION ALL SELECT '1', l_tax, l_discount FROM lineitem WHERE l_linenumber <> 2), g AS (SELECT * FROM t UNION ALL SELECT 'Overall', y, p FROM t), u AS (SELECT 'MAE' AS \"Metric\", avg(abs(p - y)) AS v, \"Group\" FROM g GROUP BY ALL UNION ALL SELECT 'RMSE', sqrt(avg((p - y) * (p - y))), \"Group\" FROM g GROUP BY ALL) SELECT \"Metric\", {_sig('v', 5)} AS \"Value\", \"Group\" FROM u")
+def _(s, d):
+    c = F.col
+    rows = _t(s, d, "lineitem").select(F.array(c("l_quantity"), F.when(c("l_linenumber") != 2, c("l_tax"))).alias("y"), F.array(c("l_quantity") + c("l_discount") * 10, c("l_discount")).alias("p"))
+    return metrics.regression_metrics(metrics.masked_tasks(rows, "y", "p"), "y", "p", group="task").where("Metric <> 'R2'")
+
+
+@query("vis_02_histogram", f"WITH e AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS z FROM lineitem), c AS (SELECT CAST(least(floor((l_extendedprice - a) / (z - a) * 12), 11) AS INT) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1) SELECT CAST(b AS INT) AS bin, {_r('a + (z - a) * b / 12')} AS lo, {_r('a + (z - a) * (b + 1) / 12')} AS hi, coalesce(n, 0) AS n FROM range(12) t(b) CROSS JOIN e LEFT JOIN c ON c.bin = b")
+def _(s, d):
+    return _fixed(metrics.histogram(_t(s, d, "lineitem"), "l_extendedprice", 12), "lo", "hi")
+
+
+@query("vis_03_quantile_pairs", "SELECT p / 4.0 AS prob, {} AS a, {} AS b FROM (SELECT p, list_extract((SELECT quantile_cont(l_quantity, [0, 0.25, 0.5, 0.75, 1]) FROM lineitem), p + 1) AS x, list_extract((SELECT quantile_cont(l_extendedprice, [0, 0.25, 0.5, 0.75, 1]) FROM lineitem), p + 1) AS y FROM (SELECT unnest([0, 1, 2, 3, 4])::INT AS p))".replace("p / 4.0", "CAST(p AS DOUBLE) / 4").format(_r("x"), _r("y")))
+def _(s, d):
+    return _fixed(metrics.quantile_pairs(_t(s, d, "lineitem"), "l_quantity", "l_extendedprice", 4), "a", "b")
+
+
+@query("vis_04_residuals", f"WITH r AS (SELECT o_orderkey, o_totalprice - 150000.0 AS r FROM orders) SELECT o_orderkey, {_r('-r')} AS residual, {_r('abs(r)')} AS absolute, {_r('-r / (SELECT stddev_samp(r) FROM r)')} AS standardized FROM r")
+def _(s, d):
+    return _fixed(metrics.residuals(_t(s, d, "orders").withColumn("p", F.lit(150000.0)), "o_totalprice", "p", "o_orderkey"), "residual", "absolute", "standardized")
+
+
+@query("pka_01_microstates", "SELECT p_partkey, CAST(i - 1 AS INT) AS state_id, w[i] AS state FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT p_partkey, list_transform(list_filter(list_sort(list_distinct(list_transform(range(1, len(x) + 1), lambda i: list_position(x, x[i])))), lambda i: x[i] <> ''), lambda i: x[i]) AS w FROM (SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda t: trim(t)) AS x FROM part)))")
+def _(s, d):
+    return populations.microstates(_t(s, d, "part").withColumn("l", F.regexp_replace("p_type", " ", " , ")), "p_partkey", "l")
+
+
+@query("pka_02_proton_edges", "WITH z AS (SELECT l_suppkey AS mol, l_linenumber AS q, min(l_orderkey) AS state_id FROM lineitem GROUP BY ALL) SELECT a.mol, a.state_id AS acid, b.state_id AS base, CASE WHEN (a.state_id + b.state_id) % 2 = 1 THEN 'not one proton apart' END AS reason FROM z a JOIN z b ON a.mol = b.mol AND a.q = b.q + 1")
+def _(s, d):
+    z = _t(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("mol"), F.col("l_linenumber").alias("charge")).agg(F.min("l_orderkey").alias("state_id"))
+    edges, rejects = populations.proton_edges(z, accept=(F.col("acid") + F.col("base")) % 2 == 0)
+    return relational.union_all([edges, rejects], missing=True).select("mol", "acid", "base", "reason")
+
+
+@query("pka_06_graph_status", "WITH m AS (SELECT s_suppkey AS mol FROM supplier), z AS (SELECT l_suppkey AS mol, l_linenumber AS st FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_linenumber <= 3 GROUP BY ALL), e AS (SELECT DISTINCT a.mol FROM z a JOIN z b ON a.mol = b.mol AND b.st = a.st + 1 WHERE a.mol % 3 = 1), n AS (SELECT mol, count(*) AS n, max(st) - min(st) + 1 AS span FROM z GROUP BY mol) SELECT m.mol, CASE WHEN n IS NULL THEN 'NO_MICROSTATES' WHEN e.mol IS NULL THEN 'NO_TRANSITIONS' WHEN n = span THEN 'CONNECTED' ELSE 'DISCONNECTED' END AS status FROM m LEFT JOIN n ON m.mol = n.mol LEFT JOIN e ON m.mol = e.mol")
+def _(s, d):
+    z = _t(s, d, "lineitem").where("l_suppkey % 3 <> 0 AND l_linenumber <= 3").select(F.col("l_suppkey").alias("mol"), F.col("l_linenumber").alias("state_id")).distinct()
+    edges, _ = populations.proton_edges(z.where("mol % 3 = 1").withColumn("charge", F.col("state_id")))
+    return populations.graph_status(_t(s, d, "supplier").select(F.col("s_suppkey").alias("mol")), z, edges)
+
+
+def _folder(s, name: str) -> str:
+    return tables.shared_path(s, name)
+
+
+@query("io_01_08_round_trips", "SELECT f AS format, count(*) AS n, floor(sum(c_acctbal) * 100 + 0.5) / 100 AS total, count(DISTINCT c_name) AS names FROM customer, (SELECT unnest(['csv', 'tsv', 'csv.gz', 'tsv.bz2', 'json', 'parquet', 'orc']) AS f) GROUP BY f")
+def _(s, d):
+    c, out = _t(s, d, "customer"), []
+    for kind in ("csv", "tsv", "csv.gz", "tsv.bz2", "json", "parquet", "orc"):
+        path = f"{_folder(s, 'customer')}.{kind}"
+        tables.write_table(c, path)
+        got = tables.read_table(s, path, c.schema if kind == "json" else None)
+        out.append(got.agg(F.lit(kind).alias("format"), F.count("*").alias("n"), X.fixed(F.sum("c_acctbal"), 2).alias("total"), F.count_distinct("c_name").alias("names")))
+    return relational.union_all(out)
+
+
+@query("io_13_14_store", "SELECT 'records' AS part, count(*) AS n FROM embeddings WHERE embedding[1] >= 0 AND vec_id % 10 <> 0 UNION ALL SELECT 'rejects', count(*) FROM embeddings WHERE NOT (embedding[1] >= 0 AND vec_id % 10 <> 0)")
+def _(s, d):
+    e = _t(s, d, "embeddings").withColumn("y", F.when(F.col("vec_id") % 10 != 0, F.col("embedding")))
+    path = _folder(s, "store")
+    tables.write_store(e, path, "vec_id", "y", {"negative": F.get("y", F.lit(0)) >= 0})
+    return relational.union_all([tables.read_store(s, path).agg(F.lit("records").alias("part"), F.count("*").alias("n")), s.read.parquet(f"{path}/rejects").agg(F.lit("rejects").alias("part"), F.count("*").alias("n"))])
+
+
+@query("io_16_padded_batches", "SELECT p_partkey, list_transform(range(1, 7), lambda i: CASE WHEN i <= n THEN p_size + i ELSE 0 END) AS t, list_transform(range(1, 7), lambda i: i <= n) AS mask, 1.0::DOUBLE AS y_wgts FROM (SELECT p_partkey, p_size, p_size % 7 AS n FROM part)")
+def _(s, d):
+    p = _t(s, d, "part").select("p_partkey", F.when(F.col("p_size") % 7 > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("p_size") % 7)), lambda i: F.col("p_size") + i)).otherwise(F.array().cast("array<int>")).alias("t"))
+    return tables.padded_batches(p, "t", 6).select("p_partkey", F.transform("t", lambda x: x.cast("long")).alias("t"), "mask", "y_wgts")
+
+
+@query("set_03_common_columns", "SELECT unnest(['c_custkey', 'c_name']) AS name, true AS both UNION ALL SELECT unnest(['c_acctbal', 'c_mktsegment', 'c_nationkey']), false")
+def _(s, d):
+    both, only = columns_in_common(sorted(_t(s, d, "customer").columns), ["c_name", "c_custkey", "other"])
+    return s.createDataFrame([(c, True) for c in both] + [(c, False) for c in only], "name string, both boolean")
+

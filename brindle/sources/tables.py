@@ -24,20 +24,25 @@ COMPRESSIONS = ("gz", "bz2", "xz", "zip")
 COMPRESSIBLE = ("csv", "tsv")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that spark.checkpoint.dir names and read back, which ends its lineage.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names.
 
     Only a local session without that setting, as in tests, gets a folder of its own; a cluster without it is an error, as
     its executors share no other folder.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.brindle.settled.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.brindle.settled.dir", folder)
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, which ends its lineage."""
+    spark = df.sparkSession
+    path = shared_path(spark, "settled")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_path = path

@@ -479,3 +479,17 @@ def test_evaluation(spark):
     assert evaluation.random_parameters({"a": ("int", 1, 3), "b": ("log10", 0.1, 10), "c": ("choice", ["x"])}, 2)[0]["c"] == "x"
     with pytest.raises(ValueError):
         evaluation.model("nothing")
+
+
+def test_greedy_features():
+    gains = {"a": 0.5, "b": 0.3, "c": 0.0, "d": -0.1}
+    got = evaluation.greedy_features(lambda names: sum(gains[n] for n in names), list(gains))
+    assert got == (["a", "b"], [0.5, 0.8]) and evaluation.greedy_features(lambda n: 1.0, ["x", "y"], 1) == (["x"], [1.0])
+
+
+def test_histogram_and_residuals(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,), (3.0,), (None,)], "v double")
+    assert [(r["lo"], r["hi"], r["n"]) for r in metrics.histogram(df, "v", 2).orderBy("bin").collect()] == [(1.0, 2.0, 2), (2.0, 3.0, 1)]
+    assert [r["n"] for r in metrics.histogram(df.where("v = 1"), "v", 2).orderBy("bin").collect()] == [2, 0]
+    flat = metrics.residuals(df.where("v = 1").withColumn("p", F.lit(1.5)), "v", "p").collect()
+    assert {tuple(r) for r in flat} == {(0.5, 0.5, 0.0)}
