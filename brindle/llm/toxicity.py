@@ -1,16 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is a sequence of clauses. Within a clause, words become symbols and run through a cascade of transducers:
-
-    lexicon     word -> INSULT, THREAT, TARGET, NEGATION, REPORT or nothing; insults carry a learned weight
-    negation    INSULT or THREAT within a few words after NEGATION -> its negated form
-    reported    INSULT or THREAT after REPORT in the clause -> its reported form
-    target      any of these, in a clause that also has a TARGET -> its targeted form
-
-What comes out is a weighted count for each pair of form and targeting, and a logistic score over these counts and the most
-hostile clause. So a clause is scored as a whole: the same word counts less under a negation or in reported speech and more
-beside a second person. Negation, report, target and threat words are fixed lists; insults, being unknown in general, are
-learned: words and word beginnings that are far more frequent in documents labelled toxic.
+A text is a sequence of clauses. Within a clause, words become symbols and run through a cascade of transducers, composed
+into two (one reads the clause forwards, one backwards, as what a clause says of its target may stand on either side):
+
+    lexicon     word -> INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT or nothing; insults carry a learned weight
+    negation    INSULT or THREAT within a few words after NEGATION is negated
+    intent      THREAT within a few words after INTENT is purposed ("I will ... hurt")
+    reported    INSULT or THREAT after REPORT in the clause is reported
+    target      INSULT or THREAT after a TARGET in the clause is targeted; backwards, the same for those before one
+
+What comes out is a weighted count for each form, and a logistic score over these counts and the most hostile clause. So a
+clause is scored as a whole: the same word counts less under a negation or in reported speech and more beside a second
+person, and a threat counts most with an intent and a target. Negation, report, target, intent and threat words are fixed
+lists; insults, being unknown in general, are learned: words and word beginnings that are far more frequent in documents
+labelled toxic.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import ahocorasick
 import numpy as np
@@ -31,73 +35,112 @@ from brindle.llm.common import fresh, read, settle
 
 #: Labelled rows from which lexicon and weights are learned, about: a hash of the id picks them when there are more.
 SAMPLE_ROWS = 12_000
-#: The lexicon's bound.
-MAX_INSULTS = 4_000
 #: A learned insult is in this many toxic documents at least, and this many times more frequent in them.
 MIN_DOCS = 5
 MIN_LIFT = 12.0
 PREFIXES = range(4, 9)
-#: Words after a negation that it reaches.
+#: Words after a negation, and after an intent, that it reaches.
 NEGATION_REACH = 3
+INTENT_REACH = 4
 FOLDS = 5
 
 # The closed word classes, in the corpus' languages.
 THREATS = "kill hurt destroy burn beat stab shoot crush punish töten schlagen vernichten verbrennen tuer frapper détruire brûler matar golpear destruir quemar".split()
 TARGETS = "you your yours yourself u ya du dich dir dein deine euch tu te toi ton ta vous votre usted ustedes tú ti".split()
 NEGATIONS = "not no never isn't aren't don't nicht kein keine nie pas jamais ne nunca ningún".split()
+INTENTS = "will shall gonna going want wants should hope i'll we'll werde wirst wollen will sollte vais allons veux voy vamos quiero voulons espère".split()
 REPORTS = "said says say told called wrote writes quoted reported sagte sagt schrieb nannte dit disait écrit dijo dice escribió".split()
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]")
-INSULT, THREAT, TARGET, NEGATION, REPORT = "ITXNR"
+INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT = "IXTNRW"
+#: A hostile symbol is INSULT or THREAT with the marks it has got, in this order: negated, purposed, reported, targeted.
+MARKS = "nprt"
+HOSTILE = tuple(base + "".join(m) for base in (INSULT, THREAT) for k in range(len(MARKS) + 1) for m in combinations(MARKS, k))
+SYMBOLS = ("", TARGET, NEGATION, REPORT, INTENT, *HOSTILE)
+
+
+def marked(symbol: str, mark: str) -> str:
+    """A hostile symbol with a mark more."""
+    return symbol[0] + "".join(m for m in MARKS if m in symbol or m == mark)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer: moves maps (state, symbol) to (state, symbol, weight factor); other symbols pass as they are."""
+    """A deterministic transducer over SYMBOLS: moves maps (state, symbol) to (state, symbol, weight factor); state 0 is the first."""
 
     moves: dict[tuple[int, str], tuple[int, str, float]]
-    reset: dict[int, int] = field(default_factory=dict)  # where a state goes on a symbol without a move
 
     def __call__(self, line: list[tuple[str, float]]) -> list[tuple[str, float]]:
-        state, out = 0, []
+        state, out, moves = 0, [], self.moves
         for symbol, weight in line:
-            found = self.moves.get((state, symbol))
-            if found is None:
-                state = self.reset.get(state, state)
-                out.append((symbol, weight))
-            else:
-                state = found[0]
-                out.append((found[1], weight * found[2]))
+            state, symbol, factor = moves[state, symbol]
+            out.append((symbol, weight * factor))
         return out
 
+    def then(self, after: Transducer) -> Transducer:
+        """The composition: after, reading what this one writes, as one transducer over pairs of states."""
+        names, moves, todo = {(0, 0): 0}, {}, [(0, 0)]
+        for pair in todo:
+            for symbol in SYMBOLS:
+                p, middle, w = self.moves[pair[0], symbol]
+                q, out, v = after.moves[pair[1], middle]
+                if (p, q) not in names:
+                    names[p, q] = len(names)
+                    todo.append((p, q))
+                moves[names[pair], symbol] = (names[p, q], out, w * v)
+        return Transducer(moves)
+
+
+def reaching(start: str, mark: str, reach: int | None, bases: str) -> Transducer:
+    """Marks hostile symbols of these bases within reach words (None: to the clause's end) after the symbol start."""
+    top = 1 if reach is None else reach
+    moves = {}
+    for k in range(top + 1):
+        for symbol in SYMBOLS:
+            rest = k if reach is None else max(0, k - 1)
+            hit = k > 0 and symbol[:1] in bases and symbol in HOSTILE
+            moves[k, symbol] = (top if symbol == start else rest, marked(symbol, mark) if hit else symbol, 1.0)
+    return Transducer(moves)
+
 
 def negation(reach: int = NEGATION_REACH) -> Transducer:
-    """States count the words that a negation still reaches."""
-    moves = {(k, NEGATION): (reach, NEGATION, 1.0) for k in range(reach + 1)}
-    for k in range(1, reach + 1):
-        moves |= {(k, INSULT): (k - 1, "i", 1.0), (k, THREAT): (k - 1, "t", 1.0)}
-    return Transducer(moves, {k: k - 1 for k in range(1, reach + 1)})
+    return reaching(NEGATION, "n", reach, INSULT + THREAT)
+
+
+def intent(reach: int = INTENT_REACH) -> Transducer:
+    return reaching(INTENT, "p", reach, THREAT)
 
 
 def reported() -> Transducer:
-    moves = {(k, REPORT): (1, REPORT, 1.0) for k in (0, 1)}
-    return Transducer(moves | {(1, INSULT): (1, "r", 1.0), (1, THREAT): (1, "r", 1.0), (1, "i"): (1, "r", 1.0), (1, "t"): (1, "r", 1.0)})
+    return reaching(REPORT, "r", None, INSULT + THREAT)
+
+
+def target() -> Transducer:
+    return reaching(TARGET, "t", None, INSULT + THREAT)
 
 
-FORMS = ("I", "i", "r", "T", "t")
-_CASCADE = (negation(), reported())
+_FORWARDS = negation().then(intent()).then(reported()).then(target())
+_BACKWARDS = target()
+#: What is counted: reported before negated before the others; purposed and targeted threats apart.
+FORMS = ("I", "It", "In", "Ir", "X", "Xp", "Xt", "Xpt", "Xn", "Xr")
+
+
+def form(symbol: str) -> str:
+    """The form that a hostile symbol counts as."""
+    return symbol[0] + ("r" if "r" in symbol else "n" if "n" in symbol else "".join(m for m in "pt" if m in symbol and (m == "t" or symbol[0] == THREAT)))
+
+
+_PLACE = {x: FORMS.index(form(x)) for x in HOSTILE}
 
 
 def clause_counts(line: list[tuple[str, float]]) -> np.ndarray:
-    """The weight of each form in a clause of symbols, untargeted ones first, then targeted."""
-    for step in _CASCADE:
-        line = step(line)
-    targeted = any(s == TARGET for s, _ in line)
-    out = np.zeros(2 * len(FORMS))
-    for symbol, weight in line:
-        if symbol in FORMS:
-            out[FORMS.index(symbol) + targeted * len(FORMS)] += weight
+    """The weight of each form in a clause of symbols."""
+    out = np.zeros(len(FORMS))
+    for symbol, weight in _BACKWARDS(_FORWARDS(line)[::-1]):
+        at = _PLACE.get(symbol)
+        if at is not None:
+            out[at] += weight
     return out
 
 
@@ -118,7 +161,7 @@ def _compiled(grammar: Grammar):
     for form, symbol, weight in [*forms, *((f" {w} ", THREAT, 1.0) for w in THREATS)]:
         automaton.add_word(form, (symbol, weight, len(form)))
     automaton.make_automaton()
-    classes = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS}
+    classes = {w: INTENT for w in INTENTS} | {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS}
     return automaton, classes
 
 
@@ -145,7 +188,7 @@ def clauses_with_hits(text: str, grammar: Grammar) -> Iterator[list[tuple[str, f
 
 def features(text: str | None, grammar: Grammar) -> np.ndarray:
     """Of a whole text: log of one plus the weight of each form, the highest clause, whether there is any, and the share of words."""
-    total, top, n = np.zeros(2 * len(FORMS)), 0.0, 0
+    total, top, n = np.zeros(len(FORMS)), 0.0, 0
     for line in clauses_with_hits(text or "", grammar):
         found = clause_counts(line)
         total += found
@@ -154,17 +197,18 @@ def features(text: str | None, grammar: Grammar) -> np.ndarray:
     return np.r_[np.log1p(total), math.log1p(top), float(n > 0), math.log1p(n)]
 
 
-N_FEATURES = 2 * len(FORMS) + 3
+N_FEATURES = len(FORMS) + 3
 
 
 def held_out(id_col: Column, folds: int = FOLDS) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds == 0
 
 
-def learn_insults(sample: DataFrame, max_insults: int = MAX_INSULTS) -> list[tuple[str, float]]:
+def learn_insults(sample: DataFrame) -> list[tuple[str, float]]:
     """Words and word beginnings by how much more frequent they are in toxic documents. sample: (text, toxic).
 
-    Document frequencies are aggregated by Spark over the sample; only the lexicon, bounded, comes to the driver.
+    Document frequencies are aggregated by Spark over the sample; only the lexicon comes to the driver, whose size the sample
+    bounds: each entry is in MIN_DOCS of its toxic documents at least.
     """
     sample = sample.groupBy(F.xxhash64("text").alias("id")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))  # copies count once
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+(?:'[\p{L}]+)?)"), 1)))
@@ -177,7 +221,7 @@ def learn_insults(sample: DataFrame, max_insults: int = MAX_INSULTS) -> list[tup
     counts = seen.groupBy("w").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     lift = ((F.col("pos") + 0.5) / float(total[0])) / ((F.col("neg") + 0.5) / float(total[1]))
     rows = counts.withColumn("lift", lift).where((F.col("pos") >= MIN_DOCS) & (F.col("lift") >= MIN_LIFT))
-    found = rows.orderBy(F.desc("pos"), F.desc("lift"), "w").limit(max_insults).collect()
+    found = rows.orderBy(F.desc("pos"), F.desc("lift"), "w").collect()
     return [(r["w"], min(8.0, math.log(r["lift"]))) for r in found]
 
 
@@ -196,7 +240,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Grammar:
-    """A grammar from the labelled rows that are not held out. Without both classes it scores everything alike."""
+    """A grammar from the labelled rows that are not held out. Without both classes, as of an empty table, it scores everything alike.
+
+    Labels of an id that repeats count as toxic if one of them does; rows that share an id are each read with its label. Whole
+    texts are read, however long; null ones are empty. Equal texts count once in the lexicon.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
@@ -221,17 +269,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, predicted) for every row; null and empty texts score as texts without a hostile clause."""
+    """(id_col, score, predicted) for every row; null and empty texts score as texts without a hostile clause.
+
+    Repeated rows score alike; an empty table gives an empty table; whole texts are read, however long. A result's name that
+    id_col has gets underscores added.
+    """
+    names = [id_col, *(fresh([id_col], c) for c in ("score", "predicted"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coef = np.array(grammar.coef)
         for b in batches:
             x = np.array([features(t, grammar) for t in b.column(1).to_pylist()]).reshape(b.num_rows, -1)
             p = 1 / (1 + np.exp(-np.clip(x @ coef + grammar.bias, -30, 30))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias(fresh([id_col], "_text"))).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return docs.select(id_col, F.col(text_col).alias(fresh([id_col], "_text"))).mapInArrow(run, f"`{id_col}` {kind}, `{names[1]}` double, `{names[2]}` int")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

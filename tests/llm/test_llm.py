@@ -127,13 +127,13 @@ def test_mixing_edges(spark):
 
 
 def test_toxicity_held_out(spark):
-    data = "/root/testdata/sf0.01"
+    data = "/root/testdata/sf0.1"
     got = QUERIES["op2_toxicity"](spark, data).toPandas().set_index("doc_id")
     labels = spark.read.parquet(f"{data}/labels.parquet").toPandas().set_index("doc_id")["toxic"]
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in got["held_out"].items())
-    both = got.join(labels, how="inner")
+    both = got[got["held_out"]].join(labels, how="inner")  # rows that nothing was learned from
     clean, bad = both[both["toxic"] == 0], both[both["toxic"] == 1]
-    assert (clean["predicted"] == 0).mean() > 0.97 and (bad["predicted"] == 1).mean() > 0.6
+    assert len(bad) > 50 and (clean["predicted"] == 0).mean() >= 0.99 and (bad["predicted"] == 1).mean() >= 0.9
     assert got["score"].between(0, 1).all() and ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
 
 
@@ -143,13 +143,40 @@ def test_toxicity_grammar():
     form = {f: i for i, f in enumerate(toxicity.FORMS)}
     assert found("a kind word. and more") == []
     assert found("what a Moron!")[0][form["I"]] == 3.0
-    assert found("you moron")[0][form["I"] + 5] == 3.0
-    assert found("he is not a moron")[0][form["i"]] == 3.0
+    assert found("you moron")[0][form["It"]] == found("moron, you")[0][form["It"]] == 3.0
+    assert found("he is not a moron")[0][form["In"]] == 3.0
     assert found("not at all like a moron")[0][form["I"]] == 3.0
-    assert found("she said a moron")[0][form["r"]] == 3.0
+    assert found("she said a moron")[0][form["Ir"]] == 3.0
     assert found("a loweichen. moron, moron") [0][form["I"]] == 2.0 and found("x. moron, moron")[0][form["I"]] == 6.0
     assert found("oxymoron blowei") == []
-    assert found("i will kill it")[0][form["T"]] == 1.0
+    assert found("i will kill it")[0][form["Xp"]] == found("i will really kill you")[0][form["Xpt"]] == found("they kill it")[0][form["X"]] == 1.0
+
+
+def brute_forms(line):
+    """The weight of each form of a clause, from the definitions, word by word."""
+    out = dict.fromkeys(toxicity.FORMS, 0.0)
+    for i, (symbol, weight) in enumerate(line):
+        if symbol not in (toxicity.INSULT, toxicity.THREAT):
+            continue
+        before = [s for s, _ in line[:i]]
+        negated = toxicity.NEGATION in before[-toxicity.NEGATION_REACH :]
+        purposed = symbol == toxicity.THREAT and toxicity.INTENT in before[-toxicity.INTENT_REACH :]
+        targeted = any(s == toxicity.TARGET for s, _ in line)
+        kind = "r" if toxicity.REPORT in before else "n" if negated else "p" * purposed + "t" * targeted
+        out[symbol + kind] += weight
+    return list(out.values())
+
+
+def test_toxicity_cascade_against_brute_force():
+    rng = random.Random(6)
+    steps = (toxicity.negation(), toxicity.intent(), toxicity.reported(), toxicity.target())
+    for _ in range(3000):
+        line = [(rng.choice(["", "", "", *"IXTNRW"]), rng.choice([1.0, 2.5])) for _ in range(rng.randint(1, 14))]
+        assert toxicity.clause_counts(line).tolist() == brute_forms(line)
+        one_by_one = line
+        for step in steps:
+            one_by_one = step(one_by_one)
+        assert one_by_one == toxicity._FORWARDS(line)
 
 
 def test_toxicity_edges(spark):
