@@ -30,9 +30,9 @@ from brindle.llm.pieces import DEFAULT_MODEL, Pieces, load, pieces, pre_tokens
 DROPOUT = 0.1
 SEED = 29
 #: Bytes of segmentations that a worker remembers; a block's own come on top until the next one begins.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 40 << 20
 #: Bytes of text that are cut together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Pre-tokens of more characters are cut by themselves and not remembered.
 LONGEST = 48
 #: Pre-tokens whose agendas run in one lockstep.

@@ -35,7 +35,7 @@ from brindle.llm.common import blocks, discard, fresh, read, release, settle, wo
 WINDOW = 20
 PHRASE = 5
 #: Bytes of text whose phrases are counted together before they are sent on.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Low bits of a phrase's hash that give way to its place; longer texts are searched in overlapping parts.
 PLACE_BITS = 24
 #: Candidate windows that a shard's task holds before it reduces them to first places.
