@@ -29,8 +29,9 @@ RANK_OFFSET = 10.0
 BYTE_SCORE = -14.0
 #: Bytes of text whose pre-tokens share one trie.
 BLOCK_BYTES = 24_000_000
-#: Terminal counts a worker keeps from earlier tries; it starts anew when it has more.
+#: Terminal counts a worker keeps from earlier tries, of pre-tokens of at most LONGEST characters; it starts anew when it has more.
 KEPT_TERMINALS = 600_000
+LONGEST = 48
 
 
 def unigram_scores(vocab: Pieces) -> dict[str, float]:
@@ -76,8 +77,13 @@ def _terminals(model: bytes) -> dict[str, int]:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """(id_col, n_pre_tokens, n_tokens) for every row. Null and empty texts have 0 of both."""
+    """(id_col, n_pre_tokens, n_tokens) for every row. Null and empty texts have 0 of both.
+
+    Repeated rows are counted one by one; an empty table gives an empty table; whole texts are read, a longer one than a block by
+    itself. A result's name that id_col has gets underscores added.
+    """
     model = load(model_path)
+    names = [id_col, *(fresh([id_col], c) for c in ("n_pre_tokens", "n_tokens"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces(model)
@@ -95,12 +101,16 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 known = _terminals(model)
                 if len(known) > KEPT_TERMINALS:
                     known.clear()
-                known.update(trie_counts([t for t in set().union(*split) if t not in known], scores, vocab.longest))
+                found = trie_counts([t for t in set().union(*split) if t not in known], scores, vocab.longest)
+                known.update(found)
                 n_tokens = [sum(known[t] * n for t, n in c.items()) for c in split]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.total() for c in split], type=pa.int64()), pa.array(n_tokens, type=pa.int64())], names=[id_col, "n_pre_tokens", "n_tokens"])
+                for t in found:
+                    if len(t) > LONGEST:
+                        del known[t]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.total() for c in split], type=pa.int64()), pa.array(n_tokens, type=pa.int64())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias(fresh([id_col], "_text"))).mapInArrow(run, f"`{id_col}` {kind}, n_pre_tokens long, n_tokens long")
+    return docs.select(id_col, F.col(text_col).alias(fresh([id_col], "_text"))).mapInArrow(run, f"`{id_col}` {kind}, `{names[1]}` long, `{names[2]}` long")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
