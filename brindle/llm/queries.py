@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import ann, chat, langid, mixing, quality, sentencepieces, simhash, substring, tokencounts, toxicity
+from brindle.llm import ann, chat, langid, mixing, quality, secretscan, sentencepieces, simhash, substring, tokencounts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_token_counts": tokencounts.op10_token_counts,
+    "op13_secret_scan": secretscan.op13_secret_scan,
 }
 ORACLES = {"op4_chat": chat.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
