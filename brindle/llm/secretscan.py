@@ -295,6 +295,10 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]", inflate_
     return docs.withColumn(text, F.col(f"`{text}`").cast("binary")).mapInArrow(run, docs.schema)
 
 
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -302,5 +306,5 @@ def _named(spans: Column) -> Column:
 def op13_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(read(spark, sf_dir, "documents"), ["doc_id"])
     base = F.filter("found", lambda x: x["depth"] == 0)
-    counts = [F.size(F.filter("found", lambda x, k=k: (x["depth"] == 0) & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("found")).alias("spans"), "n_layers", "n_refused")
