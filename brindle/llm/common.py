@@ -54,13 +54,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, free: bool = True) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage ends here and a lost executor loses nothing.
 
-    Shuffle files of earlier steps are released first, so they do not add up over an operator's steps.
+    Shuffle files of earlier steps are released first, so they do not add up over an operator's steps; steps that
+    shuffle little leave that, which costs a garbage collection of the driver, to the next one (free=False).
     """
     spark = df.sparkSession
-    release(spark)
+    if free:
+        release(spark)
     path = f"{shared_folder(spark).rstrip('/')}/brindle-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -68,6 +70,10 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def settle_small(df: DataFrame) -> DataFrame:
+    return settle(df, free=False)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a settled table that no later step reads."""
     spark = df.sparkSession

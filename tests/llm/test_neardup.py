@@ -5,6 +5,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from brindle.llm import common, neardup
 from brindle.operators.graph import connected_components
@@ -75,3 +76,54 @@ def test_the_bitmaps_rule_out_no_similar_pair(spark):
     got = df.withColumn("may", neardup.may_be_similar(part("a"), part("b"), F.col("n"), F.col("m"), neardup.SIMILARITY)).collect()
     assert all(r["may"] for r in got if r["similar"]) and sum(r["similar"] for r in got) > 50
     assert sum(not r["may"] for r in got) > 20
+
+
+def star(rng, n, words=120):
+    """A text and n copies with two words changed each, ten shingles: similar to the text by 0.84, to each other by about 0.7."""
+    base = prose(rng, words)
+    out = [base]
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(range(10, words - 10, 7), 2):
+            copy[at] = f"new{k}x{at}"
+        out.append(copy)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("n", [3, 10, 60, 200, 1000])
+def test_a_star_of_edited_copies_keeps_one_row(spark, n):
+    texts = star(random.Random(n), n)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = [r["doc_id"] for r in neardup.keep_one(docs).collect()]
+    # a pair of 0.84 shares no band with a probability of 2 in 100,000
+    assert kept == [0]
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_blocks_do_not_change_the_links(spark, block):
+    """A chain of edits: each text is similar to the next only, and all share bands with many."""
+    rng = random.Random(11)
+    now, texts = prose(rng, 200), []
+    for k in range(60):
+        now = [*now[:3], *[f"c{k}x{i}" if i // 8 == k % 24 and i % 8 in (0, 5) else w for i, w in enumerate(now) if i >= 3]]
+        texts.append(" ".join(now))
+    texts += star(rng, 40)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    found = {(r["a"], r["b"]) for r in neardup.links(docs, block=block).collect()}
+    names = {r["n"]: r["doc_id"] for r in docs.select("doc_id", neardup._node(docs["text"]).alias("n")).collect()}
+    part = {i: i for i in range(len(texts))}
+    for a, b in found:
+        low, high = sorted((part[names[a]], part[names[b]]))
+        part = {k: low if p == high else p for k, p in part.items()}
+    assert list(part.values()) == brute_parts(texts)
+
+
+def test_long_texts_and_a_bucket_of_unlike_texts(spark):
+    """One shared passage puts unlike texts into common buckets; none is lost, and none is joined."""
+    rng = random.Random(12)
+    passage = prose(rng, 160)
+    texts = [" ".join(passage + prose(rng, 60)) for _ in range(150)]
+    long = prose(rng, 60_000)
+    texts += [" ".join(long), " ".join([*long[:-1], "end"])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == list(range(151))
