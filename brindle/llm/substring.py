@@ -97,8 +97,8 @@ def _steps(a: np.ndarray) -> np.ndarray:
     return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
 
 
-def _named_phrases(window: int, phrase: int):
-    """(h, shard, n, t): the phrases that a shard's texts name, how often, and their bytes."""
+def _named_phrases(window: int, phrase: int, hash_bits: int = 64):
+    """(h, shard, n, t): the phrases that a shard's texts name, by the first hash_bits of a hash, how often, and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def _named_phrases(window: int, phrase: int):
                     g = _phrase_hashes(word_hashes(w), phrase)
                     at = _steps(named(g, window - phrase + 1))
                     rows = np.zeros(len(at), dtype=[("h", "<u8"), ("p", "<i4"), ("text", "<i4"), ("at", "<i4")])
-                    rows["h"], rows["p"], rows["text"], rows["at"] = g[at], shard, len(texts), at
+                    rows["h"], rows["p"], rows["text"], rows["at"] = g[at] >> np.uint64(64 - hash_bits), shard, len(texts), at
                     found.append(rows)
                     texts.append(w)
                 if not found:
@@ -120,9 +120,17 @@ def _named_phrases(window: int, phrase: int):
                 rows = rows[np.lexsort((rows["p"], rows["h"]))]
                 first = np.flatnonzero(np.r_[True, (rows["h"][1:] != rows["h"][:-1]) | (rows["p"][1:] != rows["p"][:-1])])
                 n = np.diff(np.r_[first, len(rows)])
-                rows = rows[first]
+                again = np.ones(len(rows), dtype=bool)
+                again[first] = False
+                every, rows = rows, rows[first]
                 said = [b" ".join(texts[i][j : j + phrase]) for i, j in zip(rows["text"].tolist(), rows["at"].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows["h"].copy().view(np.int64)), pa.array(rows["p"].copy()), pa.array(n.astype(np.int32)), pa.array(said, pa.binary())], names=["h", "shard", "n", "t"])
+                # unlike phrases of one hash are rows of their own; their occurrences are counted already
+                others = {(k, b" ".join(texts[i][j : j + phrase])) for k, i, j in zip(np.repeat(np.arange(len(first)), n)[again].tolist(), every["text"][again].tolist(), every["at"][again].tolist(), strict=True)}
+                more = [(k, t) for k, t in others if t != said[k]]
+                kept = np.r_[np.arange(len(rows)), np.array([k for k, _ in more], dtype=np.int64)]
+                n = np.r_[n, np.zeros(len(more), dtype=np.int64)]
+                said += [t for _, t in more]
+                yield pa.RecordBatch.from_arrays([pa.array(rows["h"][kept].view(np.int64)), pa.array(rows["p"][kept]), pa.array(n.astype(np.int32)), pa.array(said, pa.binary())], names=["h", "shard", "n", "t"])
 
     return run
 
@@ -284,14 +292,15 @@ def doc_key(id_col: str, text_col: str, kind: T.DataType) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), hashed) if isinstance(kind, T.IntegralType) else hashed
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES, hash_bits: int = 64) -> DataFrame:
     """docs with the repeated passages cut from text, and n_words (before) and n_removed as last columns.
 
     Columns of docs with these two names are replaced; all others are kept. Null texts have no words and stay null; empty
     and short texts lose nothing. Rows that share an id count as one document: at equal starts neither is earlier. Ids are
     whole numbers below 2^62; ids of other types, and rows with a null id, come in the order of a hash (of the id, or of the
     text), after all numbers; among equal texts without an id nothing is removed. An empty table gives an empty table. Texts
-    may be of any length: a task holds a shard's texts and phrases, and a longer text is a shard's only one.
+    may be of any length: a task holds a shard's texts and phrases, and a longer text is a shard's only one. Phrases are counted by
+    hash_bits of a hash; with fewer bits more phrases are looked for, and the result is the same.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "n_removed")])
     names = docs.columns
@@ -319,8 +328,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = dealt.select(*names, key, here.alias(shard), number.alias(text_hash))
 
     texts = dealt.where(F.col(text_col).isNotNull()).select(F.col(shard).alias("shard"), F.col(text_col).cast("binary").alias("t"), F.col(key).alias("key"), F.col(text_hash).alias("text_hash"))
-    phrases = settle(texts.select("shard", "t").mapInArrow(_named_phrases(window, phrase), "h long, shard int, n int, t binary"))
-    recurring = phrases.groupBy("h").agg(F.sum("n").alias("n"), F.min("t").alias("t")).where("n > 1").select("h", "t")
+    phrases = settle(texts.select("shard", "t").mapInArrow(_named_phrases(window, phrase, hash_bits), "h long, shard int, n int, t binary"))
+    recurring = settle(phrases.groupBy("h").agg(F.sum("n").alias("n"), F.min("t").alias("t"), F.max("t").alias("u")).where("n > 1").select("h", "t", F.when(F.col("t") != F.col("u"), F.lit(True)).alias("mixed")))
+    mixed = recurring.where("mixed").select("h")
+    if not mixed.isEmpty():  # unlike phrases of one hash: all of them are looked for
+        recurring = recurring.where("mixed IS NULL").select("h", "t").unionByName(phrases.join(mixed, "h", "left_semi").select("h", "t").distinct())
     confirmed = settle(phrases.select("h", "shard").join(recurring, "h").select("shard", "t").distinct())
     discard(phrases)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.llm import substring
@@ -61,7 +62,6 @@ def test_the_automaton_decides_not_the_hash(spark, monkeypatch):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(4)] + [(9, " ".join(f"w1x{j}" for j in range(30)))]
     confirmed = {"t": [b"w1x0 w1x1 w1x2 w1x3 w1x4"]}
     run = substring._candidates(20, 5)
-    import pyarrow as pa
 
     monkeypatch.setattr(substring, "_phrase_hashes", lambda h, phrase: np.zeros(len(h) - phrase + 1, dtype=np.uint64))
     docs = pa.table({"shard": pa.array([0] * 5, pa.int32()), "t": [t.encode() for _, t in rows], "key": [i for i, _ in rows], "text_hash": list(range(5))})
@@ -85,3 +85,15 @@ def test_long_texts(spark):
     rows = [(1, long), (2, "x" * 1_000_000), (3, "x" * 1_000_000 + " " + " ".join(long.split()[:300]))]
     assert [len(t.split()) for _, t in got(spark, rows)] == [50_000, 1, 1]
 
+
+
+@pytest.mark.parametrize("hash_bits", [1, 3])
+def test_unlike_phrases_of_one_hash_are_all_looked_for(spark, hash_bits):
+    """Two or eight hashes name all phrases, so nearly all collide; the windows that repeat still go, and only they."""
+    rng = random.Random(9)
+    parts = [" ".join(f"p{k}x{i}" for i in range(26)) for k in range(6)]
+    rows = [(i, " ".join([f"own{i}", *rng.sample(parts, 2), f"end{i}"])) for i in range(30)]
+    batch = pa.record_batch([pa.array([0] * len(rows), pa.int32()), pa.array([t.encode() for _, t in rows])], names=["shard", "t"])
+    named = [(h, t) for out in substring._named_phrases(20, 5, hash_bits)([batch]) for h, t in zip(out.column(0).to_pylist(), out.column(3).to_pylist())]
+    assert len({h for h, _ in named}) <= 1 << hash_bits < len({t for _, t in named}) == len(named)
+    assert got(spark, rows, hash_bits=hash_bits) == brute(rows, 20)
