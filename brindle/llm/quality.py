@@ -1,26 +1,30 @@
 """Quality rules as a short-circuit cascade (native: DataFrame expressions only).
 
-Every rule is a column that is true where it rejects, over counts that it names. The cascade measures each rule's cost,
-its counts included and code generation left out, and its share of rejections on a small random sample of all rows, and puts
-the rules in the order of rejections per second. quality_filter() then computes a rule's counts only for the rows that the rules before it have passed. The order
-changes the time, never the verdict.
+Every rule is a column that is true where it rejects, over counts that it names. One job over a random sample of all rows
+finds which rules reject which rows and how much there is to count: characters, words, lines, and what sorting them takes. A
+rule's cost is the work of the counts that it needs beyond those that rules before it have left, in nanoseconds by
+the rates of WORK; no run is timed, so the order is the same on every rerun. The cascade takes, again and again, the rule with the most rejections per
+cost among the rows of the sample that are left. quality_filter() then computes a rule's counts only for the rows that the
+rules before it have passed. The order changes the time, never the verdict.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACE_CHARS, discard, fresh, read, settle, words
+from brindle.llm.common import SPACE_CHARS, fresh, read, words
 
 #: Rows of the sample on which cost and selectivity are estimated, about. Only the order of the rules depends on it.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 2_000
 SEED = 23
-#: A rule's cost is the least time of so many runs after one that is not counted.
-TIMED_RUNS = 2
+#: Nanoseconds of work: of each count, and of a rule's own expression, by what it goes through. Measured once, on one core.
+WORK = {
+    "n_words": {"chars": 9.0}, "word_chars": {"chars": 17.0}, "n_symbols": {"chars": 24.0}, "n_lines": {"chars": 54.0}, "n_dup_lines": {"chars": 6.0, "lines": 100.0},
+    "n_repeat_words": {"words": 1500.0, "sort": 50.0}, "marks": {"chars": 6.0}, "upper": {"chars": 50.0}, "letters": {"chars": 50.0},
+}
 
 # The limits of the rules.
 MIN_WORDS = 50
@@ -86,11 +90,12 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: true where the rule rejects a row (never null); needs: the counts of with_text_stats() that it reads."""
+    """rejects: true where the rule rejects a row (never null); needs: the counts of with_text_stats() that it reads; work: what of WORK its own expression does."""
 
     name: str
     rejects: Column
     needs: tuple[str, ...] = ()
+    work: tuple[str, ...] = ()
 
 
 def rules(text: str) -> list[Rule]:
@@ -104,23 +109,38 @@ def rules(text: str) -> list[Rule]:
         Rule("symbols", 100 * F.col("n_symbols") > SYMBOL_PERCENT * n_words, ("n_words", "n_symbols")),
         Rule("dup_lines", 100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines"), ("n_dup_lines", "n_lines")),
         Rule("word_length", (F.col("word_chars") < WORD_LENGTH[0] * n_words) | (F.col("word_chars") > WORD_LENGTH[1] * n_words), ("n_words", "word_chars")),
-        Rule("exclaims", 100 * marks > EXCLAIM_PERCENT * n_words, ("n_words",)),
-        Rule("shouts", 100 * upper > SHOUT_PERCENT * letters),
-        Rule("few_letters", 100 * letters < LETTER_PERCENT * F.col("word_chars"), ("word_chars",)),
+        Rule("exclaims", 100 * marks > EXCLAIM_PERCENT * n_words, ("n_words",), ("marks",)),
+        Rule("shouts", 100 * upper > SHOUT_PERCENT * letters, (), ("upper", "letters")),
+        Rule("few_letters", 100 * letters < LETTER_PERCENT * F.col("word_chars"), ("word_chars",), ("letters",)),
     ]
 
 
-def order_rules(sample: DataFrame, found: list[Rule], prepare=lambda df, rule: df) -> list[Rule]:
-    """The rules by rejections per second on the sample, best first; a rule that rejects nothing comes last, cheapest first."""
-    spent, share = {}, {}
-    for rule in found:
-        judged, took = prepare(sample, rule).agg(F.avg(rule.rejects.cast("double"))), []
-        for _ in range(TIMED_RUNS + 1):
-            began = time.perf_counter()
-            share[rule.name] = judged.first()[0] or 0.0
-            took.append(time.perf_counter() - began)
-        spent[rule.name] = max(1e-4, min(took[1:]))
-    return sorted(found, key=lambda r: (-share[r.name] / spent[r.name], spent[r.name], r.name))
+def order_rules(found: list[Rule], masks: dict[tuple[bool, ...], int], size: dict[str, float]) -> list[Rule]:
+    """The rules by rejections per cost, best first. masks: how many rows of the sample have these verdicts, rule by rule; size:
+    what a row has on average of what WORK counts. Rejections are of rows that no rule before rejects, costs of counts that no
+    rule before needs; a rule that rejects nothing more comes last, cheapest first, and equals go by name."""
+    left, have, out = dict(masks), set(), []
+    while len(out) < len(found):
+        rows, best = max(1, sum(left.values())), None
+        for k, rule in enumerate(found):
+            if rule in out:
+                continue
+            cost = 1.0 + sum(rate * size[what] for part in {*rule.needs, *rule.work} - have for what, rate in WORK[part].items())
+            share = sum(n for mask, n in left.items() if mask[k]) / rows
+            key = (-share / cost, cost, rule.name)
+            if best is None or key < best[0]:
+                best = (key, k)
+        k = best[1]
+        out.append(found[k])
+        have |= {*found[k].needs, *found[k].work}
+        left = {mask: n for mask, n in left.items() if not mask[k]}
+    return out
+
+
+def _apart(df: DataFrame, keep: list[str], values: dict[str, Column]) -> DataFrame:
+    """keep, and values as columns that no filter above moves below: they come out of a one-row generator, so that they are
+    computed once a row, whatever is asked of them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
 def _with_counts(df: DataFrame, text: str, counts: list[str]) -> DataFrame:
@@ -129,14 +149,21 @@ def _with_counts(df: DataFrame, text: str, counts: list[str]) -> DataFrame:
 
 
 def ordered_rules(docs: DataFrame, text: str, body: str, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules over the text column body, in the order that pays on a sample of all rows of docs."""
+    """The rules over the text column body, in the order that pays on a sample of all rows of docs: two jobs, a count and the sample's."""
     found, n = rules(body), docs.count()
     if not n:
         return found
-    sample = settle(docs.select(F.coalesce(F.col(text), F.lit("")).alias(body)).sample(False, min(1.0, sample_rows / n), SEED).coalesce(2))
-    out = order_rules(sample, found, lambda df, rule: _with_counts(df, body, list(rule.needs)))
-    discard(sample)
-    return out
+    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias(body)).sample(False, min(1.0, sample_rows / n), SEED)
+    stats = with_text_stats(sample, body, [body])
+    stats = _apart(stats, [body], {c: F.col(c) for c in dict.fromkeys(x for r in found for x in r.needs)})
+    chars, n_words = F.length(body).cast("double"), F.col("n_words").cast("double")
+    sizes = {"chars": chars, "words": n_words, "lines": F.col("n_lines").cast("double"), "sort": n_words * F.log2(n_words + 1)}
+    judged = stats.select(F.array(*[r.rejects for r in found]).alias("mask"), *[v.alias(k) for k, v in sizes.items()])
+    seen = judged.groupBy("mask").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in sizes]).collect()  # 2 ^ rules rows at most
+    rows = max(1, sum(r["n"] for r in seen))
+    # rounded, so that the order of a sum does not decide
+    size = {k: round(sum(r[k] for r in seen) / rows, 3) for k in sizes}
+    return order_rules(found, {tuple(r["mask"]): r["n"] for r in seen}, size)
 
 
 def cascade(found: list[Rule]) -> Column:
@@ -151,13 +178,13 @@ def assess(docs: DataFrame, keep: list[str], text: str = "text", sample_rows: in
     """keep, the counts, base_failed and kept for every row of docs.
 
     Empty and null texts have no words and fail. Repeated rows are judged one by one. An empty table gives an empty table.
-    Columns of keep that have the name of a count or a verdict are replaced by it. Texts may be of any length. To filter by the verdict use quality_filter(), or settle this
-    table first: a filter right above it is moved below the projections that compute the counts.
+    Columns of keep that have the name of a count or a verdict are replaced by it. Texts may be of any length.
     """
     keep = [c for c in keep if c.lower() not in RESULTS]
     stats = with_text_stats(docs, text, keep)
     body = stats.columns[len(keep)]
     found = ordered_rules(docs, text, body, sample_rows)
+    stats = _apart(stats, [*keep, body], {c: F.col(c) for c in stats.columns[len(keep) + 1 :]})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return stats.withColumn("base_failed", base).withColumn("kept", ~cascade(found)).drop(body, "n_lines")
 
@@ -165,15 +192,14 @@ def assess(docs: DataFrame, keep: list[str], text: str = "text", sample_rows: in
 def quality_filter(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that every rule passes, with docs' columns as they are.
 
-    Rule by rule, counts first: rows that a rule rejects reach no later one. The gate, a random column that is always true
-    as a condition, keeps the optimiser from moving a rule below the projections that compute its counts, where it would
-    compute them again for every element of an array.
+    Rule by rule, counts first: rows that a rule rejects reach no later one. Counts and verdicts stand apart (_apart), so the
+    optimiser moves no rule before another.
     """
     now, have = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body")), []
     for rule in ordered_rules(docs, text, "body", sample_rows):
         more = [c for c in rule.needs if c not in have]
-        now, have = _with_counts(now, "body", more), have + more
-        now = now.withColumn("gate", F.rand(0)).where(~rule.rejects & (F.col("gate") >= 0)).drop("gate")
+        now = _apart(_with_counts(now, "body", more), ["row", "body", *have], {**{c: F.col(c) for c in more}, "rejects": rule.rejects}).where(~F.col("rejects")).drop("rejects")
+        have += more
     return now.select("row.*")
 
 

@@ -489,10 +489,33 @@ def test_quality_verdicts(spark):
 
 
 def test_cascade_orders_by_rejection_per_cost(spark):
-    df = spark.range(200).cache()
-    cheap, dull = quality.Rule("cheap", F.col("id") < 150), quality.Rule("dull", F.col("id") < 0)
-    assert [r.name for r in quality.order_rules(df, [dull, cheap])] == ["cheap", "dull"]
-    assert df.where(quality.cascade([dull, cheap])).count() == 150
+    df = spark.range(200)
+    rule = lambda name, below, *needs: quality.Rule(name, F.col("id") < below, needs)
+    found = [rule("dull", 0, "n_words"), rule("dear", 100, "n_repeat_words"), rule("cheap", 90, "n_words"), rule("like_cheap", 80, "n_words", "word_chars")]
+    masks = {}
+    for i in range(200):
+        mask = tuple(i < below for below in (0, 100, 90, 80))
+        masks[mask] = masks.get(mask, 0) + 1
+    size = {"chars": 1000.0, "words": 200.0, "lines": 10.0, "sort": 1500.0}
+    # after the cheap one, what is like it rejects nothing more; the dear one still does
+    assert [r.name for r in quality.order_rules(found, masks, size)] == ["cheap", "dear", "dull", "like_cheap"]
+    assert df.where(quality.cascade(found)).count() == 100
+
+
+def test_the_cascades_order_is_the_same_on_every_rerun(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("body", F.coalesce("text", F.lit("")))
+    orders = {tuple(r.name for r in quality.ordered_rules(docs, "text", "body", n)) for n in (100, 100, 100)}
+    assert len(orders) == 1 and len(next(iter(orders))) == len(quality.rules("body"))
+
+
+def test_a_filter_above_the_counts_stays_there(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = quality.assess(docs, ["doc_id"])
+    plan = found.where("kept AND n_repeat_words < 9 AND n_words > 60")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Generate", 1)[1]
+    # conditions on the text alone may go to the scan; none that holds a count's expression does
+    assert not [x for x in below.splitlines() if "Filter" in x and ("transform(" in x or "xxhash64" in x or "split(" in x)]
+    assert found.where("kept AND n_words > 60").count() == sum(r["kept"] and r["n_words"] > 60 for r in found.collect())
 
 
 # op10
