@@ -3,7 +3,9 @@
 Every tree draws random hyperplanes; a vector's signs against them, in order, are its hash string, and a tree is the
 sorted array of these strings. A query descends each tree to the longest prefix that any string shares with its own, which
 is a range of the array; then all trees ascend together, a bit at a time, widening their ranges until these hold
-enough candidates. Prefix lengths so adapt to how dense the data is around the query. Candidates are scored exactly.
+enough candidates. Prefix lengths so adapt to how dense the data is around the query. Candidates are scored exactly. How many
+are enough is what a sample of a cell's queries needs there, by brute force within the cell: few where vectors have clusters,
+up to all where they have no structure.
 
 The index is cut into cells of bounded size by the prefixes of one more tree, the longer the denser the data: a vector is in
 one cell, and a cell holds a forest. A query is routed to its own prefix and to neighbouring ones, likeliest first: from its
@@ -25,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import read, settle
+from brindle.llm.common import discard, fresh, read, settle
 
 K = 20
 TREES = 32
 BITS = 32
-#: Trees ascend until their ranges together hold this share of a cell's vectors (a vector counts in each tree that has it).
-ASCENT = 1.2
+#: Trees ascend until their ranges together hold this share of a cell's vectors (a vector counts in each tree that has it): the
+#: least of these at which a cell's sample of queries finds FOUND of its neighbours in the cell, so the data decide.
+SHARES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.2, 1.8, 3.0, float(TREES))
+FOUND = 0.97
+CELL_SAMPLE = 48
 #: A cell's vectors, at most, and the queries that one task of a cell answers, about.
 CELL_ROWS = 8_192
 BLOCK_ROWS = 4_096
@@ -153,10 +158,20 @@ class Forest:
                 break
         return lo, hi
 
-    def nearest(self, queries: np.ndarray, k: int, ascent: float = ASCENT) -> Iterator[np.ndarray]:
+    def share(self, queries: np.ndarray, k: int, found: float = FOUND) -> float:
+        """The least of SHARES at which these queries find that part of their true k best rows."""
+        k = min(k, len(self.vectors))
+        true = [np.partition(self.vectors @ q, -k)[-k] - 1e-12 for q in queries]
+        for ascent in SHARES:
+            got = [min(k, int((self.vectors[rows] @ q >= least).sum())) for q, rows, least in zip(queries, self.nearest(queries, k, ascent), true, strict=True)]
+            if sum(got) >= found * k * len(queries):
+                break
+        return ascent
+
+    def nearest(self, queries: np.ndarray, k: int, ascent: float) -> Iterator[np.ndarray]:
         """For each query, the rows of its k best candidates, at least (more on ties)."""
         n = len(self.vectors)
-        lo, hi = self.ranges(queries, min(n * len(self.trees), max(4 * k * len(self.trees) // 2, int(ascent * n))))
+        lo, hi = self.ranges(queries, min(n * len(self.trees), max(4 * k, int(ascent * n))))
         for i, q in enumerate(queries):
             mark = np.zeros(n, dtype=bool)
             for t, (_, order) in enumerate(self.trees):
@@ -225,7 +240,7 @@ def _routed(routes: Routes, reach: float):
     return run
 
 
-def _search(k: int, ascent: float):
+def _search(k: int, ascent: float | None):
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query": [], "score": [], "ids": []}
         if index.num_rows and queries.num_rows:
@@ -233,7 +248,9 @@ def _search(k: int, ascent: float):
             vectors, asked = _vectors(index.column("v")), _vectors(queries.column("v"))
             ids = [np.frombuffer(x.as_py(), dtype="<i8").tolist() for x in index.column("ids")]
             forest = Forest(vectors)
-            for name, q, rows in zip(queries.column("least").to_pylist(), asked, forest.nearest(asked, k + 1, ascent), strict=True):
+            sample = asked[np.argsort(queries.column("least").to_numpy())[np.unique(np.linspace(0, len(asked) - 1, CELL_SAMPLE).astype(int))]]
+            share = forest.share(sample, k + 1) if ascent is None else ascent
+            for name, q, rows in zip(queries.column("least").to_pylist(), asked, forest.nearest(asked, k + 1, share), strict=True):
                 scores = (vectors[rows] * q).sum(axis=1)
                 order = np.lexsort((rows, -scores))[: k + 1]
                 for i in order.tolist():
@@ -261,7 +278,7 @@ def _neighbour(index: DataFrame, asked: DataFrame, n: int, k: int, top: float) -
     return (min(0.999, max(0.02, float(np.quantile(cosines, 0.25)))), min(0.95, float(np.median(lifts)))) if cosines else (0.02, 0.0)
 
 
-def _hits(rows: DataFrame, k: int, ascent: float, reach: float) -> DataFrame:
+def _hits(rows: DataFrame, k: int, ascent: float | None, reach: float) -> DataFrame:
     """(id, hits) for every row that asks; rows (id, v, asks) have vectors of one length."""
     # a vector's smallest k + 1 ids: rows of one vector beyond these cannot be in any result. Tasks cut to k + 1 before the shuffle
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
@@ -297,12 +314,13 @@ def _hits(rows: DataFrame, k: int, ascent: float, reach: float) -> DataFrame:
     return named.join(hits, F.col("least") == F.col("query")).select("id", F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, k).alias("hits"))
 
 
-def search(table: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", ascent: float = ASCENT, reach: float = REACH) -> DataFrame:
+def search(table: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", ascent: float | None = None, reach: float = REACH) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest rows, by inner product, of every row for which queries is true.
 
     A row is never its own neighbour; ties go to the smaller id. Vectors that are null, empty, zero, or hold null or non-finite
     components take no part, nor do rows with a null id. Only vectors of the same length are neighbours. Rows that repeat an id
     are candidates of their own, but a query is not its own neighbour under any of them. An empty table gives an empty table.
+    An id column that has the name of a result gets underscores. ascent fixes the share of a cell's vectors that trees ascend to.
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = settle(rows.where(F.col("id").isNotNull() & _usable(F.col("v"))))
@@ -312,7 +330,7 @@ def search(table: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id"
         got = _hits(rows.where(F.size("v") == width) if len(widths) > 1 else rows, k, ascent, reach)
         found = got if i == 0 else found.unionByName(got)
     flat = found.select(F.col("id").alias("query_id"), F.posexplode("hits").alias("p", "hit"))
-    return flat.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), F.col("hit.score").alias("score"))
+    return flat.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("hit.id").alias(fresh(["query_id", "rank", "score"], id_col)), F.col("hit.score").alias("score"))
 
 
 def op7_ann(spark, sf_dir: str) -> DataFrame:

@@ -79,3 +79,26 @@ def test_lengths_that_differ_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
     assert got == [(0, 1, 20), (0, 2, 1), (20, 1, 0), (20, 1, 2), (20, 2, 1)]
+
+
+def test_the_share_of_candidates_follows_the_data():
+    """Clusters need few candidates, at any size of the cell; vectors without structure need more, and recall stays."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50, 32))
+    shares = {}
+    for name, x in {"few": centres[rng.integers(0, 50, 2000)], "many": centres[rng.integers(0, 50, 8000)], "none": np.zeros((4000, 32))}.items():
+        x = x + rng.normal(size=x.shape) * (0.1 if name != "none" else 1.0)
+        forest = ann.Forest(x)
+        shares[name] = forest.share(x[:48], 11)
+        hits = [len(set(np.argsort(-(x @ q))[:11]) & set(rows)) for q, rows in zip(x[100:150], forest.nearest(x[100:150], 11, shares[name]))]
+        assert sum(hits) >= 0.9 * 11 * 50
+    assert shares["many"] <= shares["few"] <= 0.2 < shares["none"]
+
+
+def test_clashing_names(spark):
+    rows = [(i, [float(i), 1.0], "x", 1) for i in range(1, 30)]
+    for name in ("rank", "score", "query_id", "QUERY_ID"):
+        df = spark.createDataFrame(rows, f"`{name}` long, embedding array<double>, hits string, cell int")
+        out = ann.search(df, F.col(name) == 3, k=2, id_col=name)
+        assert out.columns == ["query_id", "rank", name + "_", "score"]
+        assert [tuple(r) for r in out.orderBy("rank").collect()] == [(3, 1, 29, 88.0), (3, 2, 28, 85.0)]
