@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import read, settle
+from brindle.llm.common import discard, fresh, read, settle, settle_small
 from brindle.operators.graph import connected_components
 
 BITS = 64
@@ -43,15 +43,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id_col, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(id, fp): a row's id and its fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -76,15 +76,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint 0 and link like any other. Rows with a null id keep it and count for links; a
     component of such rows alone has a null component_id. Repeated rows stay repeated. An empty table gives an empty table.
+    Texts of any length are taken whole, other columns are not read, and an id column that has the name of a result gets
+    underscores.
     """
     fps = settle(fingerprints(docs, id_col, text_col))
-    nodes = settle(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
-    found = connected_components(links(nodes.select("fp"), radius), settle)
+    nodes = settle(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    found = connected_components(links(nodes.select("fp"), radius), settle_small)
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = settle(rooted)
+    discard(nodes)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    return fps.join(named, "fp").select(F.col("id").alias(fresh(["fp", "component_id"], id_col)), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -94,7 +97,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     the least text is taken.
     """
     found = near_duplicates(docs, id_col, text_col, radius)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = found.where(F.col(found.columns[0]) == F.col("component_id")).select(F.col("component_id").alias(id_col)).distinct()
     heads = docs.join(kept, id_col, "left_semi")
     others = [c for c in docs.columns if c != id_col]
     once = heads.groupBy(id_col).agg(F.min(F.struct(text_col, *[F.col(c) for c in others if c != text_col])).alias("_row"))

@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from brindle.llm import common, neardup
+from brindle.llm import common, neardup, simhash
 from brindle.operators.graph import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -127,3 +127,12 @@ def test_long_texts_and_a_bucket_of_unlike_texts(spark):
     texts += [" ".join(long), " ".join([*long[:-1], "end"])]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
     assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == list(range(151))
+
+
+@pytest.mark.parametrize("name", ["fp", "component_id", "id", "FP"])
+def test_simhash_with_clashing_names(spark, name):
+    docs = spark.createDataFrame([(4, "a b c d", 1), (2, "A b c d", 2), (7, "x y", 3), (None, None, 4)], f"`{name}` long, text string, t int")
+    out = simhash.near_duplicates(docs, name)
+    assert len({c.lower() for c in out.columns}) == 3
+    assert sorted((str(r[0]), str(r["component_id"])) for r in out.collect()) == [("2", "2"), ("4", "2"), ("7", "7"), ("None", "None")]
+    assert sorted(str(r[name]) for r in simhash.keep_one(docs, name).collect()) == ["2", "7", "None"]
