@@ -151,12 +151,3 @@ def kmeans_cluster(df: DataFrame, vector: str, n_clusters: int = 3, seed: int =
 def optics_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0.3, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
     """The density extraction at one distance, which is dbscan_cluster at that distance."""
     return dbscan_cluster(df, id_col, vector, threshold, min_samples, metric)
-
-
-def optional_cluster(name: str):
-    """A clustering that needs a library which may be absent."""
-    try:
-        import sklearn.cluster as kinds
-    except ImportError as e:
-        raise ImportError(f"{name} needs scikit-learn") from e
-    return getattr(kinds, name)

@@ -15,6 +15,9 @@ from brindle.functions.checks import require_columns
 from brindle.operators.relational import exact_quantiles, keep_first
 from brindle.sources.tables import settle
 
+#: Keys with more values are worked on by aggregates and joins, not in one task; rounds of outliers that such keys may take.
+HOT_ROWS = 200_000
+MOST_ROUNDS = 200
 #: A modified z-score is this times the distance from the median over the median absolute deviation.
 Z_FACTOR = 0.6745
 
@@ -42,17 +45,21 @@ def consensus(values: np.ndarray, value_range: float, z: float) -> float | None:
     return float(values.mean()) if len(values) else None
 
 
-def mad_values(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5) -> DataFrame:
+def mad_values(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, value): one agreed value for each non-null key; a key with a single value keeps it.
 
     Keys whose values agree at once, which are most, are settled by one aggregate in the JVM; only the others go
-    through the rounds, a key at a time, in sorted partitions. mad_rounds() is for keys whose values exceed a task's memory.
+    through the rounds, a key at a time, in sorted partitions, and those with more than hot_rows values by mad_rounds(), as
+    they may exceed a task's memory. The result is the same.
     """
     require_columns(df, key, value)
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
     whole = rows.groupBy("k").agg(F.avg("v").alias("mean"), (F.max("v") - F.min("v") <= value_range).alias("agree"))
     easy = whole.where("agree").select("k", F.col("mean").alias("v"))
     hard = rows.join(whole.where(~F.col("agree")).select("k"), "k", "left_semi")
+    if hot := _hot(hard, hot_rows):
+        easy = easy.unionByName(mad_rounds(hard.join(hot, "k", "left_semi"), "k", "v", MOST_ROUNDS, value_range, z))
+        hard = hard.join(hot, "k", "left_anti")
 
     kind = df.schema[key].dataType.simpleString()
     done = hard.repartition("k").sortWithinPartitions("k", "v").mapInArrow(_keyed(lambda v: consensus(v, value_range, z)), f"k {kind}, v double")
@@ -87,33 +94,45 @@ def mad_duplicates(df: DataFrame, key: str, value: str, value_range: float = 1.0
     return out.select(*[F.col("_v").alias(c) if c == value else F.col(c) for c in df.columns])
 
 
-def mad_rounds(df: DataFrame, key: str, value: str, rounds: int, value_range: float = 1.0, z: float = 3.5) -> DataFrame:
-    """mad_values() as at most `rounds` relational rounds: nothing but aggregates and joins, for keys with very many values.
-
-    Each round's rows are settled, so that a round reads a table and not all rounds before it. Keys that agree, and keys that
-    lost no value, leave; the rounds end when no key is left.
-    """
-    kind = df.schema[key].dataType.simpleString()
-    rows = settle(df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)"))
-    done = df.sparkSession.createDataFrame([], f"k {kind}, v double")
+def _agreed_rows(rows: DataFrame, rounds: int, value_range: float, z: float) -> tuple[DataFrame, DataFrame]:
+    """(the rows (k, v) that are left once their key's values agree, the keys (k) whose values do not) after at most `rounds` relational rounds."""
+    rows = settle(rows)
+    agreed, failed = rows.where("false"), rows.where("false").select("k")
     for left in range(rounds, -1, -1):
-        whole = rows.groupBy("k").agg(F.avg("v").alias("m"), (F.max("v") - F.min("v") > value_range).alias("wide"))
-        done = done.unionByName(whole.where("NOT wide").select("k", F.col("m").alias("v")))
+        whole = settle(rows.groupBy("k").agg((F.max("v") - F.min("v") > value_range).alias("wide")))
+        agreed = agreed.unionByName(rows.join(whole.where("NOT wide").select("k"), "k", "left_semi"))
         wide = settle(rows.join(whole.where("wide").select("k"), "k", "left_semi"))
         if not left or wide.isEmpty():
-            done = done.unionByName(wide.select("k", F.lit(None).cast("double").alias("v")).distinct())
-            break
+            return agreed, failed.unionByName(wide.select("k").distinct())
         off = F.abs(F.col("v") - F.get("q", F.lit(0)))
         near = settle(wide.join(exact_quantiles(wide, ["k"], "v", [0.5]), "k").select("k", "v", off.alias("off")))
         mads = exact_quantiles(near, ["k"], "off", [0.5], "mad")
         far = F.coalesce(Z_FACTOR * F.try_divide(F.col("off"), F.get("mad", F.lit(0))) > z, F.lit(False))
         judged = settle(near.join(mads, "k").select("k", "v", far.alias("far")))
         moved = judged.where("far").select("k").distinct()
-        done = done.unionByName(judged.join(moved, "k", "left_anti").select("k", F.lit(None).cast("double").alias("v")).distinct())
+        failed = failed.unionByName(judged.join(moved, "k", "left_anti").select("k").distinct())
         rows = judged.join(moved, "k", "left_semi").where("NOT far").select("k", "v")
+    raise AssertionError("rounds is not negative")
+
+
+def mad_rounds(df: DataFrame, key: str, value: str, rounds: int, value_range: float = 1.0, z: float = 3.5) -> DataFrame:
+    """mad_values() as at most `rounds` relational rounds: nothing but aggregates and joins, for keys with very many values.
+
+    Each round's rows are settled, so that a round reads a table and not all rounds before it. Keys that agree, and keys that
+    lost no value, leave; the rounds end when no key is left.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
+    agreed, failed = _agreed_rows(rows, rounds, value_range, z)
+    done = agreed.groupBy("k").agg(F.avg("v").alias("v")).unionByName(failed.select("k", F.lit(None).cast("double").alias("v")))
     return done.select(F.col("k").alias(key), F.col("v").alias(value))
 
 
+def _hot(rows: DataFrame, hot_rows: int) -> DataFrame | None:
+    """The keys (k) with more than hot_rows rows, or None if there are none."""
+    hot = settle(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("k"))
+    return None if hot.isEmpty() else hot
+
+
 def reconcile(exact: float | None, above: float | None, below: float | None, r: float) -> tuple[float | None, str | None]:
     """One value and relation from an agreed exact value, the highest lower bound and the lowest upper bound.
 
@@ -135,15 +154,16 @@ def reconcile(exact: float | None, above: float | None, below: float | None, r:
     return None, None
 
 
-def censored_values(df: DataFrame, key: str, value: str, relation: str, value_range: float = 1.0, z: float = 3.5) -> DataFrame:
+def censored_values(df: DataFrame, key: str, value: str, relation: str, value_range: float = 1.0, z: float = 3.5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, value, relation) for each non-null key from values with relation =, < or >.
 
     Each relation's values are first freed of outliers: = gives their median, > their maximum, < their minimum. If the exact
-    values never agree, the key has neither value nor relation. Any other relation is an error.
+    values never agree, the key has neither value nor relation. Any other relation is an error. Keys with more than hot_rows
+    rows are freed of outliers in relational rounds, all others a key at a time; the result is the same.
     """
     require_columns(df, key, value, relation)
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_key(pdf: pd.DataFrame) -> pd.DataFrame:
         sides: dict[str, float | None] = {"=": None, ">": None, "<": None}
         failed = False
         for side, pick in (("=", np.median), (">", np.max), ("<", np.min)):
@@ -158,7 +178,25 @@ def censored_values(df: DataFrame, key: str, value: str, relation: str, value_ra
     bad = F.raise_error(F.concat(F.lit("unknown relation: "), F.coalesce(F.col(relation), F.lit("null"))))
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.when(F.col(relation).isin("=", "<", ">"), F.col(relation)).otherwise(bad).alias("r"))
     kind = df.schema[key].dataType.simpleString()
-    out = rows.where("k IS NOT NULL AND v IS NOT NULL").groupBy("k").applyInPandas(settle, f"k {kind}, v double, r string")
+    rows = rows.where("k IS NOT NULL AND v IS NOT NULL")
+    hot = _hot(rows, hot_rows)
+    few = rows if hot is None else rows.join(hot, "k", "left_anti")
+    out = few.groupBy("k").applyInPandas(of_key, f"k {kind}, v double, r string")
+    if hot is not None:
+        sides = rows.join(hot, "k", "left_semi").select(F.struct("k", "r").alias("k"), "v")
+        agreed, failed = _agreed_rows(sides, MOST_ROUNDS, value_range, z)
+        side = lambda r: agreed.where(F.col("k.r") == r)
+        found = hot.join(exact_quantiles(side("=").select("k.k", "v"), ["k"], "v", [0.5]).select("k", F.get("q", F.lit(0)).alias("exact")), "k", "left")
+        found = found.join(side(">").groupBy("k.k").agg(F.max("v").alias("above")), "k", "left").join(side("<").groupBy("k.k").agg(F.min("v").alias("below")), "k", "left")
+        found = found.join(failed.where("k.r = '='").select("k.k", F.lit(True).alias("bad")), "k", "left")
+
+        def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                sides = [[None if pd.isna(x) else float(x) for x in b[c]] for c in ("exact", "above", "below")]
+                got = [(None, None) if bad else reconcile(*s, value_range) for bad, *s in zip(b["bad"].notna(), *sides, strict=True)]
+                yield pd.DataFrame({"k": b["k"], "v": pd.Series([g[0] for g in got], dtype="float64", index=b.index), "r": pd.Series([g[1] for g in got], dtype="object", index=b.index)})
+
+        out = out.unionByName(found.mapInPandas(judged, f"k {kind}, v double, r string"))
     return out.select(F.col("k").alias(key), F.col("v").alias(value), F.col("r").alias(relation))
 
 
@@ -176,8 +214,9 @@ def _agreeing(values: np.ndarray, value_range: float, z: float) -> np.ndarray |
 
 def mean_within_std(df: DataFrame, key: str, value: str, order: str, std_factor: float = 0.7) -> DataFrame:
     """One row a key (the first by order): the mean of the values within median +/- std_factor * std. Single values stay."""
-    stats = df.groupBy(key).agg(F.median(value).alias("_m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s"))
-    near = df.join(stats, key).where(F.abs(F.col(value) - F.col("_m")) <= std_factor * F.col("_s"))
+    middles = exact_quantiles(df, [key], value, [0.5]).select(key, F.get("q", F.lit(0)).alias("_m"))
+    stats = df.groupBy(key).agg(F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s"))
+    near = df.join(middles, key).join(stats, key).where(F.abs(F.col(value) - F.col("_m")) <= std_factor * F.col("_s"))
     means = near.groupBy(key).agg(F.avg(value).alias("_mean"))
     first = keep_first(near.select(*df.columns), [key], order)
     return first.join(means, key).select(*[F.col("_mean").alias(c) if c == value else F.col(c) for c in df.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.expr import round_significant, safe_div
-from brindle.operators.relational import running_total
+from brindle.operators.relational import exact_quantiles, running_total
 
 DIGITS = 5
 OVERALL = "Overall"
@@ -139,7 +139,8 @@ def vote(predictions: DataFrame, row: str, value: str, how: str, weights: DataFr
     if how == "mode":
         return predictions.groupBy(row).agg(F.mode(value, deterministic=True).alias(value))
     if how == "median":
-        return predictions.groupBy(row).agg(F.median(value).alias(value))
+        middles = exact_quantiles(predictions, [row], value, [0.5], "_q").withColumnRenamed(row, "_r")
+        return predictions.select(row).distinct().join(middles, F.col(row).eqNullSafe(F.col("_r")), "left").select(row, F.get("_q", F.lit(0)).alias(value))
     if how == "mean":
         return predictions.groupBy(row).agg(F.avg(value).alias(value))
     if how != "weighted" or weights is None:

@@ -135,8 +135,13 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", **options
 
 
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """(name, block, properties) of each record of structure-data files: records end with $$$$, properties are '> <name>' fields."""
-    records = spark.read.option("lineSep", "$$$$\n").text(path).select(F.regexp_replace("value", r"\r\n", "\n").alias("r")).where(F.length(F.trim("r")) > 0)
+    """(name, block, properties) of each record of structure-data files: records end with $$$$, properties are '> <name>' fields.
+
+    Lines end with LF or CRLF, as the first line of the files does.
+    """
+    head = spark.read.option("lineSep", "\n").text(path).first()
+    end = "\r\n" if head and head[0].endswith("\r") else "\n"
+    records = spark.read.option("lineSep", "$$$$" + end).text(path).select(F.regexp_replace("value", r"\r\n", "\n").alias("r")).where(F.length(F.trim("r")) > 0)
     field = r"(?m)^>[^\n<]*<([^>\n]+)>[^\n]*\n"
     names = F.regexp_extract_all("r", F.lit(field), 1)
     values = F.transform(F.slice(F.split("r", field), 2, 1_000_000), lambda x: F.regexp_replace(x, r"\n+$", ""))

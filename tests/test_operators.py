@@ -421,6 +421,26 @@ def test_pickles_are_refused(spark):
         tables.read_table(spark, "x.pkl")
 
 
+def test_sdf_with_either_line_end(spark, tmp_path):
+    text = "\n  x\n\nM  END\n> <A>\n1 $$$$ 2\n\n$$$$\nmol2\n\n\nM  END\n> <A>\n3\nmore\n\n$$$$\n"
+    for name, end in (("lf", "\n"), ("crlf", "\r\n")):
+        (tmp_path / f"{name}.sdf").write_bytes(text.replace("\n", end).encode())
+        got = tables.read_table(spark, f"{tmp_path}/{name}.sdf").orderBy("name").collect()
+        assert [(r["name"], r["properties"]) for r in got] == [("", {"A": "1 $$$$ 2"}), ("mol2", {"A": "3\nmore"})]
+
+
+def test_hot_keys_give_what_other_keys_give(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(14):
+        for _ in range(int(rng.choice([3, 9, 40]))):
+            rows.append((k if k else None, float(rng.normal(k, 0.3) + (rng.random() < 0.2) * rng.normal(0, 4)), str(rng.choice(["=", "<", ">"], p=[0.6, 0.2, 0.2]))))
+    df = spark.createDataFrame(rows, "k int, v double, r string")
+    for fn, cols in ((lambda h: dedup.mad_values(df, "k", "v", hot_rows=h), ["k", "v"]), (lambda h: dedup.censored_values(df, "k", "v", "r", hot_rows=h), ["k", "v", "r"])):
+        whole, hot, some = (sorted((tuple(None if x is None else f"{x:.9g}" if isinstance(x, float) else x for x in r) for r in fn(h).select(*cols).collect()), key=str) for h in (10**9, 0, 12))
+        assert whole == hot == some and len(whole) == 13
+
+
 def test_sdf(spark, tmp_path):
     (tmp_path / "a.sdf").write_text("mol1\n  x\n\nM  END\n> <A>\n1\n\n> <B>\ntwo\n\n$$$$\nmol2\n\n\nM  END\n> <A>\n3\n\n$$$$\n")
     got = tables.read_table(spark, f"{tmp_path}/a.sdf").orderBy("name").collect()
