@@ -90,7 +90,7 @@ def star(rng, n, words=120):
     return [" ".join(w) for w in out]
 
 
-@pytest.mark.parametrize("n", [3, 10, 60, 200, 1000])
+@pytest.mark.parametrize("n", [10, 200, 1000])
 def test_a_star_of_edited_copies_keeps_one_row(spark, n):
     texts = star(random.Random(n), n)
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
@@ -99,8 +99,8 @@ def test_a_star_of_edited_copies_keeps_one_row(spark, n):
     assert kept == [0]
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_blocks_do_not_change_the_links(spark, block):
+@pytest.mark.parametrize("block,rounds", [(7, ()), (4096, ()), (4096, (2, 9))])
+def test_blocks_and_rounds_do_not_change_the_components(spark, block, rounds):
     """A chain of edits: each text is similar to the next only, and all share bands with many."""
     rng = random.Random(11)
     now, texts = prose(rng, 200), []
@@ -109,7 +109,7 @@ def test_blocks_do_not_change_the_links(spark, block):
         texts.append(" ".join(now))
     texts += star(rng, 40)
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
-    found = {(r["a"], r["b"]) for r in neardup.links(docs, block=block).collect()}
+    found = {(r["a"], r["b"]) for r in neardup.links(docs, block=block, rounds=rounds).collect()}
     names = {r["n"]: r["doc_id"] for r in docs.select("doc_id", neardup._node(docs["text"]).alias("n")).collect()}
     part = {i: i for i in range(len(texts))}
     for a, b in found:
