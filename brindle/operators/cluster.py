@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.distance import pairwise
+from brindle.operators.distance import block_distances, grouped_pairs, pairwise
 from brindle.operators.graph import connected_components
 from brindle.operators.relational import row_index
-from brindle.sources.tables import settle
+from brindle.sources.tables import discard, settle
 
-#: Greedy and agglomerative clustering hold the graph on the driver; beyond this many edges they refuse.
-MAX_DRIVER_EDGES = 20_000_000
-#: Average and complete linkage hold a dense matrix; beyond this many rows they refuse.
-MAX_DENSE_ROWS = 4_000
+#: Components of so many rows are merged as one task's matrix by average and complete linkage.
+DENSE_ROWS = 1_000
 
 
 def label_values(df: DataFrame, column: str, name: str = "Cluster") -> DataFrame:
@@ -56,46 +55,54 @@ def dbscan_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0
     return out.withColumn("Cluster", F.coalesce("_l", "_near", F.lit(-1)).cast("int")).drop("node", "_l", "_b", "_near")
 
 
-def greedy_labels(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Again and again the row with most unassigned neighbours (lowest on ties) takes them; rows left alone are clusters in order."""
-    order = np.argsort(np.r_[src, dst], kind="stable")
-    heads, tails = np.r_[src, dst][order], np.r_[dst, src][order]
-    begin = np.searchsorted(heads, np.arange(n + 1))
-    free, count, labels, label = np.ones(n, dtype=bool), np.diff(begin).astype(np.int64), np.full(n, -1, dtype=np.int64), 0
-    while True:
-        best = int(np.argmax(np.where(free, count, -1))) if n else 0
-        if not n or not free[best] or count[best] <= 0:
-            break
-        near = tails[begin[best] : begin[best + 1]]
-        members = np.r_[best, near[free[near]]]
-        labels[members], free[members] = label, False
-        for m in members:
-            np.subtract.at(count, tails[begin[m] : begin[m + 1]], 1)
-        label += 1
-    rest = np.flatnonzero(labels < 0)
-    labels[rest] = np.arange(label, label + len(rest))
-    return labels
-
-
-def _on_driver(df: DataFrame, id_col: str, edges: DataFrame, labels: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    edges = settle(edges)
-    if edges.count() > MAX_DRIVER_EDGES:
-        raise ValueError(f"more than {MAX_DRIVER_EDGES} edges; use component_cluster")
-    ids = np.array([r[0] for r in df.select(id_col).orderBy(id_col).collect()])
-    found = edges.select("src", "dst").toPandas()
-    got = labels(len(ids), np.searchsorted(ids, found["src"].to_numpy()), np.searchsorted(ids, found["dst"].to_numpy()))
-    kind = df.schema[id_col].dataType.simpleString()
-    placed = df.sparkSession.createDataFrame([(x.item() if hasattr(x, "item") else x, int(y)) for x, y in zip(ids, got, strict=True)], f"_id {kind}, Cluster int")
-    return df.join(placed, F.col(id_col) == F.col("_id")).drop("_id")
+def _placed(df: DataFrame, id_col: str, vector: str | None = None) -> DataFrame:
+    """(_id, _node, and _v, the vector): the rows of df numbered in the order of their unique ids."""
+    more = [F.col(vector).cast("array<double>").alias("_v")] if vector else []
+    return settle(row_index(df.select(F.col(id_col).alias("_id"), *more), "_id", name="_node"))
+
+
+def _both_ways(edges: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b) of edges (src, dst) in both directions, by the rows' numbers."""
+    name = lambda c, to: places.select(F.col("_id").alias(c), F.col("_node").alias(to))
+    one = settle(edges.select("src", "dst").join(name("src", "a"), "src").join(name("dst", "b"), "dst").select("a", "b"))
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def butina_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0.3, metric: str = "euclidean", edges: DataFrame | None = None) -> DataFrame:
-    """Greedy neighbourhood clustering. Edges are made distributed; the greedy order is sequential and runs on the driver."""
-    return _on_driver(df, id_col, edges if edges is not None else pairwise(df, id_col, vector, metric, threshold), greedy_labels)
+    """Greedy neighbourhood clustering: again and again the row with most unassigned neighbours (the first on ties) takes them;
+    rows left alone are clusters in order.
+
+    Rounds take many of these steps at once. Taking a row changes the counts of rows within two links only, and counts
+    only fall, so a row that has more unassigned neighbours than any other within two links will take its own, whatever
+    happens elsewhere. The order of the steps is that of their counts, so labels are those of one step at a time.
+    """
+    places = _placed(df, id_col)
+    now, taken = settle(_both_ways(edges if edges is not None else pairwise(df, id_col, vector, metric, threshold), places)), []
+    while True:
+        key = settle(now.groupBy("a").agg(F.count("*").alias("c")).select("a", F.struct("c", (-F.col("a")).alias("first")).alias("k")))
+        best = key
+        for _ in range(2):  # the greatest within one link, then within two
+            around = now.join(best.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").groupBy("a").agg(F.max("kb").alias("kb"))
+            best = best.join(around, "a").select("a", F.greatest("k", "kb").alias("k"))
+        centres = settle(key.join(best.withColumnRenamed("k", "m"), "a").where("k = m").select(F.col("a").alias("centre"), F.col("k.c").alias("c")))
+        if centres.isEmpty():
+            break
+        members = now.join(centres, F.col("a") == F.col("centre")).select(F.col("b").alias("node"), "centre", "c")
+        taken.append(settle(members.unionByName(centres.select(F.col("centre").alias("node"), "centre", "c"))))
+        gone = taken[-1].select("node")
+        before, now = now, settle(now.join(gone, F.col("a") == F.col("node"), "left_anti").join(gone, F.col("b") == F.col("node"), "left_anti"))
+        discard(before)
+    every = places.select(F.col("_node").alias("node"), F.col("_node").alias("centre"), F.lit(0).cast("long").alias("c"))
+    if taken:
+        every = every.join(reduce(DataFrame.unionByName, taken).select("node"), "node", "left_anti").unionByName(reduce(DataFrame.unionByName, taken))
+    every = settle(every)
+    names = row_index(every.select("centre", "c").distinct(), F.desc("c"), F.col("centre"), name="_l")
+    labels = every.join(names.select("centre", "_l"), "centre").join(places.withColumnRenamed("_node", "node"), "node").select("_id", F.col("_l").cast("int").alias("Cluster"))
+    return df.drop("Cluster").join(labels, F.col(id_col) == F.col("_id")).drop("_id")
 
 
 def linkage_labels(d: np.ndarray, threshold: float, linkage: str) -> np.ndarray:
-    """Merges the closest two clusters, by average or complete linkage, while they are within threshold."""
+    """Merges the closest two clusters, by average or complete linkage, while they are within threshold: each row's first row of its cluster."""
     d = d.copy()
     np.fill_diagonal(d, np.inf)
     size, label = np.ones(len(d)), np.arange(len(d))
@@ -109,25 +116,60 @@ def linkage_labels(d: np.ndarray, threshold: float, linkage: str) -> np.ndarray:
         d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
         size[i] += size[j]
         label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+    return label
 
 
-def agglomerative_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0.3, linkage: str = "average", metric: str = "euclidean") -> DataFrame:
-    """Cut at a distance. Single linkage is the components of the threshold graph and stays distributed."""
+def _merged_rounds(pairs: DataFrame, threshold: float, linkage: str) -> DataFrame:
+    """(node, root) of clusters merged from pairs (a, b, distance), a < b, all pairs of each of some components.
+
+    A round merges every two clusters that are each other's nearest, ties by number: for average and complete linkage no other
+    merge brings a cluster nearer, so the merges are those of one at a time. Pairs of clusters, with what their linkage needs
+    of the distances between them, are settled each round.
+    """
+    link = F.col("s") / F.col("n") if linkage == "average" else F.col("m")
+    now = settle(pairs.select("a", "b", F.col("distance").alias("s"), F.lit(1).cast("long").alias("n"), F.col("distance").alias("m")))
+    roots = settle(now.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")))
+    while True:
+        ends = now.withColumn("k", F.struct(link.alias("d"), "a", "b"))
+        near = ends.select(F.col("a").alias("c"), "k").unionByName(ends.select(F.col("b").alias("c"), "k")).groupBy("c").agg(F.min("k").alias("k"))
+        both = settle(near.where(F.col("k.d") <= threshold).groupBy("k").agg(F.count("*").alias("c")).where("c = 2").select("k.a", "k.b"))
+        if both.isEmpty():
+            return roots
+        to = lambda c: both.select(F.col("b").alias(c), F.col("a").alias(f"{c}_to"))
+        moved = now.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"), "s", "n", "m").where("x <> y")
+        before, now = now, settle(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("m").alias("m")))
+        old, roots = roots, settle(roots.join(to("root"), "root", "left").select("node", F.coalesce("root_to", "root").alias("root")))
+        for used in (before, old):
+            discard(used)
+
+
+def agglomerative_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0.3, linkage: str = "average", metric: str = "euclidean", dense_rows: int = DENSE_ROWS) -> DataFrame:
+    """Clusters merged by average, complete or single linkage while within threshold, numbered by first row.
+
+    Clusters that merge lie in one component of the pairs within threshold. Single linkage is these components. For the
+    others a component of at most dense_rows rows is one task's matrix; larger ones are merged in rounds over their pairs.
+    """
     if linkage == "single":
         return component_cluster(df, id_col, vector, threshold, metric)
     if linkage not in ("average", "complete"):
         raise ValueError(f"no linkage {linkage!r}")
-    if df.count() > MAX_DENSE_ROWS:
-        raise ValueError(f"more than {MAX_DENSE_ROWS} rows; use single linkage")
-    from brindle.operators.distance import block_distances
-
-    rows = df.select(id_col, vector).orderBy(id_col).collect()
-    v = np.array([r[1] for r in rows], dtype=np.float64)
-    labels = linkage_labels(block_distances(v, v, metric), threshold, linkage) if rows else []
-    kind = df.schema[id_col].dataType.simpleString()
-    placed = df.sparkSession.createDataFrame([(r[0], int(x)) for r, x in zip(rows, labels, strict=True)], f"_id {kind}, Cluster int")
-    return df.join(placed, F.col(id_col) == F.col("_id")).drop("_id")
+    places = _placed(df, id_col, vector)
+    edges = pairwise(places, "_node", "_v", metric, threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    parts = settle(connected_components(edges, settle))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
+    rows = settle(places.join(parts, F.col("_node") == F.col("node")).join(sizes, "component").select("node", "_v", "component", "n"))
+
+    def dense(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        nodes, v = t.column("node").to_numpy(), np.array(t.column("_v").to_pylist(), dtype=np.float64)
+        return pa.table({"node": nodes, "root": nodes[linkage_labels(block_distances(v, v, metric), threshold, linkage)]})
+
+    found = rows.where(F.col("n") <= dense_rows).groupBy("component").applyInArrow(dense, "node long, root long")
+    large = rows.where(F.col("n") > dense_rows)
+    if not large.isEmpty():
+        found = found.unionByName(_merged_rounds(grouped_pairs(large, "node", "_v", "component", metric), threshold, linkage))
+    named = places.select("_id", "_node").join(found.withColumnRenamed("node", "_node"), "_node", "left").select("_id", F.coalesce("root", "_node").alias("_root"))
+    return label_values(df.drop("Cluster").join(named, F.col(id_col) == F.col("_id")).drop("_id"), "_root", "Cluster").drop("_root")
 
 
 def spectral_cluster(df: DataFrame, id_col: str, vector: str, n_clusters: int = 2, threshold: float = 0.3, metric: str = "euclidean", seed: int = 42) -> DataFrame:

@@ -484,7 +484,17 @@ def _(s, d):
 _REACH = f"WITH RECURSIVE {_PAIRS}, e AS (SELECT src, dst FROM pairs WHERE distance <= {THRESHOLD}), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), reach(a, z) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT a, dst FROM reach JOIN b ON z = src), root AS (SELECT a, min(z) AS m FROM reach GROUP BY a)"
 
 
-@query("clu_01_butina")
+@query("clu_01_butina", f"""
+WITH RECURSIVE {_PAIRS}, ix AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+e AS (SELECT x.i AS s, y.i AS t FROM pairs JOIN ix x ON src = x.vec_id JOIN ix y ON dst = y.vec_id WHERE distance <= {THRESHOLD}), b AS (SELECT s, t FROM e UNION ALL SELECT t, s FROM e),
+st(step, free, near) AS (
+  SELECT -1, (SELECT list(true) FROM ix), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT step + 1, list_transform(free, lambda f, i: f AND NOT list_contains(taken, i)), taken
+  FROM (SELECT step, free, list_prepend(c, (SELECT list(t) FROM b WHERE s = c AND free[t])) AS taken
+    FROM (SELECT step, free, (SELECT s FROM b WHERE free[s] AND free[t] GROUP BY s ORDER BY count(*) DESC, s LIMIT 1) AS c FROM st) WHERE c IS NOT NULL)),
+m AS (SELECT step, unnest(near) AS i FROM st WHERE step >= 0)
+SELECT vec_id, CAST(coalesce(step, (SELECT max(step) FROM st) + row_number() OVER (PARTITION BY step IS NULL ORDER BY i)) AS INT) AS "Cluster" FROM ix LEFT JOIN m USING (i)""")
 def _(s, d):
     return cluster.butina_cluster(_t(s, d, "embeddings"), "vec_id", "embedding", THRESHOLD).select("vec_id", "Cluster")
 
@@ -520,6 +530,16 @@ def _(s, d):
     return cluster.agglomerative_cluster(_t(s, d, "embeddings"), "vec_id", "embedding", THRESHOLD, "single").select("vec_id", "Cluster")
 
 
+@query("clu_06_agglomerative_average")
+def _(s, d):
+    return cluster.agglomerative_cluster(_t(s, d, "embeddings"), "vec_id", "embedding", THRESHOLD, "average", dense_rows=100).select("vec_id", "Cluster")
+
+
+@query("clu_06_agglomerative_complete")
+def _(s, d):
+    return cluster.agglomerative_cluster(_t(s, d, "embeddings"), "vec_id", "embedding", THRESHOLD, "complete").select("vec_id", "Cluster")
+
+
 @query("clu_07_spectral")
 def _(s, d):
     return cluster.spectral_cluster(_t(s, d, "embeddings"), "vec_id", "embedding", 3, 1.3).select("vec_id", "Cluster")
