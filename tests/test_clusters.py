@@ -5,6 +5,8 @@ import pytest
 
 from brindle.operators import cluster
 from brindle.operators.distance import block_distances
+from brindle.operators.graph import connected_components
+from brindle.sources.tables import settle
 
 
 def greedy(near):
@@ -55,3 +57,19 @@ def test_linkage_in_rounds_and_dense(spark, linkage, threshold):
     for dense_rows in (0, 20, 1000):
         assert labels(cluster.agglomerative_cluster(table(spark, x), "id", "v", threshold, linkage, dense_rows=dense_rows)) == want
     assert 10 < len(set(want)) < 100
+
+
+@pytest.mark.parametrize("whole_edges", [0, 30, 1 << 15])
+def test_components_of_small_graphs_are_one_tasks_work(spark, whole_edges):
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(500, 500), (7, 7), (None, 3)]
+    part = {x: x for p in pairs if None not in p for x in p}
+    for a, b in pairs:
+        if a is not None and part[a] != part[b]:
+            low, high = sorted((part[a], part[b]))
+            part = {k: low if v == high else v for k, v in part.items()}
+    for kind, cast in (("long", int), ("string", lambda i: f"é{i:03d}")):
+        df = spark.createDataFrame([(None if a is None else cast(a), cast(b)) for a, b in pairs], f"a {kind}, b {kind}")
+        got = connected_components(df, settle, whole_edges=whole_edges).collect()
+        assert {r["node"]: r["component"] for r in got} == {cast(k): cast(v) for k, v in part.items()} and len(got) == len(part)
+    assert connected_components(df.limit(0), settle, whole_edges=whole_edges).count() == 0
