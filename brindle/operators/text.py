@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import row_index
@@ -99,3 +99,37 @@ def article_fields(xml: Column | str, paths: dict[str, str]) -> list[Column]:
     """One text column for each XPath."""
     c = F.col(xml) if isinstance(xml, str) else xml
     return [F.nullif(F.xpath_string(c, F.lit(p)), F.lit("")).alias(name) for name, p in paths.items()]
+
+
+def topic_coherence(df: DataFrame, id_col: str, words: str, topics: DataFrame, topic: str = "topic", word: str = "word", window: int = 110) -> DataFrame:
+    """(topic, coherence): how often the words of each topic stand near each other, from windows of so many consecutive words.
+
+    p is the share of all windows (one for each start, one for a shorter text) that hold a word, or two of them; the normalised
+    pointwise mutual information of two words is ln(p(a, b) / p(a) p(b)) / -ln p(a, b), with 10^-12 added to p(a, b). A word's vector
+    has this for each word of its topic, itself included, and the coherence is the mean cosine of the words' vectors and their sum.
+    Windows are counted from the places of topic words, not made: those that hold a or b are a union of ranges of starts.
+    A topic word that no text holds has the vector of all zeros, and cosine 0. Ids are unique; null texts have no windows.
+    """
+    wanted = topics.select(F.col(topic).alias("t"), F.col(word).alias("w")).where("w IS NOT NULL").distinct()
+    texts = df.where(F.size(words) > 0).select(F.col(id_col).alias("d"), F.col(words).alias("ws"), F.greatest(F.lit(1), F.size(words) - window + 1).cast("long").alias("n"))
+    total = texts.agg(F.sum("n").alias("total"))
+    places = texts.select("d", "n", F.posexplode("ws").alias("p", "w")).join(wanted.select("w").distinct(), "w").select("d", "w", F.greatest(F.lit(0), F.col("p") - window + 1).alias("lo"), F.least(F.col("p"), F.col("n") - 1).alias("hi"))
+    pairs = wanted.withColumnRenamed("w", "a").join(wanted.withColumnRenamed("w", "b"), "t").where("a <= b").select("a", "b").distinct()
+    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("w"))
+    before = F.lag("hi", 1, -1).over(Window.partitionBy("d", "a", "b").orderBy("lo", "hi"))
+    # starts are sorted, and so are ends: a range adds what lies behind the end of the one before
+    counted = places.join(ends, "w").withColumn("new", F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo"), before + 1) + 1))
+    either = counted.groupBy("a", "b").agg(F.sum("new").cast("double").alias("either"))
+    alone = either.where("a = b").select(F.col("a").alias("w"), F.col("either").alias("own"))
+    own = lambda c, name: alone.select(F.col("w").alias(c), F.col("own").alias(name))
+    met = either.join(own("a", "na"), "a").join(own("b", "nb"), "b").crossJoin(F.broadcast(total))  # one row
+    both = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("na") + F.col("nb") - F.col("either")) / F.col("total") + F.lit(1e-12)
+    score = F.when(both >= 1, F.lit(1.0)).otherwise(F.ln(both / (F.col("na") / F.col("total") * F.col("nb") / F.col("total"))) / -F.ln(both))
+    known = met.select("a", "b", score.alias("s"))
+    known = known.unionByName(known.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    cells = wanted.withColumnRenamed("w", "a").join(wanted.withColumnRenamed("w", "b"), "t").join(known, ["a", "b"], "left").select("t", "a", "b", F.coalesce("s", F.lit(0.0)).alias("s"))
+    sums = cells.groupBy("t", "b").agg(F.sum("s").alias("z"))
+    dots = cells.join(sums, ["t", "b"]).groupBy("t", "a").agg(F.sum(F.col("s") * F.col("z")).alias("dot"), F.sum(F.col("s") * F.col("s")).alias("ss"))
+    length = sums.groupBy("t").agg(F.sum(F.col("z") * F.col("z")).alias("zz"))
+    cosine = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("ss")) * F.sqrt(F.col("zz"))), F.lit(0.0))
+    return dots.join(length, "t").groupBy(F.col("t").alias(topic)).agg(F.avg(cosine).alias("coherence"))

@@ -796,6 +796,32 @@ def _(s, d):
     return text.document_frequencies(_t(s, d, "documents").select("doc_id", text.document_tokens("text", "ascii").alias("w")), "doc_id", "w")
 
 
+@query("nlp_02_topic_coherence", r"""
+WITH w AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), lambda x: regexp_full_match(x, '[\x21-\x7e]+') AND x NOT IN ('""" + _STOP + r"""')) AS ws FROM documents),
+f AS (SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(ws) AS x FROM w WHERE lang IS NOT NULL) GROUP BY ALL),
+tw AS (SELECT lang, x FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS k FROM f) WHERE k <= 6),
+n AS (SELECT sum(greatest(1, len(ws) - 19)) AS total FROM w WHERE len(ws) > 0),
+pos AS (SELECT doc_id, p - 1 AS p, ws[p] AS x, greatest(1, len(ws) - 19) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w) WHERE ws[p] IN (SELECT x FROM tw)),
+win AS (SELECT DISTINCT doc_id, x, unnest(range(greatest(0, p - 19), least(p, n - 1) + 1)) AS s FROM pos),
+one AS (SELECT x, count(*) AS c FROM win GROUP BY x),
+two AS (SELECT a.x AS a, b.x AS b, count(*) AS c FROM win a JOIN win b USING (doc_id, s) GROUP BY ALL),
+cells AS (SELECT y.lang, y.x AS a, z.x AS b, CASE WHEN coalesce(two.c, 0) / total + 1e-12 >= 1 THEN 1 ELSE ln((coalesce(two.c, 0) / total + 1e-12) / (p.c / total * q.c / total)) / -ln(coalesce(two.c, 0) / total + 1e-12) END AS s
+  FROM tw y JOIN tw z USING (lang) JOIN one p ON p.x = y.x JOIN one q ON q.x = z.x LEFT JOIN two ON two.a = y.x AND two.b = z.x, n),
+sums AS (SELECT lang, b, sum(s) AS z FROM cells GROUP BY ALL), dots AS (SELECT lang, a, sum(s * z) AS d, sum(s * s) AS ss FROM cells JOIN sums USING (lang, b) GROUP BY ALL), zs AS (SELECT lang, sum(z * z) AS zz FROM sums GROUP BY lang)
+SELECT lang AS topic, """ + _r("avg(d / (sqrt(ss) * sqrt(zz)))") + """ AS coherence FROM dots JOIN zs USING (lang) GROUP BY lang""")
+def _(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "lang", text.document_tokens("text", "ascii").alias("w"))
+    counts = docs.where("lang IS NOT NULL").select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("c"))
+    best = relational.top_k(counts, ["lang"], 6, F.desc("c"), F.col("word"))
+    return _fixed(text.topic_coherence(docs, "doc_id", "w", best, "lang", "word", 20).withColumnRenamed("lang", "topic"), "coherence")
+
+
+@query("sta_03_mixed_model")
+def _(s, d):
+    rows = _t(s, d, "orders").withColumn("weight", F.month("o_orderdate").cast("double"))
+    return stats.mixed_model(rows, "o_totalprice", "o_custkey", ["weight"], ["o_orderpriority"]).table(s)
+
+
 @query("pka_03_fold_statistics", f"SELECT l_partkey, {_r('avg(l_extendedprice)')} AS mean, {_r('stddev_pop(l_extendedprice)')} AS std, count(*) AS n_folds FROM lineitem GROUP BY l_partkey")
 def _(s, d):
     return _fixed(populations.fold_statistics(_t(s, d, "lineitem"), ["l_partkey"], "l_extendedprice"), "mean", "std")
