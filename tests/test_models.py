@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from brindle.operators import stats, text
+from brindle.plans import evaluation
 
 
 def dense_fit(x, y, groups):
@@ -80,3 +81,64 @@ def test_topic_coherence_against_windows(spark):
     df = spark.createDataFrame(docs, "id long, ws array<string>")
     got = {r["topic"]: r["coherence"] for r in text.topic_coherence(df, "id", "ws", spark.createDataFrame(topics, "topic string, word string"), window=size).collect()}
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+SPACE = {"x": ("uniform", -3.0, 3.0), "rate": ("log10", 1e-4, 1.0), "depth": ("int", 1, 9), "kind": ("choice", ["a", "b", "c"])}
+
+
+def loss(p):
+    if p["kind"] == "c":
+        raise ValueError("no such kind")
+    return (p["x"] - 1) ** 2 + (math.log10(p["rate"]) + 2) ** 2 + 0.1 * (p["depth"] - 4) ** 2 + (p["kind"] == "a")
+
+
+def test_adaptive_search_learns_and_is_reproducible():
+    found, drawn = [], []
+    for seed in range(6):
+        tried = evaluation.adaptive_search(loss, SPACE, 60, maximize=False, seed=seed)
+        assert tried == evaluation.adaptive_search(loss, SPACE, 60, maximize=False, seed=seed)
+        assert [t.number for t in tried] == list(range(60)) and all(1 <= t.params["depth"] <= 9 and -3 <= t.params["x"] <= 3 and 1e-4 <= t.params["rate"] <= 1 for t in tried)
+        assert {t.reason for t in tried if t.value is None} == {"ValueError: no such kind"}
+        late = [t for t in tried[30:] if t.value is None]
+        assert len(late) <= 6  # a third at random
+        found.append(evaluation.best_trial(tried, False).value)
+        drawn.append(min(loss(p) for p in evaluation.random_parameters(SPACE, 60, seed) if p["kind"] != "c"))
+    assert np.mean(found) < 0.6 * np.mean(drawn)
+
+
+def test_adaptive_search_in_threads(spark):
+    import time
+
+    def slow(p):
+        time.sleep(0.01 * p["depth"])
+        return loss(p)
+
+    one, two = (evaluation.adaptive_search(f, SPACE, 30, maximize=False, seed=3, parallel=4) for f in (slow, loss))
+    assert one == two and len(one) == 30
+    rows = evaluation.trial_table(spark, one).orderBy("number").collect()
+    assert [r["state"] == "pruned" for r in rows] == [t.value is None for t in one]
+    with pytest.raises(ValueError):
+        evaluation.best_trial([t for t in one if t.value is None])
+    assert all(t.value is None for t in evaluation.adaptive_search(lambda p: float("nan"), SPACE, 3))
+
+
+def test_search_over_folds(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(0, 0.1, 80)
+    df = spark.createDataFrame([(v.tolist(), float(t), i % 2) for i, (v, t) in enumerate(zip(x, y))], "v array<double>, y double, Fold int")
+    params, value, tried = evaluation.search(df, 2, "v", "y", "linear", {"regParam": ("log10", 1e-3, 10.0)}, 3, "RMSE", classifier=False, parallel=3)
+    assert value == min(t.value for t in tried) and params["regParam"] == min(t.params["regParam"] for t in tried)
+
+
+def test_sequential_features():
+    gains = {"a": 0.5, "b": 0.3, "c": -0.1, "d": -0.2, "e": 0.05}
+    score = lambda names: sum(gains[n] for n in names) + (2.0 if {"c", "d"} <= set(names) else 0)
+    assert evaluation.sequential_features(score, list(gains), 5, patience=1) == (["a", "b", "e"], pytest.approx([0.5, 0.8, 0.85, 0.75]))
+    names, scores = evaluation.sequential_features(score, list(gains), 5, patience=3, parallel=2)
+    assert names == list(gains) and len(scores) == 5
+    plain = lambda names: -sum(gains[n] for n in names)
+    assert evaluation.sequential_features(plain, list(gains), 9, "backward", 1, maximize=False)[0] == ["a", "b", "e"]
+    assert evaluation.sequential_features(plain, ["a", "b"], 9, "backward")[0] == ["b"]
+    with pytest.raises(ValueError):
+        evaluation.sequential_features(plain, ["a"], 1, "sideways")
