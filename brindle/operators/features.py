@@ -15,10 +15,17 @@ from brindle.functions.checks import require_columns
 from brindle.functions.expr import one_hot
 
 
+#: Levels of a column that one_hot_columns() finds by itself; each is an element of every row's array.
+MOST_LEVELS = 10_000
+
+
 def one_hot_columns(df: DataFrame, columns: Sequence[str], out: str, levels: dict[str, Sequence] | None = None) -> DataFrame:
-    """One array of 0 and 1 over the sorted distinct levels of each column, one behind the other."""
+    """One array of 0 and 1 over the sorted distinct levels of each column, one behind the other; more than MOST_LEVELS are an error."""
     require_columns(df, *columns)
-    found = levels or {c: [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()] for c in columns}
+    found = levels or {c: [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(MOST_LEVELS + 1).collect()] for c in columns}
+    for c, of in found.items():
+        if levels is None and len(of) > MOST_LEVELS:
+            raise ValueError(f"{c} has more than {MOST_LEVELS} levels; name those that count")
     return df.withColumn(out, F.concat(*[one_hot(c, found[c]) for c in columns]))
 
 

@@ -916,10 +916,16 @@ def _(s, d):
     return s.createDataFrame([(int(i),) for i in fitted.params["kept"]], "pos int")
 
 
-@query("trf_11_presets", "SELECT name, kind <> 'c' AS plain FROM (SELECT unnest(string_split('AtomPair Daylight ECFP MACCS Klek', ' ')) AS name, 'b' AS kind UNION ALL SELECT unnest(string_split('Mordred CDDD ChemBERTa RDKit CDDD_internal MiniMol MiniLM Qwen3 MolEncoder', ' ')), 'c' UNION ALL SELECT unnest(string_split('MAP MAPC AtomPairCount DaylightCount ECFPCount', ' ')), 'i')")
+@query("trf_11_presets", f"WITH {_CELLS}, b AS (SELECT pos, CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END AS x FROM cells) SELECT unnest(['ECFP', 'MACCS']) AS name, (SELECT count(*) FROM (SELECT pos FROM b GROUP BY pos HAVING var_pop(x) > 0.01)) AS n_kept, (SELECT count(*) FROM b) AS n_cells, (SELECT CAST(sum(x) AS BIGINT) FROM b) AS total")
 def _(s, d):
-    names = sorted(set(transform.PRESETS) - set(transform.KINDS))
-    return s.createDataFrame([(n, transform.preset(n).clipping is None and not transform.preset(n).scale) for n in names], "name string, plain boolean")
+    bits = _t(s, d, "embeddings").select(F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("v"))
+    out = None
+    for name in ("ECFP", "MACCS"):
+        t = transform.preset(name).fit(bits, "v").transform(bits, "v")
+        got = t.agg(F.max(F.size("v")).cast("long").alias("n_kept"), F.sum(F.size("v")).alias("n_cells"), F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).cast("long").alias("total"))
+        got = got.select(F.lit(name).alias("name"), "n_kept", "n_cells", "total")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("ens_03_mode", "SELECT l_suppkey, v AS l_quantity FROM (SELECT l_suppkey, l_quantity AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_quantity) AS k FROM lineitem GROUP BY l_suppkey, l_quantity) WHERE k = 1")
@@ -961,11 +967,11 @@ def _(s, d):
     return relational.union_all([edges, rejects], missing=True).select("mol", "acid", "base", "reason")
 
 
-@query("pka_06_graph_status", "WITH m AS (SELECT s_suppkey AS mol FROM supplier), z AS (SELECT l_suppkey AS mol, l_linenumber AS st FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_linenumber <= 3 GROUP BY ALL), e AS (SELECT DISTINCT a.mol FROM z a JOIN z b ON a.mol = b.mol AND b.st = a.st + 1 WHERE a.mol % 3 = 1), n AS (SELECT mol, count(*) AS n, max(st) - min(st) + 1 AS span FROM z GROUP BY mol) SELECT m.mol, CASE WHEN n IS NULL THEN 'NO_MICROSTATES' WHEN e.mol IS NULL THEN 'NO_TRANSITIONS' WHEN n = span THEN 'CONNECTED' ELSE 'DISCONNECTED' END AS status FROM m LEFT JOIN n ON m.mol = n.mol LEFT JOIN e ON m.mol = e.mol")
+@query("pka_06_graph_status", "WITH z AS (SELECT DISTINCT o_custkey AS mol, month(o_orderdate) AS st FROM orders), e AS (SELECT DISTINCT a.mol FROM z a JOIN z b ON a.mol = b.mol AND b.st = a.st + 1), n AS (SELECT mol, count(*) AS n, max(st) - min(st) + 1 AS span FROM z GROUP BY mol) SELECT c_custkey AS mol, CASE WHEN n IS NULL THEN 'NO_MICROSTATES' WHEN e.mol IS NULL THEN 'NO_TRANSITIONS' WHEN n = span THEN 'CONNECTED' ELSE 'DISCONNECTED' END AS status FROM customer LEFT JOIN n ON c_custkey = n.mol LEFT JOIN e ON c_custkey = e.mol")
 def _(s, d):
-    z = _t(s, d, "lineitem").where("l_suppkey % 3 <> 0 AND l_linenumber <= 3").select(F.col("l_suppkey").alias("mol"), F.col("l_linenumber").alias("state_id")).distinct()
-    edges, _ = populations.proton_edges(z.where("mol % 3 = 1").withColumn("charge", F.col("state_id")))
-    return populations.graph_status(_t(s, d, "supplier").select(F.col("s_suppkey").alias("mol")), z, edges)
+    z = _t(s, d, "orders").select(F.col("o_custkey").alias("mol"), F.month("o_orderdate").alias("state_id")).distinct()
+    edges, _ = populations.proton_edges(z.withColumn("charge", F.col("state_id")))
+    return populations.graph_status(_t(s, d, "customer").select(F.col("c_custkey").alias("mol")), z, edges)
 
 
 def _folder(s, name: str) -> str:
@@ -997,8 +1003,10 @@ def _(s, d):
     return tables.padded_batches(p, "t", 6).select("p_partkey", F.transform("t", lambda x: x.cast("long")).alias("t"), "mask", "y_wgts")
 
 
-@query("set_03_common_columns", "SELECT unnest(['c_custkey', 'c_name']) AS name, true AS both UNION ALL SELECT unnest(['c_acctbal', 'c_mktsegment', 'c_nationkey']), false")
+@query("set_03_common_columns", "SELECT 'c_custkey' AS name, true AS both, count(DISTINCT c_custkey) AS n FROM customer UNION ALL SELECT 'c_name', true, count(DISTINCT c_name) FROM customer UNION ALL SELECT unnest(['c_acctbal', 'c_mktsegment', 'c_nationkey']), false, NULL")
 def _(s, d):
-    both, only = columns_in_common(sorted(_t(s, d, "customer").columns), ["c_name", "c_custkey", "other"])
-    return s.createDataFrame([(c, True) for c in both] + [(c, False) for c in only], "name string, both boolean")
-
+    c = _t(s, d, "customer")
+    both, only = columns_in_common(sorted(c.columns), ["c_name", "c_custkey", "other"])
+    counts = c.agg(*[F.count_distinct(x).alias(x) for x in both])
+    found = counts.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.lit(True).alias("both"), F.col(x).alias("n")) for x in both])).alias("r")).select("r.*")
+    return found.unionByName(s.createDataFrame([(x, False, None) for x in only], "name string, both boolean, n bigint"))
