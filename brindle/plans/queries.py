@@ -14,7 +14,7 @@ from brindle.functions import expr as X
 from brindle.operators import bounds, cluster, dedup, density, distance, features, metrics, relational, split, stats, text, transform
 from brindle.functions.checks import columns_in_common
 from brindle.plans import activity, populations
-from brindle.sources import tables
+from brindle.sources import graphs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -974,6 +974,19 @@ def _(s, d):
     return populations.graph_status(_t(s, d, "customer").select(F.col("c_custkey").alias("mol")), z, edges)
 
 
+@query("io_16_graph_batches", "WITH l AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, l_quantity + l_discount AS x FROM lineitem), o AS (SELECT g, any_value(n) AS n, sum(x) AS x, (row_number() OVER (ORDER BY g) - 1) // 64 AS b FROM l GROUP BY g), p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY b ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, row_number() OVER (PARTITION BY b ORDER BY g) - 1 AS k FROM o) "
+    f"SELECT CAST(b AS BIGINT) AS batch, count(*) AS graphs, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(n - 1) AS BIGINT) AS edges, CAST(sum((n - 1) * off + (n - 1) * (n - 2) // 2) AS BIGINT) AS src_total, CAST(sum((n - 1) * off + (n - 1) * n // 2) AS BIGINT) AS dst_total, CAST(sum(n * k) AS BIGINT) AS graph_total, CAST(sum(off) + sum(n) AS BIGINT) AS ptr_total, {_r('sum(x)')} AS x_total FROM p GROUP BY b")
+def _(s, d):
+    lines = _t(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"))).alias("l"))  # an order's few lines
+    steps = lambda a: F.when(F.size("l") > 1, F.sequence(F.lit(a), F.size("l") - 2 + a)).otherwise(F.array().cast("array<int>"))
+    g = lines.select("l_orderkey", F.transform("l", lambda r: F.array(r["l_quantity"].cast("double"), r["l_discount"].cast("double"))).alias("x"), steps(0).alias("src"), steps(1).alias("dst"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    b = graphs.graph_batches(g, "l_orderkey", 64)
+    x_total = F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + v)
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("ids", "graphs"), ("x", "nodes"), ("src", "edges"))]
+    return b.select("batch", *sizes, *[total(c).alias(f"{c}_total") for c in ("src", "dst", "graph", "ptr")], X.fixed(x_total).alias("x_total"))
+
+
 def _folder(s, name: str) -> str:
     return tables.shared_path(s, name)
 
