@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.cluster import label_values
-from brindle.operators.distance import BLOCK_ROWS, _meet, _vectors, block_distances
+from brindle.operators.distance import BLOCK_ROWS, MERGED, _meet, _vectors, block_distances
 from brindle.operators.graph import connected_components
 from brindle.operators.relational import row_index
 from brindle.sources.tables import discard, settle
@@ -22,8 +22,6 @@ from brindle.sources.tables import discard, settle
 LOCAL_EDGES = 1 << 20
 #: Merges of whole clusters, and so clusters, that one task puts in order; beyond, hdbscan_cluster refuses.
 LOCAL_MERGES = 5_000_000
-#: Lists of nearest distances that are merged at once.
-MERGED = 64
 #: Distances below count as this in densities, so that copies have a finite one.
 LEAST_DISTANCE = 1e-12
 

@@ -22,6 +22,8 @@ from brindle.operators.relational import row_index
 from brindle.sources.tables import settle
 
 BLOCK_ROWS = 1024
+#: Blocks whose partial lists of nearest rows are merged at once.
+MERGED = 64
 METRICS = ("euclidean", "sqeuclidean", "cityblock", "manhattan", "chebyshev", "cosine", "canberra", "braycurtis", "hamming")
 BINARY = ("jaccard", "tanimoto", "dice", "braunblanquet", "kulczynski", "mcconnaughey", "rogotgoldberg", "russel", "sokal")
 
@@ -193,33 +195,36 @@ def k_neighbors(df: DataFrame, id_col: str, vector: str, metric: str = "euclidea
     """id_col, Mean, Min, '{k} Nearest', ..., Max, '{k} Furthest', ...: over the distances of each row to all others (or to ref).
 
     A block's task keeps, for each of its rows, the sum, the count and the k least and greatest distances; these partial
-    results are what is shuffled, not the pairs. A k beyond what is available is an error.
+    results are what is shuffled, not the pairs, and they are merged in groups of blocks first. A k beyond what is available is an error.
     """
     near, far = sorted({1, *nearest}), sorted({1, *furthest})
     top, bottom = max(near), max(far)
     same = ref is None
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, rows = ["id", "total", "n", "least", "most"], []
+        names, rows = ["id", "part", "total", "n", "least", "most"], []
         if left.num_rows and right.num_rows:
             d = block_distances(_vectors(left), _vectors(right), metric)
             x, y = left.column(0).to_numpy(), right.column(0).to_numpy()
-            sides = [(x, y, d)]
-            if same and left.column(2)[0] != left.column(3)[0]:
-                sides.append((y, x, d.T))
-            for own, other, m in sides:
+            a, b = left.column(2)[0].as_py(), left.column(3)[0].as_py()
+            sides = [(x, y, d, b // MERGED)]
+            if same and a != b:
+                sides.append((y, x, d.T, a // MERGED))
+            for own, other, m, part in sides:
                 for i, r in zip(own, m, strict=True):
                     r = np.sort(r[other != i]) if same else np.sort(r)
-                    rows.append((i, float(r.sum()), len(r), r[:top].tolist(), r[::-1][:bottom].tolist()))
+                    rows.append((i, part, float(r.sum()), len(r), r[:top].tolist(), r[::-1][:bottom].tolist()))
         return pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = pa.schema([("id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("total", pa.float64()), ("n", pa.int64()), ("least", pa.list_(pa.float64())), ("most", pa.list_(pa.float64()))])
-    parts = _meet(df, ref, id_col, vector, ref_id or id_col, block_rows).applyInArrow(run, f"id {kind}, total double, n long, least array<double>, most array<double>")
-    whole = parts.groupBy("id").agg(
-        F.sum("total").alias("total"), F.sum("n").alias("n"),
-        F.sort_array(F.flatten(F.collect_list("least"))).alias("least"), F.sort_array(F.flatten(F.collect_list("most")), asc=False).alias("most"),
-    )
+    schema = pa.schema([("id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("part", pa.int32()), ("total", pa.float64()), ("n", pa.int64()), ("least", pa.list_(pa.float64())), ("most", pa.list_(pa.float64()))])
+    parts = _meet(df, ref, id_col, vector, ref_id or id_col, block_rows).applyInArrow(run, f"id {kind}, part int, total double, n long, least array<double>, most array<double>")
+    whole = parts
+    for by in (("id", "part"), ("id",)):  # twice, so that a row's lists are those of MERGED blocks, or of as many groups of them
+        whole = whole.groupBy(*by).agg(
+            F.sum("total").alias("total"), F.sum("n").alias("n"),
+            F.slice(F.sort_array(F.flatten(F.collect_list("least"))), 1, top).alias("least"), F.slice(F.sort_array(F.flatten(F.collect_list("most")), asc=False), 1, bottom).alias("most"),
+        )
     enough = F.when(F.col("n") >= max(top, bottom), F.col("total") / F.col("n")).otherwise(F.raise_error(F.lit("k is larger than the number of other rows")))
     mean = lambda c, k: F.aggregate(F.slice(c, 1, k), F.lit(0.0), lambda a, x: a + x) / k
     cols = [enough.alias("Mean")]
