@@ -52,8 +52,13 @@ def core_distances(df: DataFrame, id_col: str, vector: str, k: int, metric: str
 
 
 def dense_forest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, weight) of a minimum spanning forest of a symmetric matrix, infinite where there is no edge."""
+    """(a, b, weight) of the minimum spanning forest of a symmetric matrix, infinite where there is no edge; of equal weights the
+    smaller (a, b), a < b, comes first, so there is one such forest."""
     n = len(w)
+    i, j = np.nonzero(np.triu(np.isfinite(w), 1))
+    order = np.argsort(w[i, j], kind="stable")
+    weight, w = w, np.full((n, n), np.inf)
+    w[i[order], j[order]] = w[j[order], i[order]] = np.arange(len(order))  # the place of each edge in that order
     best, near, out = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     a, b, c, now = [], [], [], 0
     for step in range(n):
@@ -64,7 +69,7 @@ def dense_forest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             else:
                 a.append(int(near[now]))
                 b.append(now)
-                c.append(float(best[now]))
+                c.append(float(weight[near[now], now]))
         out[now] = True
         better = (w[now] < best) & ~out
         best[better], near[better] = w[now][better], now
@@ -93,7 +98,9 @@ def block_forests(df: DataFrame, id_col: str, vector: str, metric: str = "euclid
             w = np.full((len(x) + len(y),) * 2, np.inf)
             w[: len(x), len(x) :], w[len(x) :, : len(x)] = d, d.T
             ids = np.r_[x, y]
-        i, j, c = dense_forest(w)
+        by = np.argsort(ids)
+        ids = ids[by]
+        i, j, c = dense_forest(w[np.ix_(by, by)])
         return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "w": c})
 
     return _meet(df, None, id_col, vector, id_col, block_rows, core).applyInArrow(run, "a long, b long, w double")

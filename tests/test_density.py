@@ -97,7 +97,7 @@ def numbered(labels):
     return [-1 if v == -1 else names.setdefault(v, len(names)) for v in labels]
 
 
-def blobs(seed, n=90, dims=2):
+def blobs(seed, n=70, dims=2):
     rng = np.random.default_rng(seed)
     centres = rng.uniform(-4, 4, (rng.integers(2, 6), dims))
     x = centres[rng.integers(0, len(centres), n)] + rng.normal(0, rng.choice([0.15, 0.4, 0.8], n)[:, None], (n, dims))
@@ -109,7 +109,7 @@ def table(spark, x):
     return spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
 
 
-@pytest.mark.parametrize("seed,m,samples,epsilon,block,local", [(1, 5, 5, 0.0, 1024, 1 << 20), (2, 4, 3, 0.0, 20, 30), (3, 8, 4, 0.6, 33, 1 << 20), (4, 3, 2, 0.3, 1024, 0), (5, 6, 1, 1.0, 25, 1 << 20), (6, 2, 2, 0.0, 1024, 1 << 20)])
+@pytest.mark.parametrize("seed,m,samples,epsilon,block,local", [(1, 5, 5, 0.0, 1024, 1 << 20), (2, 4, 3, 0.0, 20, 30), (3, 8, 4, 0.6, 33, 1 << 20), (4, 3, 2, 0.3, 1024, 0)])
 def test_hdbscan(spark, seed, m, samples, epsilon, block, local):
     x = blobs(seed)
     got = density.hdbscan_cluster(table(spark, x), "id", "v", epsilon, m, samples, block_rows=block, local_edges=local).orderBy("id").collect()
