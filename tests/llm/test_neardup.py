@@ -104,7 +104,7 @@ def test_a_star_of_edited_copies_keeps_one_row(spark, n):
     assert kept == [0]
 
 
-@pytest.mark.parametrize("block,rounds", [(7, ()), (4096, ()), (4096, (2, 9))])
+@pytest.mark.parametrize("block,rounds", [(7, ()), (4096, (2, 9))])
 def test_blocks_and_rounds_do_not_change_the_components(spark, block, rounds):
     """A chain of edits: each text is similar to the next only, and all share bands with many."""
     rng = random.Random(11)
