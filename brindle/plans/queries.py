@@ -1016,10 +1016,10 @@ def _(s, d):
     return tables.padded_batches(p, "t", 6).select("p_partkey", F.transform("t", lambda x: x.cast("long")).alias("t"), "mask", "y_wgts")
 
 
-@query("set_03_common_columns", "SELECT 'c_custkey' AS name, true AS both, count(DISTINCT c_custkey) AS n FROM customer UNION ALL SELECT 'c_name', true, count(DISTINCT c_name) FROM customer UNION ALL SELECT unnest(['c_acctbal', 'c_mktsegment', 'c_nationkey']), false, NULL")
+@query("set_03_common_columns", "SELECT 'c_custkey' AS name, true AS both, count(DISTINCT c_custkey) AS n FROM customer UNION ALL SELECT 'c_name', true, count(DISTINCT c_name) FROM customer UNION ALL SELECT unnest(['c_acctbal', 'c_mktsegment', 'c_nationkey']), false, 0")
 def _(s, d):
     c = _t(s, d, "customer")
     both, only = columns_in_common(sorted(c.columns), ["c_name", "c_custkey", "other"])
     counts = c.agg(*[F.count_distinct(x).alias(x) for x in both])
     found = counts.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.lit(True).alias("both"), F.col(x).alias("n")) for x in both])).alias("r")).select("r.*")
-    return found.unionByName(s.createDataFrame([(x, False, None) for x in only], "name string, both boolean, n bigint"))
+    return found.unionByName(s.createDataFrame([(x, False, 0) for x in only], "name string, both boolean, n bigint"))

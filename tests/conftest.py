@@ -50,4 +50,4 @@ def rows_of(pdf):
     import pandas as pd
 
     pdf = pdf[sorted(pdf.columns)]
-    return sorted(tuple("None" if v is pd.NaT else plain(v) for v in r) for r in pdf.itertuples(index=False, name=None))
+    return sorted(tuple("None" if v is pd.NaT or v is pd.NA else plain(v) for v in r) for r in pdf.itertuples(index=False, name=None))
