@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.checks import require_columns
 from brindle.functions.expr import half_even, nan_to_null
+from brindle.sources.tables import settle
 
 
 #: A sketch of a key's values tells ranks within one in ACCURACY; brackets around quantiles are several times as wide.
@@ -22,24 +23,26 @@ def row_index(df: DataFrame, *order: Column | str, name: str = "row_id") -> Data
     """A contiguous 0-based index in the order of unique keys.
 
     Rows are range-partitioned and numbered within partitions; partition sizes, one row a partition, give the offsets. No
-    task sees more than its range.
+    task sees more than its range. What is numbered is settled before sizes are taken: planned twice, the ranges would be
+    sampled twice, and their bounds differ.
     """
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)))
+    ranged = settle(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_m", 33)).withColumn("_n", F.col("_m").bitwiseAND((1 << 33) - 1))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(F.col("_part").alias("_p")).agg(F.max("_n").alias("_size")).withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    return ranged.join(F.broadcast(sizes.select("_p", "_offset")), F.col("_part") == F.col("_p")).select(*df.columns, (F.col("_n") - 1 + F.col("_offset")).cast("long").alias(name))
+    sizes = ranged.groupBy(F.col("_part").alias("_p")).agg((F.max("_n") + 1).alias("_size")).withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    return ranged.join(F.broadcast(sizes.select("_p", "_offset")), F.col("_part") == F.col("_p")).select(*df.columns, (F.col("_n") + F.col("_offset")).cast("long").alias(name))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column | str, name: str) -> DataFrame:
     """name: the sum of value over the rows of the same key that come before, in the order given, which is unique within a key.
 
     Like row_index(): a key, however frequent, is spread over range partitions, and one row a partition and key gives the
-    sums before it.
+    sums before it. The ranges are settled, as they are there.
     """
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     value = F.col(value) if isinstance(value, str) else value
-    ranged = df.withColumn("_value", value).repartitionByRange(*map(F.col, keys), *cols).withColumn("_part", F.spark_partition_id())
+    ranged = settle(df.withColumn("_value", value).repartitionByRange(*map(F.col, keys), *cols).withColumn("_part", F.spark_partition_id()))
     here = Window.partitionBy("_part", *keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("_inside", F.sum("_value").over(here))
     sums = ranged.groupBy(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_value").alias("_sum"))

@@ -513,3 +513,14 @@ def test_histogram_and_residuals(spark):
     assert [r["n"] for r in metrics.histogram(df.where("v = 1"), "v", 2).orderBy("bin").collect()] == [2, 0]
     flat = metrics.residuals(df.where("v = 1").withColumn("p", F.lit(1.5)), "v", "p").collect()
     assert {tuple(r) for r in flat} == {(0.5, 0.5, 0.0)}
+
+
+def test_places_and_sums_of_wide_rows(spark):
+    # planned twice, wide rows and their keys alone are cut into unlike numbers of partitions
+    n = 40_000
+    wide = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 512) for i in range(8)])
+    rows = spark.range(0, n, 1, 7).select((F.col("id") * 7919 % 40_009).alias("k"), wide.alias("t"))
+    places = relational.row_index(rows, "k").orderBy("k").select("row_id", F.length("t").alias("t")).toPandas()
+    assert (places["row_id"] == range(n)).all() and (places["t"] == 1024).all()
+    total = relational.running_total(rows, [], ["k"], F.lit(1), "before").orderBy("k").select("before", F.length("t").alias("t")).toPandas()
+    assert (total["before"] == range(n)).all() and (total["t"] == 1024).all()
