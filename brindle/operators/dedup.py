@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,23 +32,17 @@ def unit_errors(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(key).distinct().join(hit, key, "left").select(key, F.coalesce("_hit", F.lit(False)).alias("unit_error"))
 
 
-def consensus(values: np.ndarray, value_range: float, z: float) -> float | None:
-    """The mean of the values once they agree within value_range, dropping outliers round by round; None if they never do."""
-    while len(values) and values.max() - values.min() > value_range:
-        median = np.median(values)
-        mad = np.median(np.abs(values - median))
-        kept = values[Z_FACTOR * np.abs(values - median) / mad <= z] if mad else values
-        if len(kept) == len(values):
-            return None
-        values = kept
-    return float(values.mean()) if len(values) else None
+def consensus(values: np.ndarray, value_range: float, z: float, rounds: int | None = None) -> float | None:
+    """The mean of the values once they agree within value_range, dropping outliers round by round; None if they never do, or not in so many rounds."""
+    kept = _agreeing(values, value_range, z, rounds)
+    return float(kept.mean()) if kept is not None and len(kept) else None
 
 
-def mad_values(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(key, value): one agreed value for each non-null key; a key with a single value keeps it.
+def mad_values(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5, hot_rows: int = HOT_ROWS, rounds: int | None = None) -> DataFrame:
+    """(key, value): one agreed value for each non-null key; a key with a single value keeps it. Rounds end with agreement, or after so many.
 
     Keys whose values agree at once, which are most, are settled by one aggregate in the JVM; only the others go
-    through the rounds, a key at a time, in sorted partitions, and those with more than hot_rows values by mad_rounds(), as
+    through the rounds, a key at a time, and those with more than hot_rows values by mad_rounds(), as
     they may exceed a task's memory. The result is the same.
     """
     require_columns(df, key, value)
@@ -58,38 +51,25 @@ def mad_values(df: DataFrame, key: str, value: str, value_range: float = 1.0, z:
     easy = whole.where("agree").select("k", F.col("mean").alias("v"))
     hard = rows.join(whole.where(~F.col("agree")).select("k"), "k", "left_semi")
     if hot := _hot(hard, hot_rows):
-        easy = easy.unionByName(mad_rounds(hard.join(hot, "k", "left_semi"), "k", "v", MOST_ROUNDS, value_range, z))
+        easy = easy.unionByName(mad_rounds(hard.join(hot, "k", "left_semi"), "k", "v", MOST_ROUNDS if rounds is None else rounds, value_range, z))
         hard = hard.join(hot, "k", "left_anti")
 
     kind = df.schema[key].dataType.simpleString()
-    done = hard.repartition("k").sortWithinPartitions("k", "v").mapInArrow(_keyed(lambda v: consensus(v, value_range, z)), f"k {kind}, v double")
-    return easy.unionByName(done).select(F.col("k").alias(key), F.col("v").alias(value))
-
 
-def _keyed(fn):
-    """fn over the values of each key of a sorted partition. A key that a batch ends in waits for the next batch."""
+    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            got = [consensus(flat[i:j], value_range, z, rounds) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["k", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in chain(batches, (None,)):
-            table = pa.Table.from_batches([x for x in (rest, b) if x is not None]).combine_chunks() if rest is not None or b is not None else None
-            if table is None or not table.num_rows:
-                continue
-            keys, values = table.column(0), table.column(1).to_numpy()
-            coded = keys.combine_chunks().dictionary_encode().indices.to_numpy()
-            starts = np.flatnonzero(np.r_[True, coded[1:] != coded[:-1]])
-            last = len(starts) if b is None else len(starts) - 1
-            ends = np.r_[starts[1:], len(values)]
-            got = [fn(values[i:j]) for i, j in zip(starts[:last].tolist(), ends[:last].tolist(), strict=True)]
-            rest = None if b is None else table.slice(int(starts[-1])).combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([keys.combine_chunks().take(pa.array(starts[:last])), pa.array(got, pa.float64())], names=["k", "v"])
-
-    return run
+    # an aggregate, as only that is sure to bring a key's values together: plans may drop or cut a repartition
+    done = hard.groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("vs")).mapInArrow(agreed, f"k {kind}, v double")
+    return easy.unionByName(done).select(F.col("k").alias(key), F.col("v").alias(value))
 
 
-def mad_duplicates(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5) -> DataFrame:
+def mad_duplicates(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5, rounds: int | None = None) -> DataFrame:
     """All rows of df, the value replaced by its key's agreed one; keys that never agree, and null keys, get null."""
-    found = mad_values(df, key, value, value_range, z).select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    found = mad_values(df, key, value, value_range, z, rounds=rounds).select(F.col(key).alias("_k"), F.col(value).alias("_v"))
     out = df.join(found, F.col(key) == F.col("_k"), "left")
     return out.select(*[F.col("_v").alias(c) if c == value else F.col(c) for c in df.columns])
 
@@ -154,26 +134,19 @@ def reconcile(exact: float | None, above: float | None, below: float | None, r:
     return None, None
 
 
-def censored_values(df: DataFrame, key: str, value: str, relation: str, value_range: float = 1.0, z: float = 3.5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def censored_values(df: DataFrame, key: str, value: str, relation: str, value_range: float = 1.0, z: float = 3.5, hot_rows: int = HOT_ROWS, rounds: int | None = None) -> DataFrame:
     """(key, value, relation) for each non-null key from values with relation =, < or >.
 
     Each relation's values are first freed of outliers: = gives their median, > their maximum, < their minimum. If the exact
     values never agree, the key has neither value nor relation. Any other relation is an error. Keys with more than hot_rows
-    rows are freed of outliers in relational rounds, all others a key at a time; the result is the same.
+    rows are freed of outliers in relational rounds, all others a key and relation at a time; the result
+    is the same. Sides whose values agree at once, which are most, stay in the JVM. Rounds end with agreement, or after so many.
     """
     require_columns(df, key, value, relation)
 
-    def of_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides: dict[str, float | None] = {"=": None, ">": None, "<": None}
-        failed = False
-        for side, pick in (("=", np.median), (">", np.max), ("<", np.min)):
-            values = np.sort(pdf.loc[pdf["r"] == side, "v"].to_numpy())
-            if len(values):
-                kept = _agreeing(values, value_range, z)
-                failed |= side == "=" and kept is None
-                sides[side] = float(pick(kept)) if kept is not None else None
-        got = (None, None) if failed else reconcile(sides["="], sides[">"], sides["<"], value_range)
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "v": [got[0]], "r": [got[1]]})
+    def of_side(values: np.ndarray, side: str) -> float | None:
+        kept = _agreeing(values, value_range, z, rounds)
+        return None if kept is None else float({"=": np.median, ">": np.max, "<": np.min}[side](kept))
 
     bad = F.raise_error(F.concat(F.lit("unknown relation: "), F.coalesce(F.col(relation), F.lit("null"))))
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.when(F.col(relation).isin("=", "<", ">"), F.col(relation)).otherwise(bad).alias("r"))
@@ -181,34 +154,55 @@ def censored_values(df: DataFrame, key: str, value: str, relation: str, value_ra
     rows = rows.where("k IS NOT NULL AND v IS NOT NULL")
     hot = _hot(rows, hot_rows)
     few = rows if hot is None else rows.join(hot, "k", "left_anti")
-    out = few.groupBy("k").applyInPandas(of_key, f"k {kind}, v double, r string")
+    names = {"=": "exact", ">": "above", "<": "below"}
+    whole = few.groupBy("k").agg(*[F.sort_array(F.collect_list(F.when(F.col("r") == r, F.col("v")))).alias(c) for r, c in names.items()])
+    wide = lambda c: F.get(c, F.size(c) - 1) - F.get(c, F.lit(0)) > value_range
+    middle = (F.get("exact", F.floor((F.size("exact") - 1) / 2).cast("int")) + F.get("exact", F.floor(F.size("exact") / 2).cast("int"))) / 2
+    at_once = {"exact": middle, "above": F.get("above", F.size("above") - 1), "below": F.get("below", F.lit(0))}
+    found = whole.select("k", *[F.when(~wide(c), x).alias(c) for c, x in at_once.items()], *[F.when(wide(c), F.col(c)).alias(f"{c}_wide") for c in at_once])
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            failed, sides = np.zeros(len(b), dtype=bool), []
+            for r, c in names.items():
+                value = b[c].to_numpy(dtype=np.float64, na_value=np.nan).copy()
+                for i in np.flatnonzero(b[f"{c}_wide"].notna()):
+                    got = of_side(np.asarray(b[f"{c}_wide"].iat[i]), r)
+                    value[i] = np.nan if got is None else got
+                    failed[i] |= r == "=" and got is None
+                sides.append([None if x != x else x for x in value.tolist()])
+            if "bad" in b:
+                failed |= b["bad"].notna().to_numpy()
+            got = [(None, None) if bad else reconcile(*s, value_range) for bad, *s in zip(failed.tolist(), *sides, strict=True)]
+            yield pd.DataFrame({"k": b["k"], "v": pd.Series([g[0] for g in got], dtype="float64", index=b.index), "r": pd.Series([g[1] for g in got], dtype="object", index=b.index)})
+
+    out = found.mapInPandas(judged, f"k {kind}, v double, r string")
     if hot is not None:
         sides = rows.join(hot, "k", "left_semi").select(F.struct("k", "r").alias("k"), "v")
-        agreed, failed = _agreed_rows(sides, MOST_ROUNDS, value_range, z)
+        agreed, failed = _agreed_rows(sides, MOST_ROUNDS if rounds is None else rounds, value_range, z)
         side = lambda r: agreed.where(F.col("k.r") == r)
         found = hot.join(exact_quantiles(side("=").select("k.k", "v"), ["k"], "v", [0.5]).select("k", F.get("q", F.lit(0)).alias("exact")), "k", "left")
         found = found.join(side(">").groupBy("k.k").agg(F.max("v").alias("above")), "k", "left").join(side("<").groupBy("k.k").agg(F.min("v").alias("below")), "k", "left")
         found = found.join(failed.where("k.r = '='").select("k.k", F.lit(True).alias("bad")), "k", "left")
-
-        def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                sides = [[None if pd.isna(x) else float(x) for x in b[c]] for c in ("exact", "above", "below")]
-                got = [(None, None) if bad else reconcile(*s, value_range) for bad, *s in zip(b["bad"].notna(), *sides, strict=True)]
-                yield pd.DataFrame({"k": b["k"], "v": pd.Series([g[0] for g in got], dtype="float64", index=b.index), "r": pd.Series([g[1] for g in got], dtype="object", index=b.index)})
-
+        found = found.withColumns({f"{c}_wide": F.lit(None).cast("array<double>") for c in at_once})
         out = out.unionByName(found.mapInPandas(judged, f"k {kind}, v double, r string"))
     return out.select(F.col("k").alias(key), F.col("v").alias(value), F.col("r").alias(relation))
 
 
-def _agreeing(values: np.ndarray, value_range: float, z: float) -> np.ndarray | None:
-    """The values left once they agree within value_range; None if outlier rounds end before."""
-    while values.max() - values.min() > value_range:
-        median = np.median(values)
-        mad = np.median(np.abs(values - median))
-        kept = values[Z_FACTOR * np.abs(values - median) / mad <= z] if mad else values
-        if len(kept) == len(values):
+def _middle(ordered: np.ndarray) -> float:
+    return (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
+
+
+def _agreeing(values: np.ndarray, value_range: float, z: float, rounds: int | None = None) -> np.ndarray | None:
+    """The values, in order, left once they agree within value_range; None if outlier rounds end before, or do not get there in so many."""
+    values, done = np.sort(values), 0
+    while len(values) and values[-1] - values[0] > value_range:
+        off = np.abs(values - _middle(values))
+        mad = _middle(np.sort(off))
+        kept = values[Z_FACTOR * off / mad <= z] if mad else values
+        if len(kept) == len(values) or done == rounds:
             return None
-        values = kept
+        values, done = kept, done + 1
     return values
 
 
@@ -231,13 +225,13 @@ def outcome_tables(df: DataFrame, status: str, good: str, ids: Sequence[str], re
     return df.where(kept).drop(status), df.where(~kept).select(*ids, F.coalesce(F.col(status), F.lit("missing")).alias(status), reason)
 
 
-def duplicate_tables(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5) -> dict[str, DataFrame]:
+def duplicate_tables(df: DataFrame, key: str, value: str, value_range: float = 1.0, z: float = 3.5, rounds: int | None = None) -> dict[str, DataFrame]:
     """The side tables of a deduplication by key: unique (keys with one row, as they are), agreed (one row a repeated key
     whose values agree, with n_values) and failed (all rows of repeated keys that never agree). Null keys are in none."""
     rows = df.where(F.col(key).isNotNull())
     counts = rows.groupBy(key).agg(F.count(value).alias("n_values"), F.count("*").alias("_n"))
     unique = rows.join(counts.where("_n = 1").select(key), key, "left_semi")
-    found = mad_values(rows, key, value, value_range, z).join(counts.where("_n > 1").select(key, "n_values"), key)
+    found = mad_values(rows, key, value, value_range, z, rounds=rounds).join(counts.where("_n > 1").select(key, "n_values"), key)
     agreed = found.where(F.col(value).isNotNull())
     failed = rows.join(counts.where("_n > 1").select(key), key, "left_semi").join(agreed.select(key), key, "left_anti")
     return {"unique": unique, "agreed": agreed, "failed": failed}

@@ -524,3 +524,18 @@ def test_places_and_sums_of_wide_rows(spark):
     assert (places["row_id"] == range(n)).all() and (places["t"] == 1024).all()
     total = relational.running_total(rows, [], ["k"], F.lit(1), "before").orderBy("k").select("before", F.length("t").alias("t")).toPandas()
     assert (total["before"] == range(n)).all() and (total["t"] == 1024).all()
+
+
+def test_outlier_rounds_end_after_so_many(spark):
+    # each round takes the values that lie farthest out, one order of magnitude at a time
+    values = [0.0, 0.1, 0.2, 0.3, 0.4] * 4 + [10.0**i for i in range(1, 5)]
+    df = spark.createDataFrame([("a", v, "=") for v in values] + [("b", 1.0, ">"), ("b", 1.2, ">")], "k string, v double, r string")
+    for rounds, agreed in ((None, True), (1, True), (0, False)):
+        for hot in (1_000, 3):
+            got = dict(dedup.mad_values(df, "k", "v", hot_rows=hot, rounds=rounds).collect())
+            assert (got["a"] is not None) == agreed and got["b"] == pytest.approx(1.1)
+            got = {r["k"]: (r["v"], r["r"]) for r in dedup.censored_values(df, "k", "v", "r", hot_rows=hot, rounds=rounds).collect()}
+            assert got == {"a": (pytest.approx(0.2), "=") if agreed else (None, None), "b": (1.2, ">")}
+        kept = dedup.mad_duplicates(df.select("k", "v"), "k", "v", rounds=rounds).where("k = 'a'").agg(F.count("v")).first()[0]
+        assert kept == (len(values) if agreed else 0)
+        assert dedup.duplicate_tables(df.select("k", "v"), "k", "v", rounds=rounds)["agreed"].count() == 1 + agreed
