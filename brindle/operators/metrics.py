@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from brindle.functions.expr import round_significant, safe_div
 from brindle.operators.relational import exact_quantiles, running_total
+from brindle.sources.tables import settle
 
 DIGITS = 5
 OVERALL = "Overall"
+#: So many groups' means are sent to all tasks; more are joined.
+FEW_GROUPS = 10_000
 
 
 def _with_group(df: DataFrame, group: str | None) -> DataFrame:
@@ -87,13 +90,21 @@ def classification_metrics(df: DataFrame, y: str, score: str, label: str | None
 
 
 def regression_metrics(df: DataFrame, y: str, prediction: str, weight: str | None = None, group: str | None = None) -> DataFrame:
-    """(Metric, Value, Group): weighted R2, MAE and RMSE."""
+    """(Metric, Value, Group): weighted R2, MAE and RMSE.
+
+    Rows are not moved to their group: means, one row a group, come to them, and what is left of a partition is a row a group.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = _with_group(df, group)
-    e, t = F.col(prediction) - F.col(y), F.col(y).cast("double")
-    means = rows.groupBy(F.col("Group").alias("_g")).agg(safe_div(F.sum(w * t), F.sum(w)).alias("_mean"))
-    near = rows.join(F.broadcast(means) if group is None else means, F.col("Group") == F.col("_g"))
-    off = t - F.col("_mean")
+    own = F.col(group).cast("string") if group is not None else F.lit(None).cast("string")
+    rows = df.select(own.alias("_g"), w.alias("_w"), F.col(y).cast("double").alias("_t"), (F.col(prediction) - F.col(y)).cast("double").alias("_e"))
+    sums = settle(rows.groupBy("_g").agg(F.sum(F.col("_w") * F.col("_t")).alias("_wt"), F.sum("_w").alias("_sw")))
+    every = sums.agg(safe_div(F.sum("_wt"), F.sum("_sw")).alias("_all"))
+    means = sums.where("_g IS NOT NULL").select(F.col("_g").alias("_k"), safe_div(F.col("_wt"), F.col("_sw")).alias("_mean"))
+    few = sums.count() <= FEW_GROUPS
+    near = rows.crossJoin(F.broadcast(every)).join(F.broadcast(means) if few else means, F.col("_g") == F.col("_k"), "left")
+    both = [F.struct(F.lit(OVERALL).alias("Group"), F.col("_all").alias("m"))] + ([F.struct(F.col("_g").alias("Group"), F.col("_mean").alias("m"))] if group is not None else [])
+    near = near.select("_w", "_t", "_e", F.explode(F.array(*both)).alias("_b")).select("_w", "_e", (F.col("_t") - F.col("_b.m")).alias("_off"), F.col("_b.Group").alias("Group")).where("Group IS NOT NULL")
+    w, e, off = F.col("_w"), F.col("_e"), F.col("_off")
     wide = near.groupBy("Group").agg(
         (1 - safe_div(F.sum(w * e * e), F.sum(w * off * off))).alias("R2"), safe_div(F.sum(w * F.abs(e)), F.sum(w)).alias("MAE"), F.sqrt(safe_div(F.sum(w * e * e), F.sum(w))).alias("RMSE"),
     )
