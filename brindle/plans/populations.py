@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +51,30 @@ def population_fit(edges: DataFrame, component: str, ph: float = 7.0) -> DataFra
 
     Each edge asks log10(base / acid) to be ph - pka; the smallest node is the reference. One component is one group.
     """
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf["acid"]) | set(pdf["base"]))
-        at = {n: i for i, n in enumerate(nodes)}
-        m = np.zeros((len(pdf), len(nodes)))
-        rows = np.arange(len(pdf))
-        m[rows, pdf["base"].map(at)] += 1
-        m[rows, pdf["acid"].map(at)] -= 1
-        x = np.zeros(len(nodes))
-        x[1:] = np.linalg.lstsq(m[:, 1:], ph - pdf["pka"].to_numpy(), rcond=None)[0]
-        share = 10.0 ** (x - x.max())
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "node": nodes, "log_weight": x, "probability": share / share.sum()})
-
     kinds = dict(edges.dtypes)
-    rows = edges.select(F.col(component).alias("component"), "acid", "base", "pka")
-    return rows.groupBy("component").applyInPandas(solve, f"component {kinds[component]}, node {kinds['acid']}, log_weight double, probability double")
+    rows = edges.select(F.col(component).alias("component"), F.struct("acid", "base", F.col("pka").cast("double").alias("pka")).alias("e"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, out = b.column(1), []
+            acids, bases, pkas = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ends = lists.offsets.to_numpy().tolist()
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                nodes, at = np.unique(np.concatenate([acids[lo:hi], bases[lo:hi]]), return_inverse=True)
+                m, each = np.zeros((hi - lo, len(nodes))), np.arange(hi - lo)
+                m[each, at[hi - lo :]] += 1
+                m[each, at[: hi - lo]] -= 1
+                x = np.zeros(len(nodes))
+                x[1:] = np.linalg.lstsq(m[:, 1:], ph - pkas[lo:hi], rcond=None)[0]
+                share = 10.0 ** (x - x.max())
+                out.append((nodes, x, share / share.sum()))
+            if out:
+                names = b.column(0).take(pa.array(np.repeat(np.arange(len(out)), [len(o[0]) for o in out])))
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([o[0] for o in out]), lists.values.field(0).type), *[pa.array(np.concatenate([o[i] for o in out])) for i in (1, 2)]], names=["component", "node", "log_weight", "probability"])
+
+    # one list a component, many of them a batch: a component costs its arithmetic and no frame of its own
+    whole = rows.groupBy("component").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    return whole.mapInArrow(solve, f"component {kinds[component]}, node {kinds['acid']}, log_weight double, probability double")
 
 
 def preferred_states(states: DataFrame, key: str, component: str, n_edges: str, n_nodes: str, probability: str, charge: str, state: str) -> DataFrame:
