@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm import simhash
 from brindle.llm.common import blocks, discard, fresh, settle, settle_small
 from brindle.operators.graph import connected_components
 
@@ -154,8 +155,11 @@ def _unconnected(members: DataFrame, keys: DataFrame, least: float, size: int |
     return _compared(dealt, [at(rows).alias("i"), every(cols).alias("j")], [at(cols).alias("j"), every(rows).alias("i")], ["key", "i", "j"], least)
 
 
-def links(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK_TEXTS, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
-    """Edges (a, b) between hashes of texts; their components are those of the near-duplicates."""
+def links(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK_TEXTS, rounds: tuple[int, ...] = ROUNDS, radius: int | None = None) -> DataFrame:
+    """Edges (a, b) between hashes of texts; their components are those of the near-duplicates.
+
+    With a radius, texts whose SimHash fingerprints differ in so many bits or fewer are linked first, as op8 links them.
+    """
     texts = docs.select(_node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     nodes = settle(_sketches(texts).groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("map").alias("map")))
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -169,6 +173,8 @@ def links(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY, bl
     led = led.join(maps.withColumnRenamed("node", "x"), "x").withColumnRenamed("x", "node")
     seen = settle(_met(led, maps.withColumn("head", F.col("node")), ["head"], F.lit(True), least))
     found, members = settle(_verified(seen, sets, least)), buckets.select("key", "node")
+    if radius is not None:
+        found = found.unionByName(simhash.text_links(texts, "node", "t", radius))
     for size in (*rounds, None):
         parts = connected_components(found, settle_small)
         placed = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
@@ -184,7 +190,7 @@ def links(docs: DataFrame, text_col: str = "text", least: float = SIMILARITY, bl
     return found
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """One row of docs for each component of near-duplicates: the one with the smallest id, nulls last, then by a hash of its text.
 
     Null and empty texts are near-duplicates of each other. Rows are told apart by id and text, so rows that share an id by
@@ -193,7 +199,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     key, root = fresh(docs.columns, "_key"), fresh(docs.columns, "_root")
     named = F.xxhash64(F.lit(SEED), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    found = connected_components(links(docs, text_col, least), settle_small)
+    found = connected_components(links(docs, text_col, least, radius=radius), settle_small)
     slim = docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"), named.alias("key"))
     slim = slim.join(found, "node", "left").withColumn(root, F.coalesce("component", "node"))
     heads = slim.groupBy(root).agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("h")).select(F.col("h.key").alias(key))

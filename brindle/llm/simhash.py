@@ -90,6 +90,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("id").alias(fresh(["fp", "component_id"], id_col)), "fp", "component_id")
 
 
+def text_links(texts: DataFrame, node: str = "node", text_col: str = "t", radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) from the least node of each component of near_duplicates() to its others; texts that share a node are equal."""
+    fps = settle(fingerprints(texts, node, text_col).groupBy("id").agg(F.first("fp").alias("fp")))
+    found = connected_components(links(fps.select("fp").distinct(), radius), settle_small)
+    rooted = settle_small(fps.join(found, fps["fp"] == found["node"], "left").select("id", F.coalesce("component", "fp").alias("root")))
+    heads = rooted.groupBy("root").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("root", "a")
+    return settle_small(rooted.join(heads, "root").where("id <> a").select("a", F.col("id").alias("b")))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stand for their component: the one with the smallest id. Rows with a null id all stay.
 

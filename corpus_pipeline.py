@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, neardup, quality, sentencepieces, substring
+from brindle.llm import mixing, neardup, quality, sentencepieces, simhash, substring
 from brindle.llm.common import fresh, settle
 
 
@@ -15,9 +15,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id. Five-word shingles of a similarity of
-    0.8 or more link documents; op8's contract (three words, 2 of 64 bits) holds for op8 alone."""
-    return neardup.keep_one(docs)
+    """One document of each group of near-duplicates stays, the one with the smallest id. SimHash fingerprints link documents as
+    in op8 (three words, 2 of 64 bits); five-word shingles of a similarity of 0.8 or more link those that fingerprints miss."""
+    return neardup.keep_one(docs, radius=simhash.RADIUS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

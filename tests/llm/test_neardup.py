@@ -141,3 +141,19 @@ def test_simhash_with_clashing_names(spark, name):
     assert len({c.lower() for c in out.columns}) == 3
     assert sorted((str(r[0]), str(r["component_id"])) for r in out.collect()) == [("2", "2"), ("4", "2"), ("7", "7"), ("None", "None")]
     assert sorted(str(r[name]) for r in simhash.keep_one(docs, name).collect()) == ["2", "7", "None"]
+
+
+def test_fingerprints_link_what_shingles_do_not(spark):
+    # the stage's method is SimHash: a few sentences said again and again weigh more than what comes after them
+    from pyspark.sql import functions as F
+
+    from brindle.llm import neardup, simhash
+
+    cycle = " ".join(f"w{i}" for i in range(7)) + " "
+    a, b = cycle * 60, cycle * 60 + " ".join(f"x{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, a), (2, b), (3, "another text " * 40), (4, None), (5, "")], "doc_id long, text string")
+    assert simhash.fingerprint(a.encode()) == simhash.fingerprint(b.encode())
+    texts = rows.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    assert simhash.text_links(texts).count() == 1
+    assert {r["doc_id"] for r in neardup.keep_one(rows).collect()} == {1, 2, 3, 4}
+    assert {r["doc_id"] for r in neardup.keep_one(rows, radius=simhash.RADIUS).collect()} == {1, 3, 4}
