@@ -8,25 +8,27 @@ smaller id, or earlier in the same document. Every word that a removed window co
    about eight words) confirms the recurring ones; one occurrence, wherever in the corpus, gives a phrase's bytes.
 2. Compile and stream. Documents are dealt into shards by how they open, so that copies meet in a shard. A shard is sent the bytes of the confirmed phrases that are
    named in it, compiles them into an Aho-Corasick automaton and streams every one of its documents through it. What the
-   automaton locates, byte for byte, are the occurrences; a window is a candidate if the phrase it names is located. Where a
-   hash was shared by unlike phrases, nothing is located and nothing is removed.
-3. Settle. The distinct candidate windows of all shards meet by two independent 64-bit hashes of all of their words, which
-   gives each one's first place. A candidate elsewhere than at its first place is removed.
-
-No stage gathers the places of a phrase or a window: a shard counts its own first, counts and first places are aggregates,
-and what a shard holds grows with its own documents only. A passage in every document is one row a shard.
+   automaton locates, byte for byte, are the occurrences; a window is a candidate if the phrase it names is located.
+3. Settle. A shard gives each of its distinct candidate windows, by two independent 64-bit hashes of all of its words, a
+   first place. Equal windows name equal phrases, so only windows whose phrase is named in several shards leave theirs; they
+   meet by their hashes, and a shard is told which of its first places are later than another's. A candidate at such a
+   place, or elsewhere than at its shard's first place, is removed.
+
+No stage gathers the places of a phrase or a window: a shard counts its own first, and what a shard holds grows with its
+own documents only. A passage in every document is one row a shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +57,8 @@ _P2 = 0xC2B2AE3D27D4EB4F
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _powers(base: int, n: int) -> list[np.uint64]:
-    return [np.uint64(pow(base, k, 1 << 64)) for k in range(n)]
+def _power(base: int, k: int) -> np.uint64:
+    return np.uint64(pow(base, k, 1 << 64))
 
 
 def word_hashes(w: list[bytes]) -> np.ndarray:
@@ -64,12 +66,16 @@ def word_hashes(w: list[bytes]) -> np.ndarray:
 
 
 def _rolled(h: np.ndarray, width: int, base: int) -> np.ndarray:
-    """The hash of each run of width hashes."""
-    n = len(h) - width + 1
+    """The hash of each run of width hashes, put together from runs of 1, 2, 4, ... hashes."""
+    n, at, run, size = len(h) - width + 1, 0, h, 1
     out = np.zeros(n, dtype=np.uint64)
-    for k, p in enumerate(_powers(base, width)):
-        out += h[k : k + n] * p
-    return out
+    while True:
+        if width & size:
+            out += run[at : at + n] * _power(base, at)
+            at += size
+        if 2 * size > width:
+            return out
+        run, size = run[:-size] + run[size:] * _power(base, size), 2 * size
 
 
 def _phrase_hashes(h: np.ndarray, phrase: int) -> np.ndarray:
@@ -135,15 +141,17 @@ def _named_phrases(window: int, phrase: int, hash_bits: int = 64):
     return run
 
 
-_FOUND = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32())])
+_FOUND = pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.binary()), ("again", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32())])
+#: Values of an automaton's phrases: named in this shard only, or in others too.
+HERE, WIDE = 1, 2
 
 
-def _located(line: bytes, w: list[bytes], automaton: ahocorasick.Automaton, phrase: int) -> np.ndarray:
-    """Whether one of the automaton's phrases starts at each word; line is the words between single spaces."""
-    ends = np.fromiter((e for e, _ in automaton.iter(line.decode("latin-1"))), dtype=np.int64)
-    blanks = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1)
-    out = np.zeros(len(w) + 1, dtype=bool)
-    out[np.searchsorted(blanks, ends) + 1 - phrase] = True
+def _located(line: bytes, n: int, automaton: ahocorasick.Automaton, phrase: int) -> np.ndarray:
+    """The value of the automaton's phrase that starts at each of the n words, or 0; line is the words between single spaces."""
+    met = np.fromiter(chain.from_iterable(automaton.iter(line.decode("latin-1"))), dtype=np.int64)
+    blanks = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)
+    out = np.zeros(n + 1, dtype=np.int8)
+    out[np.searchsorted(blanks, met[::2]) - phrase] = met[1::2]
     return out
 
 
@@ -152,48 +160,66 @@ def _candidates(window: int, phrase: int):
 
     Ranges travel as bytes: Spark's Arrow writer measures a list column anew for every row.
 
-    Gives, for each text with a candidate, the ranges of its candidate window starts (start, end, start, end, ...), and
-    for each distinct candidate window of the shard its hashes and first place there.
+    Gives, for each text with a candidate, the ranges of its candidate window starts (start, end, start, end, ...) and of
+    those among them that are not the window's first place in the shard, and for each distinct candidate window that other
+    shards may hold its hashes and first place here.
     """
     span = window - phrase + 1
 
     def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
         if not docs.num_rows or not confirmed.num_rows:
             return _FOUND.empty_table()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for t in confirmed.column("t"):
-            automaton.add_word((b" " + t.as_py() + b" ").decode("latin-1"))
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        wide = confirmed.column("wide").to_pylist() if "wide" in confirmed.column_names else [True] * confirmed.num_rows
+        for t, w in zip(confirmed.column("t"), wide, strict=True):
+            automaton.add_word((b" " + t.as_py() + b" ").decode("latin-1"), WIDE if w else HERE)
         automaton.make_automaton()
         parts, firsts, held = [], None, 0
         seen: set[tuple[int, int]] = set()
         whole = []
-        for key, h, t in zip(docs.column("key").to_pylist(), docs.column("text_hash").to_pylist(), docs.column("t"), strict=True):
+        texts = docs.column("t")
+        for i, (key, h, t) in enumerate(zip(docs.column("key").to_pylist(), docs.column("text_hash").to_pylist(), texts, strict=True)):
             if (key, h) in seen:
                 continue  # the same row again: nothing new
             seen.add((key, h))
             w = t.as_py().split()
             if len(w) < window:
                 continue
-            there = _located(b" " + b" ".join(w) + b" ", w, automaton, phrase)
+            there = _located(b" " + b" ".join(w) + b" ", len(w), automaton, phrase)
             if not there.any():
                 continue
             words_ = word_hashes(w)
-            mark = there[named(_phrase_hashes(words_, phrase), span)]
-            at = np.flatnonzero(mark).astype(np.int32)
+            value = there[named(_phrase_hashes(words_, phrase), span)]
+            at = np.flatnonzero(value).astype(np.int32)
             if not len(at):
                 continue
-            edge = np.flatnonzero(np.diff(np.r_[0, mark.astype(np.int8), 0]))
-            whole.append((key, h, edge.astype("<i4").tobytes()))
-            parts.append(_windows(words_, at, window, key))
+            whole.append((key, h, _ranges(value > 0), i))
+            rows = _windows(words_, at, window, key)
+            rows["wide"] = value[at] == WIDE
+            parts.append(rows)
             held += len(at)
             if held > HELD_WINDOWS:
                 firsts, parts, held = _first_places([*([] if firsts is None else [firsts]), *parts]), [], 0
         if not whole:
             return _FOUND.empty_table()
         rows = _first_places([*([] if firsts is None else [firsts]), *parts])
+        by_key, texts_of = _by_key(rows["key"], rows["start"], rows["a"]), _counts(key for key, *_ in whole)
+        again = []
+        for key, _, spans, i in whole:
+            at, (first, hashed) = _starts(spans), by_key.get(key, _NO_PLACES)
+            other = np.zeros(at[-1] + 1, dtype=bool)
+            other[at] = True
+            if texts_of[key] > 1:  # texts that share an id: a place is this text's only if the window there is
+                own = _windows(word_hashes(texts[i].as_py().split()), at, window, key)["a"]
+                pairs = set(zip(first.tolist(), hashed.tolist(), strict=True))
+                other[at[[p in pairs for p in zip(at.tolist(), own.tolist(), strict=True)]]] = False
+            else:
+                other[first] = False
+            again.append(_ranges(other))
+        rows = rows[rows["wide"]]
         none, blank, here = len(whole), len(rows), docs.column("shard")[0].as_py()
-        spans = pa.table([pa.array(np.full(none, here, dtype=np.int32)), pa.array([x[0] for x in whole], pa.int64()), pa.array([x[1] for x in whole], pa.int64()), pa.array([x[2] for x in whole], pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32())], schema=_FOUND)
-        windows = pa.table([pa.array(np.full(blank, here, dtype=np.int32)), pa.array(rows["key"].copy()), pa.nulls(blank, pa.int64()), pa.nulls(blank, pa.binary()), pa.array(rows["a"].copy()), pa.array(rows["b"].copy()), pa.array(rows["start"].copy())], schema=_FOUND)
+        spans = pa.table([pa.array(np.full(none, here, dtype=np.int32)), pa.array([x[0] for x in whole], pa.int64()), pa.array([x[1] for x in whole], pa.int64()), pa.array([x[2] for x in whole], pa.binary()), pa.array(again, pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32())], schema=_FOUND)
+        windows = pa.table([pa.array(np.full(blank, here, dtype=np.int32)), pa.array(rows["key"].copy()), pa.nulls(blank, pa.int64()), pa.nulls(blank, pa.binary()), pa.nulls(blank, pa.binary()), pa.array(rows["a"].copy()), pa.array(rows["b"].copy()), pa.array(rows["start"].copy())], schema=_FOUND)
         return pa.concat_tables([spans, windows])
 
     return run
@@ -201,16 +227,45 @@ def _candidates(window: int, phrase: int):
 
 def _windows(h: np.ndarray, at: np.ndarray, window: int, key: int) -> np.ndarray:
     """A row for each window that starts at one of at: two independent 64-bit hashes and the place."""
-    rows = np.zeros(len(at), dtype=[("a", "<i8"), ("b", "<i8"), ("key", "<i8"), ("start", "<i4")])
+    rows = np.zeros(len(at), dtype=[("a", "<i8"), ("b", "<i8"), ("key", "<i8"), ("start", "<i4"), ("wide", "?")])
     rows["a"], rows["b"] = _rolled(h, window, _P1)[at].view(np.int64), _rolled(h, window, _P2)[at].view(np.int64)
     rows["key"], rows["start"] = key, at
     return rows
 
 
 def _first_places(parts: list[np.ndarray]) -> np.ndarray:
+    """The row of each window's first place; windows that are met once need no further order."""
     rows = np.concatenate(parts)
+    rows = rows[np.argsort(rows["a"])]
+    same = rows["a"][1:] == rows["a"][:-1]
+    more = np.r_[False, same] | np.r_[same, False] if len(rows) > 1 else np.zeros(len(rows), dtype=bool)
+    once, rows = rows[~more], rows[more]
     rows = rows[np.lexsort((rows["start"], rows["key"], rows["b"], rows["a"]))]
-    return rows[np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])]]
+    first = np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])] if len(rows) else np.zeros(0, dtype=bool)
+    return np.concatenate([once, rows[first]])
+
+
+_NO_PLACES = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+
+
+def _by_key(keys: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The starts and hashes of each key."""
+    order = np.argsort(keys, kind="stable")
+    keys, starts, hashes = keys[order], starts[order], hashes[order]
+    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, dtype=np.int64)
+    return {int(keys[i]): (starts[i:j], hashes[i:j]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
+
+
+def _counts(keys: Iterator[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k in keys:
+        out[k] = out.get(k, 0) + 1
+    return out
+
+
+def _ranges(mark: np.ndarray) -> bytes:
+    """Where the marked ranges start and end: start, end, start, end, ..."""
+    return np.flatnonzero(np.diff(np.r_[0, mark.astype(np.int8), 0])).astype("<i4").tobytes()
 
 
 def _starts(spans: bytes) -> np.ndarray:
@@ -240,41 +295,35 @@ def _word_starts(t: bytes, n: int) -> np.ndarray:
 
 
 def _cut_repeats(window: int, text_at: int, names: list[str]):
-    """From a shard's documents and what is known of it (spans of candidates, first places), the documents with n_words, n_removed and the text left."""
+    """From a shard's documents and what is known of it (ranges of windows met again, first places that are later than another shard's), the documents with n_words, n_removed and the text left."""
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        spans, firsts = {}, {}
+        ranges, later = {}, {}
         if known.num_rows:
-            is_span = known.column("spans").is_valid()
-            of = known.filter(is_span)
-            spans = {(k, h): s for k, h, s in zip(of.column("key").to_pylist(), of.column("text_hash").to_pylist(), of.column("spans").to_pylist(), strict=True)}
-            of = known.filter(pc.invert(is_span))
-            keys, starts, hashes = (of.column(c).to_numpy() for c in ("key", "start", "a"))
-            order = np.argsort(keys, kind="stable")
-            keys, starts, hashes = keys[order], starts[order], hashes[order]
-            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, dtype=np.int64)
-            firsts = {int(keys[i]): (starts[i:j], hashes[i:j]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
-        one = {}  # texts of each key
-        for k, _ in spans:
-            one[k] = one.get(k, 0) + 1
+            is_text = known.column("again").is_valid()
+            of = known.filter(is_text)
+            ranges = {(k, h): s for k, h, s in zip(of.column("key").to_pylist(), of.column("text_hash").to_pylist(), of.column("again").to_pylist(), strict=True)}
+            of = known.filter(pc.invert(is_text))
+            later = _by_key(*(of.column(c).to_numpy() for c in ("key", "start", "a")))
+        texts_of = _counts(k for k, _ in ranges)
         texts, n_words, n_removed, n_cols = [], [], [], docs.num_columns
         rows = zip((t.as_py() for t in docs.column(text_at).cast(pa.binary())), docs.column(n_cols - 3).to_pylist(), docs.column(n_cols - 1).to_pylist(), strict=True)
         for t, key, h in rows:
             w = (t or b"").split()
-            n, gone, mine = len(w), None, spans.get((key, h))
+            n, gone, mine = len(w), None, ranges.get((key, h))
             if mine is not None:
-                at = _starts(mine)
-                first, hashed = firsts.get(key, (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)))
-                if one[key] > 1:  # texts that share an id: a place is this text's only if the window there is
-                    own = _windows(word_hashes(w), at, window, key)["a"]
-                    pairs = set(zip(first.tolist(), hashed.tolist(), strict=True))
-                    again = at[[p not in pairs for p in zip(at.tolist(), own.tolist(), strict=True)]]
-                else:
-                    again = np.setdiff1d(at, first, assume_unique=True)
-                edge = np.zeros(n + 1, dtype=np.int32)
-                np.add.at(edge, again, 1)
-                np.add.at(edge, again + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                at, hashed = later.get(key, _NO_PLACES)
+                if len(at) and texts_of[key] > 1:  # texts that share an id: a place is this text's only if the window there is
+                    at, hashed = at[at <= n - window], hashed[at <= n - window]
+                    at = at[_windows(word_hashes(w), at, window, key)["a"] == hashed]
+                if mine or len(at):
+                    edge = np.zeros(n + 1, dtype=np.int32)
+                    met = np.frombuffer(mine, dtype="<i4")
+                    edge[met[::2]] += 1
+                    edge[met[1::2] - 1 + window] -= 1
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
             cuts = gone is not None and bool(gone.any())
             texts.append(cut(t, gone) if cuts else t)
             n_words.append(n)
@@ -329,23 +378,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     texts = dealt.where(F.col(text_col).isNotNull()).select(F.col(shard).alias("shard"), F.col(text_col).cast("binary").alias("t"), F.col(key).alias("key"), F.col(text_hash).alias("text_hash"))
     phrases = settle(texts.select("shard", "t").mapInArrow(_named_phrases(window, phrase, hash_bits), "h long, shard int, n int, t binary"))
-    recurring = settle(phrases.groupBy("h").agg(F.sum("n").alias("n"), F.min("t").alias("t"), F.max("t").alias("u")).where("n > 1").select("h", "t", F.when(F.col("t") != F.col("u"), F.lit(True)).alias("mixed")))
-    mixed = recurring.where("mixed").select("h")
-    if not mixed.isEmpty():  # unlike phrases of one hash: all of them are looked for
-        recurring = recurring.where("mixed IS NULL").select("h", "t").unionByName(phrases.join(mixed, "h", "left_semi").select("h", "t").distinct())
-    confirmed = settle(phrases.select("h", "shard").join(recurring, "h").select("shard", "t").distinct())
+    # by hash: unlike phrases of one hash are all looked for, each where it is named
+    recurring = phrases.groupBy("h").agg(F.sum("n").alias("n"), (F.min("shard") < F.max("shard")).alias("wide")).where("n > 1").select("h", "wide")
+    confirmed = settle(phrases.join(recurring, "h").select("shard", "t", "wide"))
     discard(phrases)
 
-    located = texts.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_candidates(window, phrase), "shard int, key long, text_hash long, spans binary, a long, b long, start int")
+    located = texts.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_candidates(window, phrase), "shard int, key long, text_hash long, spans binary, again binary, a long, b long, start int")
     found = settle(located)
     discard(confirmed)
-    firsts = found.where("spans IS NULL").groupBy("a", "b").agg(F.min(F.struct("key", "start", "shard")).alias("f")).select("f.shard", "f.key", "f.start", "a")
-    if any_split:  # a first place in an id of several shards goes to all of them
-        firsts = firsts.join(split, F.col("key") == F.col(hk), "left")
-        every = F.transform(F.sequence(F.lit(0).cast("long"), F.col(n_salts) - 1), lambda i: place(F.col("key"), i))
-        firsts = firsts.withColumn("shard", F.explode(F.when(F.col(hk).isNull(), F.array("shard")).otherwise(F.array_distinct(every)))).drop(hk, n_salts)
-    spans = found.where("spans IS NOT NULL").select("shard", "key", "text_hash", "spans")
-    known = settle(firsts.unionByName(spans, allowMissingColumns=True))
+    in_order = Window.partitionBy("a", "b").orderBy("key", "start")  # of each window, at most one row a shard
+    firsts = found.where("spans IS NULL").select("shard", "key", "start", "a", F.first("key").over(in_order).alias("k"), F.first("start").over(in_order).alias("s"))
+    later = firsts.where("key <> k OR start <> s").select("shard", "key", "start", "a")
+    again = found.where("spans IS NOT NULL").select("shard", "key", "text_hash", "again")
+    known = settle(later.unionByName(again, allowMissingColumns=True))
     discard(found)
     release(docs.sparkSession)
 

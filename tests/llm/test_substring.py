@@ -97,3 +97,21 @@ def test_unlike_phrases_of_one_hash_are_all_looked_for(spark, hash_bits):
     named = [(h, t) for out in substring._named_phrases(20, 5, hash_bits)([batch]) for h, t in zip(out.column(0).to_pylist(), out.column(3).to_pylist())]
     assert len({h for h, _ in named}) <= 1 << hash_bits < len({t for _, t in named}) == len(named)
     assert got(spark, rows, hash_bits=hash_bits) == brute(rows, 20)
+
+
+def test_windows_of_one_shard_stay_there():
+    """Only windows whose phrase other shards name too leave their shard; repeats inside the shard are settled in it."""
+    own, both = (" ".join(f"{c}{j}" for j in range(24)) for c in "pq")
+    docs = pa.table({"shard": pa.array([0] * 4, pa.int32()), "t": [own.encode(), own.encode(), both.encode(), both.encode()], "key": [1, 2, 3, 4], "text_hash": list(range(4))})
+    phrases = [" ".join(t.split()[i : i + 5]) for t in (own, both) for i in range(20)]
+    sent = pa.table({"shard": [0] * 40, "t": pa.array([p.encode() for p in phrases], pa.binary()), "wide": [False] * 20 + [True] * 20})
+    found = substring._candidates(20, 5)(docs, sent).to_pylist()
+    assert sorted((r["key"], r["start"]) for r in found if r["spans"] is None) == [(3, i) for i in range(5)]
+    assert {r["key"]: np.frombuffer(r["again"], "<i4").tolist() for r in found if r["spans"] is not None} == {1: [], 2: [0, 5], 3: [], 4: [0, 5]}
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 6, 7, 20])
+def test_rolled_hashes(width):
+    h = np.random.default_rng(width).integers(0, 1 << 64, 60, dtype=np.uint64)
+    plain = [sum(int(h[i + k]) * pow(substring._P1, k, 1 << 64) for k in range(width)) % (1 << 64) for i in range(len(h) - width + 1)]
+    assert substring._rolled(h, width, substring._P1).tolist() == plain
