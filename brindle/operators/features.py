@@ -8,15 +8,19 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.checks import require_columns
 from brindle.functions.expr import one_hot
+from brindle.sources.tables import settle
 
 
 #: Levels of a column that one_hot_columns() finds by itself; each is an element of every row's array.
 MOST_LEVELS = 10_000
+#: Nearest nodes are looked for in cells of at most about CROWD nodes; cells are halved up to DEPTH times.
+CROWD = 16
+DEPTH = 10
 
 
 def one_hot_columns(df: DataFrame, columns: Sequence[str], out: str, levels: dict[str, Sequence] | None = None) -> DataFrame:
@@ -51,8 +55,11 @@ def angular_sums(edges: DataFrame, target: str, source: str, vector: str, center
 def radius_edges(nodes: DataFrame, id_col: str, xyz: Sequence[str], radius: float, cap: int | None = None, group: str | None = None) -> DataFrame:
     """(src, dst, distance) of nodes within radius of each other, in both directions; at most cap nearest for each src.
 
-    Nodes meet only within their grid cell of side radius and the cells around it.
+    Nodes meet only within their grid cell of side radius and the cells around it. With cap, crowded cells are cut finer, so
+    that the work grows with the nodes and not with their pairs; ids are unique.
     """
+    if cap is not None:
+        return _nearest_edges(nodes, id_col, xyz, radius, cap, group)
     keys = [group] if group else []
     cell = [F.floor(F.col(c) / radius).cast("long") for c in xyz]
     own = nodes.select(F.col(id_col).alias("src"), *keys, *[F.col(c).alias(f"a_{c}") for c in xyz], *[x.alias(f"c_{c}") for x, c in zip(cell, xyz, strict=True)])
@@ -60,12 +67,56 @@ def radius_edges(nodes: DataFrame, id_col: str, xyz: Sequence[str], radius: floa
     for c in xyz:
         near = near.withColumn(f"c_{c}", F.explode(F.array(*[F.col(f"c_{c}") + k for k in (-1, 0, 1)])))
     d = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in xyz), F.lit(0.0)))
-    pairs = own.join(near, [*keys, *[f"c_{c}" for c in xyz]]).where("src <> dst").select(*keys, "src", "dst", d.alias("distance")).where(F.col("distance") <= radius)
-    if cap is None:
-        return pairs
-    from pyspark.sql import Window
+    return own.join(near, [*keys, *[f"c_{c}" for c in xyz]]).where("src <> dst").select(*keys, "src", "dst", d.alias("distance")).where(F.col("distance") <= radius)
 
-    return pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "src").orderBy("distance", "dst"))).where(F.col("_rn") <= cap).drop("_rn")
+
+def _nearest_edges(nodes: DataFrame, id_col: str, xyz: Sequence[str], radius: float, cap: int, group: str | None) -> DataFrame:
+    """radius_edges() with at most cap edges a node, the nearest, smaller ids on ties.
+
+    Nodes at one place share their search, and only the cap + 1 smallest ids of a place can be anyone's neighbours. A place
+    begins at the coarsest halving of the grid at which its cell is not crowded, and looks as far as such a cell is wide. If it
+    finds cap + 1 nodes (itself among them), no nearer one is elsewhere; else it looks again, twice as far, up to radius.
+    """
+    keys, n = ([group] if group else []), len(xyz)
+    xs, fs, cs = ([f"_{k}{i}" for i in range(n)] for k in "xfc")
+    # cells are a little wider than what is looked for in them, so that rounding moves nothing out of reach
+    fine = radius * (1 + 2.0**-20) / (1 << DEPTH)
+    there = [F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")) for c in xyz] + [F.col(k).isNotNull() for k in keys]
+    rows = nodes
+    for ok in there:
+        rows = rows.where(ok)
+    rows = settle(rows.select(F.col(id_col).alias("src"), *keys, *[F.col(c).cast("double").alias(x) for c, x in zip(xyz, xs, strict=True)]))
+    first = F.row_number().over(Window.partitionBy(*keys, *xs).orderBy("src"))
+    cells = [F.floor(F.col(x) / fine).cast("long").alias(f) for x, f in zip(xs, fs, strict=True)]
+    known = settle(rows.withColumn("_rn", first).where(F.col("_rn") <= cap + 1).select(*keys, F.col("src").alias("dst"), "_rn", *xs, *cells))
+    at = lambda level: [F.shiftright(f, DEPTH - level).alias(c) for f, c in zip(fs, cs, strict=True)]
+    every = lambda levels: F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), *at(k)) for k in levels])).alias("_e")
+
+    counts = settle(known.groupBy(*keys, *fs).agg(F.count("*").alias("_n")).select(*keys, *fs, "_n", every(range(DEPTH))).select(*keys, *fs, "_n", "_e.*"))
+    crowded = counts.groupBy(*keys, "_level", *cs).agg(F.sum("_n").alias("_n")).where(F.col("_n") > CROWD).drop("_n")
+    begin = counts.join(crowded, [*keys, "_level", *cs], "left_semi").groupBy(*keys, *fs).agg((F.max("_level") + 1).alias("_level"))
+    asked = settle(known.where("_rn = 1").join(begin, [*keys, *fs], "left").select(*keys, F.col("dst").alias("_spot"), *xs, *fs, F.coalesce("_level", F.lit(0)).alias("_level")))
+
+    found = None
+    while levels := sorted(r[0] for r in asked.select("_level").distinct().collect()):  # at most DEPTH + 1
+        around = asked.withColumns({c: F.get(F.array(*[F.shiftright(f, DEPTH - k) for k in range(DEPTH + 1)]), F.col("_level")) for f, c in zip(fs, cs, strict=True)})
+        for c in cs:
+            around = around.withColumn(c, F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
+        others = known.select(*keys, "dst", *[F.col(x).alias(f"_to{x}") for x in xs], every(levels)).select(*keys, "dst", *[f"_to{x}" for x in xs], "_e.*")
+        d = F.sqrt(sum(((F.col(x) - F.col(f"_to{x}")) * (F.col(x) - F.col(f"_to{x}")) for x in xs), F.lit(0.0)))
+        reach = F.get(F.array(*[F.lit(radius / (1 << k)) for k in range(DEPTH + 1)]), F.col("_level"))
+        pairs = around.join(others, [*keys, "_level", *cs]).select(*keys, "_spot", *xs, *fs, "_level", "dst", d.alias("distance")).where(F.col("distance") <= reach)
+        nearest = F.row_number().over(Window.partitionBy("_spot").orderBy("distance", "dst"))
+        lists = pairs.withColumn("_rn", nearest).where(F.col("_rn") <= cap + 1).groupBy("_spot", *keys, *xs, *fs, "_level").agg(F.sort_array(F.collect_list(F.struct("distance", "dst"))).alias("_near"))
+        lists = settle(lists)
+        sure = (F.size("_near") > cap) | (F.col("_level") == 0)
+        some = lists.where(sure).select(*keys, *xs, "_near")
+        found = some if found is None else found.unionByName(some)
+        asked = settle(lists.where(~sure).select(*keys, "_spot", *xs, *fs, (F.col("_level") - 1).alias("_level")))
+    if found is None:
+        return rows.select(*keys, "src", F.col("src").alias("dst"), F.lit(0.0).alias("distance")).where("false")
+    own = F.slice(F.filter("_near", lambda e: e["dst"] != F.col("src")), 1, cap)
+    return rows.join(found, [*keys, *xs]).select(*keys, "src", F.explode(own).alias("_e")).select(*keys, "src", "_e.dst", "_e.distance")
 
 
 @dataclass(frozen=True)

@@ -578,3 +578,37 @@ def test_population_fit_of_text_nodes_and_loose_parts(spark):
     df = spark.createDataFrame([(1, "a", "b", 6.0), (1, "c", "d", 7.0), (2, "a", "a", 7.0), (3, "x", "y", 7.0)], "k long, acid string, base string, pka double")
     got = {(r["component"], r["node"]): r["log_weight"] for r in populations.population_fit(df, "k").collect()}
     assert got == {k: pytest.approx(v, abs=1e-9) for k, v in {(1, "a"): 0, (1, "b"): 1, (1, "c"): 0, (1, "d"): 0, (2, "a"): 0, (3, "x"): 0, (3, "y"): 0}.items()}
+
+
+@pytest.mark.parametrize(("n", "cap", "group"), [(400, 4, None), (400, 1, "g"), (60, 9, None)])
+def test_capped_radius_edges(spark, n, cap, group):
+    """Crowded, sparse and equal places, borders of cells, nulls: the nearest are those over all pairs."""
+    rng = np.random.default_rng(n + cap)
+    xy = np.concatenate([rng.normal(0, 0.3, (n, 2)), rng.normal(0.02, 0.0005, (n, 2)), np.repeat([[0.5, 0.5], [0.52, 0.5]], 12, axis=0), np.arange(30)[:, None] * [0.02, 0.0]])
+    rows = [(i, i % 2, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    df = spark.createDataFrame([*rows, (9990, 0, None, 0.0), (9991, 1, float("inf"), 0.0), (9992, 0, float("nan"), 0.0)], "id long, g int, x double, y double")
+    want = {}
+    for i, g, x, y in rows:
+        near = sorted((math.sqrt((x - p) * (x - p) + (y - q) * (y - q)), j) for j, h, p, q in rows if j != i and (group is None or g == h))
+        want[i] = [(j, d) for d, j in near if d <= 0.02][:cap]
+    got = {}
+    for r in features.radius_edges(df, "id", ["x", "y"], 0.02, cap=cap, group=group).collect():
+        got.setdefault(r["src"], []).append((r["distance"], r["dst"]))
+    assert {i: [(j, d) for d, j in sorted(e)] for i, e in got.items()} == {i: e for i, e in want.items() if e}
+    assert features.radius_edges(df.limit(0), "id", ["x", "y"], 0.02, cap=cap, group=group).count() == 0
+
+
+def test_capped_radius_edges_make_no_crowd_of_pairs(spark, monkeypatch):
+    """All nodes within one radius: what meets grows with the nodes, not with their pairs."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 0.02, (2000, 2)))], "id long, x double, y double")
+    began, plain = [], features.settle
+
+    def settled(d):
+        if "_near" in d.columns:
+            began.append([r[0] for r in d.select("_level").distinct().collect()])
+        return plain(d)
+
+    monkeypatch.setattr(features, "settle", settled)
+    assert features.radius_edges(df, "id", ["x", "y"], 0.02, cap=4).count() == 8000
+    assert min(began[0]) >= 2  # cells of a quarter of the radius, at the coarsest
