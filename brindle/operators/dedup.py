@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.checks import require_columns
@@ -51,7 +51,7 @@ def mad_values(df: DataFrame, key: str, value: str, value_range: float = 1.0, z:
     easy = whole.where("agree").select("k", F.col("mean").alias("v"))
     hard = rows.join(whole.where(~F.col("agree")).select("k"), "k", "left_semi")
     if hot := _hot(hard, hot_rows):
-        easy = easy.unionByName(mad_rounds(hard.join(hot, "k", "left_semi"), "k", "v", MOST_ROUNDS if rounds is None else rounds, value_range, z))
+        easy = easy.unionByName(mad_rounds(hard.join(hot, "k", "left_semi"), "k", "v", MOST_ROUNDS if rounds is None else rounds, value_range, z, hot_rows=0))
         hard = hard.join(hot, "k", "left_anti")
 
     kind = df.schema[key].dataType.simpleString()
@@ -95,18 +95,57 @@ def _agreed_rows(rows: DataFrame, rounds: int, value_range: float, z: float) ->
     raise AssertionError("rounds is not negative")
 
 
-def mad_rounds(df: DataFrame, key: str, value: str, rounds: int, value_range: float = 1.0, z: float = 3.5) -> DataFrame:
-    """mad_values() as at most `rounds` relational rounds: nothing but aggregates and joins, for keys with very many values.
+def mad_rounds(df: DataFrame, key: str, value: str, rounds: int, value_range: float = 1.0, z: float = 3.5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """mad_values() as at most `rounds` rounds in the JVM alone.
 
-    Each round's rows are settled, so that a round reads a table and not all rounds before it. Keys that agree, and keys that
-    lost no value, leave; the rounds end when no key is left.
+    A key's values are brought together once, in order, and all its rounds are expressions over that array. Keys with more
+    than hot_rows values, which may exceed a task's memory, go through relational rounds instead: nothing but aggregates and
+    joins. Each such round's rows are settled, so that a round reads a table and not all rounds before it; keys that agree,
+    and keys that lost no value, leave; the rounds end when no key is left. The result is the same.
     """
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("k IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
-    agreed, failed = _agreed_rows(rows, rounds, value_range, z)
-    done = agreed.groupBy("k").agg(F.avg("v").alias("v")).unionByName(failed.select("k", F.lit(None).cast("double").alias("v")))
+    parts = []
+    hot = _hot(rows, hot_rows) if hot_rows else None
+    if hot is not None or not hot_rows:
+        agreed, failed = _agreed_rows(rows if hot is None else rows.join(hot, "k", "left_semi"), rounds, value_range, z)
+        parts += [agreed.groupBy("k").agg(F.avg("v").alias("v")), failed.select("k", F.lit(None).cast("double").alias("v"))]
+    if hot_rows:
+        few = rows if hot is None else rows.join(hot, "k", "left_anti")
+        kept = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("vs"), lambda vs, _: _round(vs, value_range, z)) if rounds else F.col("vs")
+        left = few.groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("vs")).select("k", kept.alias("vs"))
+        mean = F.aggregate("vs", F.lit(0.0), lambda t, x: t + x) / F.size("vs")
+        parts.append(left.select("k", F.when(~_wide(F.col("vs"), value_range), mean).alias("v")))
+    done = parts[0]
+    for part in parts[1:]:
+        done = done.unionByName(part)
     return done.select(F.col("k").alias(key), F.col("v").alias(value))
 
 
+def _wide(vs: Column, value_range: float) -> Column:
+    return F.get(vs, F.size(vs) - 1) - F.get(vs, F.lit(0)) > value_range
+
+
+def _median(vs: Column) -> Column:
+    low, high = (F.get(vs, f(F.size(vs) - 1)) for f in (lambda n: F.floor(n / 2).cast("int"), lambda n: F.ceil(n / 2).cast("int")))
+    return low + (high - low) * F.when(F.size(vs) % 2 == 0, 0.5).otherwise(0.0)
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f names it: a lambda's variable holds a value."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _round(vs: Column, value_range: float, z: float) -> Column:
+    """The ordered values without one round's outliers; values that agree stay."""
+
+    def without(m: Column) -> Column:
+        off = F.array_sort(F.filter(F.transform(vs, lambda v: F.abs(v - m)), lambda o: ~F.isnan(o)))
+        mad = _once(off, _median)
+        return _once(mad, lambda d: F.filter(vs, lambda v: ~F.coalesce(Z_FACTOR * F.abs(v - m) / F.nullif(d, F.lit(0.0)) > z, F.lit(False))))
+
+    return F.when(_wide(vs, value_range), _once(_median(vs), without)).otherwise(vs)
+
+
 def _hot(rows: DataFrame, hot_rows: int) -> DataFrame | None:
     """The keys (k) with more than hot_rows rows, or None if there are none."""
     hot = settle(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("k"))

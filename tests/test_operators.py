@@ -612,3 +612,21 @@ def test_capped_radius_edges_make_no_crowd_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(features, "settle", settled)
     assert features.radius_edges(df, "id", ["x", "y"], 0.02, cap=4).count() == 8000
     assert min(began[0]) >= 2  # cells of a quarter of the radius, at the coarsest
+
+
+@pytest.mark.parametrize("hot_rows", [0, 12, 1000])
+def test_mad_rounds_by_arrays_and_by_joins(spark, monkeypatch, hot_rows):
+    """Few and many values, ties, a deviation of zero, rounds that run out: the same whichever way a key goes; keys with few values settle no rounds."""
+    rng = np.random.default_rng(18)
+    data = {k: np.r_[rng.normal(5, 0.3, size=rng.integers(1, 30)), rng.normal(5, 4, size=rng.integers(0, 5))] for k in range(30)}
+    data |= {100: [5.0, 5.0, 9.0], 101: [1.0], 102: [0.0, 0.1, 1.0, 1.2, 30.0], 103: np.round(rng.normal(5, 0.4, 25), 1)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [(None, 1.0), (1, None), (1, float("nan"))], "k int, v double").repartition(3)
+    settled, plain = [], dedup.settle
+    monkeypatch.setattr(dedup, "settle", lambda d: settled.append(d) or plain(d))
+    for rounds in (0, 1, 6):
+        settled.clear()
+        got = {r["k"]: r["v"] for r in dedup.mad_rounds(df, "k", "v", rounds, hot_rows=hot_rows).collect()}
+        want = {k: dedup.consensus(np.asarray(v), 1.0, 3.5, rounds) for k, v in data.items()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == (None if want[k] is None else pytest.approx(want[k])) for k in want)
+        assert hot_rows < 1000 or len(settled) == 1
