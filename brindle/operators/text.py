@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import row_index
+from brindle.sources.tables import settle
 
 # Line-notation tokens (brackets, two-letter elements, letters, bonds, digits) and special tokens.
 TWO_LETTERS = "Cl|Br|Si|Se|Na|Ca|Li|Mg|Zn|Fe|Cu|Mn|Hg|Sn|As|Bi|Cd|se|Cr|Sb"
@@ -95,6 +99,12 @@ def topics(df: DataFrame, words: str, num_topics: int = 64, no_below: int = 3, n
     return model.transform(counted).withColumn("Topic", (F.array_position(shares, F.array_max(shares)) - 1).cast("int")).drop("_counts", "topicDistribution")
 
 
+#: Distinct topic words, and pairs of a topic's words, that topic_coherence() takes; each task holds them, and a count a pair.
+MOST_TOPIC_WORDS, MOST_TOPIC_PAIRS = 100_000, 1_000_000
+#: Words of texts that are looked at together; a longer text is looked at whole.
+SLICE_WORDS = 1 << 18
+
+
 def article_fields(xml: Column | str, paths: dict[str, str]) -> list[Column]:
     """One text column for each XPath."""
     c = F.col(xml) if isinstance(xml, str) else xml
@@ -108,18 +118,29 @@ def topic_coherence(df: DataFrame, id_col: str, words: str, topics: DataFrame, t
     pointwise mutual information of two words is ln(p(a, b) / p(a) p(b)) / -ln p(a, b), with 10^-12 added to p(a, b). A word's vector
     has this for each word of its topic, itself included, and the coherence is the mean cosine of the words' vectors and their sum.
     Windows are counted from the places of topic words, not made: those that hold a or b are a union of ranges of starts.
-    A topic word that no text holds has the vector of all zeros, and cosine 0. Ids are unique; null texts have no windows.
+    Each task adds up the counts of its own texts, so no place is shuffled, and a text is read once. A topic word that no text
+    holds has the vector of all zeros, and cosine 0. Ids are unique; null texts have no windows; more topic words than
+    MOST_TOPIC_WORDS, or pairs of them than MOST_TOPIC_PAIRS, are an error.
     """
     wanted = topics.select(F.col(topic).alias("t"), F.col(word).alias("w")).where("w IS NOT NULL").distinct()
-    texts = df.where(F.size(words) > 0).select(F.col(id_col).alias("d"), F.col(words).alias("ws"), F.greatest(F.lit(1), F.size(words) - window + 1).cast("long").alias("n"))
-    total = texts.agg(F.sum("n").alias("total"))
-    places = texts.select("d", "n", F.posexplode("ws").alias("p", "w")).join(wanted.select("w").distinct(), "w").select("d", "w", F.greatest(F.lit(0), F.col("p") - window + 1).alias("lo"), F.least(F.col("p"), F.col("n") - 1).alias("hi"))
-    pairs = wanted.withColumnRenamed("w", "a").join(wanted.withColumnRenamed("w", "b"), "t").where("a <= b").select("a", "b").distinct()
-    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("w"))
-    before = F.lag("hi", 1, -1).over(Window.partitionBy("d", "a", "b").orderBy("lo", "hi"))
-    # starts are sorted, and so are ends: a range adds what lies behind the end of the one before
-    counted = places.join(ends, "w").withColumn("new", F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo"), before + 1) + 1))
-    either = counted.groupBy("a", "b").agg(F.sum("new").cast("double").alias("either"))
+    wanted = settle(wanted)
+    vocabulary = [r["w"] for r in wanted.select("w").distinct().orderBy("w").limit(MOST_TOPIC_WORDS + 1).collect()]
+    if len(vocabulary) > MOST_TOPIC_WORDS:
+        raise ValueError(f"more than {MOST_TOPIC_WORDS} distinct topic words")
+    code = {w: i for i, w in enumerate(vocabulary)}
+    numbers = df.sparkSession.createDataFrame(list(code.items()), "w string, c int")
+    coded = wanted.join(F.broadcast(numbers), "w").select("t", "c")
+    pairs = coded.withColumnRenamed("c", "a").join(coded.withColumnRenamed("c", "b"), "t").where("a <= b").select("a", "b").distinct()
+    together = sorted(tuple(r) for r in pairs.limit(MOST_TOPIC_PAIRS + 1).collect())
+    if len(together) > MOST_TOPIC_PAIRS:
+        raise ValueError(f"more than {MOST_TOPIC_PAIRS} pairs of topic words")
+    counted = _either(vocabulary, np.array(together, dtype=np.int64).reshape(-1, 2), window)
+    parts = df.select(F.col(words).alias("ws")).mapInArrow(counted, "a int, b int, n long")
+    sums = settle(parts.groupBy("a", "b").agg(F.sum("n").cast("double").alias("n")))
+    name = F.broadcast(numbers)
+    total = sums.where("a < 0").select(F.col("n").alias("total"))
+    named = sums.where("a >= 0").join(name.select(F.col("c").alias("a"), F.col("w").alias("wa")), "a").join(name.select(F.col("c").alias("b"), F.col("w").alias("wb")), "b")
+    either = named.select(F.col("wa").alias("a"), F.col("wb").alias("b"), F.col("n").alias("either"))
     alone = either.where("a = b").select(F.col("a").alias("w"), F.col("either").alias("own"))
     own = lambda c, name: alone.select(F.col("w").alias(c), F.col("own").alias(name))
     met = either.join(own("a", "na"), "a").join(own("b", "nb"), "b").crossJoin(F.broadcast(total))  # one row
@@ -133,3 +154,47 @@ def topic_coherence(df: DataFrame, id_col: str, words: str, topics: DataFrame, t
     length = sums.groupBy("t").agg(F.sum(F.col("z") * F.col("z")).alias("zz"))
     cosine = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("ss")) * F.sqrt(F.col("zz"))), F.lit(0.0))
     return dots.join(length, "t").groupBy(F.col("t").alias(topic)).agg(F.avg(cosine).alias("coherence"))
+
+
+def _either(vocabulary: Sequence[str], pairs: np.ndarray, window: int):
+    """(a, b, n): over a task's texts, how many windows hold one of the words numbered a and b, for each pair of which any does; under -1, -1, all windows."""
+    ends = np.concatenate([np.stack([pairs[:, k], np.arange(len(pairs))], axis=1) for k in (0, 1)])
+    ends = np.unique(ends, axis=0)  # each word's pairs, one behind the other
+    many = np.bincount(ends[:, 0], minlength=len(vocabulary))
+    begin, kind = np.cumsum(many) - many, np.int16 if len(pairs) < 1 << 15 else np.int64
+    of_word = ends[:, 1].astype(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, out = 0, np.zeros(len(pairs), dtype=np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            offsets, known = lists.offsets.to_numpy().astype(np.int64), pa.array(vocabulary, lists.values.type)
+            i = 0
+            while i < len(lists):
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_WORDS, "right")) - 1)
+                base = offsets[i : j + 1] - offsets[i]
+                n = np.where(np.diff(base) > 0, np.maximum(1, np.diff(base) - window + 1), 0)  # windows of each text
+                total += int(n.sum())
+                code = pc.fill_null(pc.index_in(lists.values.slice(offsets[i], base[-1]), known), -1).to_numpy()
+                at = np.flatnonzero(code >= 0)
+                code, doc = code[at], np.searchsorted(base, at, "right") - 1
+                place = at - base[doc]
+                # a place counts for each of its word's pairs; pairs are sorted, and within a pair places stay in order
+                times = many[code]
+                of = np.repeat(np.arange(len(at)), times)
+                pair = of_word[np.arange(len(of)) + np.repeat(begin[code] - (np.cumsum(times) - times), times)]
+                order = np.argsort(pair, kind="stable")
+                pair, of = pair[order], of[order]
+                lo, hi, d = np.maximum(0, place - window + 1)[of], np.minimum(place, n[doc] - 1)[of], doc[of]
+                # starts are sorted, and so are ends: a range adds what lies behind the end of the one before
+                before = np.r_[-1, hi[:-1]] if len(hi) else hi
+                if len(hi):
+                    before[1:][(pair[1:] != pair[:-1]) | (d[1:] != d[:-1])] = -1
+                new = np.maximum(0, hi - np.maximum(lo, before + 1) + 1)
+                out += np.bincount(pair, weights=new, minlength=len(pairs)).astype(np.int64)
+                i = j
+        met = np.flatnonzero(out)
+        a, b, n = np.r_[-1, pairs[met, 0]], np.r_[-1, pairs[met, 1]], np.r_[total, out[met]]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    return run

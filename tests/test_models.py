@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.operators import stats, text
@@ -83,6 +84,21 @@ def test_topic_coherence_against_windows(spark):
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
 
 
+@pytest.mark.parametrize("slice_words", [1, 7, 1 << 18])
+def test_topic_coherence_shuffles_no_places(monkeypatch, slice_words):
+    """A task gives one row a pair, however many places its texts have, and however they are sliced."""
+    rng = np.random.default_rng(4)
+    texts = [None, [], *[[str(w) for w in rng.choice(list("abcde"), int(k))] for k in rng.integers(1, 40, 60)]]
+    monkeypatch.setattr(text, "SLICE_WORDS", slice_words)
+    pairs = np.array([(0, 0), (0, 1), (0, 2), (1, 1), (2, 2)])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.string()))], names=["ws"])
+    got = [r for out in text._either(["a", "c", "none"], pairs, 5)(iter([batch.slice(0, 20), batch.slice(20)])) for r in out.to_pylist()]
+    windows = [set(ws[s : s + 5]) for ws in texts if ws for s in range(max(1, len(ws) - 4))]
+    holds = lambda *w: sum(any(v in s for v in w) for s in windows)
+    assert {(r["a"], r["b"]): r["n"] for r in got} == {(-1, -1): len(windows), (0, 0): holds("a"), (0, 1): holds("a", "c"), (0, 2): holds("a"), (1, 1): holds("c")}
+    assert len(got) == 5
+
+
 SPACE = {"x": ("uniform", -3.0, 3.0), "rate": ("log10", 1e-4, 1.0), "depth": ("int", 1, 9), "kind": ("choice", ["a", "b", "c"])}
 
 
