@@ -630,3 +630,14 @@ def test_mad_rounds_by_arrays_and_by_joins(spark, monkeypatch, hot_rows):
         assert got.keys() == want.keys()
         assert all(got[k] == (None if want[k] is None else pytest.approx(want[k])) for k in want)
         assert hot_rows < 1000 or len(settled) == 1
+
+
+def test_expressions_on_pairs_shuffle_no_pair(spark, sf_dir):
+    """The vectors come with the pairs: nothing is joined to them, and the vectors of blocks stay floats."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(200)
+    df = distance.pairwise_sql(e, "vec_id", "embedding", threshold=1.15)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and ("src" in line or "dst" in line)]
+    assert e.select(distance._plain(e, "embedding")).dtypes[0][1] == "array<float>"
+    want = {tuple(r) for r in distance.pairwise_sql(e, "vec_id", "embedding").where("distance <= 1.15").collect()}
+    assert {tuple(r) for r in df.collect()} == want and len(want) > 5
