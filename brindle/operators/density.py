@@ -7,17 +7,22 @@ its merges of whole clusters, at most one for every min_size rows, are put in or
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.operators.cluster import label_values
-from brindle.operators.distance import BLOCK_ROWS, MERGED, _meet, _vectors, block_distances
+from brindle.operators.distance import MERGED, TILE_ROWS, _block_rows, _chunks, _exact, _first, _least, _meet, _tiles, _vectors, block_distances
 from brindle.operators.graph import connected_components
 from brindle.operators.relational import row_index
 from brindle.sources.tables import discard, settle
 
+#: Rows of a block whose spanning forest with another block is one task's matrix.
+FOREST_ROWS = 4096
 #: Edges that one task takes to finish a spanning tree; with more, every component first joins its nearest one, in parallel.
 LOCAL_EDGES = 1 << 20
 #: Merges of whole clusters, and so clusters, that one task puts in order; beyond, hdbscan_cluster refuses.
@@ -28,81 +33,100 @@ LEAST_DISTANCE = 1e-12
 KEY = "struct<w:double,a:bigint,b:bigint>"
 
 
-def core_distances(df: DataFrame, id_col: str, vector: str, k: int, metric: str = "euclidean", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def core_distances(df: DataFrame, id_col: str, vector: str, k: int, metric: str = "euclidean", block_rows: int | None = None) -> DataFrame:
     """(id_col, core): the distance of each row to its k-th nearest row, itself the first; of fewer rows to the furthest."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, part, least = [], [], []
+        parts = []
         if left.num_rows and right.num_rows:
-            d = block_distances(_vectors(left), _vectors(right), metric)
-            a, b = left.column(2)[0].as_py(), left.column(3)[0].as_py()
-            for own, other, m in [(left, b, d)] if a == b else [(left, b, d), (right, a, d.T)]:
-                ids.append(own.column(0))
-                part.append(np.full(own.num_rows, other // MERGED))
-                # of its own block, a row's distance to itself is among them
-                least += np.sort(np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, :k], axis=1).tolist()
-        none = left.column(0).slice(0, 0)
-        return pa.table({"id": pa.chunked_array([c for x in ids for c in x.chunks] or none.chunks, none.type), "part": pa.array(np.concatenate(part) if part else [], pa.int32()), "least": pa.array(least, pa.list_(pa.float64()))})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    found = _meet(df, None, id_col, vector, id_col, block_rows).applyInArrow(run, f"id {kind}, part int, least array<double>")
+            p, q = left.column(2)[0].as_py(), left.column(3)[0].as_py()
+            for own, two, other in [(left, right, q)] if p == q else [(left, right, q), (right, left, p)]:
+                a, b = _vectors(own), _vectors(two)
+                got = min(k, len(b))
+                for lo, near, slack in _tiles(a, b, metric):
+                    # of its own block, a row's distance to itself is among them
+                    i, j = _least(near, _chunks(len(b)), None, got, slack)
+                    d = _exact(a[lo : lo + TILE_ROWS], b, near, i, j, metric)
+                    least = d[np.lexsort((d, i))][_first(i, got)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * got), pa.array(least))
+                    parts.append(pa.table([own.column(0).slice(lo, len(near)), pa.array(np.full(len(near), other // MERGED, np.int32)), lists], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    kind = df.schema[id_col].dataType
+    schema = pa.schema([("id", to_arrow_type(kind)), ("part", pa.int32()), ("least", pa.list_(pa.float64()))])
+    found = _meet(df, None, id_col, vector, id_col, block_rows).applyInArrow(run, f"id {kind.simpleString()}, part int, least array<double>")
     for by in (("id", "part"), ("id",)):  # twice, so that no list grows with the table
         found = found.groupBy(*by).agg(F.slice(F.sort_array(F.flatten(F.collect_list("least"))), 1, k).alias("least"))
     return found.select(F.col("id").alias(id_col), F.element_at("least", -1).alias("core"))
 
 
-def dense_forest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, weight) of the minimum spanning forest of a symmetric matrix, infinite where there is no edge; of equal weights the
-    smaller (a, b), a < b, comes first, so there is one such forest."""
-    n = len(w)
-    i, j = np.nonzero(np.triu(np.isfinite(w), 1))
-    order = np.argsort(w[i, j], kind="stable")
-    weight, w = w, np.full((n, n), np.inf)
-    w[i[order], j[order]] = w[j[order], i[order]] = np.arange(len(order))  # the place of each edge in that order
-    best, near, out = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    a, b, c, now = [], [], [], 0
-    for step in range(n):
-        if step:
-            now = int(np.argmin(np.where(out, np.inf, best)))
-            if best[now] == np.inf or out[now]:
-                now = int(np.argmin(out))  # the next tree of the forest
-            else:
-                a.append(int(near[now]))
-                b.append(now)
-                c.append(float(weight[near[now], now]))
-        out[now] = True
-        better = (w[now] < best) & ~out
-        best[better], near[better] = w[now][better], now
+def _grown(rank: np.ndarray, weights: Callable[[int], tuple[slice, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, weight) of the minimum spanning forest of nodes 0 to n - 1: weights tells a node's weights to a slice of nodes, infinite
+    where there is no edge. Edges are pairs of ranks; of equal weights the smaller (a, b), a < b, comes first.
+
+    A tree grows by one node a step (Prim), and beside the weights only a few numbers a node are held. Two edges that lead to one node
+    differ in their other end only, so the smaller other end is the smaller edge.
+    """
+    n = len(rank)
+    best, free, near = np.full(n, np.inf), np.full(n, np.inf), np.full(n, -1)  # best is -inf, free inf, for what is in a tree
+    start, at, now = np.argsort(rank), 0, -1
+    a, b, c = [], [], []
+    for _ in range(n):
+        least = free[int(np.argmin(free))]
+        if least < np.inf:
+            ties = np.flatnonzero(free == least)
+            now = int(ties[0]) if len(ties) == 1 else int(ties[np.lexsort((np.maximum(near[ties], rank[ties]), np.minimum(near[ties], rank[ties])))[0]])
+            a.append(near[now])
+            b.append(rank[now])
+            c.append(least)
+        else:
+            while best[start[at]] == -np.inf:
+                at += 1
+            now = int(start[at])  # the next tree of the forest
+        best[now], free[now] = -np.inf, np.inf
+        part, w = weights(now)
+        mine, there = rank[now], best[part]
+        better = np.flatnonzero((w < there) | ((w == there) & (mine < near[part])))
+        there[better] = free[part][better] = w[better]
+        near[part][better] = mine
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(c)
 
 
-def block_forests(df: DataFrame, id_col: str, vector: str, metric: str = "euclidean", core: str | None = None, alpha: float = 1.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def dense_forest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_grown() of a symmetric matrix."""
+    return _grown(np.arange(len(w)), lambda i: (slice(0, len(w)), w[i]))
+
+
+def block_forests(df: DataFrame, id_col: str, vector: str, metric: str = "euclidean", core: str | None = None, alpha: float = 1.0, block_rows: int | None = None) -> DataFrame:
     """(a, b, w), a < b: a minimum spanning forest of each pair of blocks; ids are longs.
 
-    w is the distance over alpha, or with core, a column of core distances, the greatest of it and both core distances.
+    w is the distance over alpha, or with core, a column of core distances, the greatest of it and both core distances. A task
+    holds one matrix of its two blocks, at most FOREST_ROWS rows each.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-        d = block_distances(_vectors(left), _vectors(right), metric) / alpha
+        own = left.column(2)[0] == left.column(3)[0]
+        right = left if own else right  # the same rows, maybe in another order
+        d = block_distances(_vectors(left), _vectors(right), metric)
+        d /= alpha
         x, y = left.column(0).to_numpy(), right.column(0).to_numpy()
         if core:
-            d = np.maximum(d, np.maximum(left.column("g").to_numpy()[:, None], right.column("g2").to_numpy()[None, :]))
-        if left.column(2)[0] == left.column(3)[0]:
-            # both sides are the same rows, maybe in another order
-            w = d[:, np.argsort(y)[np.argsort(np.argsort(x))]]
-            np.fill_diagonal(w, np.inf)
-            ids = x
+            np.maximum(d, left.column("g").to_numpy()[:, None], out=d)
+            np.maximum(d, right.column("g" if own else "g2").to_numpy()[None, :], out=d)
+        if own:
+            np.fill_diagonal(d, np.inf)
+            ids, n = x, len(x)
+            weights = lambda i: (slice(0, n), d[i])
         else:
-            w = np.full((len(x) + len(y),) * 2, np.inf)
-            w[: len(x), len(x) :], w[len(x) :, : len(x)] = d, d.T
-            ids = np.r_[x, y]
-        by = np.argsort(ids)
-        ids = ids[by]
-        i, j, c = dense_forest(w[np.ix_(by, by)])
-        return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "w": c})
+            ids, n = np.r_[x, y], len(x)
+            weights = lambda i: (slice(n, len(ids)), d[i]) if i < n else (slice(0, n), d[:, i - n])
+        names, rank = np.unique(ids, return_inverse=True)
+        i, j, c = _grown(rank, weights)
+        return pa.table({"a": names[np.minimum(i, j)], "b": names[np.maximum(i, j)], "w": c})
 
+    block_rows = block_rows or min(FOREST_ROWS, _block_rows(df.count(), None))
     return _meet(df, None, id_col, vector, id_col, block_rows, core).applyInArrow(run, "a long, b long, w double")
 
 
@@ -274,7 +298,7 @@ def _chosen(t: pa.Table, epsilon: float) -> pa.Table:
     return pa.table({"cluster": cluster, "chosen": pa.array(cluster[np.maximum(chosen, 0)], mask=chosen < 0)})
 
 
-def hdbscan_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0.3, min_size: int = 5, min_samples: int | None = None, alpha: float = 1.0, metric: str = "euclidean", block_rows: int = BLOCK_ROWS, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def hdbscan_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0.3, min_size: int = 5, min_samples: int | None = None, alpha: float = 1.0, metric: str = "euclidean", block_rows: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """df with Cluster: clusters of the hierarchy of mutual reachability by excess of mass, numbered by first row, -1 for noise.
 
     min_size is the least size of a cluster, min_samples (min_size if not given) the rank of the neighbour, a row itself the
@@ -283,7 +307,7 @@ def hdbscan_cluster(df: DataFrame, id_col: str, vector: str, threshold: float =
     """
     if min_size < 2:
         raise ValueError("a cluster has two rows at least")
-    places = settle(row_index(df.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v")), "_id", name="_node").withColumn("_node", F.col("_node").cast("long")))
+    places = settle(row_index(df.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v")), "_id", name="_node").withColumn("_node", F.col("_node").cast("long")))
     n = places.count()
     if n <= 1:
         return df.withColumn("Cluster", F.lit(0))

@@ -142,3 +142,29 @@ def test_density_edges(spark):
     assert {got[f"0{i}"] for i in range(6)} == {0} and {got[f"1{i}"] for i in range(6)} == {1} and got["x"] in (-1, 0, 1)
     with pytest.raises(ValueError):
         density.hdbscan_cluster(few, "id", "v", min_size=1)
+
+
+def test_forest_of_two_blocks_breaks_ties_by_ids_and_holds_one_matrix():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    for n, m in ((9, 14), (600, 700)):
+        w = np.full((n + m, n + m), np.inf)
+        w[:n, n:] = rng.integers(1, 5, (n, m))
+        w[n:, :n] = w[:n, n:].T
+        rank = rng.permutation(n + m)
+        d = np.ascontiguousarray(w[:n, n:])
+        tracemalloc.start()
+        a, b, c = density._grown(rank, lambda i: (slice(n, n + m), d[i]) if i < n else (slice(0, n), d[:, i - n]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1 << 20
+        edges = sorted((w[i, j], *sorted((int(rank[i]), int(rank[j])))) for i in range(n) for j in range(n, n + m))
+        root, want = list(range(n + m)), []
+        find = lambda i: i if root[i] == i else find(root[i])  # noqa: B023, E731
+        for e, i, j in edges if n < 100 else []:
+            if find(i) != find(j):
+                root[find(i)] = find(j)
+                want.append((e, i, j))
+        got = sorted(zip(c.tolist(), np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        assert got == sorted(want) if want else len(got) == n + m - 1
