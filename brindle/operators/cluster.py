@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,6 +17,10 @@ from brindle.sources.tables import discard, settle
 
 #: Components of so many rows are merged as one task's matrix by average and complete linkage.
 DENSE_ROWS = 1_000
+#: Row numbers whose neighbour lists are one row's.
+NODE_BLOCK = 8192
+#: Neighbours, of all rows together, that one task holds to take greedy steps.
+BATCH_EDGES = 1 << 22
 
 
 def label_values(df: DataFrame, column: str, name: str = "Cluster") -> DataFrame:
@@ -57,47 +62,129 @@ def dbscan_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0
 
 def _placed(df: DataFrame, id_col: str, vector: str | None = None) -> DataFrame:
     """(_id, _node, and _v, the vector): the rows of df numbered in the order of their unique ids."""
-    more = [F.col(vector).cast("array<double>").alias("_v")] if vector else []
+    more = [F.col(vector).alias("_v")] if vector else []
     return settle(row_index(df.select(F.col(id_col).alias("_id"), *more), "_id", name="_node"))
 
 
-def _both_ways(edges: DataFrame, places: DataFrame) -> DataFrame:
-    """(a, b) of edges (src, dst) in both directions, by the rows' numbers."""
-    name = lambda c, to: places.select(F.col("_id").alias(c), F.col("_node").alias(to))
-    one = settle(edges.select("src", "dst").join(name("src", "a"), "src").join(name("dst", "b"), "dst").select("a", "b"))
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def butina_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0.3, metric: str = "euclidean", edges: DataFrame | None = None) -> DataFrame:
+def _adjacency(edges: DataFrame) -> DataFrame:
+    """(a, block, near, n) of edges (src, dst) between row numbers: the neighbours of a within a block of NODE_BLOCK numbers, as
+    places there; no list is longer than that, whatever the degree."""
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    block = F.floor(F.col("b") / NODE_BLOCK).cast("long")
+    return both.groupBy("a", block.alias("block")).agg(F.collect_list((F.col("b") % NODE_BLOCK).cast("int")).alias("near"), F.count("*").alias("n"))
+
+
+def _greedy_steps(t: pa.Table, least: int, first: int) -> pa.Table:
+    """(node, centre, c): the steps of rows t (a, block, near), lists of free neighbours of some rows, in order, as long as a row comes
+    before any that has least neighbours and the number first."""
+    lists = t.column("near").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    a, b = np.repeat(t.column("a").to_numpy(), sizes), lists.flatten().to_numpy() + np.repeat(t.column("block").to_numpy(), sizes) * NODE_BLOCK
+    order = np.argsort(a, kind="stable")
+    own, starts, counts = np.unique(a[order], return_index=True, return_counts=True)
+    names, members = np.unique(np.r_[own, b[order]], return_inverse=True)
+    at, members = members[: len(own)], members[len(own) :]
+    row = np.full(len(names), -1)
+    row[at] = np.arange(len(own))
+    # of each node, the rows that have it as a neighbour
+    holders = np.repeat(np.arange(len(own)), counts)[np.argsort(members, kind="stable")]
+    ends = np.r_[0, np.cumsum(np.bincount(members, minlength=len(names)))]
+    starts, free, counts = np.r_[starts, len(b)], np.ones(len(names), dtype=bool), counts.astype(np.int64)
+    node, centre, c = [], [], []
+    while len(own):
+        i = int(np.argmax(counts))  # the first of the greatest
+        k = int(counts[i])
+        if k <= 0 or k < least or (k == least and own[i] >= first):
+            break
+        near = members[starts[i] : starts[i + 1]]
+        taken = np.r_[at[i], near[free[near]]]
+        free[taken] = False
+        held = np.concatenate([holders[ends[m] : ends[m + 1]] for m in taken.tolist()])
+        np.subtract.at(counts, held, 1)
+        gone = row[taken]
+        counts[gone[gone >= 0]] = -(1 << 40)
+        node.append(names[taken])
+        centre.append(np.full(len(taken), own[i]))
+        c.append(np.full(len(taken), k))
+    whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+    return pa.table({"node": whole(node), "centre": whole(centre), "c": whole(c)})
+
+
+def _greedy_until(least: int, first: int):
+    return lambda t: _greedy_steps(t, least, first)
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, block, near, n) without the neighbours whose places are set in gone, a bitmap of the block, or null."""
+    for t in batches:
+        lists, gone = t.column("near"), t.column("gone").to_pylist()
+        sizes = np.diff(lists.offsets.to_numpy())
+        places, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+        bits = {g: np.frombuffer(g, dtype=np.uint8) for g in set(gone) if g is not None}
+        kinds = {g: k for k, g in enumerate(bits, 1)}
+        masks = np.stack([np.zeros(NODE_BLOCK // 8, dtype=np.uint8), *bits.values()])
+        kind = np.array([kinds.get(g, 0) for g in gone], dtype=np.int64)[row]
+        keep = masks[kind, places >> 3] >> (places & 7).astype(np.uint8) & 1 == 0
+        n = np.bincount(row[keep], minlength=len(sizes)).astype(np.int64)
+        left = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(places[keep].astype(np.int32)))
+        out = pa.RecordBatch.from_arrays([t.column("a"), t.column("block"), left, pa.array(n)], names=["a", "block", "near", "n"])
+        yield out.filter(pa.array(n > 0))
+
+
+def _bitmap(t: pa.Table) -> pa.Table:
+    """(block, gone): the places of the nodes of one block as a bitmap."""
+    bits = np.zeros(NODE_BLOCK, dtype=np.uint8)
+    bits[t.column("node").to_numpy() % NODE_BLOCK] = 1
+    return pa.table({"block": t.column("block").slice(0, 1), "gone": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def butina_cluster(df: DataFrame, id_col: str, vector: str, threshold: float = 0.3, metric: str = "euclidean", edges: DataFrame | None = None, batch_edges: int = BATCH_EDGES) -> DataFrame:
     """Greedy neighbourhood clustering: again and again the row with most unassigned neighbours (the first on ties) takes them;
     rows left alone are clusters in order.
 
-    Rounds take many of these steps at once. Taking a row changes the counts of rows within two links only, and counts
-    only fall, so a row that has more unassigned neighbours than any other within two links will take its own, whatever
-    happens elsewhere. The order of the steps is that of their counts, so labels are those of one step at a time.
+    Rounds take many of these steps at once. Counts only fall, so the rows with most neighbours, as many as have batch_edges
+    neighbours together (one row at least), go through their steps in one task while each comes before all other rows even with the
+    counts that those had; then all lists are rid of the rows that were taken. The order of the steps is that of their counts.
     """
-    places = _placed(df, id_col)
-    now, taken = settle(_both_ways(edges if edges is not None else pairwise(df, id_col, vector, metric, threshold), places)), []
+    places = _placed(df, id_col, vector)
+    if edges is None:
+        edges = pairwise(places, "_node", "_v", metric, threshold).select("src", "dst")
+    else:
+        name = lambda c: places.select(F.col("_id").alias(c), F.col("_node").alias(f"_{c}"))
+        edges = edges.select("src", "dst").join(name("src"), "src").join(name("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    now, taken = settle(_adjacency(edges)), []
     while True:
-        key = settle(now.groupBy("a").agg(F.count("*").alias("c")).select("a", F.struct("c", (-F.col("a")).alias("first")).alias("k")))
-        best = key
-        for _ in range(2):  # the greatest within one link, then within two
-            around = now.join(best.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b").groupBy("a").agg(F.max("kb").alias("kb"))
-            best = best.join(around, "a").select("a", F.greatest("k", "kb").alias("k"))
-        centres = settle(key.join(best.withColumnRenamed("k", "m"), "a").where("k = m").select(F.col("a").alias("centre"), F.col("k.c").alias("c")))
-        if centres.isEmpty():
+        counts = settle(now.groupBy("a").agg(F.sum("n").alias("c")))
+        levels = sorted(((r["c"], r["k"], r["first"]) for r in counts.groupBy("c").agg(F.count("*").alias("k"), F.min("a").alias("first")).collect()), reverse=True)
+        if not levels:
+            break
+        room, chosen, bound = batch_edges, None, (0, 0)
+        for level, (c, k, first) in enumerate(levels):
+            if c * k > room:
+                bound = (c, first)
+                if level == 0:  # the first rows of the level
+                    cut = counts.where(F.col("c") == c).orderBy("a").offset(max(1, room // c) - 1).limit(1).first()["a"]
+                    chosen, bound = (F.col("c") == c) & (F.col("a") <= cut), (c, cut + 1)
+                else:
+                    chosen = F.col("c") > c
+                break
+            room -= c * k
+        some = now.join(counts.where(chosen).select("a") if chosen is not None else counts.select("a"), "a", "left_semi").select("a", "block", "near")
+        steps = settle(some.groupBy(F.lit("all")).applyInArrow(_greedy_until(*bound), "node long, centre long, c long"))
+        taken.append(steps)
+        if chosen is None:
             break
-        members = now.join(centres, F.col("a") == F.col("centre")).select(F.col("b").alias("node"), "centre", "c")
-        taken.append(settle(members.unionByName(centres.select(F.col("centre").alias("node"), "centre", "c"))))
-        gone = taken[-1].select("node")
-        before, now = now, settle(now.join(gone, F.col("a") == F.col("node"), "left_anti").join(gone, F.col("b") == F.col("node"), "left_anti"))
-        discard(before)
+        gone = steps.select("node", F.floor(F.col("node") / NODE_BLOCK).cast("long").alias("block")).groupBy("block").applyInArrow(_bitmap, "block long, gone binary")
+        left = now.join(steps.select("node"), F.col("a") == F.col("node"), "left_anti").join(gone, "block", "left").select("a", "block", "near", "n", "gone")
+        before, now = now, settle(left.mapInArrow(_without, "a long, block long, near array<int>, n long"))
+        for used in (before, counts):
+            discard(used)
     every = places.select(F.col("_node").alias("node"), F.col("_node").alias("centre"), F.lit(0).cast("long").alias("c"))
     if taken:
         every = every.join(reduce(DataFrame.unionByName, taken).select("node"), "node", "left_anti").unionByName(reduce(DataFrame.unionByName, taken))
     every = settle(every)
     names = row_index(every.select("centre", "c").distinct(), F.desc("c"), F.col("centre"), name="_l")
-    labels = every.join(names.select("centre", "_l"), "centre").join(places.withColumnRenamed("_node", "node"), "node").select("_id", F.col("_l").cast("int").alias("Cluster"))
+    labels = every.join(names.select("centre", "_l"), "centre").join(places.select("_id", F.col("_node").alias("node")), "node").select("_id", F.col("_l").cast("int").alias("Cluster"))
     return df.drop("Cluster").join(labels, F.col(id_col) == F.col("_id")).drop("_id")
 
 

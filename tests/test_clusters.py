@@ -73,3 +73,12 @@ def test_components_of_small_graphs_are_one_tasks_work(spark, whole_edges):
         got = connected_components(df, settle, whole_edges=whole_edges).collect()
         assert {r["node"]: r["component"] for r in got} == {cast(k): cast(v) for k, v in part.items()} and len(got) == len(part)
     assert connected_components(df.limit(0), settle, whole_edges=whole_edges).count() == 0
+
+
+@pytest.mark.parametrize("batch_edges", [1, 400])
+def test_butina_in_batches(spark, batch_edges):
+    """The steps of one task end where a row that it does not hold may come first."""
+    x = points(2, 120)
+    x[:20] = np.round(x[:20], 1)
+    near = (block_distances(x, x, "euclidean") <= 0.25) & ~np.eye(len(x), dtype=bool)
+    assert labels(cluster.butina_cluster(table(spark, x), "id", "v", 0.25, batch_edges=batch_edges)) == greedy(near)
