@@ -82,3 +82,11 @@ def test_butina_in_batches(spark, batch_edges):
     x[:20] = np.round(x[:20], 1)
     near = (block_distances(x, x, "euclidean") <= 0.25) & ~np.eye(len(x), dtype=bool)
     assert labels(cluster.butina_cluster(table(spark, x), "id", "v", 0.25, batch_edges=batch_edges)) == greedy(near)
+
+
+@pytest.mark.parametrize("linkage,threshold", [("average", 0.15), ("complete", 0.2)])
+def test_linkage_in_rounds_over_blocks(spark, linkage, threshold):
+    """Rounds look at clusters block by block; no pair of rows is kept."""
+    x = points(5, 160)
+    want = np.unique(cluster.linkage_labels(block_distances(x, x, "euclidean"), threshold, linkage), return_inverse=True)[1].tolist()
+    assert labels(cluster.agglomerative_cluster(table(spark, x), "id", "v", threshold, linkage, dense_rows=0, block_rows=40)) == want
