@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.distance import _meet, _vectors, block_distances, pairwise
+from brindle.operators.distance import TILE_ROWS, _block_rows, _exact, _limit, _meet, _tiles, _vectors, block_distances, pairwise
 from brindle.operators.graph import connected_components
 from brindle.operators.relational import row_index
 from brindle.sources.tables import discard, settle
@@ -312,13 +312,119 @@ def agglomerative_cluster(df: DataFrame, id_col: str, vector: str, threshold: fl
     return label_values(df.drop("Cluster").join(named, F.col(id_col) == F.col("_id")).drop("_id"), "_root", "Cluster").drop("_root")
 
 
-def spectral_cluster(df: DataFrame, id_col: str, vector: str, n_clusters: int = 2, threshold: float = 0.3, metric: str = "euclidean", seed: int = 42) -> DataFrame:
-    """Power iteration clustering of the affinity 1 - d over pairs with d <= threshold; rows without a neighbour are -1."""
-    from pyspark.ml.clustering import PowerIterationClustering
+def _packed(t: pa.Table) -> pa.Table:
+    """(block, v): the vectors of one block as bytes, in the order of their numbers."""
+    t = t.sort_by("_node")
+    return pa.table({"block": t.column("block").slice(0, 1), "v": pa.array([_vectors(t.select(["_node", "_v"])).tobytes()], pa.large_binary()).cast(pa.binary())})
+
+
+def _affinity_products(threshold: float, metric: str, width: int):
+    """A step over rows (a, b, va, vb, xa, xb) of pairs of blocks: (block, y), the products of the affinity with x, made anew from the vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                p, q, *parts = (batch.column(c)[r].as_py() for c in ("a", "b", "va", "vb", "xa", "xb"))
+                a, b, xa, xb = (np.frombuffer(x) for x in parts)
+                a, b = a.reshape(-1, width), b.reshape(-1, width)
+                ya, yb = np.zeros(len(a)), np.zeros(len(b))
+                for lo, near, slack in _tiles(a, b, metric):
+                    w = np.sqrt(np.maximum(near, 0.0)) if metric == "euclidean" else near.copy()
+                    np.subtract(1.0, w, out=w)
+                    np.maximum(w, 1e-9, out=w)
+                    w[~(near <= _limit(threshold, metric, slack))] = 0.0
+                    if slack:  # what is near the limit is decided exactly
+                        i, j = np.nonzero(np.abs(near - _limit(threshold, metric, 0.0)) <= 2 * slack)
+                        d = _exact(a[lo : lo + TILE_ROWS], b, near, i, j, metric)
+                        w[i, j] = np.where(d <= threshold, np.maximum(1e-9, 1 - d), 0.0)
+                    if p == q:
+                        w[np.arange(len(w)), lo + np.arange(len(w))] = 0.0
+                    else:
+                        yb += w.T @ xa[lo : lo + TILE_ROWS]
+                    ya[lo : lo + TILE_ROWS] = w @ xb
+                found = [(p, ya.tobytes())] + ([] if p == q else [(q, yb.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["block", "y"])
+
+    return run
+
+
+def spectral_cluster(df: DataFrame, id_col: str, vector: str, n_clusters: int = 2, threshold: float = 0.3, metric: str = "euclidean", seed: int = 42, max_iter: int = 20) -> DataFrame:
+    """Power iteration clustering of the affinity 1 - d over pairs with d <= threshold; rows without a neighbour are -1.
+
+    As Spark's own, from a random start by a keyed hash and with its rule to stop, but no pair is kept: a step makes the affinities of
+    two blocks anew from their vectors, as a task's tiles, and only sums a row leave it.
+    """
+    places = _placed(df, id_col, vector).select("_id", "_node", F.col("_v"))
+    first = places.agg(F.count("*"), F.max(F.size("_v"))).first()
+    if not first[0]:
+        return df.withColumn("Cluster", F.lit(-1))
+    size = _block_rows(first[0], None)
+    n, width = -(-first[0] // size), first[1]
+    blocks = settle(places.select("_node", "_v", F.floor(F.col("_node") / size).cast("long").alias("block")).groupBy("block").applyInArrow(_packed, "block long, v binary"))
+    left = blocks.select(F.col("block").alias("a"), F.col("v").alias("va"), F.explode(F.sequence("block", F.lit(n - 1).cast("long"))).alias("b"))
+    met = settle(left.join(blocks.select(F.col("block").alias("b"), F.col("v").alias("vb")), "b").repartition(n * (n + 1) // 2))
+    product = _affinity_products(threshold, metric, width)
+
+    def times(x: DataFrame) -> DataFrame:
+        side = lambda c: x.select(F.col("block").alias(c), F.col("x").alias(f"x{c}"))
+        return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb", "xa", "xb").mapInArrow(product, "block long, y binary")
+
+    def summed(t: pa.Table) -> np.ndarray:
+        return np.sum([np.frombuffer(y) for y in t.column("y").to_pylist()], axis=0)
+
+    def begun(t: pa.Table) -> pa.Table:
+        block, degree = t.column("block")[0].as_py(), summed(t)
+        h = np.random.default_rng([seed, block]).standard_normal(len(degree))
+        return _state(block, degree, np.where(degree > 0, h, 0.0), 0.0)
+
+    def moved(state: pa.Table, t: pa.Table) -> pa.Table:
+        degree = np.frombuffer(state.column("degree")[0].as_py())
+        y = np.divide(summed(t), degree, out=np.zeros(len(degree)), where=degree > 0)
+        return _state(state.column("block")[0].as_py(), degree, y, 0.0)
+
+    def scaled(norm: float):
+        def run(state: pa.Table, old: pa.Table) -> pa.Table:
+            x = np.frombuffer(state.column("x")[0].as_py()) / norm
+            was = np.frombuffer(old.column("x")[0].as_py())
+            return _state(state.column("block")[0].as_py(), np.frombuffer(state.column("degree")[0].as_py()), x, float(np.abs(x - was).sum()))
+
+        return run
+
+    schema = "block long, degree binary, x binary, total double, linked long, off double"
+    meet = lambda one, two: one.groupBy("block").cogroup(two.groupBy("block"))
+    ones = blocks.select("block", F.col("v")).groupBy("block").applyInArrow(lambda t: pa.table({"block": t.column("block"), "x": pa.array([np.ones(len(v) // (8 * width)).tobytes() for v in t.column("v").to_pylist()], pa.binary())}), "block long, x binary")
+    state = settle(times(settle(ones)).groupBy("block").applyInArrow(begun, schema))
+    norm, linked = state.agg(F.sum("total"), F.sum("linked")).first()
+    if not linked:
+        return df.withColumn("Cluster", F.lit(-1))
+    state = settle(meet(state, state).applyInArrow(scaled(norm), schema))
+    least, before = max(1e-5 / linked, 1e-8), float("inf")
+    for _ in range(max_iter):
+        raw = settle(meet(state, times(state)).applyInArrow(moved, schema))
+        old, state = state, settle(meet(raw, state).applyInArrow(scaled(raw.agg(F.sum("total")).first()[0]), schema))
+        off = state.agg(F.sum("off")).first()[0]
+        for used in (raw, old):
+            discard(used)
+        if abs(off - before) <= least:
+            break
+        before = off
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                degree, x = (np.frombuffer(batch.column(c)[r].as_py()) for c in ("degree", "x"))
+                on = np.flatnonzero(degree > 0)
+                # of the size of 1, as the rule by which k-means stops is an absolute one
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("block")[r].as_py() * size + on), pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1, dtype=np.int32)), pa.array(x[on] * linked))], names=["_node", "_x"])
+
+    rows = settle(state.mapInArrow(unpacked, "_node long, _x array<double>"))
+    found = places.join(kmeans_cluster(rows, "_x", n_clusters, seed).select("_node", F.col("Cluster").alias("_c")), "_node").select("_id", "_c")
+    return df.drop("Cluster").join(found, F.col(id_col) == F.col("_id"), "left").withColumn("Cluster", F.coalesce("_c", F.lit(-1))).drop("_id", "_c")
+
 
-    edges = pairwise(df, id_col, vector, metric, threshold).select("src", "dst", F.greatest(F.lit(1e-9), 1 - F.col("distance")).alias("weight"))
-    found = PowerIterationClustering(k=n_clusters, weightCol="weight").assignClusters(settle(edges))
-    return df.join(found.select(F.col("id").alias("_id"), F.col("cluster").alias("_c")), F.col(id_col) == F.col("_id"), "left").withColumn("Cluster", F.coalesce("_c", F.lit(-1))).drop("_id", "_c")
+def _state(block: int, degree: np.ndarray, x: np.ndarray, off: float) -> pa.Table:
+    """One row of a block of a power iteration."""
+    return pa.table({"block": pa.array([block], pa.int64()), "degree": pa.array([degree.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "total": [float(np.abs(x).sum())], "linked": pa.array([int((degree > 0).sum())], pa.int64()), "off": [off]})
 
 
 def kmeans_cluster(df: DataFrame, vector: str, n_clusters: int = 3, seed: int = 42) -> DataFrame:

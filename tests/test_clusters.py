@@ -90,3 +90,19 @@ def test_linkage_in_rounds_over_blocks(spark, linkage, threshold):
     x = points(5, 160)
     want = np.unique(cluster.linkage_labels(block_distances(x, x, "euclidean"), threshold, linkage), return_inverse=True)[1].tolist()
     assert labels(cluster.agglomerative_cluster(table(spark, x), "id", "v", threshold, linkage, dense_rows=0, block_rows=40)) == want
+
+
+def test_affinity_products_are_those_of_all_pairs():
+    import pyarrow as pa
+
+    x = np.random.default_rng(4).normal(size=(700, 3))
+    d = block_distances(x, x, "euclidean")
+    w = np.where(d <= 1.1, np.maximum(1e-9, 1 - d), 0.0) * (1 - np.eye(len(x)))
+    v = np.arange(len(x)) / len(x)
+    got, cut = np.zeros(len(x)), [slice(0, 600), slice(600, 700)]
+    for a, b in ((0, 0), (0, 1), (1, 1)):
+        row = {"a": [a], "b": [b], "va": [x[cut[a]].tobytes()], "vb": [x[cut[b]].tobytes()], "xa": [v[cut[a]].tobytes()], "xb": [v[cut[b]].tobytes()]}
+        for batch in cluster._affinity_products(1.1, "euclidean", 3)(iter([pa.RecordBatch.from_pydict(row)])):
+            for r in batch.to_pylist():
+                got[cut[r["block"]]] += np.frombuffer(r["y"])
+    assert np.allclose(got, w @ v, rtol=0, atol=1e-12)
